@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..tables import table
-from . import bpe, tokens
+from . import bpe, hostrules, linededup, mixing, tokens
 
 
 def vocabulary(name: str) -> str:
@@ -27,14 +27,26 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture_report(table(spark, sf_dir, "documents"))
+
+
+def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hostrules.host_quality(table(spark, sf_dir, "documents"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.round_trip(docs, vocabulary("byte_bpe_50k.tiktoken"), split_pattern())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op9_byte_bpe)}
+    return {f.__name__: f for f in (op2_token_counts, op4_mixture, op6_host_rules, op7_line_dedup, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_mixture": mixing.SQL, "op6_host_rules": hostrules.SQL, "op7_line_dedup": linededup.SQL}
