@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..tables import table
-from . import bpe, hostrules, linededup, mixing, tokens
+from . import bpe, fingerprints, hostrules, linededup, mixing, simhash, tokens
 
 
 def vocabulary(name: str) -> str:
@@ -23,10 +23,18 @@ def split_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture_report(table(spark, sf_dir, "documents"))
 
@@ -45,7 +53,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op4_mixture, op6_host_rules, op7_line_dedup, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_token_counts, op3_simhash, op4_mixture, op6_host_rules, op7_line_dedup, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
