@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..tables import table
-from . import bpe, fingerprints, hostrules, linededup, mixing, simhash, tokens
+from . import bpe, fingerprints, hostrules, linededup, mixing, simhash, substrings, tokens
 
 
 def vocabulary(name: str) -> str:
@@ -39,6 +39,10 @@ def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture_report(table(spark, sf_dir, "documents"))
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeat_report(table(spark, sf_dir, "documents"))
+
+
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.host_quality(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_token_counts, op3_simhash, op4_mixture, op6_host_rules, op7_line_dedup, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_token_counts, op3_simhash, op4_mixture, op5_substrings, op6_host_rules, op7_line_dedup, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
