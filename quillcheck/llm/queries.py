@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..tables import table
-from . import bpe, fingerprints, hostrules, linededup, mixing, simhash, substrings, tokens
+from . import bpe, fingerprints, hostrules, langid, linededup, mixing, quality, simhash, substrings, tokens
 
 
 def vocabulary(name: str) -> str:
@@ -51,13 +51,33 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.round_trip(docs, vocabulary("byte_bpe_50k.tiktoken"), split_pattern())
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_token_counts, op3_simhash, op4_mixture, op5_substrings, op6_host_rules, op7_line_dedup, op9_byte_bpe)}
+    found = (
+        op1_fingerprints,
+        op2_token_counts,
+        op3_simhash,
+        op4_mixture,
+        op5_substrings,
+        op6_host_rules,
+        op7_line_dedup,
+        op8_quality,
+        op9_byte_bpe,
+        op10_language,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
