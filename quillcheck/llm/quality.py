@@ -262,7 +262,7 @@ def score_quality(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text"):
-            found = network.predict(features(part, vectors.value)) if network else np.full(part.num_rows, share)
+            found = network.predict(features(part, vectors.value)).round(9) if network else np.full(part.num_rows, share)
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(found, pa.float64())], ["id", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
