@@ -231,7 +231,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, vectors, id_col: str, text
     rows = texts.mapInArrow(run, "y double, x binary").collect()
     rows = sorted((bytes(r.x), r.y) for r in rows)
     order = np.random.default_rng(11).permutation(len(rows))
-    x = np.array([np.frombuffer(rows[k][0], np.float32) for k in order], float).reshape(len(rows), -1)
+    x = np.array([np.frombuffer(rows[k][0], np.float32) for k in order], float).reshape(len(rows), 2 * SIZE + 4)
     return x, np.array([rows[k][1] for k in order])
 
 
