@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 def wilson(k: Column, n: Column, confidence: float = 0.95, upper: bool = True) -> Column:
     """One-sided Wilson bound of a rate, rounded outwards at 12 places; null without trials."""
     z = NormalDist().inv_cdf(confidence)
-    p = k / F.nullif(n.cast("double"), F.lit(0.0))
+    n = F.nullif(n.cast("double"), F.lit(0.0))
+    p = k / n
     middle, spread = p + z * z / (2 * n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
     bound = (middle + spread if upper else middle - spread) / (1 + z * z / n)
     whole = F.ceil(bound * 1e12) if upper else F.floor(bound * 1e12)
-    return F.least(F.greatest(whole / 1e12, F.lit(0.0)), F.lit(1.0))
+    return F.when(n.isNotNull(), F.least(F.greatest(whole / 1e12, F.lit(0.0)), F.lit(1.0)))
 
 
 def _log_choose(n: int, k: int) -> float:

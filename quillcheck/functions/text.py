@@ -58,9 +58,8 @@ def overlap(a: Column | str, b: Column | str) -> Column:
 
 def quotable(x: Column | str) -> Column:
     """Text for quotation matching: straight quotes and dashes, words broken over lines joined, blanks single, lower case."""
-    text = F.translate(_col(x), "‘’“”–— ", "''\"\"-- ")
-    text = F.regexp_replace(F.regexp_replace(text, "…", "..."), r"-\n", "")
-    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+    text = F.translate(F.regexp_replace(_col(x), r"-\n", ""), "‘’“”–— ", "''\"\"-- ")
+    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(text, "…", "..."), r"\s+", " ")))
 
 
 def same_set(a: Column, b: Column) -> Column:
