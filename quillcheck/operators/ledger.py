@@ -26,7 +26,7 @@ def build_chains(events: DataFrame, chain: str, order: list[str], payload: Colum
         F.array(F.lit(GENESIS)),
         lambda hs, e: F.concat(hs, F.array(entry_hash(e["seq"], F.element_at(hs, -1), e["payload_hash"]))),
     )
-    rows = links.select(chain, F.posexplode("_e").alias("_k", "_x"), fold.alias("_h"))
+    rows = links.withColumn("_h", fold).select(chain, "_h", F.posexplode("_e").alias("_k", "_x"))
     return rows.select(
         chain, *[F.col(f"_x.{c}").alias(c) for c in others], F.col("_x.seq").alias("seq"), F.col("_x.payload_hash").alias("payload_hash"),
         F.element_at("_h", F.col("_k") + 1).alias("prev_hash"), F.element_at("_h", F.col("_k") + 2).alias("entry_hash"),
