@@ -22,13 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import chunks, flat
 from .wordhash import _BACK, _BASE, BYTES, mixed, powers
 
-LENGTH, GRAM = 100, 36
+LENGTH, GRAM = 100, 48
 WINDOW = LENGTH - GRAM + 1
 #: Bytes that are hashed at once; a longer text is handled in blocks that share LENGTH - 1 bytes.
 BLOCK = 4 << 20
@@ -37,6 +38,8 @@ _PLACE = np.uint64((1 << 24) - 1)  # room for a place in a block beside the hash
 # A position is one long: done (1 bit) | salt (18) | first start (32) | starts less 1 (7).
 _START, _SALT, _DONE = 7, 39, 62
 _MORE = (1 << _START) - 1
+#: Stands for a null id, before all others.
+_NULL_ID = -(2**63)
 _OWNER = ((1 << 18) - 1) << _SALT
 
 
@@ -188,27 +191,43 @@ def _settle(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
         }
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed for their shuffle."""
+    press = zstandard.ZstdCompressor(level=1)
+    for part in chunks(batches, "text"):
+        packed = [press.compress(x.as_buffer()) for x in part.column("text")]
+        yield pa.RecordBatch.from_arrays([part.column("o"), part.column("salt"), pa.array(packed, pa.binary())], ["o", "salt", "z"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, bytes]]:
+    """Each row by its batch and place, with its text."""
+    press = zstandard.ZstdDecompressor()
+    for part in chunks(batches, "z", 1 << 19):
+        for k, z in enumerate(part.column("z")):
+            yield part, k, press.decompress(z.as_buffer())
+
+
 def _find_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The starts of open runs, each with the hash of its string."""
-    for part in chunks(batches, "text"):
-        for k in range(part.num_rows):
-            runs = np.array(part.column("open")[k].as_py() or [], np.int64)
-            if not len(runs):
+    for part, k, text in _unpacked(batches):
+        runs = part.column("runs")[k].values.to_numpy(zero_copy_only=False)
+        runs = runs[runs >> _DONE & 1 == 0]
+        if not len(runs):
+            continue
+        data = np.frombuffer(text, np.uint8)
+        lo, more = runs >> _START & 0xFFFFFFFF, runs & _MORE
+        start = np.unique(np.repeat(lo, more + 1) + _within(more + 1))
+        doc, salt = part.column("o")[k].as_py(), part.column("salt")[k].as_py()
+        for base in range(0, len(data), BLOCK):
+            here = start[(start >= base) & (start < base + BLOCK)] - base
+            if not len(here):
                 continue
-            data = np.frombuffer(part.column("text")[k].as_buffer(), np.uint8)
-            lo, more = runs >> _START & 0xFFFFFFFF, runs & _MORE
-            start = np.unique(np.repeat(lo, more + 1) + _within(more + 1))
-            doc, salt = part.column("o")[k].as_py(), part.column("salt")[k].as_py()
-            for base in range(0, len(data), BLOCK):
-                here = start[(start >= base) & (start < base + BLOCK)] - base
-                if not len(here):
-                    continue
-                sums, down = _block_sums(data[base : base + BLOCK + LENGTH])
-                hashes = mixed((sums[here + LENGTH] - sums[here]) * down[here])
-                place = salt << _SALT | (here + base) << _START
-                order, again = _local_first((hashes,), np.full(len(here), doc), place)
-                place = place[order] | (again.astype(np.int64) << _DONE)
-                yield _rows(a=hashes[order], o=np.full(len(here), doc), p=place)
+            sums, down = _block_sums(data[base : base + BLOCK + LENGTH])
+            hashes = mixed((sums[here + LENGTH] - sums[here]) * down[here])
+            place = salt << _SALT | (here + base) << _START
+            order, again = _local_first((hashes,), np.full(len(here), doc), place)
+            place = place[order] | (again.astype(np.int64) << _DONE)
+            yield _rows(a=hashes[order], o=np.full(len(here), doc), p=place)
 
 
 def _within(counts: np.ndarray) -> np.ndarray:
@@ -230,22 +249,16 @@ def removed_runs(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in chunks(batches, "text"):
-        kept, removed, spans = [], [], []
-        for k in range(part.num_rows):
-            text = part.column("text")[k]
-            data = text.as_buffer().to_pybytes() if text.is_valid else b""
-            places = [part.column(c)[k].values for c in ("done", "late") if part.column(c)[k].is_valid]
-            places = np.concatenate([x.to_numpy(zero_copy_only=False) for x in places] or [np.zeros(0, np.int64)])
-            begin, end = removed_runs(places) if len(places) else (places, places)
-            stops = [0, *[int(x) for pair in zip(begin, end) for x in pair], len(data)]
-            kept.append(b"".join(data[a:b] for a, b in zip(stops[::2], stops[1::2])))
-            removed.append(int((end - begin).sum()))
-            spans.append(len(begin))
-        sizes = pa.array([len(x) + r for x, r in zip(kept, removed)], pa.int64())
+    for part, k, data in _unpacked(batches):
+        found = [part.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("runs", "late") if part.column(c)[k].is_valid]
+        places = np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int64)
+        places = places[places >> _DONE & 1 == 1]
+        begin, end = removed_runs(places) if len(places) else (places, places)
+        stops = [0, *[int(x) for pair in zip(begin, end) for x in pair], len(data)]
+        kept = b"".join(data[a:b] for a, b in zip(stops[::2], stops[1::2]))
+        numbers = [pa.array([x], pa.int64()) for x in (len(data), (end - begin).sum(), len(begin))]
         yield pa.RecordBatch.from_arrays(
-            [part.column("id"), sizes, pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())],
-            ["id", "n_bytes", "n_removed", "n_spans", "kept"],
+            [part.column("o").slice(k, 1), *numbers, pa.array([kept], pa.binary())], ["o", "n_bytes", "n_removed", "n_spans", "kept"]
         )
 
 
@@ -257,38 +270,39 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     begin or end inside a character.
 
     No text is collected and no group is held: anchors and open starts are sorted by Spark and read as a stream, with
-    the earliest of equals in each chunk sent on alone. Texts are shuffled once, to meet their runs; both joins below
-    read that one shuffle. Equality of strings is by 64-bit hashes.
+    the earliest of equals in each chunk sent on alone. Texts are shuffled once, compressed, to meet their runs. Equality of strings is by 64-bit hashes.
 
     Null text counts as empty. Rows equal in id and text count as one and get the same result; rows that share the id
-    only are ordered by, and told apart by, 18 bits of a hash of the text. A null id comes first. Ids are whole numbers.
+    only are ordered by, and told apart by, 18 bits of a hash of the text. A null id comes first. Ids are whole
+    numbers over -2^63.
     Other columns are ignored. No rows give no rows. A text of 4 GB or more is not supported.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    order = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
-    rows = docs.select(
-        F.col(id_col).alias("id"), order.alias("o"), F.xxhash64(text).bitwiseAND(F.lit((1 << 18) - 1)).alias("salt"), text.alias("text")
-    )
-    kind = rows.schema["id"].dataType.simpleString()
+    kind = docs.schema[id_col].dataType.simpleString()
+    order = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID))
     count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared = docs.groupBy(order.alias("o")).count().where("count > 1").limit(1)
+    salt = F.lit(0) if shared.isEmpty() else F.xxhash64(text).bitwiseAND(F.lit((1 << 18) - 1))
+    rows = docs.select(order.alias("o"), salt.cast("long").alias("salt"), text.alias("text"))
 
-    found = rows.select("o", "salt", "text").mapInArrow(_find_anchors, "a long, c long, o long, p long")
+    found = rows.mapInArrow(_find_anchors, "a long, c long, o long, p long")
     found = found.repartition(count, "a").sortWithinPartitions("a", "c", "o", "p")
     settled = found.mapInArrow(lambda x: _settle(x, ("a", "c")), "o long, p long")
     owner = F.shiftright(F.col("p").bitwiseAND(F.lit(_OWNER)), _SALT).alias("salt")
-    is_done = F.shiftright("p", _DONE).bitwiseAND(F.lit(1)) == 1
-    runs = settled.groupBy("o", owner).agg(
-        F.collect_list(F.when(is_done, F.col("p"))).alias("done"), F.collect_list(F.when(~is_done, F.col("p"))).alias("open")
-    )
-    rows = rows.join(runs, ["o", "salt"], "left")
-    strings = rows.where(F.size("open") > 0).select("o", "salt", "text", "open")
+    runs = settled.groupBy("o", owner).agg(F.collect_list("p").alias("runs"))
+
+    # Both uses of the joined rows have the same exchanges below, so texts and runs are shuffled once.
+    packed = rows.mapInArrow(_pack, "o long, salt long, z binary").where("o is not null and salt is not null")
+    rows = packed.join(runs, ["o", "salt"], "left")
+    strings = rows.where(F.exists("runs", lambda p: p < F.lit(1 << _DONE)))
     strings = strings.mapInArrow(_find_strings, "a long, o long, p long")
     strings = strings.repartition(count, "a").sortWithinPartitions("a", "o", "p")
     late = strings.mapInArrow(lambda x: _settle(x, ("a",)), "o long, p long")
     late = late.groupBy("o", owner).agg(F.collect_list("p").alias("late"))
-    rows = rows.join(late, ["o", "salt"], "left").select("id", "text", "done", "late")
-    out = rows.mapInArrow(_remove, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
-    return out.withColumnRenamed("id", id_col)
+    rows = rows.join(late, ["o", "salt"], "left").select("o", "z", "runs", "late")
+    out = rows.mapInArrow(_remove, "o long, n_bytes long, n_removed long, n_spans long, kept binary")
+    id_ = F.nullif("o", F.lit(_NULL_ID)).cast(kind).alias(id_col)
+    return out.select(id_, "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def repeat_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
