@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,12 +17,18 @@ if(size(_l) < 3, array(), transform(sequence(0, size(_l) - 3), k -> struct(
   xxhash64(_l[k].x, _l[k + 1].x, _l[k + 2].x) AS a, xxhash64(_l[k + 2].x, '|', _l[k + 1].x, '|', _l[k].x) AS b,
   k AS k, _l[k].i AS first, _l[k + 2].i AS last)))
 """
-#: What stays of the lines ``_n`` once the spans ``_spans`` (sorted, apart from one another) are taken out.
-KEPT = """
-array_join(flatten(transform(sequence(0, size(_spans)), j -> slice(_n,
-  if(j = 0, 0, _spans[j - 1].last + 1) + 1,
-  if(j = size(_spans), size(_n), _spans[j].first) - if(j = 0, 0, _spans[j - 1].last + 1)))), '\n')
-"""
+
+
+def _kept(x: Column) -> Column:
+    """What stays of the lines ``x.n`` once the spans ``x.s`` (sorted, apart from one another) are taken out."""
+    n, s = x["n"], x["s"]
+
+    def piece(j: Column) -> Column:
+        begin = F.when(j == 0, 0).otherwise(F.get(s, j - 1)["last"] + 1)
+        end = F.when(j == F.size(s), F.size(n)).otherwise(F.get(s, j)["first"])
+        return F.slice(n, begin + 1, end - begin)
+
+    return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(s)), piece)), "\n")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -59,17 +65,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     named like a result. No rows give no rows.
     """
     spans = repeated_spans(docs, id_col, text_col)
-    text = F.coalesce(F.col(text_col), F.lit(""))
     whole = F.struct(*[F.col(c) for c in docs.columns])
-    rows = docs.select(whole.alias("_row"), F.col(id_col).alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_hash"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(whole.alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text).alias("_hash"))
     same = rows["_id"].eqNullSafe(spans["_id"]) & (rows["_hash"] == spans["_hash"])
-    rows = rows.join(spans, same, "left").select("_row", "_text", "_spans")
-    kept = F.when(F.col("_spans").isNull(), F.col(f"_row.{text_col}")).otherwise(
-        F.expr(f"element_at(transform(array(split(_text, '\\n')), _n -> {KEPT}), 1)")
-    )
+    rows = rows.join(spans, same, "left").select("_row", "_spans")
+    text = F.coalesce(F.col(f"_row.`{text_col}`"), F.lit(""))
+    lines = F.split(text, "\n")
+    taken_out = F.element_at(F.transform(F.array(F.struct(lines.alias("n"), F.col("_spans").alias("s"))), _kept), 1)
+    kept = F.when(F.col("_spans").isNull(), F.col(f"_row.`{text_col}`")).otherwise(taken_out)
     removed = F.expr("coalesce(aggregate(_spans, 0L, (a, x) -> a + x.last - x.first + 1), 0L)")
     results = {
-        "n_lines": F.size(F.split("_text", "\n")).cast("long"),
+        "n_lines": F.size(lines).cast("long"),
         "n_removed": removed,
         "n_spans": F.coalesce(F.size("_spans"), F.lit(0)).cast("long"),
     }
