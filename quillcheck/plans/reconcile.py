@@ -205,10 +205,11 @@ def quote_verbatim(t: Tables) -> DataFrame:
     """
     blanks = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
     docs = t.documents.select("doc_id", blanks("text").alias("t"))
-    windows = """element_at(transform(array(split(t, ' ')), w ->
-        transform(sequence(1, greatest(size(w) - 4, 1)), i -> xxhash64(array_join(slice(w, i, 5), ' ')))), 1)"""
+    windows = """element_at(transform(array(split(t, ' ')), w -> if(size(w) < 5, array(),
+        transform(sequence(0, size(w) - 5), i -> xxhash64(w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4])))), 1)"""
     quotes = t.benchmark.select("item_id", blanks("text").alias("q"))
-    quotes = quotes.withColumn("h", F.xxhash64(F.array_join(F.slice(F.split("q", " "), 2, 5), " ")))
+    w = F.split("q", " ")
+    quotes = quotes.withColumn("h", F.xxhash64(*[F.get(w, k) for k in range(1, 6)]))
     hits = docs.select("doc_id", F.explode(F.array_distinct(F.expr(windows))).alias("h")).join(quotes, "h")
     found = docs.join(hits.select("doc_id", "item_id", "q"), "doc_id").where(F.expr("contains(t, q)"))
     return found.select("doc_id", "item_id", F.expr("cast(position(q in t) as bigint)").alias("place"))
