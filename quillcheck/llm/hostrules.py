@@ -9,6 +9,8 @@ from ..session import cut
 
 BLANK = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
+#: Parts that a host's documents are dealt into.
+SALTS = 32
 
 #: A rule is true where a document fails it. Sizes are of the whole text.
 RULES: dict[str, str] = {
@@ -63,21 +65,19 @@ def host_rates(failures: DataFrame, host: str, rules: list[str]) -> DataFrame:
     ``failures`` has one row per host: n, and the failures of each rule. For each rule a beta prior is fitted to all
     hosts by moments: mean m = failures / documents, variance v of the hosts' rates about m weighted by n, less what
     binomial noise explains, strength s = m (1 - m) / v - 1 held between 1 and 1000000. A host's rate is
-    (failures + m s) / (n + s), so a host of few documents says little.
+    (failures + m s) / (n + s), so a host of few documents says little. Two numbers a rule come to the driver.
     """
-    sums = [F.sum("n").alias("_n"), F.count("*").alias("_hosts"), *[F.sum(r).alias(f"_{r}") for r in rules]]
-    moments = failures.crossJoin(F.broadcast(failures.agg(*sums)))
-    spread = [
-        F.sum(F.col("n") * F.pow(F.col(r) / F.col("n") - F.col(f"_{r}") / F.col("_n"), F.lit(2))).alias(f"_v_{r}")
-        for r in rules
-    ]
-    prior = moments.groupBy("_n", "_hosts", *[f"_{r}" for r in rules]).agg(*spread)
-    out = failures.crossJoin(F.broadcast(prior))
+    total = failures.agg(F.sum("n").alias("n"), F.count("*").alias("hosts"), *[F.sum(r).alias(r) for r in rules]).first()
+    n, hosts = float(total.n or 1), total.hosts
+    mean = {r: (total[r] or 0) / n for r in rules}
+    off = [F.sum(F.col("n") * F.pow(F.col(r) / F.col("n") - F.lit(mean[r]), F.lit(2))).alias(r) for r in rules]
+    spread = failures.agg(*off).first()
+    out = failures
     for r in rules:
-        m = F.col(f"_{r}") / F.col("_n")
-        v = (F.col(f"_v_{r}") - (F.col("_hosts") - 1) * m * (1 - m)) / F.col("_n")
-        s = F.when(v > 0, F.least(F.greatest(m * (1 - m) / F.nullif(v, F.lit(0.0)) - 1, F.lit(1.0)), F.lit(1e6))).otherwise(1e6)
-        out = out.withColumn(f"shrunk_{r}", (F.col(r) + m * s) / (F.col("n") + s))
+        m = mean[r]
+        v = ((spread[r] or 0.0) - (hosts - 1) * m * (1 - m)) / n
+        s = min(max(m * (1 - m) / v - 1, 1.0), 1e6) if v > 0 else 1e6
+        out = out.withColumn(f"shrunk_{r}", (F.col(r) + F.lit(m * s)) / (F.col("n") + F.lit(s)))
     return out.select(host, "n", *rules, *[f"shrunk_{r}" for r in rules])
 
 
@@ -94,8 +94,8 @@ def host_quality(
 
     A host fails if its shrunk failure rate of any rule is over ``most``; a document is kept if it fails no ``base`` rule
     itself and its host does not fail. The statistics (some numbers a document, no text) are stored once, as they are
-    aggregated by host and joined back. One host may hold most rows: its failures are summed before the shuffle, and
-    the join back leaves it to adaptive execution to send the small host table or to split the hot host.
+    aggregated by host and joined back. One host may hold most rows: its failures are summed before the shuffle, and in
+    the join back every host's verdict stands SALTS times, so that its documents are dealt over as many tasks.
 
     Null text counts as empty and fails as short. Documents with a null host share one. Repeated rows count as rows of
     their own. No rows give no rows. Other columns are ignored.
@@ -105,9 +105,11 @@ def host_quality(
     key = F.when(F.col("_host").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("_host").cast("string")))
     stats = stats.withColumn("_host", key)
     counts = [F.count("*").alias("n"), *[F.sum(F.expr(f"bigint({e})")).alias(r) for r, e in rules.items()]]
-    rates = host_rates(stats.groupBy("_host").agg(*counts), "_host", list(rules))
+    rates = host_rates(cut(stats.groupBy("_host").agg(*counts)), "_host", list(rules))
     failed = F.greatest(*[F.col(f"shrunk_{r}") for r in rules], F.lit(0.0)) > most
-    stats = stats.join(rates.select("_host", failed.alias("host_failed")), "_host")
+    verdicts = rates.select("_host", failed.alias("host_failed"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    salt = F.pmod(F.xxhash64(F.col("_id").cast("string"), "word_chars"), F.lit(SALTS)).cast("int")
+    stats = stats.withColumn("_salt", salt).join(verdicts, ["_host", "_salt"])
     base_failed = F.expr(" OR ".join(f"({rules[r]})" for r in base) or "false")
     stats = stats.withColumn("base_failed", base_failed)
     kept = ~F.col("base_failed") & ~F.col("host_failed")
