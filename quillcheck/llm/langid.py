@@ -76,7 +76,7 @@ class Model:
             phrases = sum(automaton.phrases(f" {w} ") for w in held)
             self.automata.append(automaton)
             self.rates.append(phrases / sum(len(w) + 2 for w in held))
-        self.memo = Memo(lambda words: [self._packed(w) for w in words])
+        self.memo = Memo(lambda words: [self._packed(w) for w in words], 20 << 20)
 
     def _packed(self, word: str) -> int:
         if not any(c.isalpha() for c in word):
@@ -114,7 +114,7 @@ def held_out(key: Column, modulus: int = 3, rest: int = 1) -> Column:
 
 
 def labelled_sample(
-    docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = 400, chars: int = 60_000
+    docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = 400, chars: int = 40_000
 ) -> tuple[tuple[str, tuple[str, ...]], ...]:
     """At most ``rows`` texts of each language outside the held-out part, those with the smallest hashes of id and text,
     until they have ``chars`` characters; no text gives more than a twentieth of them, from a place that its hash names.
@@ -153,7 +153,7 @@ def identify(
     text_col: str = "text",
     lang_col: str = "lang",
     rows: int = 400,
-    chars: int = 60_000,
+    chars: int = 40_000,
 ) -> DataFrame:
     """The columns ``keep`` (the id) of every row with held_out, lang_pred, score and rate.
 
@@ -169,10 +169,14 @@ def identify(
     """
     keep = [id_col] if keep is None else keep
     samples = labelled_sample(docs, id_col, text_col, lang_col, rows, chars)
-    source = docs.select(F.struct(*keep).alias("row"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
+    inside = text_col in keep  # then the text goes to the workers once, as part of the row
+    more = [] if inside else [F.col(text_col).alias("text")]
+    source = docs.select(F.struct(*keep).alias("row"), held_out(F.col(id_col)).alias("held_out"), *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(samples)
+        if inside:
+            batches = (x.append_column("text", x.column("row").field(text_col)) for x in batches)
         for part in chunks(batches, "text"):
             found = model.predict([x or "" for x in part.column("text").to_pylist()])
             lang, score, rate = zip(*found)
@@ -189,7 +193,7 @@ def identify(
 def identified_documents(docs: DataFrame, most: float = 3.0, **more) -> DataFrame:
     """The rows of ``docs`` that are in some learned language: not ``und``, and of a rate of at most ``most``."""
     columns = docs.columns
-    id_, text, lang = (more.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("lang_col", "lang")))
-    packed = docs.select(F.struct(*columns).alias("_row"), *{id_, text, lang})
-    marked = identify(packed, ["_row"], **more)
-    return marked.where((F.col("lang_pred") != UNDETERMINED) & (F.col("rate") <= most)).select("_row.*")
+    inner = [f"_c{k}" for k in range(len(columns))]  # so that no column can clash with a result
+    names = {k: inner[columns.index(more.pop(k, v))] for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("lang_col", "lang"))}
+    marked = identify(docs.toDF(*inner), inner, **names, **more)
+    return marked.where((F.col("lang_pred") != UNDETERMINED) & (F.col("rate") <= most)).select(*inner).toDF(*columns)

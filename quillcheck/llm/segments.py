@@ -40,7 +40,7 @@ class Memo(dict):
     """What each piece stands for. ``learn`` adds the unknown ones among the pieces of some texts by ``encode``, in
     batches balanced by bytes; it first empties a memo whose pieces passed ``limit`` bytes."""
 
-    def __init__(self, encode: Callable[[list[str]], list], limit: int = 64 << 20, batch: int = 256 << 10):
+    def __init__(self, encode: Callable[[list[str]], list], limit: int = 40 << 20, batch: int = 256 << 10):
         super().__init__()
         self.encode, self.limit, self.batch, self.held = encode, limit, batch, 0
 
