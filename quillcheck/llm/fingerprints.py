@@ -16,6 +16,8 @@ from .wordhash import mixed, shingle_hashes, word_hashes
 
 BINS, LOW = 512, 4
 SHINGLE = 5
+#: Ranges of ids at most: their bounds come from one sketch, whose size grows with their number.
+RANGES = 8192
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -129,7 +131,7 @@ def compare_with_edits(
     """
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
     count = ranges or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = _buckets(docs.select(F.col(id_col).alias("id"), text), "id", count * 4)
+    rows = _buckets(docs.select(F.col(id_col).alias("id"), text), "id", min(count * 4, RANGES))
     rows = rows.repartition(count, "_b").sortWithinPartitions("_b", "_extra", "_order", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
