@@ -17,6 +17,8 @@ from .wordhash import _BACK, _BASE, _LOWER, BYTES, mixed, powers
 VOCABULARY, SIZE, ONES, WINDOW = 1 << 14, 64, 8, 2
 #: Vectors of so many words make one row between tasks.
 GROUP = 256
+#: Shares of the tasks whose tables are summed before the rest.
+SHARES = 64
 _UPPER_WORD, _NUMBER = 0, 1  # fixed rows for words with several capitals and for digits
 
 _CLASS = np.full(256, 3, np.uint8)  # 0 blank, 1 letter, 2 digit, 3 other
@@ -120,11 +122,15 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """A weighted unit vector for each row of the table, from the contexts in all texts.
 
-    Each task adds up its texts in a table of fixed size; tables are summed by parts of it, and the sum (VOCABULARY x
-    (SIZE + 1) numbers, whatever the corpus) comes to the driver. Frequent words weigh less.
+    Each task adds up its texts in a table of fixed size; tables are summed by parts of it, first those of a share of
+    the tasks and then over the shares, and the sum (VOCABULARY x (SIZE + 1) numbers, whatever the corpus) comes to the
+    driver. Frequent words weigh less.
     """
-    found = docs.select(F.col(text_col).alias("text")).mapInArrow(_sum_contexts, "g int, v binary")
-    found = found.repartition(8, "g").mapInArrow(_add, "g int, v binary").collect()
+    parts = "g int, v binary"
+    count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(_sum_contexts, parts)
+    found = found.withColumn("share", F.pmod(F.spark_partition_id(), F.lit(SHARES))).repartition(count, "g", "share")
+    found = found.select("g", "v").mapInArrow(_add, parts).repartition(VOCABULARY // GROUP, "g").mapInArrow(_add, parts).collect()
     total = np.zeros((VOCABULARY, SIZE + 1))
     for row in found:
         total[row.g * GROUP : (row.g + 1) * GROUP] = np.frombuffer(row.v, np.int64).reshape(-1, SIZE + 1)
