@@ -113,6 +113,11 @@ def _local_first(keys: tuple[np.ndarray, ...], doc: np.ndarray, place: np.ndarra
     return order, (doc != doc[lead]) | (place != place[lead])
 
 
+def _dealt(keys: np.ndarray, done: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Keys of the rows' tasks: what is done already is only passed on, so it goes anywhere and makes no key heavy."""
+    return np.where(done, mixed(place.view(np.uint64) ^ keys), keys)
+
+
 def _rows(**columns: np.ndarray) -> pa.RecordBatch:
     arrays = [pa.array(v.view(np.int64) if v.dtype == np.uint64 else v) for v in columns.values()]
     return pa.RecordBatch.from_arrays(arrays, list(columns))
@@ -128,7 +133,7 @@ def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             place = salts[row[lo]] << _SALT | _relative(lo, part, shift) << _START | more
             order, again = _local_first((anchor, context), doc, place)
             place = place[order] | (again.astype(np.int64) << _DONE)
-            yield _rows(a=anchor[order], c=context[order], o=doc[order], p=place)
+            yield _rows(a=_dealt(anchor[order], again, place), c=context[order], o=doc[order], p=place)
 
 
 def _relative(lo: np.ndarray, part: pa.RecordBatch, shift: int) -> np.ndarray:
@@ -227,7 +232,7 @@ def _find_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             place = salt << _SALT | (here + base) << _START
             order, again = _local_first((hashes,), np.full(len(here), doc), place)
             place = place[order] | (again.astype(np.int64) << _DONE)
-            yield _rows(a=hashes[order], o=np.full(len(here), doc), p=place)
+            yield _rows(a=_dealt(hashes[order], again, place), o=np.full(len(here), doc), p=place)
 
 
 def _within(counts: np.ndarray) -> np.ndarray:
