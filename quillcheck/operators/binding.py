@@ -52,15 +52,20 @@ def best_unique(pairs: DataFrame, key: str, candidate: str, score: str, least: f
 def grounded(args: DataFrame, records: DataFrame, key: str, record: str, name: str, value: str) -> DataFrame:
     """Per key whether every argument equals an approved value of some record, and of one and the same record.
 
-    ``args`` has key, name, value; ``records`` record, name, value, at most one value a name. Arguments meet records on
-    equal name and value; a record that meets as many as there are grounds them all.
+    ``args`` has key, name, value; ``records`` record, name, value, at most one value a name. Records are cut to each set of
+    names that arguments come in and meet whole argument lists on equality, so that a value of many records makes no pairs.
     """
-    need = args.groupBy(key).agg(F.count("*").alias("n_args"))
-    hits = args.join(records, [name, value])
+    given = args.groupBy(key).agg(F.count("*").alias("n_args"), F.array_sort(F.collect_list(F.struct(F.col(name).alias("n"), F.col(value).alias("v")))).alias("_want"))
+    known = records.where(F.col(name).isNotNull() & F.col(value).isNotNull())
+    hits = args.join(known.select(name, value).distinct(), [name, value])
     loose = hits.select(key, name).distinct().groupBy(key).agg(F.count("*").alias("n_found"))
-    whole = hits.groupBy(key, record).agg(F.countDistinct(name).alias("_n")).groupBy(key).agg(F.max("_n").alias("n_together"))
-    rows = need.join(loose, key, "left").join(whole, key, "left").fillna(0, ["n_found", "n_together"])
-    return rows.select(key, "n_args", (F.col("n_found") == F.col("n_args")).alias("every"), (F.col("n_together") == F.col("n_args")).alias("together"))
+    wholes = known.groupBy(record).agg(F.array_sort(F.collect_list(F.struct(F.col(name).alias("n"), F.col(value).alias("v")))).alias("_has")).select("_has").distinct()
+    wholes = wholes.withColumn("_names", F.col("_has.n"))
+    asked, held = given.select(F.col("_want.n").alias("_ask")).distinct(), wholes.select("_names").distinct()
+    shapes = held.join(asked, F.size(F.array_except("_ask", "_names")) == 0)  # kinds of records by kinds of argument lists
+    cut = wholes.join(shapes, "_names").select(F.filter("_has", lambda x: F.array_contains("_ask", x["n"])).alias("_want")).distinct()
+    rows = given.join(loose, key, "left").join(cut.withColumn("_together", F.lit(True)), "_want", "left").fillna(0, ["n_found"])
+    return rows.select(key, "n_args", (F.col("n_found") == F.col("n_args")).alias("every"), F.coalesce("_together", F.lit(False)).alias("together"))
 
 
 def one_swap(a: Column, b: Column) -> Column:

@@ -20,7 +20,7 @@ def brief_citations(t: Tables) -> DataFrame:
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     s = lambda x: x.cast("string")
     brief = F.concat(F.lit("See A v. B, "), s(c % 900 + 1), F.lit(" F.3d "), s(k % 2000 + 1), F.lit(", 12 (9th Cir. 1999); cf. "), s(c % 50 + 1), F.lit(" U.S. "), s(k % 7 + 1), F.lit("."))
-    found = markup.citations(t.orders.where(k % 10 == 0).select("o_orderkey", brief.alias("brief")), ["o_orderkey"], "brief")
+    found = markup.citations(t.orders.select("o_orderkey", brief.alias("brief")), ["o_orderkey"], "brief")
     known = t.spark.createDataFrame([("F.3d", 1500)], "reporter string, last_page int")
     rows = found.join(F.broadcast(known), "reporter", "left")  # one row
     return rows.select("o_orderkey", "volume", "reporter", "page", outcome(F.col("page") <= F.col("last_page")).alias("outcome"))
@@ -39,7 +39,7 @@ def inline_facts(t: Tables) -> DataFrame:
     html = F.concat(
         F.lit("<html><p>text</p>"), tag("us:Revenue", ' scale="3" decimals="-3"', shown), tag("us:Loss", ' sign="-"', shown), tag("us:Other", "", F.lit("—")), tag("us:Note", "", F.lit("see note"))
     )
-    return markup.numeric_facts(t.orders.where("o_orderkey % 6 = 0").select("o_orderkey", html.alias("html")), ["o_orderkey"], "html")
+    return markup.numeric_facts(t.orders.select("o_orderkey", html.alias("html")), ["o_orderkey"], "html")
 
 
 @query(
@@ -55,7 +55,7 @@ def mailed_bills(t: Tables) -> DataFrame:
         F.lit("\nsmall ring  3 @ "), price, F.lit(" = "), amount, F.lit("\nred widget  2 @ 1,000.25 = 2,000.50\nTotal due: $"),
         F.format_number(F.col("o_totalprice").cast("decimal(18,2)"), 2), F.lit("\nThanks"),
     )
-    rows = markup.bill_fields(t.orders.where("o_orderkey % 8 = 0").select("o_orderkey", mail.alias("mail")), ["o_orderkey"], "mail")
+    rows = markup.bill_fields(t.orders.select("o_orderkey", mail.alias("mail")), ["o_orderkey"], "mail")
     sums = F.aggregate("lines", F.lit(0.0), lambda a, x: a + x["amount"])
     exact = F.forall("lines", lambda x: F.abs(x["quantity"] * x["price"] - x["amount"]) <= 0.01)
     return rows.select("o_orderkey", "number", "po", "total", F.size("lines").alias("n_lines"), sums.alias("lines_sum"), outcome(exact).alias("line_math"))

@@ -150,7 +150,7 @@ def page_facts(t: Tables) -> DataFrame:
 )
 def xml_invoices(t: Tables) -> DataFrame:
     """Invoices written as XML and read back: their lines, and whether the stated net is what they come to."""
-    lines = t.lineitem.where("l_orderkey % 50 = 0").select(F.col("l_orderkey").alias("o"), F.col("l_extendedprice").cast("decimal(18,2)").alias("a"))
+    lines = t.lineitem.select(F.col("l_orderkey").alias("o"), F.col("l_extendedprice").cast("decimal(18,2)").alias("a"))
     body = F.concat_ws("", F.collect_list(F.concat(F.lit("<Line><Amount>"), F.col("a").cast("string"), F.lit("</Amount></Line>"))))
     stated = (F.sum("a") + F.when(F.col("o") % 100 == 0, 0).otherwise(1)).cast("decimal(18,2)").cast("string")
     docs = lines.groupBy("o").agg(F.concat(F.lit("<Invoice><Net>"), stated, F.lit("</Net>"), body, F.lit("</Invoice>")).alias("xml"))

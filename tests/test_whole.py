@@ -1,0 +1,26 @@
+"""Queries that use every row, held against their SQL without the terms that cut it."""
+
+from __future__ import annotations
+
+import pytest
+
+import __spark_entry__  # noqa: F401  registers the queries
+from quillcheck.plans import registry
+
+from .oracle import DATA, connection, rows_of, rows_of_sql
+
+CUTS = {
+    "xml_invoices": " WHERE l_orderkey % 50 = 0",
+    "hold_suspects": "l_orderkey % 25 = 0 AND ",
+    "line_alignment": "WHERE l_orderkey % 20 = 0 ",
+    "brief_citations": " WHERE o_orderkey % 10 = 0",
+    "mailed_bills": " WHERE o_orderkey % 8 = 0",
+    "inline_facts": " WHERE o_orderkey % 6 = 0",
+    "action_grounding": " AND l_orderkey % 3 = 0",
+}
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no tables here")
+@pytest.mark.parametrize("name", CUTS)
+def test_every_row_is_used(spark, name):
+    assert rows_of(registry.QUERIES[name](spark, str(DATA))) == rows_of_sql(connection(), registry.SQL[name].replace(CUTS[name], ""))
