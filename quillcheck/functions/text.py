@@ -49,6 +49,20 @@ def allowed_edits(n: Column) -> Column:
     return F.when(n < 6, 0).when(n < 16, 1).when(n < 32, 2).otherwise(3)
 
 
+def deletions(x: str, most: Column) -> Column:
+    """Hashes of a text after deleting up to ``most`` (at most 3) of its characters, each once."""
+    part = lambda i, j: f"substr({x}, {i} + 1, {j} - {i} - 1)"  # noqa: E731  what stands between places i and j
+    n, h = f"length({x})", "xxhash64"
+    one = f"transform(sequence(1, {n}), i -> {h}(concat({part('0', 'i')}, substr({x}, i + 1))))"
+    two = f"flatten(transform(sequence(1, {n} - 1), i -> transform(sequence(i + 1, {n}), j -> {h}(concat({part('0', 'i')}, {part('i', 'j')}, substr({x}, j + 1))))))"
+    three = (
+        f"flatten(flatten(transform(sequence(1, {n} - 2), i -> transform(sequence(i + 1, {n} - 1), j -> transform(sequence(j + 1, {n}), "
+        f"k -> {h}(concat({part('0', 'i')}, {part('i', 'j')}, {part('j', 'k')}, substr({x}, k + 1))))))))"
+    )
+    levels = [F.when(most >= k, F.expr(e)).otherwise(F.array().cast("array<bigint>")) for k, e in ((1, one), (2, two), (3, three))]
+    return F.array_distinct(F.concat(F.array(F.xxhash64(x)), *levels))
+
+
 def overlap(a: Column | str, b: Column | str) -> Column:
     """Shared words over the smaller set of words; 0 if either has none."""
     x, y = words(a), words(b)
