@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.outcome import words
+
 
 def bind(doc: Column, paths: list[str], kind: str, default: object = None) -> Column:
     """struct(value, status, path) of a VARIANT document: the first path that is there decides.
@@ -49,6 +51,31 @@ def best_unique(pairs: DataFrame, key: str, candidate: str, score: str, least: f
     return top.select(key).join(one.drop("_n"), key, "left")
 
 
+def best_by_words(rows: DataFrame, group: str, key: str, text: str, least: float) -> DataFrame:
+    """Per row of a group that has others the one other row (``evidence``) whose words overlap its own most (shared words
+    over the smaller set), if that reaches ``least`` and no other shares it; else null.
+
+    Rows of equal word sets are counted first, and different sets meet on the words they share, so pairs are of sets.
+    """
+    rows = rows.where(F.col(group).isNotNull()).select(F.col(group).alias("_g"), key, F.array_sort(F.coalesce(words(text), F.array().cast("array<string>"))).alias("_w"))
+    sets = rows.groupBy("_g", "_w").agg(F.count("*").alias("_n"), F.min(key).alias("_lo"), F.max(key).alias("_hi"))
+    by_word = sets.select("_g", "_w", F.explode("_w").alias("_word"))
+    met = by_word.join(by_word.withColumnRenamed("_w", "_x"), ["_g", "_word"]).where("_w != _x").groupBy("_g", "_w", "_x").agg(F.count("*").alias("_shared"))
+    scored = met.select("_g", "_w", "_x", (F.col("_shared") / F.least(F.size("_w"), F.size("_x"))).alias("_s"))
+    of = sets.select("_g", F.col("_w").alias("_x"), F.col("_n").alias("_m"), F.col("_lo").alias("_e"))
+    tied = scored.join(of, ["_g", "_x"]).groupBy("_g", "_w", "_s").agg(F.sum("_m").alias("_m"), F.min("_e").alias("_e"))
+    best = tied.groupBy("_g", "_w").agg(F.max(F.struct("_s", "_m", "_e")).alias("_b"))
+    sizes = sets.groupBy("_g").agg(F.sum("_n").alias("_all")).where("_all > 1")
+    known = rows.join(sets.join(sizes, "_g").join(best, ["_g", "_w"], "left"), ["_g", "_w"])
+    alike = F.when(F.size("_w") > 0, F.col("_n") - 1).otherwise(0)  # others of the same words, which score 1
+    from_others = F.coalesce(F.when(F.col("_b._s") == 1, F.col("_b._m")), F.lit(0))
+    found = (
+        F.when((alike == 1) & (from_others == 0), F.struct(F.when(F.col(key) == F.col("_lo"), F.col("_hi")).otherwise(F.col("_lo")).alias("e"), F.lit(1.0).alias("s")))
+        .when((alike == 0) & (F.col("_b._m") == 1) & (F.col("_b._s") >= least), F.struct(F.col("_b._e").alias("e"), F.col("_b._s").alias("s")))
+    )
+    return known.select(key, found.alias("_f")).select(key, F.col("_f.e").alias("evidence"), F.col("_f.s").alias("score"))
+
+
 def grounded(args: DataFrame, records: DataFrame, key: str, record: str, name: str, value: str) -> DataFrame:
     """Per key whether every argument equals an approved value of some record, and of one and the same record.
 

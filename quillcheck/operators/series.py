@@ -6,24 +6,49 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def flat_value(points: DataFrame, keys: list[str], order: str, value: str, share: float = 0.05) -> DataFrame:
     """Per group the mean over the outermost points while each next one inward stays within a share of the mean so far;
-    null for fewer than three points. ``n_used`` is how many count."""
-    series = points.groupBy(*keys).agg(F.reverse(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v"))))).alias("s"))
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(False).alias("stop"))
-
-    def step(a: Column, p: Column) -> Column:
-        mean = a["sum"] / F.greatest(a["n"], F.lit(1))
-        near = (a["n"] == 0) | (F.abs(p["v"] - mean) <= share * F.abs(mean))
-        use = near & ~a["stop"]
-        return F.struct(
-            (a["sum"] + F.when(use, p["v"]).otherwise(0.0)).alias("sum"), (a["n"] + use.cast("int")).alias("n"), (a["stop"] | ~near).alias("stop")
-        )
-
-    folded = series.select(*keys, F.aggregate("s", start, step).alias("a"))
-    return folded.select(*keys, F.when(F.col("a.n") >= 3, F.col("a.sum") / F.col("a.n")).alias("flat"), F.col("a.n").alias("n_used"))
+    null for fewer than three points. ``n_used`` is how many count. A null value ends the run.
+
+    Points are dealt by group and sorted outermost first, and a task streams them with one group's sum in hand, so that a
+    group may be of any size.
+    """
+    ranked = points.select(*keys, F.col(order).alias("_o"), F.col(value).cast("double").alias("_v")).repartition(*keys)
+    ranked = ranked.sortWithinPartitions(*keys, F.col("_o").desc(), F.col("_v").desc()).select(*keys, "_v")
+    schema = T.StructType([*[ranked.schema[k] for k in keys], T.StructField("flat", T.DoubleType()), T.StructField("n_used", T.IntegerType())])
+
+    def fold(batches):
+        import pyarrow as pa
+
+        made = None  # types of the keys come with the first batch
+
+        def out(done):
+            flat = [s / n if n >= 3 else None for _, s, n in done]
+            columns = [pa.array([key[k] for key, _, _ in done], t) for k, t in enumerate(made)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(flat, pa.float64()), pa.array([n for _, _, n in done], pa.int32())], schema.names)
+
+        here, total, n, stop, done = None, 0.0, 0, False, []
+        for batch in batches:
+            made = made or [batch.column(k).type for k in range(len(keys))]
+            for *key, v in zip(*[c.to_pylist() for c in batch.columns]):
+                if here is None or any(a != b and (a == a or b == b) for a, b in zip(key, here)):
+                    if here is not None:
+                        done.append((here, total, n))
+                    here, total, n, stop = key, 0.0, 0, False
+                if not stop and v is not None and (n == 0 or abs(v - total / n) <= share * abs(total / n)):
+                    total, n = total + v, n + 1
+                else:
+                    stop = True
+            if done:
+                yield out(done)
+                done = []
+        if here is not None:
+            yield out([(here, total, n)])
+
+    return ranked.mapInArrow(fold, schema)
 
 
 def orthogonal_fit(points: DataFrame, key: str, x: str, y: str) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.outcome import FAIL, OPEN, PASS, outcome
-from ..functions.text import overlap
 from ..operators import binding
 from .registry import Tables, query
 
@@ -87,11 +86,9 @@ m AS (SELECT line, max(score) AS top FROM c GROUP BY line), u AS (SELECT c.line,
 SELECT m.line, u.evidence, u.score FROM m LEFT JOIN u ON u.line = m.line AND u.n = 1"""
 )
 def evidence_line(t: Tables) -> DataFrame:
-    """The one part of the brand whose name shares most with each line's; a shared best binds nothing."""
-    lines = t.part.where("p_size = 1").select(F.col("p_partkey").alias("line"), F.col("p_name").alias("x"), "p_brand")
-    others = t.part.where("p_size between 2 and 4").select(F.col("p_partkey").alias("evidence"), F.col("p_name").alias("y"), "p_brand")
-    pairs = lines.join(others, "p_brand").select("line", "evidence", overlap("x", "y").cast("double").alias("score"))
-    return binding.best_unique(pairs, "line", "evidence", "score", 0.25)
+    """The one other part of the brand whose name shares most with each part's; a shared best binds nothing."""
+    rows = t.part.select(F.col("p_partkey").alias("line"), "p_brand", "p_name")
+    return binding.best_by_words(rows, "p_brand", "line", "p_name", 0.25)
 
 
 @query(
