@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 GENESIS = "0" * 64
 
@@ -16,22 +17,36 @@ def entry_hash(seq: Column, prev: Column, payload: Column) -> Column:
 def build_chains(events: DataFrame, chain: str, order: list[str], payload: Column) -> DataFrame:
     """Events with seq (dense from 0), payload_hash, prev_hash and entry_hash per chain.
 
-    Building is a fold, so each chain is built in order by one task; chains are as many as there are users or tenants.
+    Building is a fold, so each chain is built in order by one task: rows are dealt by chain and sorted, and a task streams
+    them with the last chain, hash and seq alone in hand, so that a chain may be of any length.
     """
-    numbered = events.withColumn("seq", F.row_number().over(W.partitionBy(chain).orderBy(*order)) - 1).withColumn("payload_hash", F.sha2(payload, 256))
-    others = [c for c in events.columns if c != chain]
-    links = numbered.groupBy(chain).agg(F.array_sort(F.collect_list(F.struct("seq", "payload_hash", *others))).alias("_e"))
-    fold = F.aggregate(
-        "_e",
-        F.array(F.lit(GENESIS)),
-        lambda hs, e: F.concat(hs, F.array(entry_hash(e["seq"], F.element_at(hs, -1), e["payload_hash"]))),
-    )
-    rows = links.withColumn("_h", fold).select(chain, "_h", F.posexplode("_e").alias("_k", "_x"))
-    return rows.select(
-        chain, *[F.col(f"_x.{c}").alias(c) for c in others], F.col("_x.seq").alias("seq"), F.col("_x.payload_hash").alias("payload_hash"),
-        F.element_at("_h", F.col("_k") + 1).alias("prev_hash"), F.element_at("_h", F.col("_k") + 2).alias("entry_hash"),
+    rows = events.withColumn("payload_hash", F.sha2(payload, 256)).repartition(chain).sortWithinPartitions(chain, *order)
+    schema = T.StructType(
+        [events.schema[chain], *[f for f in events.schema if f.name != chain], T.StructField("seq", T.IntegerType()), T.StructField("payload_hash", T.StringType()),
+         T.StructField("prev_hash", T.StringType()), T.StructField("entry_hash", T.StringType())]
     )
 
+    def link(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        here, seq, head = None, -1, GENESIS
+        for batch in batches:
+            seqs, before, after = [], [], []
+            for key, payload_hash in zip(batch.column(chain).to_pylist(), batch.column("payload_hash").to_pylist()):
+                if seq < 0 or not (key == here or (key != key and here != here)):
+                    here, seq, head = key, -1, GENESIS
+                seq += 1
+                before.append(head)
+                head = hashlib.sha256(":".join(x for x in (str(seq), head, payload_hash) if x is not None).encode()).hexdigest()
+                seqs.append(seq)
+                after.append(head)
+            made = {"seq": pa.array(seqs, pa.int32()), "prev_hash": pa.array(before, pa.string()), "entry_hash": pa.array(after, pa.string())}
+            yield pa.RecordBatch.from_arrays([made[n] if n in made else batch.column(n) for n in schema.names], schema.names)
+
+    return rows.mapInArrow(link, schema)
+
 
 def verify_chains(entries: DataFrame, chain: str, payload: Column | None = None, after: Column | None = None) -> DataFrame:
     """Per chain its length, head, and the first sequence number that breaks it with the reason, if any.
