@@ -50,8 +50,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return spans.agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("_spans"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, texts without repeated windows, with n_lines, n_removed and n_spans.
+RESULTS = ("n_lines", "n_removed", "n_spans")
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", results: tuple[str, str, str] = RESULTS) -> DataFrame:
+    """The rows of ``docs``, texts without repeated windows, with n_lines, n_removed and n_spans (named by ``results``).
 
     A window is three consecutive lines with a word, compared without outer blanks; lines without a word stand in none,
     and go only when they lie inside a removed run. The first occurrence of a window, by id and place, stays; the lines
@@ -61,11 +64,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Documents of fewer than three such lines stay whole, also when equal to another. Null text counts as empty (one
     line, none removed) but stays null. Rows equal in id and text count as one document and get the same result; rows
-    that share only the id are ordered by a hash of the text. A null id comes first. Other columns pass through, unless
-    named like a result. No rows give no rows.
+    that share only the id are ordered by a hash of the text. A null id comes first. Other columns pass through; one that
+    has the name of a result (in any case) is refused with a ValueError, and ``results`` takes other names. No rows give
+    no rows.
     """
+    taken = {c.lower() for c in docs.columns} & {c.lower() for c in results}
+    if taken:
+        raise ValueError(f"columns named like results: {sorted(taken)}")
     spans = repeated_spans(docs, id_col, text_col)
-    whole = F.struct(*[F.col(c) for c in docs.columns])
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(whole.alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text).alias("_hash"))
     same = rows["_id"].eqNullSafe(spans["_id"]) & (rows["_hash"] == spans["_hash"])
@@ -75,13 +82,24 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     taken_out = F.element_at(F.transform(F.array(F.struct(lines.alias("n"), F.col("_spans").alias("s"))), _kept), 1)
     kept = F.when(F.col("_spans").isNull(), F.col(f"_row.`{text_col}`")).otherwise(taken_out)
     removed = F.expr("coalesce(aggregate(_spans, 0L, (a, x) -> a + x.last - x.first + 1), 0L)")
-    results = {
-        "n_lines": F.size(lines).cast("long"),
-        "n_removed": removed,
-        "n_spans": F.coalesce(F.size("_spans"), F.lit(0)).cast("long"),
-    }
-    others = [kept.alias(c) if c == text_col else F.col(f"_row.`{c}`") for c in docs.columns if c not in results]
-    return rows.select(*others, *[v.alias(k) for k, v in results.items()])
+    numbers = (F.size(lines).cast("long"), removed, F.coalesce(F.size("_spans"), F.lit(0)).cast("long"))
+    others = [kept.alias(c) if c == text_col else F.col(f"_row.`{c}`") for c in docs.columns]
+    return rows.select(*others, *[v.alias(k) for k, v in zip(results, numbers)])
+
+
+def deduped_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """The rows of ``docs`` with their own columns, texts as by ``dedup_lines``. ``length_col``, if there, is the new
+    text's length where lines were removed. A document that lost lines and has no word left goes."""
+    columns = docs.columns
+    inner = [f"_c{k}" for k in range(len(columns))]  # so that no column can clash with a result
+    own = dict(zip(columns, inner))
+    rows = dedup_lines(docs.toDF(*inner), own[id_col], own[text_col])
+    kept = rows.where((F.col("n_removed") == 0) | F.col(own[text_col]).rlike(r"[^\x20\x09-\x0D]"))
+    if length_col in own:
+        name, kind = own[length_col], docs.schema[length_col].dataType
+        length = F.when(F.col("n_removed") > 0, F.length(own[text_col])).otherwise(F.col(name))
+        kept = kept.withColumn(name, length.cast(kind))
+    return kept.select(*inner).toDF(*columns)
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -15,6 +15,8 @@ from .components import components
 
 BITS, SEGMENTS = 64, 4
 WIDTH = BITS // SEGMENTS
+#: A key is hot if more than one in HOT rows has it; so there are at most HOT hot keys, whatever the number of rows.
+HOT = 2000
 #: Fingerprints of a bucket that are compared with one another; a larger bucket is split by more of its bits.
 BUCKET = 200
 
@@ -108,12 +110,14 @@ def links(fps: DataFrame, most: int = 3, bucket: int = BUCKET) -> DataFrame:
     than ``bucket`` fingerprints is split again: bits in which all of it agree tell nothing, the others are dealt into
     four parts, and linked fingerprints agree in one part. So no bucket is compared whole, whatever its size, and none
     is cut short. As the fingerprints are distinct, a bucket that large varies in at least 8 bits and every split fixes
-    a quarter of them, so the splitting ends. Only the test whether large buckets are left runs on the driver.
+    a quarter of them, so the splitting ends. The rows of hot buckets stay where they are: those buckets, at most HOT,
+    are sent to the tasks. Only row counts and the test whether large buckets are left come to the driver.
     """
     if most >= SEGMENTS:
         raise ValueError("a difference of as many bits as segments could miss links")
     if bucket < 16:
         raise ValueError("a bucket of fewer than 16 may not vary in enough bits to be split")
+    hot = lambda total: F.col("n") > F.greatest(F.lit(bucket), F.lit(total / HOT))
     starts = [F.struct(F.lit(s).alias("start"), F.expr(f"shiftrightunsigned(fp, {WIDTH * s}) & {(1 << WIDTH) - 1}L").alias("key")) for s in range(SEGMENTS)]
     rows = fps.select("fp", F.explode(F.array(*starts)).alias("_s")).select("fp", "_s.*")
     parts = []
@@ -121,17 +125,21 @@ def links(fps: DataFrame, most: int = 3, bucket: int = BUCKET) -> DataFrame:
         sizes = rows.groupBy("start", "key").agg(
             F.count("*").alias("n"), F.bit_and("fp").alias("every"), F.bit_or("fp").alias("some")
         )
+        total = rows.count()
         sizes = cut(sizes.where("n > 1"))
-        small = rows.join(sizes.where(F.col("n") <= bucket).select("start", "key"), ["start", "key"])
-        small = small.groupBy("start", "key").agg(F.sort_array(F.collect_list("fp")).alias("fps")).select("start", "fps")
-        parts.append(cut(small.mapInArrow(lambda x: _forest(x, most), "a long, b long").distinct()))
-        large = sizes.where(F.col("n") > bucket)
+        small = sizes.where(F.col("n") <= bucket).select("start", "key")
+        varied = "filter(sequence(0, 63), b -> shiftrightunsigned(some & ~every, b) & 1L = 1L)"
+        large = sizes.where(F.col("n") > bucket).select("start", "key", "n", F.expr(varied).alias("_bits"))
+        large = large.select("start", "key", "n", F.array(*[F.expr(_quarter(j)) for j in range(4)]).alias("_masks"))
+        heavy = F.broadcast(large.where(hot(total)).drop("n"))  # at most HOT buckets, each with over 1 / HOT of the rows
+        others = rows.join(heavy.select("start", "key"), ["start", "key"], "left_anti")
+        groups = others.join(small, ["start", "key"]).groupBy("start", "key")
+        groups = groups.agg(F.sort_array(F.collect_list("fp")).alias("fps")).select("start", "fps")
+        parts.append(cut(groups.mapInArrow(lambda x: _forest(x, most), "a long, b long").distinct()))
         if large.isEmpty():
             break
-        varied = "filter(sequence(0, 63), b -> shiftrightunsigned(some & ~every, b) & 1L = 1L)"
-        large = large.select("start", "key", F.expr(varied).alias("_bits"))
-        large = large.select("start", "key", F.array(*[F.expr(_quarter(j)) for j in range(4)]).alias("_masks"))
-        rows = rows.join(large, ["start", "key"]).select("fp", "start", "key", F.posexplode("_masks").alias("_j", "_m"))
+        rows = rows.join(heavy, ["start", "key"]).unionByName(others.join(large.where(~hot(total)).drop("n"), ["start", "key"]))
+        rows = rows.select("fp", "start", "key", F.posexplode("_masks").alias("_j", "_m"))
         rows = cut(rows.select("fp", "start", F.xxhash64("key", "_j", F.col("fp").bitwiseAND(F.col("_m"))).alias("key")))
     out = parts[0]
     for part in parts[1:]:
@@ -151,17 +159,45 @@ def near_duplicates(
     are null. Other columns are ignored. No rows give no rows.
     """
     rows = cut(fingerprints(docs, id_col, text_col, shingle, seed))
-    nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("first")))
+    nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")))
     found = components(links(nodes.select("fp"), most))
-    nodes = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    nodes = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     firsts = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
-    nodes = cut(nodes.join(firsts, "root").select("fp", "component_id"))
+    nodes = cut(nodes.join(firsts, "root").select("fp", "n", "component_id"))
+    heavy = F.broadcast(nodes.where(F.col("n") > total / HOT).select("fp", "component_id"))  # at most HOT fingerprints
+    others = rows.join(heavy, "fp", "left_anti").join(nodes.where(F.col("n") <= total / HOT).drop("n"), "fp")
     shown = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
-    return rows.join(nodes, "fp").select(F.col("id").alias(id_col), shown, "component_id")
+    return rows.join(heavy, "fp").unionByName(others).select(F.col("id").alias(id_col), shown, "component_id")
 
 
-def first_of_each(docs: DataFrame, id_col: str = "doc_id", **more) -> DataFrame:
-    """The documents of ``docs`` less near duplicates: of each component the one with the smallest id, one row."""
-    marked = near_duplicates(docs, id_col, **more).where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    kept = marked.select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_id"]), "left_semi").dropDuplicates([id_col])
+def first_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 3, seed: int = 42
+) -> DataFrame:
+    """One whole row of ``docs`` for each component of near duplicates: that with the smallest id.
+
+    Of rows that share the id (a null id comes after all others) the one with the smallest hash of its text stays, and of
+    rows equal in id and text the one with the smallest hash of all its columns; so rows with null or repeated ids are
+    lost only to a near copy of their text. Rows without words are copies of one another. Columns pass through unchanged,
+    however named. No rows give no rows. Texts are shuffled once, to meet the (id, hash) of the rows that stay; rows equal
+    in both are reduced to one before that.
+    """
+    columns = docs.columns
+    inner = [f"_c{k}" for k in range(len(columns))]  # so that no column can clash with a helper
+    docs = docs.toDF(*inner)
+    own = dict(zip(columns, inner))
+    key = F.struct(F.col(own[id_col]).isNull().alias("none"), F.col(own[id_col]).alias("id"), F.xxhash64(own[text_col]).alias("hash"))
+    rows = cut(fingerprints(docs.select(key.alias("_key"), F.col(own[text_col]).alias("_text")), "_key", "_text", shingle, seed))
+    nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("first")))
+    found = components(links(nodes.select("fp"), most))
+    nodes = nodes.join(found, nodes["fp"] == found["node"], "left").groupBy(F.coalesce("root", "fp").alias("root"))
+    kept = nodes.agg(F.min("first").alias("_k")).select("_k.none", F.col("_k.hash").alias("hash"), F.col("_k.id").alias("id"))
+    flat = lambda x, k: x.select(  # noqa: E731  join keys without null
+        *k, F.col("none").alias("_none"), F.coalesce(F.col("id").cast("string"), F.lit("")).alias("_id"), F.col("hash").alias("_hash")
+    )
+    docs = flat(docs.select("*", key.alias("_key")).select(*inner, "_key.*"), inner)
+    if not rows.groupBy("id").count().where("count > 1").isEmpty():
+        every = F.struct(*inner)
+        docs = docs.groupBy("_none", "_id", "_hash").agg(F.min_by(every, F.xxhash64(F.to_json(every))).alias("_row"))
+        docs = docs.select("_row.*", "_none", "_id", "_hash")
+    return docs.join(flat(kept, []), ["_none", "_id", "_hash"], "left_semi").select(*inner).toDF(*columns)

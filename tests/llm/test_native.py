@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillcheck.llm import hostrules, linededup, mixing
@@ -59,6 +60,17 @@ def test_line_dedup_edges(spark):
     assert linededup.line_report(nameless).count() == docs.count()
 
 
+def test_columns_named_like_results_pass_or_are_refused(spark):
+    rows = [(k, "a\nb\nc\nd", 10 + k, 7, 9, 8) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, N_LINES int, n_removed int, n_spans int")
+    kept = linededup.deduped_documents(docs)
+    assert kept.schema == docs.schema and [tuple(r) for r in kept.collect()] == rows[:1]
+    with pytest.raises(ValueError):
+        linededup.dedup_lines(docs)
+    longer = linededup.deduped_documents(docs.withColumn("text", F.concat("text", F.lit("\n"), "doc_id"))).orderBy("doc_id").collect()
+    assert [(r.text, r.n_chars) for r in longer] == [("a\nb\nc\nd\n0", 10), ("1", 1), ("2", 1)]
+
+
 def test_statistics_and_hosts(spark):
     values = texts()
     rows = {r.doc_id: r for r in hostrules.host_quality(documents(spark, values)).collect()}

@@ -75,3 +75,31 @@ def test_edges(spark):
     assert simhash.first_of_each(docs).columns == docs.columns
     nameless = documents(spark, ["a b", "a b", None]).withColumn("doc_id", F.lit(None).cast("long"))
     assert simhash.near_duplicates(nameless).count() == 3
+
+
+def test_one_row_of_each_group_stays(spark):
+    one, two, three = "a b c d e f", "g h i j k l", "m n o p q r"
+    rows = [(None, one, 1), (None, two, 2), (None, None, 3), (7, two, 4), (7, three, 5), (8, three, 6), (9, three, 7), (9, three, 7), (9, one, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp int").withColumnRenamed("fp", "_id")
+    want = {(7, two, 4), (7, three, 5), (9, one, 8), (None, None, 3)}
+    for parts in (1, 4):
+        got = [tuple(r) for r in simhash.first_of_each(docs.repartition(parts)).collect()]
+        assert len(got) == 4 and set(got) == want
+    for text in (one, None):
+        same = spark.createDataFrame([(k, text, v) for k in (1, None) for v in (3, 2, 2)], docs.schema)
+        assert [tuple(r) for r in simhash.first_of_each(same).collect()][0][:2] == (1, text)
+        assert simhash.first_of_each(same).count() == 1
+        assert simhash.first_of_each(same.where("doc_id is null")).count() == 1
+    assert simhash.first_of_each(docs.where("false")).count() == 0
+
+
+def test_hot_buckets_and_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", 3)  # most of what repeats is hot
+    values = texts() + [None] * 40 + ["a b c d"] * 30
+    fps = [brute_fingerprint(v or "") for v in values]
+    rows = {r.doc_id: r.component_id for r in simhash.near_duplicates(documents(spark, values)).collect()}
+    assert [rows[k] for k in range(len(values))] == brute_components(fps)
+    rng = random.Random(8)
+    near = sorted({sum(1 << b for b in rng.sample(range(12), rng.randint(0, 5))) for _ in range(600)})
+    found = components(simhash.links(spark.createDataFrame([(x,) for x in near], "fp long"), bucket=16)).collect()
+    assert [{r.node: r.root for r in found}.get(x, x) for x in near] == [near[k] for k in brute_components(near)]
