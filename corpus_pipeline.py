@@ -23,14 +23,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less later occurrences of three-line windows; n_chars follows the text. One of which nothing with a
     word stays goes."""
-    rows = linededup.dedup_lines(docs)
-    changed = rows.where(r"n_removed = 0 or text rlike '[^\\x20\\x09-\\x0D]'")
-    length = "if(n_removed > 0, cast(length(text) as bigint), n_chars)"
-    return changed.selectExpr(*[f"{length} as n_chars" if c == "n_chars" else f"`{c}`" for c in docs.columns])
+    return linededup.deduped_documents(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked fingerprints."""
+    """The document with the smallest id of each group of linked fingerprints; rows with null or repeated ids are told
+    apart by their texts."""
     return simhash.first_of_each(docs)
 
 
@@ -56,11 +54,23 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a finished stage's folder, by Hadoop's own client so that any supported store works."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table of documents; each stage's rows are stored in the shared checkpoint folder."""
+    """All stages over the table of documents; each stage's rows are stored in the shared checkpoint folder, until the next
+    one's are."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{checkpoint_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    before = None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        path = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            drop(spark, before)
+        before = path
     return docs
