@@ -8,21 +8,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "quillcheck", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with UTC times and adaptive execution; conf keys use ``__`` for dots."""
+    """A session with UTC times and adaptive execution; conf keys use ``__`` for dots. Checkpoints that nothing refers to
+    any more are deleted."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    defaults = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true"}
+    defaults = {
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.adaptive.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    }
     for key, value in (defaults | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set (single-machine tests)."""
+    """The cluster's checkpoint folder; a temporary one where none is set and all runs on one machine. On a cluster an
+    unset folder is an error, as executors share no local one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
