@@ -9,8 +9,8 @@ from ..session import cut
 
 BLANK = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-#: Parts that a host's documents are dealt into.
-SALTS = 32
+#: A host is hot if it has over one in HOT documents; so there are at most HOT hot hosts, whatever the corpus.
+HOT = 2000
 
 #: A rule is true where a document fails it. Sizes are of the whole text.
 RULES: dict[str, str] = {
@@ -59,26 +59,30 @@ def text_statistics(docs: DataFrame, keep: list[str], text_col: str = "text") ->
     return rows.withColumn("n_lines", n).withColumn("n_dup_lines", n - distinct).drop("_lines")
 
 
-def host_rates(failures: DataFrame, host: str, rules: list[str]) -> DataFrame:
-    """Per host its shrunk failure rate of each rule, shrunk_<rule>.
+def host_rates(failures: DataFrame, host: str, rules: list[str], spread: float = 2.0) -> DataFrame:
+    """Per host its shrunk failure rate of each rule, shrunk_<rule>, and host_failed.
 
     ``failures`` has one row per host: n, and the failures of each rule. For each rule a beta prior is fitted to all
     hosts by moments: mean m = failures / documents, variance v of the hosts' rates about m weighted by n, less what
     binomial noise explains, strength s = m (1 - m) / v - 1 held between 1 and 1000000. A host's rate is
-    (failures + m s) / (n + s), so a host of few documents says little. Two numbers a rule come to the driver.
+    (failures + m s) / (n + s), so a host of few documents says little. A host fails if for some rule that rate is over
+    m + ``spread`` standard deviations of the prior, sqrt(m (1 - m) / (s + 1)): it is worse than hosts of this corpus
+    are. Where hosts differ by no more than chance the prior is narrow and strong, and only many documents make a host
+    fail. Two numbers a rule come to the driver.
     """
     total = failures.agg(F.sum("n").alias("n"), F.count("*").alias("hosts"), *[F.sum(r).alias(r) for r in rules]).first()
     n, hosts = float(total.n or 1), total.hosts
     mean = {r: (total[r] or 0) / n for r in rules}
     off = [F.sum(F.col("n") * F.pow(F.col(r) / F.col("n") - F.lit(mean[r]), F.lit(2))).alias(r) for r in rules]
-    spread = failures.agg(*off).first()
-    out = failures
+    apart = failures.agg(*off).first()
+    out, failed = failures, F.lit(False)
     for r in rules:
         m = mean[r]
-        v = ((spread[r] or 0.0) - (hosts - 1) * m * (1 - m)) / n
+        v = ((apart[r] or 0.0) - (hosts - 1) * m * (1 - m)) / n
         s = min(max(m * (1 - m) / v - 1, 1.0), 1e6) if v > 0 else 1e6
         out = out.withColumn(f"shrunk_{r}", (F.col(r) + F.lit(m * s)) / (F.col("n") + F.lit(s)))
-    return out.select(host, "n", *rules, *[f"shrunk_{r}" for r in rules])
+        failed = failed | (F.col(f"shrunk_{r}") > m + spread * (m * (1 - m) / (s + 1)) ** 0.5)
+    return out.select(host, "n", *rules, *[f"shrunk_{r}" for r in rules], failed.alias("host_failed"))
 
 
 def host_quality(
@@ -86,16 +90,17 @@ def host_quality(
     id_col: str = "doc_id",
     text_col: str = "text",
     host_col: str = "source",
-    most: float = 0.5,
+    spread: float = 2.0,
     rules: dict[str, str] = RULES,
     base: tuple[str, ...] = BASE,
 ) -> DataFrame:
     """Per row: the id, its text statistics, base_failed, host_failed and kept.
 
-    A host fails if its shrunk failure rate of any rule is over ``most``; a document is kept if it fails no ``base`` rule
-    itself and its host does not fail. The statistics (some numbers a document, no text) are stored once, as they are
-    aggregated by host and joined back. One host may hold most rows: its failures are summed before the shuffle, and in
-    the join back every host's verdict stands SALTS times, so that its documents are dealt over as many tasks.
+    A host fails if its shrunk failure rate of any rule is over the mean of all by ``spread`` standard deviations of the
+    prior (see ``host_rates``); a document is kept if it fails no ``base`` rule itself and its host does not fail. The
+    statistics (some numbers a document, no text) are stored once, as they are aggregated by host and joined back. One
+    host may hold most rows: its failures are summed before the shuffle, and in the join back hot hosts (at most HOT)
+    are sent to the documents, which are not shuffled.
 
     Null text counts as empty and fails as short. Documents with a null host share one. Repeated rows count as rows of
     their own. No rows give no rows. Other columns are ignored.
@@ -105,11 +110,12 @@ def host_quality(
     key = F.when(F.col("_host").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("_host").cast("string")))
     stats = stats.withColumn("_host", key)
     counts = [F.count("*").alias("n"), *[F.sum(F.expr(f"bigint({e})")).alias(r) for r, e in rules.items()]]
-    rates = host_rates(cut(stats.groupBy("_host").agg(*counts)), "_host", list(rules))
-    failed = F.greatest(*[F.col(f"shrunk_{r}") for r in rules], F.lit(0.0)) > most
-    verdicts = rates.select("_host", failed.alias("host_failed"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    salt = F.pmod(F.xxhash64(F.col("_id").cast("string"), "word_chars"), F.lit(SALTS)).cast("int")
-    stats = stats.withColumn("_salt", salt).join(verdicts, ["_host", "_salt"])
+    failures = cut(stats.groupBy("_host").agg(*counts))
+    verdicts = host_rates(failures, "_host", list(rules), spread).select("_host", "n", "host_failed")
+    most = (failures.agg(F.sum("n")).first()[0] or 0) / HOT
+    hot = F.broadcast(verdicts.where(F.col("n") > most).drop("n"))
+    cold = stats.join(hot, "_host", "left_anti").join(verdicts.where(F.col("n") <= most).drop("n"), "_host")
+    stats = stats.join(hot, "_host").unionByName(cold)
     base_failed = F.expr(" OR ".join(f"({rules[r]})" for r in base) or "false")
     stats = stats.withColumn("base_failed", base_failed)
     kept = ~F.col("base_failed") & ~F.col("host_failed")
@@ -117,8 +123,8 @@ def host_quality(
     return stats.select(F.col("_id").alias(id_col), *numbers, "base_failed", "host_failed", kept.alias("kept"))
 
 
-_SHRUNK = " OR ".join(
-    f"""(f.{r} + {m} * {s}) / (f.n + {s}) > 0.5"""
+_FAILED = " OR ".join(
+    f"(f.{r} + {m} * {s}) / (f.n + {s}) > {m} + 2 * sqrt({m} * (1 - {m}) / ({s} + 1))"
     for r in RULES
     for m in [f"(p.f_{r} / p.n)"]
     for v in [f"((p.v_{r} - (p.hosts - 1) * {m} * (1 - {m})) / p.n)"]
@@ -144,7 +150,7 @@ t AS (SELECT sum(n) AS n, count(*)::DOUBLE AS hosts, {", ".join(f"sum({r}) AS f_
 p AS (
   SELECT t.*, {", ".join(f"v.v_{r}" for r in RULES)} FROM t,
     (SELECT {", ".join(f"sum(f.n * pow(f.{r} / f.n - t.f_{r} / t.n, 2)) AS v_{r}" for r in RULES)} FROM f, t) v),
-h AS (SELECT f.host, {_SHRUNK} AS host_failed FROM f, p),
+h AS (SELECT f.host, {_FAILED} AS host_failed FROM f, p),
 b AS (SELECT s.*, ({RULES["short"]}) OR ({RULES["repeated"]}) AS base_failed, h.host_failed FROM s JOIN h USING (host))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_failed,
        NOT base_failed AND NOT host_failed AS kept
