@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -45,25 +46,20 @@ class Codec:
     """Encoder and decoder of one worker process. Ids are handled as text, decimal numbers joined by one blank."""
 
     def __init__(self, path: str, pattern: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         ranks = read_ranks(path)
+        self.number = {rank: str(rank) for rank in ranks.values()}.__getitem__
         self.bytes_of = {b"%d" % rank: token for token, rank in ranks.items()}
         self.tokenizer = build_tokenizer(ranks, pattern)
-        self.model = self.tokenizer.model
-        self.memo = segments.Memo(self._pieces)
-
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        return [b" ".join([b"%d" % x.id for x in self.model.tokenize(segments.shown(p))]) for p in pieces]
-
-    def _whole(self, text: str) -> bytes:
-        found = self.tokenizer.encode_batch_fast(segments.spans(text), add_special_tokens=False)
-        return b" ".join([b"%d" % i for x in found for i in x.ids])
+        self.cut = segments.may_be_cut(self.tokenizer.to_str())
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        cuts = [segments.words(x) for x in texts]
-        self.memo.learn(cuts)
-        look = self.memo.__getitem__
-        return [self._whole(x) if cut is None else b" ".join(map(look, cut)) for x, cut in zip(texts, cuts)]
+        """The ids of each text, by the library over batches balanced by bytes; long texts are cut where no token crosses."""
+        out: list[list[str]] = [[] for _ in texts]
+        for places, parts in segments.batches(texts, self.cut):
+            for place, found in zip(places, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)):
+                out[place].extend(map(self.number, found.ids))
+        return [" ".join(x).encode() for x in out]
 
     def spans(self, text: str) -> tuple[list[int], list[int], list[int]]:
         """Ids of one text with the characters each touches, [start, end); a token inside a character spans it whole."""

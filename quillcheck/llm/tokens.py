@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,26 +18,20 @@ class Counter:
     """Token counts by one tokenizer file, in one worker process."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo = segments.Memo(self._lengths)
-
-    def _lengths(self, pieces: list[str]) -> list[int]:
-        return [len(self.model.tokenize(segments.shown(x))) for x in pieces]
-
-    def _whole(self, text: str) -> int:
-        """By the library's own reading, part by part."""
-        found = self.tokenizer.encode_batch_fast(segments.spans(text), add_special_tokens=False)
-        return sum(len(x.ids) for x in found)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.cut = segments.may_be_cut(self.tokenizer.to_str())
 
     def counts(self, texts: list[str]) -> list[int]:
-        cuts = [None if any(a in x for a in self.added) else segments.words(x) for x in texts]
-        self.memo.learn(cuts)
-        look = self.memo.__getitem__
-        return [self._whole(x) if cut is None else sum(map(look, cut)) for x, cut in zip(texts, cuts)]
+        out = [0] * len(texts)
+        for places, parts in segments.batches(texts, self.cut):
+            for place, found in zip(places, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)):
+                out[place] += len(found)
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -49,11 +44,12 @@ def count_tokens(
 ) -> DataFrame:
     """One row per row of ``docs``: the id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
-    ``tokenizer_path`` names a byte-level BPE file of the tokenizers library, which every executor must be able to read.
-    Texts are handled in batches balanced by bytes and cut where no token crosses; the library encodes the distinct
-    pieces of a batch, and only lengths come back. Texts with characters outside the common repertoire or with an added
-    token's string are given to the library as they are, long ones in parts cut at safe boundaries. Null text counts as
-    empty (0 bytes, 0 tokens); other columns are ignored; repeated rows give repeated results; no rows give no rows.
+    ``tokenizer_path`` names a file of the tokenizers library, which every executor must be able to read. The library
+    encodes batches balanced by bytes, and only lengths come back. A long text is cut where no token crosses and its parts
+    are counted one by one, if the file's settings are those that the cuts are safe for; else it is encoded whole. No
+    special tokens are added, and special strings inside texts are handled as the library does by default. Null text
+    counts as empty (0 bytes, 0 tokens); other columns are ignored; repeated rows give repeated results; no rows give no
+    rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,11 +35,29 @@ def test_counts_are_the_library_s(spark):
     assert tokens.count_tokens(empty(spark), JSON).count() == 0
 
 
-def test_a_full_memo_starts_anew(monkeypatch):
-    counter = tokens.Counter(JSON)
-    counter.memo.limit, counter.memo.batch = 200, 100
-    values = [v or "" for v in texts()] * 2
-    assert [counter.counts([v])[0] for v in values] == tokens.counter(JSON).counts(values)
+def test_only_known_settings_are_cut(monkeypatch):
+    own = Tokenizer.from_file(JSON)
+    assert segments.may_be_cut(own.to_str()) and segments.PATTERN == P.PATTERN
+    assert segments.may_be_cut(bpe.codec(RANKS, P.PATTERN).tokenizer.to_str())
+    assert not segments.may_be_cut(bpe.build_tokenizer(bpe.read_ranks(RANKS), P.PATTERN + "|x").to_str())
+    own.add_special_tokens(["two words"])
+    assert not segments.may_be_cut(own.to_str())
+    for name in ("word_bpe_49k.json",):
+        other, counter = Tokenizer.from_file(P.path(name)), tokens.Counter(P.path(name))
+        other.no_truncation()
+        values = [v or "" for v in texts()] + odd_texts()[:300] + ["word " * 30_000]
+        assert counter.counts(values) == [len(other.encode(v, add_special_tokens=False).ids) for v in values]
+
+
+def test_batches_are_balanced_by_bytes():
+    values = ["é" * 50] * 100 + ["word " * 200_000, "", "x"]
+    found = list(segments.batches(values, True, 1000))
+    joined = [""] * len(values)
+    for places, parts in found:
+        assert sum(len(x.encode()) + 64 for x in parts[:-1]) < 1000
+        for place, part in zip(places, parts):
+            joined[place] += part
+    assert joined == values
 
 
 def test_spans_join_to_the_text():
