@@ -41,3 +41,12 @@ def flat(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.frombuffer(offsets, kind)[text.offset : text.offset + len(text) + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def flat_binary(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """As ``flat``, of binary values without null."""
+    kind = np.int64 if pa.types.is_large_binary(values.type) else np.int32
+    _, offsets, data = values.buffers()
+    offsets = np.frombuffer(offsets, kind)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]

@@ -1,18 +1,19 @@
-"""Removal of byte strings that stand earlier in the corpus, by longest previous factors of the suffixes that matter.
+"""Removal of byte strings that stand earlier in the corpus, by longest previous factors.
 
 A byte goes if a string of LENGTH bytes over it also starts earlier, that is, if the longest previous factor (LPF) of
 that start is LENGTH or more. A suffix array of a whole corpus does not fit any machine, and LPF need not be known beyond
-LENGTH, so suffixes are ordered in pieces: every start belongs to an anchor, the GRAM bytes with the smallest hash among
-the WINDOW grams inside its string. Equal strings have equal anchors at equal places, so a start's previous factor is
-among the starts of equal anchors, and an anchor that stands once in the corpus settles all of its starts at once.
+LENGTH, so suffixes are ordered in bounded groups. Every start belongs to an anchor, the GRAM bytes with the smallest hash
+among the WINDOW grams inside its string. Equal strings have equal anchors at equal places, so a start's previous factor
+is among the starts of equal anchors, and an anchor that stands once in the corpus settles all of its starts at once.
 
 1. Per text: the anchors, each with its run of starts and a hash of all bytes of those starts' strings (its context).
-2. Anchors in the order of (anchor, context, position): where the context equals the one before, all starts of the run
-   have a smaller position with a match of LENGTH before them in suffix order. Where an anchor has several contexts, the
-   first of each stays open.
-3. Only open runs are looked at start by start: the suffixes, cut at LENGTH bytes and ordered by a hash of them and then by
-   position, have an LPF of LENGTH exactly where the one before is equal.
-4. The covered bytes are merged per text.
+2. Anchors in the order of (anchor, context, position): a run whose context equals the one before repeats as a whole. Of
+   an anchor with several contexts the first run of each stays open.
+3. The bytes of open runs meet by anchor. The starts of whole groups are put in suffix order; inside a stretch of
+   suffixes that share LENGTH bytes the previous and the next smaller position in that order give the earlier matches.
+4. A group too large for that is taken apart: its strings are dealt by their hash, sorted by their bytes and position, and
+   each has the previous smaller position right before it.
+5. The covered bytes are merged per text.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import chunks, flat
+from .arrow import chunks, flat, flat_binary
 from .wordhash import _BACK, _BASE, BYTES, mixed, powers
 
 LENGTH, GRAM = 100, 48
@@ -35,8 +36,13 @@ WINDOW = LENGTH - GRAM + 1
 BLOCK = 4 << 20
 _PLACE = np.uint64((1 << 24) - 1)  # room for a place in a block beside the hash, for the smallest of both
 
-# A position is one long: done (1 bit) | salt (18) | first start (32) | starts less 1 (7).
-_START, _SALT, _DONE = 7, 39, 62
+#: Starts of which the suffixes are ordered at once, and bytes of runs of one anchor from which on it is taken apart.
+STARTS, GROUP_BYTES = 100_000, 8 << 20
+#: An anchor with HOT_CONTEXTS or more contexts in a sample of one in HOT_SHARE rows is hot; at most HOT are so named.
+HOT, HOT_SHARE, HOT_CONTEXTS = 4096, 64, 16
+
+# A position is one long: done (1 bit) | hot (1) | unused (4) | salt (18) | first start (32) | starts less 1 (7).
+_START, _SALT, _HOT, _DONE = 7, 39, 61, 62
 _MORE = (1 << _START) - 1
 #: Stands for a null id, before all others.
 _NULL_ID = -(2**63)
@@ -50,6 +56,10 @@ def _block_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums, down
 
 
+def _grams(sums: np.ndarray, down: np.ndarray) -> np.ndarray:
+    return mixed((sums[GRAM:] - sums[:-GRAM]) * down[: len(sums) - GRAM])
+
+
 def _smallest(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every ``width`` values in a row."""
     n = len(values) - width + 1
@@ -70,7 +80,7 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     if n < LENGTH:
         return none, none, *[np.zeros(0, np.int64)] * 2
     sums, down = _block_sums(data)
-    grams = mixed((sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1])
+    grams = _grams(sums, down)
     place = np.arange(n - GRAM + 1, dtype=np.uint64)
     best = (_smallest((grams & ~_PLACE) | place, WINDOW) & _PLACE).astype(np.int64)
     start = np.arange(n - LENGTH + 1)
@@ -123,17 +133,35 @@ def _rows(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, list(columns))
 
 
-def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _find_anchors(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """All anchors with their runs. Those of ``hot`` are dealt by their contexts too, as no task should have all of one."""
     for part in chunks(batches, "text"):
         docs = part.column("o").to_numpy(zero_copy_only=False)
         salts = part.column("salt").to_numpy(zero_copy_only=False)
         for data, ends, row, shift in _blocks(part):
             anchor, context, lo, more = anchors(data, ends)
             doc = docs[row[lo]]
-            place = salts[row[lo]] << _SALT | _relative(lo, part, shift) << _START | more
+            is_hot = np.isin(anchor, hot)
+            place = salts[row[lo]] << _SALT | _relative(lo, part, shift) << _START | more | is_hot.astype(np.int64) << _HOT
             order, again = _local_first((anchor, context), doc, place)
             place = place[order] | (again.astype(np.int64) << _DONE)
-            yield _rows(a=_dealt(anchor[order], again, place), c=context[order], o=doc[order], p=place)
+            key = np.where(is_hot, mixed(anchor ^ mixed(context)), anchor)[order]
+            yield _rows(a=_dealt(key, again, place), c=context[order], o=doc[order], p=place)
+
+
+def hot_anchors(rows: DataFrame) -> np.ndarray:
+    """Anchors that meet many contexts, from a sample of the rows. They only say which runs are dealt by more than their
+    anchor: results are the same whatever they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, "text"):
+            for data, ends, _, _ in _blocks(part):
+                anchor, context, _, _ = anchors(data, ends)
+                yield _rows(a=anchor, c=context)
+
+    found = rows.sample(1 / HOT_SHARE, seed=5).mapInArrow(run, "a long, c long").distinct().groupBy("a").count()
+    found = found.where(F.col("count") >= HOT_CONTEXTS).orderBy(F.desc("count"), "a").limit(HOT).collect()
+    return np.array(sorted(r.a for r in found), np.int64).view(np.uint64)
 
 
 def _relative(lo: np.ndarray, part: pa.RecordBatch, shift: int) -> np.ndarray:
@@ -144,44 +172,46 @@ def _relative(lo: np.ndarray, part: pa.RecordBatch, shift: int) -> np.ndarray:
     return lo - offsets[np.searchsorted(offsets, lo, "right") - 1]
 
 
-def _settle(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    """From rows in the order of keys and position: those done (an equal one stands before), and the open ones, which are
-    the first of a context of an anchor with several. Keeps one row between batches, however large a group is."""
-    held = None  # keys of the last row, its group's first position, its anchor's first open row, whether it has several
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows in the order of anchor, context and position: those done (one of equal context stands before), and the
+    open ones, which are the first of a context of an anchor with several, or of a hot one. Keeps one row between batches,
+    however large a group is."""
+    held = None  # keys of the last row, its context's first position, its anchor's first open row, whether it has several
     for batch in batches:
         done = batch.column("p").to_numpy(zero_copy_only=False) >> _DONE & 1 == 1
         all_o, all_p = (batch.column(c).to_numpy(zero_copy_only=False) for c in "op")
         if done.any():
             yield _rows(o=all_o[done], p=all_p[done])
-        values = [batch.column(k).to_numpy(zero_copy_only=False)[~done] for k in keys]
+        anchor, context = (batch.column(k).to_numpy(zero_copy_only=False)[~done] for k in "ac")
         o, p = all_o[~done], all_p[~done]
         n = len(o)
         if not n:
             continue
-        new_key, new_anchor = np.ones(n, bool), np.ones(n, bool)
-        new_anchor[1:] = values[0][1:] != values[0][:-1]
-        new_key[1:] = np.any([v[1:] != v[:-1] for v in values], axis=0)
+        new_anchor = np.ones(n, bool)
+        new_anchor[1:] = anchor[1:] != anchor[:-1]
+        new_context = np.ones(n, bool)
+        new_context[1:] = new_anchor[1:] | (context[1:] != context[:-1])
         if held:
-            new_anchor[0] = values[0][0] != held["keys"][0]
-            new_key[0] = tuple(v[0] for v in values) != held["keys"]
-        lead = np.maximum.accumulate(np.where(new_key, np.arange(n), -1))
+            new_anchor[0] = anchor[0] != held["keys"][0]
+            new_context[0] = (anchor[0], context[0]) != held["keys"]
+        lead = np.maximum.accumulate(np.where(new_context, np.arange(n), -1))
         lead_o = np.where(lead >= 0, o[lead], held["first"][0] if held else 0)
         lead_p = np.where(lead >= 0, p[lead], held["first"][1] if held else 0)
-        again = ~new_key & ((o != lead_o) | (p != lead_p))
+        again = ~new_context & ((o != lead_o) | (p != lead_p))
         if again.any():
             yield _rows(o=o[again], p=p[again] | np.int64(1 << _DONE))
         group = np.cumsum(new_anchor)  # 0: that of the held row
-        contexts = np.bincount(group, weights=new_key, minlength=group[-1] + 1)
-        carried = bool(held) and group[0] == 0
+        contexts = np.bincount(group, weights=new_context, minlength=group[-1] + 1)
         several = contexts > 1
+        several[group[p >> _HOT & 1 == 1]] = True
+        carried = bool(held) and group[0] == 0
         if carried:
             several[0] = held["several"] or contexts[0] > 0
             if several[0] and not held["several"]:
                 yield _rows(o=np.array([held["open"][0]]), p=np.array([held["open"][1]]))
-        if len(keys) > 1:
-            open_ = new_key & several[group]
-            if open_.any():
-                yield _rows(o=o[open_], p=p[open_])
+        open_ = new_context & several[group]
+        if open_.any():
+            yield _rows(o=o[open_], p=p[open_])
         last = group[-1]
         if carried and last == 0:
             first_open = held["open"]
@@ -189,7 +219,7 @@ def _settle(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
             k = int(np.flatnonzero(group == last)[0])
             first_open = (int(o[k]), int(p[k]))
         held = {
-            "keys": tuple(v[-1] for v in values),
+            "keys": (anchor[-1], context[-1]),
             "first": (int(lead_o[-1]), int(lead_p[-1])),
             "open": first_open,
             "several": bool(several[last]),
@@ -212,33 +242,208 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatc
             yield part, k, press.decompress(z.as_buffer())
 
 
-def _find_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The starts of open runs, each with the hash of its string."""
+def _within(counts: np.ndarray) -> np.ndarray:
+    """0 .. c - 1 for each count, one after another."""
+    if not len(counts):
+        return np.zeros(0, np.int64)
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1]) - np.repeat(ends - counts, counts)
+
+
+def _binary(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The bytes [start, start + size) of ``data`` as one value each."""
+    joined = data[np.repeat(start, size) + _within(size)].tobytes()
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(joined)])
+
+
+def _windows(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The LENGTH bytes from each start as one value that compares by bytes: all are as long, so no end is ambiguous."""
+    if not len(start):
+        return np.zeros(0, f"S{LENGTH}")
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, LENGTH)[start]).view(f"S{LENGTH}").ravel()
+
+
+def _string_rows(o: np.ndarray, p: np.ndarray, data: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+    """Rows of single strings, dealt by their hash. Of equal ones the first goes on; the others are done."""
+    sums, down = _block_sums(data)
+    hashes = mixed((sums[start + LENGTH] - sums[start]) * down[start])
+    values = _windows(data, start)
+    order = np.lexsort((p & ~np.int64(_MORE), o, hashes))
+    hashes, values, o, p, start = hashes[order], values[order], o[order], p[order], start[order]
+    new = np.ones(len(o), bool)
+    new[1:] = values[1:] != values[:-1]
+    lead = np.maximum.accumulate(np.where(new, np.arange(len(o)), 0))
+    again = (o != o[lead]) | (p != p[lead])
+    p = p | (again.astype(np.int64) << _DONE)
+    key = _dealt(hashes, again, p).view(np.int64)
+    w = _binary(data, start, np.where(again, 0, LENGTH))
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(o), pa.array(p), w], ["a", "o", "p", "w"])
+
+
+def _find_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Open runs with their anchor and bytes; those of hot anchors string by string."""
+    held, size = [], 0  # strings of hot anchors of some texts, so that what these share is sent on once
     for part, k, text in _unpacked(batches):
         runs = part.column("runs")[k].values.to_numpy(zero_copy_only=False)
         runs = runs[runs >> _DONE & 1 == 0]
         if not len(runs):
             continue
         data = np.frombuffer(text, np.uint8)
+        doc = part.column("o")[k].as_py()
+        runs = runs[np.argsort(runs >> _START & 0xFFFFFFFF, kind="stable")]
         lo, more = runs >> _START & 0xFFFFFFFF, runs & _MORE
-        start = np.unique(np.repeat(lo, more + 1) + _within(more + 1))
-        doc, salt = part.column("o")[k].as_py(), part.column("salt")[k].as_py()
         for base in range(0, len(data), BLOCK):
-            here = start[(start >= base) & (start < base + BLOCK)] - base
-            if not len(here):
-                continue
-            sums, down = _block_sums(data[base : base + BLOCK + LENGTH])
-            hashes = mixed((sums[here + LENGTH] - sums[here]) * down[here])
-            place = salt << _SALT | (here + base) << _START
-            order, again = _local_first((hashes,), np.full(len(here), doc), place)
-            place = place[order] | (again.astype(np.int64) << _DONE)
-            yield _rows(a=_dealt(hashes[order], again, place), o=np.full(len(here), doc), p=place)
-
-
-def _within(counts: np.ndarray) -> np.ndarray:
-    """0 .. c - 1 for each count, one after another."""
-    ends = np.cumsum(counts)
-    return np.arange(ends[-1]) - np.repeat(ends - counts, counts)
+            here = (lo >= base) & (lo < base + BLOCK)
+            cold, hot = here & (runs >> _HOT & 1 == 0), here & (runs >> _HOT & 1 == 1)
+            block = data[base : base + BLOCK + LENGTH + WINDOW]
+            if cold.any():
+                grams = _grams(*_block_sums(block))
+                inside = (lo[cold] - base)[:, None] + np.arange(WINDOW)
+                best = np.argmin(grams[inside] & ~_PLACE, axis=1)
+                anchor = grams[inside[np.arange(len(best)), best]].view(np.int64)
+                w = _binary(block, lo[cold] - base, more[cold] + LENGTH)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(np.full(len(best), doc)), pa.array(runs[cold]), w], ["a", "o", "p", "w"])
+            if hot.any():
+                start = np.repeat(lo[hot], more[hot] + 1) + _within(more[hot] + 1)
+                p = (runs[hot][0] & (_OWNER | 1 << _HOT)) | start << _START
+                held.append((np.full(len(start), doc), p, block, start - base))
+                size += len(block) + 100 * len(start)
+                if size > GROUP_BYTES:
+                    yield _joined_strings(held)
+                    held, size = [], 0
+    if held:
+        yield _joined_strings(held)
+
+
+def _joined_strings(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    shifts = np.cumsum([0, *[len(x[2]) for x in held]])
+    start = np.concatenate([x[3] + s for x, s in zip(held, shifts)])
+    return _string_rows(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held]), start)
+
+
+def smaller_neighbours(position: list[int], joined: list[bool]) -> tuple[list[int], list[int]]:
+    """Of suffixes in suffix order: the place of the previous and of the next smaller position inside each one's stretch,
+    -1 for none. ``joined`` says of each suffix whether it shares LENGTH bytes with the one before. One pass with a stack
+    of positions that rise."""
+    before, after, stack = [-1] * len(position), [-1] * len(position), []
+    for i, x in enumerate(position):
+        if not joined[i]:
+            stack = []
+        while stack and position[stack[-1]] > x:
+            after[stack.pop()] = i
+        if stack:
+            before[i] = stack[-1]
+        stack.append(i)
+    return before, after
+
+
+def repeated_starts(o: np.ndarray, p: np.ndarray, data: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Positions (one long each) of the runs of starts whose LPF among these runs is LENGTH or more.
+
+    ``begin`` is where a run's bytes lie in ``data``. Starts are ordered by their suffixes as far as LENGTH bytes; the
+    previous and next smaller positions of a stretch that shares them are its earlier matches.
+    """
+    count = (p & _MORE) + 1
+    run = np.repeat(np.arange(len(p)), count)
+    at = _within(count)
+    values = _windows(data, begin[run] + at)
+    order = np.argsort(values, kind="stable")  # suffix order
+    joined = np.zeros(len(order) + 1, bool)
+    joined[1:-1] = values[order[1:]] == values[order[:-1]]
+    paired = joined[:-1] | joined[1:]  # the others have an LPF under LENGTH
+    order, joined = order[paired], joined[:-1][paired]
+    place = (p[run] & _OWNER) | (p[run] >> _START & 0xFFFFFFFF) + at << _START
+    rank = np.empty(len(place), np.int64)
+    rank[np.lexsort((place, o[run]))] = np.arange(len(place))
+    before, after = smaller_neighbours(rank[order].tolist(), joined.tolist())
+    late = np.zeros(len(place) + 1, bool)
+    late[order[(np.array(before, np.int64) >= 0) | (np.array(after, np.int64) >= 0)]] = True
+    first = late[:-1] & ~(np.concatenate([[False], late[:-2]]) & (at > 0))
+    first = np.flatnonzero(first)
+    last = np.flatnonzero(late[:-1] & ~(late[1:] & np.append(run[1:] == run[:-1], False)))
+    return np.stack([o[run[first]], place[first] | (last - first) | 1 << _DONE])
+
+
+def _factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From runs in the order of their anchors: the starts whose LPF is LENGTH or more. Whole groups are taken together up
+    to STARTS starts; a group over GROUP_BYTES goes on string by string, and so do rows that are single strings already."""
+
+    def settled(rows: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        if rows:
+            o, p, data, size = (np.concatenate(x) for x in zip(*rows))
+            yield _passed(*repeated_starts(o, p, data, np.cumsum(size) - size))
+
+    whole, starts = [], 0  # runs of complete groups
+    group, size, key, large = [], 0, None, False  # runs of the group that is being read
+    last = None
+    for batch in batches:
+        a, o, p = (batch.column(c).to_numpy(zero_copy_only=False) for c in "aop")
+        data, offsets = flat_binary(batch.column("w"))
+        single = (p >> _DONE & 1 == 1) | (p >> _HOT & 1 == 1)
+        if single.any():
+            yield batch.filter(pa.array(single))
+        rows = np.flatnonzero(~single)
+        if not len(rows):
+            continue
+        same = np.zeros(len(rows), bool)  # a row that is there twice counts once
+        same[1:] = (o[rows[1:]] == o[rows[:-1]]) & (p[rows[1:]] == p[rows[:-1]])
+        same[0] = last == (o[rows[0]], p[rows[0]])
+        last = (o[rows[-1]], p[rows[-1]])
+        rows = rows[~same]
+        edges = np.flatnonzero(np.append(True, a[rows[1:]] != a[rows[:-1]])) if len(rows) else ()
+        for i, j in zip(edges, [*edges[1:], len(rows)]):
+            mine = rows[i:j]
+            if key is None or a[mine[0]] != key:
+                whole.extend(group)
+                starts += sum(int((x[1] & _MORE).sum()) + len(x[1]) for x in group)
+                if starts > STARTS:
+                    yield from settled(whole)
+                    whole, starts = [], 0
+                group, size, key, large = [], 0, a[mine[0]], False
+            sizes = offsets[mine + 1] - offsets[mine]
+            piece = data[np.repeat(offsets[mine], sizes) + _within(sizes)]
+            group.append((o[mine], p[mine], piece, sizes))
+            size += len(piece)
+            large = large or size > GROUP_BYTES
+            if large:
+                go, gp, gdata, gsize = (np.concatenate(x) for x in zip(*group))
+                count = (gp & _MORE) + 1
+                run, at = np.repeat(np.arange(len(gp)), count), _within(count)
+                place = (gp[run] & _OWNER) | (gp[run] >> _START & 0xFFFFFFFF) + at << _START
+                yield _string_rows(go[run], place, gdata, (np.cumsum(gsize) - gsize)[run] + at)
+                group = []
+    yield from settled(whole + group)
+
+
+def _passed(o: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
+    none = pa.array([b""] * len(o), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(mixed(p.view(np.uint64)).view(np.int64)), pa.array(o), pa.array(p), none], ["a", "o", "p", "w"])
+
+
+def _same_before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From strings in the order of their hash, bytes and position: those done. Keeps one row between batches."""
+    held = None  # the last string, and the position of the first equal to it
+    for batch in batches:
+        o, p = (batch.column(c).to_numpy(zero_copy_only=False) for c in "op")
+        done = p >> _DONE & 1 == 1
+        if done.any():
+            yield _rows(o=o[done], p=p[done])
+        o, p = o[~done], p[~done]
+        if not len(o):
+            continue
+        data, offsets = flat_binary(batch.column("w"))
+        values = _windows(data, offsets[:-1][~done])
+        new = np.ones(len(o), bool)
+        new[1:] = values[1:] != values[:-1]
+        new[0] = held is None or values[0] != held[0]
+        lead = np.maximum.accumulate(np.where(new, np.arange(len(o)), -1))
+        lead_o = np.where(lead >= 0, o[lead], held[1] if held else 0)
+        lead_p = np.where(lead >= 0, p[lead], held[2] if held else 0)
+        again = (o != lead_o) | (p != lead_p)
+        if again.any():
+            yield _rows(o=o[again], p=p[again] | np.int64(1 << _DONE))
+        held = values[-1], int(lead_o[-1]), int(lead_p[-1])
 
 
 def removed_runs(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -274,8 +479,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     a smaller place; copies may overlap, and all strings are judged on the input. Strings never cross texts. ``kept`` may
     begin or end inside a character.
 
-    No text is collected and no group is held: anchors and open starts are sorted by Spark and read as a stream, with
-    the earliest of equals in each chunk sent on alone. Texts are shuffled once, compressed, to meet their runs. Equality of strings is by 64-bit hashes.
+    No text is collected. Groups are read as streams that Spark has sorted; of one group at most GROUP_BYTES are held, and
+    what is larger is dealt again, string by string. Texts are shuffled once, compressed, to meet their runs. Runs that
+    repeat as a whole are told by two 64-bit hashes (of the anchor and of all bytes), strings by their bytes.
 
     Null text counts as empty. Rows equal in id and text count as one and get the same result; rows that share the id
     only are ordered by, and told apart by, 18 bits of a hash of the text. A null id comes first. Ids are whole
@@ -290,19 +496,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     salt = F.lit(0) if shared.isEmpty() else F.xxhash64(text).bitwiseAND(F.lit((1 << 18) - 1))
     rows = docs.select(order.alias("o"), salt.cast("long").alias("salt"), text.alias("text"))
 
-    found = rows.mapInArrow(_find_anchors, "a long, c long, o long, p long")
+    hot = hot_anchors(rows)
+    found = rows.mapInArrow(lambda x: _find_anchors(x, hot), "a long, c long, o long, p long")
     found = found.repartition(count, "a").sortWithinPartitions("a", "c", "o", "p")
-    settled = found.mapInArrow(lambda x: _settle(x, ("a", "c")), "o long, p long")
+    settled = found.mapInArrow(_settle, "o long, p long")
     owner = F.shiftright(F.col("p").bitwiseAND(F.lit(_OWNER)), _SALT).alias("salt")
     runs = settled.groupBy("o", owner).agg(F.collect_list("p").alias("runs"))
 
     # Both uses of the joined rows have the same exchanges below, so texts and runs are shuffled once.
     packed = rows.mapInArrow(_pack, "o long, salt long, z binary").where("o is not null and salt is not null")
     rows = packed.join(runs, ["o", "salt"], "left")
-    strings = rows.where(F.exists("runs", lambda p: p < F.lit(1 << _DONE)))
-    strings = strings.mapInArrow(_find_strings, "a long, o long, p long")
-    strings = strings.repartition(count, "a").sortWithinPartitions("a", "o", "p")
-    late = strings.mapInArrow(lambda x: _settle(x, ("a",)), "o long, p long")
+    open_ = rows.where(F.exists("runs", lambda p: p < F.lit(1 << _DONE)))
+    late = open_.mapInArrow(_find_suffixes, "a long, o long, p long, w binary")
+    late = late.repartition(count, "a").sortWithinPartitions("a", "w", "o", "p").mapInArrow(_factors, late.schema)
+    late = late.repartition(count, "a").sortWithinPartitions("a", "w", "o", "p").mapInArrow(_same_before, "o long, p long")
     late = late.groupBy("o", owner).agg(F.collect_list("p").alias("late"))
     rows = rows.join(late, ["o", "salt"], "left").select("o", "z", "runs", "late")
     out = rows.mapInArrow(_remove, "o long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -59,6 +59,42 @@ def test_against_brute_force(spark):
         check(spark, repeated(seed))
 
 
+def test_hot_and_large_groups(spark, monkeypatch):
+    values = repeated(4, 40)
+    rows = documents(spark, values).selectExpr("doc_id AS o", "0L AS salt", "text")
+    monkeypatch.setattr(substrings, "HOT_SHARE", 1)
+    monkeypatch.setattr(substrings, "HOT_CONTEXTS", 2)
+    assert len(substrings.hot_anchors(rows)) > 5  # all of several contexts
+    check(spark, values)
+    monkeypatch.setattr(substrings, "HOT", 3)
+    monkeypatch.setattr(substrings, "GROUP_BYTES", 300)
+    check(spark, values)
+    monkeypatch.setattr(substrings, "STARTS", 10)
+    monkeypatch.setattr(substrings, "HOT_CONTEXTS", 1 << 20)
+    check(spark, values)
+
+
+def test_smaller_neighbours():
+    rng = random.Random(3)
+    for _ in range(200):
+        n = rng.randint(0, 12)
+        position, joined = rng.sample(range(99), n), [k > 0 and rng.random() < 0.7 for k in range(n)]
+        before, after = substrings.smaller_neighbours(position, joined)
+        for i in range(n):
+            left = i
+            while joined[left]:
+                left -= 1
+            right = i
+            while right + 1 < n and joined[right + 1]:
+                right += 1
+            assert before[i] == max([j for j in range(left, i) if position[j] < position[i]], default=-1)
+            assert after[i] == min([j for j in range(i + 1, right + 1) if position[j] < position[i]], default=-1)
+
+
+def test_bytes_of_zero_and_null_differ(spark):
+    check(spark, ["\0" * 150, "\0" * 99 + "a", "a" + "\0" * 120, "b" * 90 + "\0" * 12, "b" * 90 + "\0" * 10, "\0" * 300])
+
+
 def test_long_texts_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(substrings, "BLOCK", 512)
     data = "".join(random.Random(4).choices("abcdef ", k=1500))
