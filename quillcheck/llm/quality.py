@@ -141,25 +141,38 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return (vectors * np.sqrt(weight)[:, None]).astype(np.float32)
 
 
+#: Numbers of a document: six pooled vectors.
+FEATURES = 6 * SIZE
+#: Tokens of which the vectors are laid out at once.
+_BLOCK = 1 << 15
+
+
+def pooled(own: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """The vectors of a document's tokens, pooled: their mean, that of the distinct tokens, their deviation, their sum over
+    the root of their number, and the mean products of neighbours one and two places apart. All 0 without tokens."""
+    if not len(own):
+        return np.zeros(FEATURES, np.float32)
+    word, times = np.unique(own, return_counts=True)
+    used = vectors[word]
+    total = times @ used
+    mean = total / len(own)
+    deviation = np.sqrt(np.maximum(times @ (used * used) / len(own) - mean * mean, 0))
+    near = np.zeros((2, SIZE))
+    for begin in range(0, len(own), _BLOCK):
+        block = vectors[own[begin : begin + _BLOCK + 2]]
+        for step in (1, 2):
+            left = block[: max(0, min(_BLOCK, len(block) - step))]
+            near[step - 1] += np.einsum("ij,ij->j", left, block[step : step + len(left)], dtype=np.float64)
+    near /= np.maximum(1, len(own) - np.array([[1], [2]]))
+    return np.concatenate([mean, used.mean(axis=0), deviation, total / np.sqrt(len(own)), *near]).astype(np.float32)
+
+
 def features(part: pa.RecordBatch, vectors: np.ndarray) -> np.ndarray:
-    """Per text: the mean vector of its tokens and of its rarer half, and how long and how repetitive it is."""
-    out = np.zeros((part.num_rows, 2 * SIZE + 4), np.float32)
+    """Per text its pooled vectors."""
+    out = np.zeros((part.num_rows, FEATURES), np.float32)
     for rows, offsets in _parts(part):
         for k in range(part.num_rows):
-            own = rows[offsets[k] : offsets[k + 1]]
-            if not len(own):
-                continue
-            counts = np.bincount(own, minlength=VOCABULARY) if len(own) > VOCABULARY else None
-            word, times = (np.flatnonzero(counts), counts[counts > 0]) if counts is not None else np.unique(own, return_counts=True)
-            out[k, :SIZE] = times @ vectors[word] / len(own)
-            out[k, SIZE : 2 * SIZE] = vectors[word].mean(axis=0)
-            pairs = own[:-1] * VOCABULARY + own[1:]
-            out[k, 2 * SIZE :] = (
-                np.log1p(len(own)),
-                len(word) / len(own),
-                len(np.unique(pairs)) / max(1, len(pairs)),
-                ((own == _UPPER_WORD) | (own == _NUMBER)).mean(),
-            )
+            out[k] = pooled(rows[offsets[k] : offsets[k + 1]], vectors)
     return out
 
 
@@ -219,25 +232,26 @@ def held_out(key: Column, modulus: int = 4, rest: int = 2) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, vectors, id_col: str, text_col: str, label_col: str, bound: int):
-    """Features and labels of at most ``bound`` labelled rows outside the held-out part, those with the smallest hashes."""
+    """Features and labels of at most ``bound`` labelled ids outside the held-out part, those with the smallest hashes. Of
+    several texts with one id the one with the smallest features counts, so no more than ``bound`` rows leave the tasks."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("double").alias("y"))
     share = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
     known = known.where(share < min(1.0, 0.9 * bound / max(1, known.count()))).orderBy(share, "id").limit(bound)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    texts = texts.join(F.broadcast(known), "id")  # at most ``bound`` pairs of numbers
+    texts = texts.join(F.broadcast(known), "id").withColumn("id", F.col("id").cast("string"))  # at most ``bound`` pairs of numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text"):
             found = features(part, vectors.value)
             yield pa.RecordBatch.from_arrays(
-                [part.column("y"), pa.array([x.tobytes() for x in found], pa.binary())], ["y", "x"]
+                [part.column("id"), part.column("y"), pa.array([x.tobytes() for x in found], pa.binary())], ["id", "y", "x"]
             )
 
-    rows = texts.mapInArrow(run, "y double, x binary").collect()
-    rows = sorted((bytes(r.x), r.y) for r in rows)
+    rows = texts.mapInArrow(run, "id string, y double, x binary").groupBy("id").agg(F.min(F.struct("x", "y")).alias("r"))
+    rows = sorted((bytes(r.x), r.y) for r in rows.select("r.*").collect())
     order = np.random.default_rng(11).permutation(len(rows))
-    x = np.array([np.frombuffer(rows[k][0], np.float32) for k in order], float).reshape(len(rows), 2 * SIZE + 4)
+    x = np.array([np.frombuffer(rows[k][0], np.float32) for k in order], float).reshape(len(rows), FEATURES)
     return x, np.array([rows[k][1] for k in order])
 
 
@@ -254,7 +268,9 @@ def score_quality(
 
     Word vectors come from the contexts of all texts; the network is fitted to at most ``bound`` labelled rows outside
     the held-out quarter, a fifth of which set its temperature; then every whole text is scored. Inputs of a score are
-    the text's tokens only. The vectors and the network have a fixed size and are sent to every executor.
+    the text's token vectors only. The vectors and the network have a fixed size and are sent to every executor. The table
+    has VOCABULARY rows: words share rows by their hash, so in a corpus of many more distinct words than rows a rare word's
+    vector is that of all words of its row.
 
     Null or empty text is scored as a text without tokens. With no labels of both kinds, every score is the share of
     label 1 (0.5 without any). Repeated rows get results of their own; an id labelled twice takes the larger label. No

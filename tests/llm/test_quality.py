@@ -66,3 +66,47 @@ def test_contexts_by_plain_loops():
                 if j != i:
                     want[w, :-1] += quality.index_vectors()[rows[j]]
     assert (total == want).all()
+
+
+def test_pooling_by_plain_loops(monkeypatch):
+    monkeypatch.setattr(quality, "_BLOCK", 4)
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(quality.VOCABULARY, quality.SIZE)).astype(np.float32)
+    for n in (0, 1, 2, 3, 5, 9, 40):
+        own = rng.integers(0, 12, n)
+        found = quality.pooled(own, vectors).reshape(6, -1)
+        rows = [vectors[i].astype(float) for i in own]
+        want = np.zeros((6, quality.SIZE))
+        if n:
+            want[0] = sum(rows) / n
+            want[1] = sum(vectors[i].astype(float) for i in set(own.tolist())) / len(set(own.tolist()))
+            want[2] = np.sqrt(np.maximum(sum(r * r for r in rows) / n - want[0] ** 2, 0))
+            want[3] = sum(rows) / n**0.5
+            for step in (1, 2):
+                pairs = [rows[i] * rows[i + step] for i in range(n - step)]
+                want[3 + step] = sum(pairs, np.zeros(quality.SIZE)) / max(1, n - step)
+        assert np.allclose(found, want, atol=1e-3)
+
+
+def test_network_by_plain_loops_and_temperature():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(600, 5))
+    y = (x[:, 0] + 0.5 * rng.normal(size=600) > 0).astype(float)
+    net = quality.Network(hidden=4).fit(x, y)
+    for row, score in zip(x[:20], net.predict(x[:20])):
+        z = [(v - m) / s for v, m, s in zip(row, net.mean, net.scale)]
+        hidden = [np.tanh(sum(v * net.weights[0][i][j] for i, v in enumerate(z)) + net.weights[1][j]) for j in range(4)]
+        logit = sum(h * w for h, w in zip(hidden, net.weights[2])) + net.weights[3][0]
+        assert abs(score - 1 / (1 + np.exp(-logit / net.temperature))) < 1e-9
+    held = np.arange(600) % 5 == 4
+    loss = lambda t: -np.mean([np.log(p if k else 1 - p) for p, k in zip(quality._logistic(net._logit((x[held] - net.mean) / net.scale) / t), y[held])])
+    assert all(loss(net.temperature) <= loss(t) + 1e-9 for t in np.geomspace(0.25, 8, 61))
+
+
+def test_repeated_ids_bring_no_more_rows(spark):
+    docs, labels, _ = _corpus(spark, 60)
+    twice = docs.union(docs.withColumn("text", F.concat("text", F.lit(" more")))).union(docs)
+    vectors = docs.sparkSession.sparkContext.broadcast(quality.word_vectors(docs))
+    x, y = quality.training_rows(twice, labels, vectors, "doc_id", "text", "quality", 16)
+    assert len(x) == len(y) <= 16
+    assert quality.score_quality(twice, labels).count() == 3 * docs.count()
