@@ -69,3 +69,46 @@ def test_edges(spark):
     docs, rows, _ = _languages(spark)
     kept = langid.identified_documents(docs.union(docs))
     assert kept.columns == docs.columns and kept.count() == 2 * (len(rows) - 2)
+
+
+def _greedy(word: str, text: str) -> int:
+    """Phrases of a word when each is the longest piece of it that stands in the text."""
+    n = at = 0
+    while at < len(word):
+        size = 1
+        while at + size < len(word) and word[at : at + size + 1] in text:
+            size += 1
+        at += size
+        n += 1
+    return n
+
+
+def test_predictions_by_brute_force(spark):
+    docs, rows, _ = _languages(spark, 120)
+    samples = dict(langid.labelled_sample(docs, "doc_id", "text", "lang"))
+    learned = {}
+    for lang, parts in samples.items():
+        words = [w for x in parts for w in langid.WORD.findall(x.lower())]
+        cut = len(words) * 3 // 4
+        text, held = f" {' '.join(words[:cut])} ", words[cut:]
+        learned[lang] = text, sum(_greedy(f" {w} ", text) for w in held) / sum(len(w) + 2 for w in held)
+    found = {r.doc_id: r for r in langid.identify(docs).collect()}
+    for k, value, *_ in rows:
+        words = langid.WORD.findall((value or "").lower())
+        if not any(c.isalpha() for w in words for c in w) or len(words) == 1:
+            continue
+        size = sum(len(w) + 2 for w in words)
+        rates = {lang: sum(_greedy(f" {w} ", text) for w in words) / size / rate for lang, (text, rate) in learned.items()}
+        best, second = sorted(rates.values())[:2]
+        assert rates[found[k].lang_pred] == best
+        assert abs(found[k].score - (1 - best / second)) < 1e-9 and abs(found[k].rate - best) < 1e-9
+
+
+def test_unlearned_languages_of_the_same_script_go(spark):
+    docs, rows, alphabets = _languages(spark)
+    rng = random.Random(4)
+    letters = sorted({c for parts in alphabets.values() for p in parts for c in p})
+    other = [(1000 + k, " ".join("".join(rng.choices(letters, k=rng.randint(3, 8))) for _ in range(60)), None, "s", 0, "", "") for k in range(20)]
+    short = [(2000 + k, " ".join("".join(rng.choices(alphabets["bb"], k=2)) for _ in range(3)), None, "s", 0, "", "") for k in range(20)]
+    kept = {r.doc_id for r in langid.identified_documents(docs.union(spark.createDataFrame(other + short, SCHEMA))).collect()}
+    assert kept == {r[0] for r in rows} - {240, 241} | {r[0] for r in short}
