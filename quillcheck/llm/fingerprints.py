@@ -52,8 +52,10 @@ def densify(bins: np.ndarray) -> None:
 def signatures(text: pa.Array, bins: int = BINS, low: int = LOW, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Per text the low bits of its densified bins' smallest hashes (uint8, a row a text), and whether it has a word.
 
-    Each shingle is hashed once; the top bits choose its bin, the rest compete in it.
+    Each shingle is hashed once; the top bits choose its bin, the rest compete in it. ``bins`` is a power of two.
     """
+    if bins < 2 or bins & (bins - 1):
+        raise ValueError("the number of bins must be a power of two")
     words, offsets = word_hashes(*flat(text))
     hashes, owner = shingle_hashes(words, offsets, shingle)
     shift = np.uint64(64 - (bins - 1).bit_length())
@@ -180,7 +182,11 @@ def compare_with_edits(
 def fingerprints(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bins: int = BINS, low: int = LOW, shingle: int = SHINGLE
 ) -> DataFrame:
-    """The id and fingerprint of every row, without a shuffle. Null counts as empty, whose fingerprint is empty."""
+    """The id and fingerprint of every row, without a shuffle.
+
+    Null counts as empty; a text without words has the empty fingerprint. Rows that repeat get results of their own, a null
+    id stays null, other columns are ignored, no rows give no rows. A very long text is hashed block by block, whole.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text"):

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from quillcheck.llm import fingerprints as fp
 
@@ -59,3 +60,39 @@ def test_long_texts_hash_alike_in_blocks(monkeypatch):
     whole = wordhash.word_hashes(array, offsets)[0]
     monkeypatch.setattr(wordhash, "BLOCK", 100)
     assert (wordhash.word_hashes(array, offsets)[0] == whole).all()
+
+
+def test_bins_densification_and_packing_by_plain_loops():
+    """Against loops over one text at a time: hashes of shingles, the smallest in each bin, donors for empty bins, low bits."""
+    from quillcheck.llm import wordhash
+
+    bins, low = 64, 4
+    values = ["", "one", "a b c d", "A b C d e f", " ".join(map(str, range(30))), "x y " * 50, " ".join(map(str, range(900)))]
+    found, has = fp.signatures(pa.array(values), bins, low)
+    donors = fp._donors(bins)
+    for k, value in enumerate(values):
+        own = [wordhash.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[0][0] for w in value.split()]
+        assert has[k] == bool(own)
+        if not own:
+            continue
+        parts = [own[i : i + 5] for i in range(len(own) - 4)] or [own]
+        hashes = [int(wordhash.shingle_hashes(np.array(x, np.uint64), np.array([0, len(x)]), 5)[0][0]) for x in parts]
+        slots: list = [None] * bins
+        for h in hashes:
+            at, rest = h >> 58, h & (1 << 58) - 1
+            slots[at] = rest if slots[at] is None else min(slots[at], rest)
+        want = []
+        for b in range(bins):
+            value_of = slots[b]
+            for ask in donors:
+                if value_of is not None:
+                    break
+                value_of = slots[ask[b]]
+            want.append(value_of & (1 << low) - 1)
+        assert found[k].tolist() == want
+        assert fp.packed(found[k : k + 1], low)[0] == "".join(f"{x:x}" for x in want)
+
+
+def test_bins_must_be_a_power_of_two():
+    with pytest.raises(ValueError):
+        fp.signatures(pa.array(["a"]), bins=500)
