@@ -45,12 +45,16 @@ def quantity(raw: Column | str) -> Column:
     return F.nullif(F.regexp_extract(_col(raw), r"^\s*([0-9]+(\.[0-9]+)?)\s*([a-zA-Z]*\.?)\s*$", 1), F.lit("")).try_cast("double")
 
 
+#: Fixed values of ISO 4217: currencies without a minor unit, and with one of three decimal places.
+NO_DECIMALS = ("BIF", "CLP", "DJF", "GNF", "ISK", "JPY", "KMF", "KRW", "PYG", "RWF", "UGX", "UYI", "VND", "VUV", "XAF", "XOF", "XPF")
+THREE_DECIMALS = ("BHD", "IQD", "JOD", "KWD", "LYD", "OMR", "TND")
+
+
 def minor_unit(currency: Column | str) -> Column:
-    """The smallest amount of a currency: of three, no or two decimal places."""
-    code = _col(currency)
-    return F.when(code.isin("BHD", "IQD", "JOD", "KWD", "LYD", "OMR", "TND"), 0.001).when(
-        code.isin("JPY", "KRW", "VND", "CLP", "ISK"), 1.0
-    ).otherwise(0.01).cast("decimal(10,3)")
+    """The smallest amount of a currency, in any case: of three, no or else two decimal places."""
+    code = F.upper(_col(currency))
+    unit = F.when(code.isin(*THREE_DECIMALS), 0.001).when(code.isin(*NO_DECIMALS), 1.0).otherwise(0.01)
+    return unit.cast("decimal(10,3)")
 
 
 def reporting_unit(values: Column) -> Column:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .outcome import _col, words
 
-COMPANY_SUFFIXES = "inc|incorporated|llc|ltd|limited|corp|corporation|co|company|gmbh|sa|plc"
+#: Words for a company's legal form that do not tell companies apart (fixed values, to agree with other implementations).
+COMPANY_SUFFIXES = ("inc", "incorporated", "llc", "ltd", "limited", "co", "company", "corp", "corporation", "gmbh", "sa", "plc", "llp", "lp")
 
 
 def folded(x: Column | str) -> Column:
@@ -34,9 +36,11 @@ def identifier_key(x: Column | str) -> Column:
 
 
 def vendor_name(x: Column | str) -> Column:
-    """A name in lower case, without punctuation and company suffixes."""
-    bare = F.trim(F.regexp_replace(F.lower(_col(x)), r"[^a-z0-9]+", " "))
-    return F.trim(F.regexp_replace(bare, rf"( ({COMPANY_SUFFIXES}))+$", ""))
+    """A name in lower case: "&" is "and", points, commas and apostrophes go, other signs part words, and words for the
+    legal form go from the end while a word remains. Letters of any script stay."""
+    joined = F.regexp_replace(F.regexp_replace(F.lower(_col(x)), "&", " and "), "[.,'’]", "")
+    bare = F.trim(F.regexp_replace(joined, r"[^\p{L}\p{N}]+", " "))
+    return F.regexp_replace(bare, rf"(?<=[^ ])( ({'|'.join(COMPANY_SUFFIXES)}))+$", "")
 
 
 def document_number(x: Column | str) -> Column:
@@ -45,7 +49,7 @@ def document_number(x: Column | str) -> Column:
 
 
 def allowed_edits(n: Column) -> Column:
-    """Edits that still count as the same name, by its length."""
+    """Edits that still count as the same name, by its length (fixed values: none under 6, 1 under 16, 2 under 32, else 3)."""
     return F.when(n < 6, 0).when(n < 16, 1).when(n < 32, 2).otherwise(3)
 
 
@@ -63,6 +67,30 @@ def deletions(x: str, most: Column) -> Column:
     return F.array_distinct(F.concat(F.array(F.xxhash64(x)), *levels))
 
 
+def edit_distance(x: str, y: str) -> int:
+    """Insertions, deletions, substitutions and swaps of neighbours (each place edited once) that turn x into y."""
+    before, last = [], list(range(len(y) + 1))
+    for i, c in enumerate(x, 1):
+        row = [i]
+        for j, d in enumerate(y, 1):
+            cost = min(last[j] + 1, row[-1] + 1, last[j - 1] + (c != d))
+            if i > 1 and j > 1 and c == y[j - 2] and x[i - 2] == d:
+                cost = min(cost, before[j - 2] + 1)
+            row.append(cost)
+        before, last = last, row
+    return last[-1]
+
+
+def edits(x: str, y: str) -> Column:
+    """``edit_distance`` of two columns in Arrow batches; Spark's own distance does not know swaps. Null if either is."""
+
+    @F.pandas_udf("int")
+    def distance(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None or b is None else edit_distance(a, b) for a, b in zip(xs, ys)], dtype="Int32")
+
+    return distance(x, y)
+
+
 def overlap(a: Column | str, b: Column | str) -> Column:
     """Shared words over the smaller set of words; 0 if either has none."""
     x, y = words(a), words(b)

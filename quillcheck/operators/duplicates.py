@@ -3,24 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import base_id, document_number, tight_id
 
 
-def nearest_earlier(rows: DataFrame, key: str, order: str, tiers: dict[str, str]) -> DataFrame:
+def nearest_earlier(rows: DataFrame, key: str, order: str, tiers: dict[str, list[str]]) -> DataFrame:
     """Per row the strongest tier at which an earlier row is its duplicate, and the first such row.
 
-    ``tiers`` names expressions, strongest first; two rows are duplicates at a tier if both have equal values. For each
-    tier the first row of a value is found by a window, so a group of any size costs its rows and no pairs.
+    ``tiers`` names the columns of each tier, strongest first; two rows are duplicates at a tier if they are equal in all of
+    them, and a row that lacks one is nobody's duplicate there. The first row of each value is found by aggregation and
+    joined back, so a group of any size costs its rows and no pairs, and a common value can be split as a skewed one.
     """
     out = rows
-    for k, (name, text) in enumerate(tiers.items()):
-        value = F.expr(text)
-        first = F.first(F.struct(F.col(order).alias("o"), F.col(key).alias("k"))).over(W.partitionBy(f"_v{k}").orderBy(order, key))
-        out = out.withColumn(f"_v{k}", value)
-        out = out.withColumn(f"_f{k}", F.when(F.col(f"_v{k}").isNotNull() & (first["k"] != F.col(key)), F.struct(F.lit(k + 1).alias("tier"), F.lit(name).alias("kind"), first["k"].alias("earlier"))))
+    for k, (name, columns) in enumerate(tiers.items()):
+        value = F.when(F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in columns)), F.struct(*[F.col(c).alias(f"m{i}") for i, c in enumerate(columns)]))
+        firsts = rows.select(value.alias("_v"), F.struct(F.col(order).alias("o"), F.col(key).alias("k")).alias("f")).where("_v is not null")
+        firsts = firsts.groupBy(F.col("_v").alias(f"_w{k}")).agg(F.min("f")["k"].alias("_first"))
+        out = out.withColumn(f"_v{k}", value).join(firsts, F.col(f"_v{k}") == F.col(f"_w{k}"), "left")
+        found = F.struct(F.lit(k + 1).alias("tier"), F.lit(name).alias("kind"), F.col("_first").alias("earlier"))
+        out = out.withColumn(f"_f{k}", F.when(F.col("_first") != F.col(key), found)).drop("_first", f"_v{k}", f"_w{k}")
     best = F.coalesce(*[F.col(f"_f{k}") for k in range(len(tiers))])
     return out.select(*rows.columns, best["tier"].alias("tier"), best["kind"].alias("kind"), best["earlier"].alias("earlier"))
 

@@ -78,8 +78,9 @@ def kth_largest(rows: DataFrame, x: str, share: float) -> float | None:
     hit = counts.select("b", "c", above.alias("above"), place.alias("place")).where("above < place and place <= above + c").first()
     if hit is None:
         return None
-    ranked = binned.where(F.col("b") == F.lit(hit.b)).withColumn("n", F.row_number().over(W.orderBy(F.desc("x"))))
-    return ranked.where(F.col("n") == hit.place - hit.above).first().x
+    values = binned.where(F.col("b") == F.lit(hit.b)).groupBy("x").agg(F.count("*").alias("c"))  # equal values count as one row
+    passed = values.withColumn("n", F.sum("c").over(W.orderBy(F.desc("x")).rowsBetween(W.unboundedPreceding, 0)))
+    return passed.where(F.col("n") >= hit.place - hit.above).agg(F.max("x")).first()[0]
 
 
 def upper_tail(n: int, holds: int, k: int, h: int) -> float:
@@ -92,17 +93,19 @@ def upper_tail(n: int, holds: int, k: int, h: int) -> float:
     return min(1.0, math.fsum(math.exp(choose(holds, i) + choose(n - holds, k - i) - choose(n, k)) for i in range(least, top + 1)))
 
 
-def novelty(held: dict[str, set], least: int = 1) -> list[tuple[str, int]]:
-    """Greedy cover: rules by how many holds they explain, ties in order, each kept if it explains enough new ones.
+def novelty(held: dict[str, set], weight: dict, least: int = 1) -> list[tuple[str, int, int]]:
+    """Greedy cover: rules by how many holds they explain, ties in order, each kept if it explains enough new ones, with
+    both numbers.
 
-    Runs on the driver over a bounded list of grounded rules with their sets of held cases.
+    Runs on the driver over a bounded list of grounded rules: ``held`` has the kinds of held case (patterns of violated
+    rules) that each rule explains, ``weight`` how many cases are of a kind.
     """
-    order = sorted(held, key=lambda r: (-len(held[r]), list(held).index(r)))
+    size = {r: sum(weight[k] for k in kinds) for r, kinds in held.items()}
     seen: set = set()
     out = []
-    for rule in order:
-        fresh = held[rule] - seen
-        if len(fresh) >= least:
-            out.append((rule, len(fresh)))
-            seen |= fresh
+    for rule in sorted(held, key=lambda r: -size[r]):
+        fresh = sum(weight[k] for k in held[rule] - seen)
+        if fresh >= least:
+            out.append((rule, size[rule], fresh))
+            seen |= held[rule]
     return out

@@ -63,7 +63,7 @@ def misread_amounts(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH a AS (SELECT l_orderkey AS doc, l_linenumber AS item, l_extendedprice AS ord FROM lineitem WHERE l_orderkey % 20 = 0 QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_extendedprice) = 1),
+    """WITH a AS (SELECT l_orderkey AS doc, l_linenumber AS item, l_extendedprice AS ord FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_extendedprice) = 1),
 b AS (SELECT * FROM a WHERE ord < 80000), u AS (SELECT doc, count(*) = count(DISTINCT item) AS ua FROM a GROUP BY doc), v AS (SELECT doc, count(*) = count(DISTINCT item) AS ub FROM b GROUP BY doc),
 s AS (SELECT coalesce(u.doc, v.doc) AS doc, coalesce(ua, true) AND coalesce(ub, true) AS by_item FROM u FULL JOIN v ON u.doc = v.doc),
 x AS (SELECT a.*, CASE WHEN by_item THEN 'i' || item ELSE 'p' || row_number() OVER (PARTITION BY doc ORDER BY ord) END AS k FROM a JOIN s USING (doc)),
@@ -79,9 +79,9 @@ def line_alignment(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH q AS (SELECT p_partkey, p_name, p_brand FROM part WHERE p_size = 1), w AS (SELECT p_partkey, p_name, p_brand, p_size, list_distinct(list_filter(string_split_regex(lower(p_name), '[^a-z0-9_]+'), lambda x: len(x) > 2)) AS l FROM part),
+    """WITH q AS (SELECT p_partkey, p_name, p_brand FROM part), w AS (SELECT p_partkey, p_name, p_brand, p_size, list_distinct(list_filter(string_split_regex(lower(p_name), '[^a-z0-9_]+'), lambda x: len(x) > 2)) AS l FROM part),
 c AS (SELECT q.p_partkey AS line, b.p_partkey AS evidence, CASE WHEN least(len(a.l), len(b.l)) > 0 THEN len(list_intersect(a.l, b.l)) / least(len(a.l), len(b.l))::DOUBLE ELSE 0 END AS score
-  FROM q JOIN w a ON a.p_partkey = q.p_partkey JOIN w b ON b.p_brand = q.p_brand AND b.p_size BETWEEN 2 AND 4),
+  FROM q JOIN w a ON a.p_partkey = q.p_partkey JOIN w b ON b.p_brand = q.p_brand AND b.p_partkey <> q.p_partkey),
 m AS (SELECT line, max(score) AS top FROM c GROUP BY line), u AS (SELECT c.line, count(*) AS n, min(evidence) AS evidence, max(score) AS score FROM c JOIN m ON m.line = c.line AND c.score = m.top AND m.top >= 0.25 GROUP BY c.line)
 SELECT m.line, u.evidence, u.score FROM m LEFT JOIN u ON u.line = m.line AND u.n = 1"""
 )
@@ -92,7 +92,7 @@ def evidence_line(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH a AS (SELECT l_orderkey AS k, l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 3 = 0 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey) = 1), r AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_linestatus = 'F')
+    """WITH a AS (SELECT l_orderkey AS k, l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_linenumber = 1 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey) = 1), r AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_linestatus = 'F')
 SELECT k, 2::BIGINT AS n_args, p IN (SELECT p FROM r) AND s IN (SELECT s FROM r) AS every, EXISTS (SELECT 1 FROM r WHERE r.p = a.p AND r.s = a.s) AS together FROM a"""
 )
 def action_grounding(t: Tables) -> DataFrame:
@@ -155,7 +155,7 @@ def case_clock(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, floor(l_quantity)::BIGINT AS q, l_extendedprice / floor(l_quantity) AS u FROM lineitem WHERE l_orderkey % 25 = 0 AND l_quantity >= 1),
+    """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, floor(l_quantity)::BIGINT AS q, l_extendedprice / floor(l_quantity) AS u FROM lineitem WHERE l_quantity >= 1),
 e AS (SELECT *, unnest([q * 10, q + 1, q - 1]) AS other FROM r)
 SELECT l_orderkey, l_linenumber, l_partkey, count(*) FILTER (WHERE abs(l_extendedprice - other * u) > 0.01) AS n_would_fail, count(*) AS n_readings FROM e WHERE other > 0 GROUP BY ALL"""
 )

@@ -12,7 +12,7 @@ from .registry import Tables, query
 
 
 @query(
-    """WITH c AS (SELECT o_orderkey, unnest([o_custkey % 900 + 1, o_custkey % 50 + 1])::INT AS volume, unnest(['F.3d', 'U.S.']) AS reporter, unnest([o_orderkey % 2000 + 1, o_orderkey % 7 + 1])::INT AS page FROM orders WHERE o_orderkey % 10 = 0)
+    """WITH c AS (SELECT o_orderkey, unnest([o_custkey % 900 + 1, o_custkey % 50 + 1])::INT AS volume, unnest(['F.3d', 'U.S.']) AS reporter, unnest([o_orderkey % 2000 + 1, o_orderkey % 7 + 1])::INT AS page FROM orders)
 SELECT o_orderkey, volume, reporter, page, CASE WHEN reporter = 'U.S.' THEN 'INSUFFICIENT_DATA' WHEN page <= 1500 THEN 'PASS' ELSE 'FAIL' END AS outcome FROM c"""
 )
 def brief_citations(t: Tables) -> DataFrame:
@@ -28,7 +28,7 @@ def brief_citations(t: Tables) -> DataFrame:
 
 @query(
     """SELECT o_orderkey, concept, context, 'USD' AS unit, value FROM (SELECT o_orderkey, unnest(['us:Revenue', 'us:Loss', 'us:Other', 'us:Note']) AS concept, 'c' || (o_orderkey % 4) AS context,
-  unnest([floor(o_totalprice) * 1000, -floor(o_totalprice), 0, NULL])::DOUBLE AS value FROM orders WHERE o_orderkey % 6 = 0)"""
+  unnest([floor(o_totalprice) * 1000, -floor(o_totalprice), 0, NULL])::DOUBLE AS value FROM orders)"""
 )
 def inline_facts(t: Tables) -> DataFrame:
     """Numeric facts read from inline markup, by scale and sign; one is a dash, one no number."""
@@ -44,7 +44,7 @@ def inline_facts(t: Tables) -> DataFrame:
 
 @query(
     """SELECT o_orderkey, 'INV-' || o_orderkey AS number, CASE WHEN o_orderkey % 5 <> 0 THEN 'PO' || o_custkey END AS po, o_totalprice::DECIMAL(18,2)::DOUBLE AS total, 2 AS n_lines, (3 * (o_custkey + 0.5) + 2 * 1000.25)::DOUBLE AS lines_sum,
-  'PASS' AS line_math FROM orders WHERE o_orderkey % 8 = 0"""
+  'PASS' AS line_math FROM orders"""
 )
 def mailed_bills(t: Tables) -> DataFrame:
     """Bills read from mail text, and whether every line's quantity times price is its amount."""

@@ -106,19 +106,11 @@ def mine_cover(t: Tables) -> DataFrame:
     patterns = cases.groupBy(flags.alias("p")).agg(F.count("*").alias("n")).collect()  # at most 2 ** rules, in fact a few
     sizes = {k: r.n for k, r in enumerate(patterns)}
     held = {name: {k for k, r in enumerate(patterns) if r.p[j] == "1"} for j, name in enumerate(CANDIDATES)}
-    weight = lambda ks: sum(sizes[k] for k in ks)
-    seen: set = set()
-    rows = []
-    for name in sorted(held, key=lambda r: (-weight(held[r]), list(held).index(r))):
-        fresh = weight(held[name] - seen)
-        if fresh >= 1:
-            rows.append((name, weight(held[name]), fresh))
-            seen |= held[name]
-    return t.spark.createDataFrame(rows, "rule string, n_holds long, n_new long")
+    return t.spark.createDataFrame(mine.novelty(held, sizes), "rule string, n_holds long, n_new long")
 
 
 @query(
-    """WITH RECURSIVE p AS (SELECT l_suppkey AS key, l_orderkey AS o, l_linenumber, l_partkey, l_extendedprice AS v, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_extendedprice DESC) AS n FROM lineitem WHERE l_quantity BETWEEN 24 AND 26),
+    """WITH RECURSIVE p AS (SELECT l_suppkey AS key, l_orderkey AS o, l_linenumber, l_partkey, l_extendedprice AS v, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_extendedprice DESC) AS n FROM lineitem),
 f AS (SELECT key, n, v AS s, 1 AS used, false AS stop FROM p WHERE n = 1
   UNION ALL SELECT p.key, p.n, CASE WHEN NOT f.stop AND abs(p.v - f.s / f.used) <= 0.5 * abs(f.s / f.used) THEN f.s + p.v ELSE f.s END, CASE WHEN NOT f.stop AND abs(p.v - f.s / f.used) <= 0.5 * abs(f.s / f.used) THEN f.used + 1 ELSE f.used END,
     f.stop OR abs(p.v - f.s / f.used) > 0.5 * abs(f.s / f.used) FROM f JOIN p ON p.key = f.key AND p.n = f.n + 1)

@@ -175,7 +175,7 @@ def duplicate_tiers(t: Tables) -> DataFrame:
     number = F.concat(F.lit("INV-"), F.when(k % 3 == 0, "00").otherwise(""), (k % 5000).cast("string"), F.when(k % 29 == 0, "-R2").otherwise(""))
     rows = t.orders.select("o_orderkey", number.alias("number"), (F.col("o_custkey") % 200).alias("vendor"))
     rows = duplicates.written_alike(rows, "number")
-    tiers = {"exact": "struct(vendor, number)", "formatting": "struct(vendor, tight)", "revision": "struct(vendor, base)"}
+    tiers = {"exact": ["vendor", "number"], "formatting": ["vendor", "tight"], "revision": ["vendor", "base"]}
     found = duplicates.nearest_earlier(rows, "o_orderkey", "o_orderkey", tiers)
     return found.select("o_orderkey", "number", "vendor", "tier", "kind", "earlier")
 

@@ -43,7 +43,7 @@ def test_first_failing_claim_decides(spark):
 def test_duplicates_name_the_first(spark):
     rows = spark.createDataFrame([(1, "INV-028417"), (2, "inv 28417"), (3, "INV-028417"), (4, "INV-28417-R2"), (5, "X-1"), (6, None), (7, None)], "id int, number string")
     rows = duplicates.written_alike(rows, "number")
-    got = {r.id: (r.kind, r.earlier) for r in duplicates.nearest_earlier(rows, "id", "id", {"exact": "number", "formatting": "tight", "revision": "base"}).collect()}
+    got = {r.id: (r.kind, r.earlier) for r in duplicates.nearest_earlier(rows, "id", "id", {"exact": ["number"], "formatting": ["tight"], "revision": ["base"]}).collect()}
     assert got == {1: (None, None), 2: ("formatting", 1), 3: ("exact", 1), 4: ("revision", 1), 5: (None, None), 6: (None, None), 7: (None, None)}
 
 
@@ -116,7 +116,19 @@ def test_learned_cut_and_kth(spark):
     assert mine.kth_largest(rows, "x", 0.25) == ordered[int(0.25 * 400)]
     assert mine.kth_largest(rows.where("false"), "x", 0.25) is None
     assert mine.upper_tail(10, 4, 2, 2) == pytest.approx(4 / 10 * 3 / 9) and mine.upper_tail(10, 4, 2, 0) == pytest.approx(1)
-    assert mine.novelty({"a": {1, 2, 3}, "b": {2, 3}, "c": {3, 4}}) == [("a", 3), ("c", 1)]
+    assert mine.novelty({"a": {1, 2, 3}, "b": {2, 3}, "c": {3, 4}}, {k: 1 for k in range(5)}) == [("a", 3, 3), ("c", 2, 1)]
+    rng = random.Random(3)
+    for _ in range(50):
+        cases = [{r for r in "abcde" if rng.random() < 0.4} for _ in range(30)]
+        kinds = sorted({"".join(sorted(c)) for c in cases})
+        held = {r: {k for k in kinds if r in k} for r in "abcde"}
+        want, seen = [], set()
+        by_case = {r: {i for i, c in enumerate(cases) if r in c} for r in "abcde"}
+        for r in sorted(by_case, key=lambda r: -len(by_case[r])):
+            if by_case[r] - seen:
+                want.append((r, len(by_case[r]), len(by_case[r] - seen)))
+                seen |= by_case[r]
+        assert mine.novelty(held, {k: sum("".join(sorted(c)) == k for c in cases) for k in kinds}) == want
 
 
 def test_fits_find_made_values(spark):
@@ -173,6 +185,9 @@ def test_numbers_and_identifiers(spark):
     assert one(numbers.rate(F.lit("12.5%"))) == 0.125 and one(numbers.rate(F.lit("0.2"))) == 0.2 and one(numbers.quantity(F.lit("3 x"))) == 3
     assert [one(text.tight_id(F.lit(x))) for x in ("inv-028417", "INV 28417", "12-345")] == ["INV|28417", "INV|28417", "12|345"]
     assert [one(text.identifier_key(F.lit(x))) for x in ("INV/2026/001", "a-1.b")] == ["INV2026-001", "A1B"]
-    assert one(text.vendor_name(F.lit("Acme Co., Inc."))) == "acme"
+    for name, want in {"Acme Co., Inc.": "acme", "Müller & Söhne GmbH": "müller and söhne", "O'Brien's L.L.P.": "obriens", "Inc.": "inc", "Co Ltd": "co", "日本 株式": "日本 株式"}.items():
+        assert one(text.vendor_name(F.lit(name))) == want
+    for x, y, n in (("ab", "ba", 1), ("", "abc", 3), ("abc", "", 3), ("ca", "abc", 3), ("kitten", "sitting", 3), ("", "", 0), ("abcd", "acbd", 1)):
+        assert spark.range(1).select(F.lit(x).alias("x"), F.lit(y).alias("y")).select(text.edits("x", "y")).first()[0] == n
     assert one(text.quotable(F.lit("“Long–\n  word-\nbreak”"))) == '"long- wordbreak"'
-    assert one(numbers.minor_unit(F.lit("JPY"))) == 1
+    assert [float(one(numbers.minor_unit(F.lit(c)))) for c in ("JPY", "xaf", "Uyi", "kwd", "USD", "???")] == [1, 1, 1, 0.001, 0.01, 0.01]
