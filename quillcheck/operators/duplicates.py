@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.outcome import FAIL, OPEN, PASS
 from ..functions.text import base_id, document_number, tight_id
+from ..functions.vendors import loose_number, name_relation, near_reason, vendor_match
 
 
 def nearest_earlier(rows: DataFrame, key: str, order: str, tiers: dict[str, list[str]]) -> DataFrame:
@@ -30,3 +32,58 @@ def nearest_earlier(rows: DataFrame, key: str, order: str, tiers: dict[str, list
 def written_alike(rows: DataFrame, id_col: str) -> DataFrame:
     """Each identifier with its tight form, base form and folded number."""
     return rows.withColumns({"tight": tight_id(id_col), "base": base_id(id_col), "folded": document_number(id_col)})
+
+
+#: Tiers of a duplicate claim, strongest first, and what each says of the bill.
+LADDER = {
+    "same number, same vendor": FAIL, "same number, vendor variant": FAIL, "same number, look-alike vendor": FAIL,
+    "same number, vendor in doubt": OPEN, "number written otherwise": OPEN, "same order and total": OPEN,
+}
+
+
+def duplicate_claims(bills: DataFrame, booked: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """Per bill whether it is booked already: bill, outcome, tier, kind, booked (the first booked row of that tier), match.
+
+    Both tables have id, number, vendor, tax, vendor_id, po and total; missing values are null and match nothing. A bill
+    meets booked rows by three equi-joins (the number, the number read loosely, the order with the total's two nearest
+    steps of the tolerance), so no other pairs are made. How two vendors relate is worked out once per distinct pair of
+    names. The strongest tier decides: FAIL, or open for a person to look at; PASS where none applies. Without any booked
+    row all bills pass; rows that repeat count once for each bill.
+    """
+    columns = ["id", "number", "vendor", "tax", "vendor_id", "po", "total"]
+    sides = []
+    for rows, p in ((bills, "b_"), (booked, "h_")):
+        rows = rows.select(*[F.col(c).alias(p + c) for c in columns])
+        sides.append(rows.withColumn(p + "exact", F.upper(F.trim(p + "number"))).withColumn(p + "loose", F.nullif(loose_number(p + "number"), F.lit(""))))
+    bill, book = sides
+    step = 2 * tolerance
+    cell = F.floor(F.col("b_total") / step + F.lit(0.5)).cast("long")
+    near_total = bill.withColumn("_cell", F.explode(F.array(cell - 1, cell, cell + 1)))
+    book_total = book.withColumn("_cell", F.floor(F.col("h_total") / step + F.lit(0.5)).cast("long"))
+    pairs = bill.join(book, F.col("b_exact") == F.col("h_exact"))
+    pairs = pairs.unionByName(bill.join(book, F.col("b_loose") == F.col("h_loose")))
+    by_total = near_total.withColumnRenamed("_cell", "_c").join(book_total, (F.col("b_po") == F.col("h_po")) & (F.col("_c") == F.col("_cell"))).drop("_c", "_cell")
+    pairs = pairs.unionByName(by_total).distinct()
+    names = pairs.select("b_vendor", "h_vendor").distinct().where("b_vendor is not null and h_vendor is not null")
+    names = names.withColumn("reason", near_reason(F.col("b_vendor"), F.col("h_vendor")))
+    relation = name_relation(F.col("h_vendor"), F.col("b_vendor"), F.col("reason")).alias("relation")
+    pairs = pairs.join(names.select("b_vendor", "h_vendor", relation), ["b_vendor", "h_vendor"], "left")
+    relation = F.coalesce("relation", F.lit("unknown"))
+    match = vendor_match(relation, (F.col("h_tax"), F.col("b_tax")), (F.col("h_vendor_id"), F.col("b_vendor_id")))
+    pairs = pairs.withColumn("match", match)
+    no = F.lit(False)
+    exact = F.coalesce(F.col("b_exact") == F.col("h_exact"), no)
+    loose = F.coalesce(F.col("b_loose") == F.col("h_loose"), no) & ~exact
+    same_po = F.coalesce(F.trim("b_po") == F.trim("h_po"), no)
+    same_total = F.coalesce(F.abs(F.col("b_total") - F.col("h_total")) <= tolerance, no)
+    one = ~F.col("match").isin("different", "conflict")
+    doubt = (F.col("match") == "conflict") | ((F.col("match") == "different") & (same_po | same_total))
+    rules = [exact & F.col("match").isin("same", "unknown"), exact & (F.col("match") == "variant"), exact & (F.col("match") == "near"), exact & doubt, loose & one, same_po & same_total & one]
+    tier = F.coalesce(*[F.when(rule, k + 1) for k, rule in enumerate(rules)])
+    found = pairs.withColumn("tier", tier).where("tier is not null").groupBy("b_id")
+    best = found.agg(F.min(F.struct("tier", F.col("h_id").alias("booked"), "match")).alias("m")).select(F.col("b_id").alias("id"), "m.*")
+    kind, outcome = F.lit(None).cast("string"), F.lit(PASS)
+    for k, (name, said) in enumerate(LADDER.items()):
+        kind, outcome = F.when(F.col("tier") == k + 1, name).otherwise(kind), F.when(F.col("tier") == k + 1, said).otherwise(outcome)
+    out = bills.select("id").distinct().join(best, "id", "left")
+    return out.select("id", outcome.alias("outcome"), "tier", kind.alias("kind"), "booked", "match")
