@@ -86,3 +86,66 @@ def trimmed(x: Column) -> Column:
     """Decimal text without zeros at the end."""
     text = x.cast("string")
     return F.when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
+
+
+#: First code points of runs of ten decimal digits that stand for 0 to 9 (fixed values): full width, Arabic-Indic, its
+#: extended form, Devanagari, Bengali, Thai.
+DIGIT_RUNS = {"full width": 0xFF10, "arabic": 0x0660, "persian": 0x06F0, "devanagari": 0x0966, "bengali": 0x09E6, "thai": 0x0E50}
+
+
+def fold_digits(x: Column | str) -> Column:
+    """Digits of other scripts, and the full-width point and comma, as ASCII."""
+    others = "".join(chr(start + k) for start in DIGIT_RUNS.values() for k in range(10))
+    return F.translate(_col(x), others + "．，", "0123456789" * len(DIGIT_RUNS) + ".,")
+
+
+def digit_script(x: Column | str) -> Column:
+    """The one script that a text's digits are of, "mixed" for several, null without digits."""
+    runs = {"ascii": 0x30} | DIGIT_RUNS
+    seen = F.array_compact(F.array(*[F.when(_col(x).rlike(f"[{chr(c)}-{chr(c + 9)}]"), name) for name, c in runs.items()]))
+    return F.when(F.size(seen) == 1, F.get(seen, 0)).when(F.size(seen) > 1, "mixed")
+
+
+#: Numbers that only one decimal mark explains.
+POINT, COMMA = r"^([0-9]{1,3}(,[0-9]{3})+\.[0-9]+|[0-9]+\.[0-9]{1,2}|[0-9]{1,3}(,[0-9]{3}){2,})$", r"^([0-9]{1,3}(\.[0-9]{3})+,[0-9]+|[0-9]+,[0-9]{1,2}|[0-9]{1,3}(\.[0-9]{3}){2,})$"
+
+
+def decimal_mark(tokens: Column) -> Column:
+    """The decimal mark of a document from all its numbers: "point", "comma", "mixed" if they disagree, null if none tells."""
+    point, comma = F.exists(tokens, lambda t: t.rlike(POINT)), F.exists(tokens, lambda t: t.rlike(COMMA))
+    return F.when(point & comma, "mixed").when(point, "point").when(comma, "comma")
+
+
+def number_tokens(x: Column | str) -> Column:
+    """Runs of digits, points and commas that begin and end with a digit."""
+    return F.regexp_extract_all(_col(x), F.lit("[0-9][0-9.,]*[0-9]|[0-9]"), F.lit(0))
+
+
+def adjacent_swaps(x: Column | str) -> Column:
+    """Readings of digits with two unlike neighbours swapped, sorted."""
+    c = _col(x)
+    at = lambda i, n: F.substr(c, i, F.lit(n))
+    places = F.when(F.length(c) > 1, F.sequence(F.lit(1), F.length(c) - 1)).when(F.length(c) <= 1, F.array().cast("array<int>"))
+    unlike = F.filter(places, lambda i: at(i, 1) != at(i + 1, 1))
+    swapped = F.transform(unlike, lambda i: F.concat(F.substr(c, F.lit(1), i - 1), at(i + 1, 1), at(i, 1), F.substr(c, i + 2)))
+    return F.array_sort(F.array_distinct(swapped))
+
+
+def currency_code(x: Column | str) -> Column:
+    """A currency as three capitals; null for anything else."""
+    code = F.upper(F.trim(_col(x)))
+    return F.when(code.rlike("^[A-Z]{3}$"), code)
+
+
+def money_text(x: Column | str) -> Column:
+    """Grouped by thousands, with two places."""
+    return F.format_number(_col(x).cast("decimal(28,2)"), 2)
+
+
+#: Signs that a line is more than quantity times price (fixed words).
+ADJUSTED = r"(?i)%|\b(discount|disc|rebate|fee|surcharge|tax|vat|gst|credit|freight|shipping|deposit|less)\b"
+
+
+def adjusted(x: Column | str) -> Column:
+    """Whether a line's text names an adjustment: a percent sign, one of some words, a signed or bracketed amount."""
+    return _col(x).rlike(ADJUSTED) | _col(x).rlike(r"(^|\s)(-[$€£]?[0-9]|\([$€£]?[0-9][0-9.,]*\))")

@@ -62,3 +62,14 @@ def all_hold(n: Column, holds: Column, k: Column) -> Column:
     """Chance that k cases drawn from n, of which ``holds`` are held, are all held."""
     steps = F.when(k > 0, F.sequence(F.lit(0), (k - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
     return F.aggregate(steps, F.lit(1.0), lambda p, i: p * (holds - i) / (n - i))
+
+
+def zero_miss_size(bar: Column, confidence: float = 0.95) -> Column:
+    """The fewest cases, all clean, whose exact upper bound on the error rate is at or below ``bar``."""
+    n = F.ceil(F.log(F.lit(1 - confidence)) / F.log(1 - bar) - 1e-9)
+    return F.when((bar > 0) & (bar < 1), F.greatest(n, F.lit(1))).cast("long")
+
+
+def caught_rate(caught: Column, n: Column, confidence: float = 0.95) -> Column:
+    """Lower bound of the share caught: one less the upper bound of the share missed."""
+    return 1 - wilson(n - caught, n, confidence)
