@@ -36,9 +36,12 @@ def build_tokenizer(ranks: dict[bytes, int], pattern: str):
             if token[:cut] in ranks and token[cut:] in ranks:
                 merges.append((name[token[:cut]], name[token[cut:]]))
     tokenizer = Tokenizer(BPE(vocab={name[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
-    tokenizer.pre_tokenizer = Sequence(
-        [Split(Regex(pattern), "isolated"), ByteLevel(add_prefix_space=False, use_regex=False)]
-    )
+    if pattern == segments.PATTERN:  # the library's own split, which is faster than the same pattern given to it
+        tokenizer.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=True)
+    else:
+        tokenizer.pre_tokenizer = Sequence(
+            [Split(Regex(pattern), "isolated"), ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
     return tokenizer
 
 
@@ -52,14 +55,28 @@ class Codec:
         self.bytes_of = {b"%d" % rank: token for token, rank in ranks.items()}
         self.tokenizer = build_tokenizer(ranks, pattern)
         self.cut = segments.may_be_cut(self.tokenizer.to_str())
+        self.memo = segments.Memo(self._ids)
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [" ".join(map(self.number, x.ids)).encode() for x in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, by the library over batches balanced by bytes; long texts are cut where no token crosses."""
-        out: list[list[str]] = [[] for _ in texts]
-        for places, parts in segments.batches(texts, self.cut):
-            for place, found in zip(places, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)):
-                out[place].extend(map(self.number, found.ids))
-        return [" ".join(x).encode() for x in out]
+        """The ids of each text, by the library over batches balanced by bytes: each distinct piece that no token crosses
+        once; texts that only the library should cut are given to it whole, long ones in safe parts."""
+        cuts = [segments.words(x) if self.cut else None for x in texts]
+        self.memo.learn(cuts)
+        look = self.memo.__getitem__
+        out = [b"" if cut is None else b" ".join(map(look, cut)) for cut in cuts]
+        left = [k for k, cut in enumerate(cuts) if cut is None]
+        parts_of: list[list[bytes]] = [[] for _ in left]
+        for places, parts in segments.batches([texts[k] for k in left], self.cut):
+            for place, found in zip(places, self._ids(parts)):
+                if found:
+                    parts_of[place].append(found)
+        for k, parts in zip(left, parts_of):
+            out[k] = b" ".join(parts)
+        return out
 
     def spans(self, text: str) -> tuple[list[int], list[int], list[int]]:
         """Ids of one text with the characters each touches, [start, end); a token inside a character spans it whole."""

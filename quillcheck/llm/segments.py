@@ -12,10 +12,23 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: UTF-8 bytes that the library is given at once.
 BATCH_BYTES = 256 << 10
+#: A character outside the repertoire for which WORDS below equals PATTERN.
+OTHER = re.compile(f"[^\x00-\x7f{LETTERS[6:]}«»¿¡–—‘’“”…€£§°]")
+_BLANK = " \\t\\n\\r\\x0b\\x0c"
+#: PATTERN with its classes written out for that repertoire, most frequent case first.
+WORDS = re.compile(
+    f" ?[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^{_BLANK}{LETTERS}0-9]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
+)
 #: A blank between a non-blank and a Latin letter: the split pattern starts a new match there whatever stands around.
 SAFE = re.compile(f"(?<=\\S) (?=[{LETTERS}])")
 
 
+def words(text: str) -> list[str] | None:
+    """The matches of PATTERN, each of which is encoded by itself, or None if the text has characters that only the
+    library should class."""
+    return None if OTHER.search(text) else WORDS.findall(text)
+
+
 def spans(text: str, size: int = 1 << 16) -> list[str]:
     """The text in parts of about ``size`` characters, cut at safe boundaries; a part without any stays whole."""
     out, start = [], 0
@@ -65,7 +78,7 @@ class Memo(dict):
     """What each piece stands for. ``learn`` adds the unknown ones among the pieces of some texts by ``encode``, in
     batches balanced by bytes; it first empties a memo whose pieces passed ``limit`` bytes."""
 
-    def __init__(self, encode: Callable[[list[str]], list], limit: int = 40 << 20, batch: int = 256 << 10):
+    def __init__(self, encode: Callable[[list[str]], list], limit: int = 40 << 20, batch: int = BATCH_BYTES):
         super().__init__()
         self.encode, self.limit, self.batch, self.held = encode, limit, batch, 0
 

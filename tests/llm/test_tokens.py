@@ -49,6 +49,19 @@ def test_only_known_settings_are_cut(monkeypatch):
         assert counter.counts(values) == [len(other.encode(v, add_special_tokens=False).ids) for v in values]
 
 
+def test_a_full_memo_starts_anew():
+    counter = tokens.Counter(JSON)
+    counter.memo.limit, counter.memo.batch = 200, 100
+    values = [v or "" for v in texts()] * 2
+    assert [counter.counts([v])[0] for v in values] == tokens.counter(JSON).counts(values)
+
+
+def test_pieces_are_encoded_as_in_their_text():
+    for value in odd_texts()[:1500]:
+        pieces = segments.words(value)
+        assert pieces is None or ("".join(pieces) == value and all(segments.words(p) == [p] for p in pieces))
+
+
 def test_batches_are_balanced_by_bytes():
     values = ["é" * 50] * 100 + ["word " * 200_000, "", "x"]
     found = list(segments.batches(values, True, 1000))
