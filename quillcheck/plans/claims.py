@@ -333,11 +333,13 @@ def pay_line_laws(t: Tables) -> DataFrame:
     _PAY_SQL
     + """, s AS (SELECT o_custkey, app, sum(c)::DOUBLE AS sc, sum(g)::DOUBLE AS sg, (sum(g) * 0.10)::DOUBLE AS kept, (sum(g) - sum(g) * 0.10)::DOUBLE AS earned FROM l GROUP BY ALL),
 p AS (SELECT *, lag(earned) OVER (PARTITION BY o_custkey ORDER BY app) AS pe FROM s),
+h AS (SELECT *, sc - 500 + CASE WHEN app % 7 = 0 THEN 10 ELSE 0 END AS original, 500 + CASE WHEN app % 6 = 0 THEN 25 ELSE 0 END AS changes, sc + CASE WHEN app % 7 = 0 THEN 10 ELSE 0 END AS contract, sg + CASE WHEN app % 8 = 0 THEN 1 ELSE 0 END AS done,
+  coalesce(pe + CASE WHEN app % 9 = 0 THEN 2 ELSE 0 END, 0) AS earlier, earned - coalesce(pe, 0) + CASE WHEN app % 5 = 0 THEN 0.05 ELSE 0 END AS due FROM p),
 o AS (
-  SELECT 'G702_CSUM' AS rule, true AS ok FROM p UNION ALL SELECT 'G702_SOV', true FROM p UNION ALL SELECT 'G702_DONE', true FROM p
-  UNION ALL SELECT 'G702_RATE', abs(kept - sg * 0.1) <= 0.01 FROM p UNION ALL SELECT 'G702_EARN', abs(earned - (sg - kept)) <= 0.01 FROM p
-  UNION ALL SELECT 'G702_DUE', true FROM p UNION ALL SELECT 'G702_BAL', true FROM p
-  UNION ALL SELECT 'G702_PREV', true FROM p WHERE pe IS NOT NULL)
+  SELECT 'G702_CSUM' AS rule, abs(contract - (original + changes)) <= 0.01 AS ok FROM h UNION ALL SELECT 'G702_SOV', abs(contract - sc) <= 0.01 FROM h UNION ALL SELECT 'G702_DONE', abs(done - sg) <= 0.01 FROM h
+  UNION ALL SELECT 'G702_RATE', abs(kept - done * 0.1) <= 0.01 FROM h UNION ALL SELECT 'G702_EARN', abs(earned - (done - kept)) <= 0.01 FROM h
+  UNION ALL SELECT 'G702_DUE', abs(due - (earned - earlier)) <= 0.01 FROM h UNION ALL SELECT 'G702_BAL', abs((sc - earned) - (contract - earned)) <= 0.01 FROM h
+  UNION ALL SELECT 'G702_PREV', abs(earlier - pe) <= 0.01 FROM h WHERE pe IS NOT NULL)
 SELECT rule, CASE WHEN ok THEN 'PASS' ELSE 'FAIL' END AS outcome, count(*) AS n FROM o GROUP BY ALL"""
 )
 def pay_header_laws(t: Tables) -> DataFrame:

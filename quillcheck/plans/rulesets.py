@@ -93,11 +93,13 @@ def pay_applications(orders: DataFrame, lineitem: DataFrame) -> tuple[DataFrame,
     by_app = W.partitionBy("o_custkey").orderBy("app")
     kept = (F.col("sg") * F.lit("0.10").cast("decimal(4,2)")).alias("kept")
     sums = sums.select("*", kept).withColumn("earned", F.col("sg") - F.col("kept")).withColumn("pe", F.lag("earned").over(by_app))
+    # the header as read from such forms, with mistakes of its own
+    off = lambda n, by: F.when(F.col("app") % n == 0, by).otherwise(0.0)
     head = sums.select(
-        "o_custkey", "app", (d("sc") - 500.0).alias("original"), F.lit(500.0).alias("changes"), d("sc").alias("contract_to_date"),
-        d("sc").alias("sum_scheduled"), d("sg").alias("completed_stored"), d("sg").alias("sum_completed"), d("kept").alias("retainage"),
-        F.lit(0.1).alias("retainage_rate"), d("earned").alias("earned"), F.coalesce(d("pe"), F.lit(0.0)).alias("earlier_certificates"),
+        "o_custkey", "app", (d("sc") - 500.0 + off(7, 10.0)).alias("original"), (F.lit(500.0) + off(6, 25.0)).alias("changes"), (d("sc") + off(7, 10.0)).alias("contract_to_date"),
+        d("sc").alias("sum_scheduled"), (d("sg") + off(8, 1.0)).alias("completed_stored"), d("sg").alias("sum_completed"), d("kept").alias("retainage"),
+        F.lit(0.1).alias("retainage_rate"), d("earned").alias("earned"), F.coalesce(d("pe") + off(9, 2.0), F.lit(0.0)).alias("earlier_certificates"),
         F.col("pe").isNotNull().alias("has_previous"), d("pe").alias("previous_earned"),
-        (F.col("earned") - F.coalesce(F.col("pe"), F.lit(0))).cast("double").alias("due"), (F.col("sc") - F.col("earned")).cast("double").alias("balance"),
+        ((F.col("earned") - F.coalesce(F.col("pe"), F.lit(0))).cast("double") + off(5, 0.05)).alias("due"), (F.col("sc") - F.col("earned")).cast("double").alias("balance"),
     )
     return lines, head
