@@ -178,6 +178,8 @@ def tallies(counted: DataFrame, found: list[Candidate]) -> DataFrame:
     """Per candidate and tolerance: cases that tell, holds among them, violators, holds and approvals among those."""
     tried = [(c.rule, c.family, t) for c in found for t in c.grid]
     names = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(f).alias("family"), F.lit(t).alias("t")) for r, f, t in tried])
+    none = counted.sparkSession.range(1).select(F.lit(False).alias("held"), F.lit("?" * len(tried)).alias("flags"), F.lit(0).cast("long").alias("cases"))
+    counted = counted.unionByName(none)  # so that rules have a row without any case
     place = F.explode(F.sequence(F.lit(0), F.lit(len(tried) - 1))).alias("at")
     rows = counted.select("held", "cases", "flags", place).select("held", "cases", "at", F.expr("substr(flags, at + 1, 1)").alias("sign"))
     count = lambda when: F.coalesce(F.sum(F.when(when, F.col("cases"))), F.lit(0))

@@ -122,7 +122,7 @@ def standard_invoices(t: Tables) -> DataFrame:
     fa = F.format_string('<Faktura xmlns="http://crd.gov.pl/wzor/2025/06/25/13775/"><Fa><KodWaluty>PLN</KodWaluty><P_2>%s</P_2><P_15>%s</P_15>%s</Fa></Faktura>', F.col("o_orderkey").cast("string"), text(total), "fa")
     xml = F.when(p == "5", fa).when(p == "4", F.concat(F.lit("<!DOCTYPE Invoice>"), ubl)).otherwise(ubl)
     read = einvoice.read(rows.select("o_orderkey", xml.alias("xml")), "xml", ["o_orderkey"])
-    read = read.withColumns({"lines_net": einvoice.lines_net(F.col("lines")), "told": F.transform("lines", einvoice.line_math)})
+    read = read.withColumns({"lines_net": einvoice.lines_net(F.col("lines")), "told": F.transform("lines", lambda x: einvoice.line_math(x))})
     count = lambda what: F.size(F.filter("told", lambda x: x == what)).cast("long")
     totals = F.map_from_entries(F.array(*[F.struct(F.lit(c.rule), c.claim()["outcome"]) for c in einvoice.TOTALS]))
     out = read.select("*", totals.alias("totals"))
