@@ -9,7 +9,7 @@ from ..functions.outcome import FAIL, OPEN, PASS
 from ..operators import grammar, matching
 from ..operators.claims import run_checks
 from ..operators.grammar import Field
-from ..sources import einvoice
+from ..sources import einvoice, exports
 from .registry import Tables, query
 
 _money = lambda c: F.col(c).cast("decimal(18,2)")
@@ -208,3 +208,32 @@ def mined_checks(t: Tables) -> DataFrame:
     checks = [c.check() for c in grammar.candidates(LINES, FIELDS, cuts=CUTS) if c.rule in wanted]
     rows = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey"), "left").select("o_orderkey", F.col("o_totalprice").alias("total"), F.col("c_acctbal").alias("balance"))
     return run_checks(rows, ["o_orderkey"], checks).groupBy("rule", "outcome").agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH e AS (SELECT user_id, event_type AS model, date_trunc('hour', ts) AS h, epoch(date_trunc('second', ts))::BIGINT AS s, floor(abs(value))::BIGINT AS v FROM events),
+b AS (SELECT user_id, model, h, sum(v) AS v, count(*) AS n FROM e GROUP BY ALL)
+SELECT user_id, 'openai-usage' AS export, 'hour' AS granularity, model, count(*) AS n_rows, sum(v)::BIGINT AS input, (2 * sum(v))::BIGINT AS output, sum(n)::BIGINT AS requests, epoch(min(h))::BIGINT AS first FROM b GROUP BY user_id, model
+UNION ALL SELECT user_id, 'anthropic-usage-report', 'hour', model, count(*), (4 * sum(v))::BIGINT, sum(v)::BIGINT, NULL, epoch(min(h))::BIGINT FROM b GROUP BY user_id, model
+UNION ALL SELECT user_id, 'openai-chat-completions', 'request', model, count(*), sum(v)::BIGINT, sum(v)::BIGINT, count(*), min(s) FROM e GROUP BY user_id, model"""
+)
+def provider_exports(t: Tables) -> DataFrame:
+    """Events written as three providers' usage pages (a user's day, or at most a hundred replies), and read back: by model, how many rows of what width."""
+    second, v = F.unix_timestamp("ts"), F.floor(F.abs("value")).cast("long")
+    rows = t.events.select("event_id", "user_id", F.col("event_type").alias("model"), second.alias("s"), F.unix_timestamp(F.date_trunc("hour", "ts")).alias("h"), v.alias("v"))
+    hours = rows.groupBy("user_id", "model", "h").agg(F.sum("v").alias("v"), F.count("*").alias("n"))
+    iso = lambda c: F.date_format(F.timestamp_seconds(c), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    usage = F.struct(F.col("h").alias("start_time"), (F.col("h") + 3600).alias("end_time"), F.array(F.struct("model", F.col("v").alias("input_tokens"), (F.col("v") * 2).alias("output_tokens"), F.col("n").alias("num_model_requests"))).alias("results"))
+    cache = F.struct(F.col("v").alias("ephemeral_1h_input_tokens"), F.col("v").alias("ephemeral_5m_input_tokens")).alias("cache_creation")
+    report = F.struct(
+        iso(F.col("h")).alias("starting_at"), iso(F.col("h") + 3600).alias("ending_at"),
+        F.array(F.struct("model", F.col("v").alias("uncached_input_tokens"), F.col("v").alias("cache_read_input_tokens"), cache, F.col("v").alias("output_tokens"))).alias("results"),
+    )
+    chat = F.struct(F.concat(F.lit("chatcmpl-"), "event_id").alias("id"), F.col("s").alias("created"), "model", F.struct(F.col("v").alias("prompt_tokens"), F.col("v").alias("completion_tokens")).alias("usage"))
+    out = None
+    for name, source, page, cut in (("openai-usage", hours, usage, F.floor(F.col("h") / 86400)), ("anthropic-usage-report", hours, report, F.floor(F.col("h") / 86400)), ("openai-chat-completions", rows, chat, F.floor(F.col("event_id") / 100))):
+        pages = source.groupBy("user_id", cut).agg(F.to_json(F.struct(F.collect_list(page).alias("data"))).alias("page"))
+        read = exports.read(pages, "page", name, ["user_id"]).where("refused is null").withColumn("first", F.unix_timestamp(F.coalesce("start", "at")))
+        read = read.groupBy("user_id", F.lit(name).alias("export"), "granularity", "model").agg(F.count("*").alias("n_rows"), *[F.sum(c).alias(c) for c in ("input", "output", "requests")], F.min("first").alias("first"))
+        out = read if out is None else out.union(read)
+    return out
