@@ -149,3 +149,13 @@ ADJUSTED = r"(?i)%|\b(discount|disc|rebate|fee|surcharge|tax|vat|gst|credit|frei
 def adjusted(x: Column | str) -> Column:
     """Whether a line's text names an adjustment: a percent sign, one of some words, a signed or bracketed amount."""
     return _col(x).rlike(ADJUSTED) | _col(x).rlike(r"(^|\s)(-[$€£]?[0-9]|\([$€£]?[0-9][0-9.,]*\))")
+
+
+def bounded_numbers(x: Column | str) -> Column:
+    """The numbers of a text as written, each as long as it goes: a point or comma belongs to one only between digits."""
+    return F.regexp_extract_all(_col(x), F.lit("([0-9]+(?:[.,][0-9]+)*)"), 1)
+
+
+def written_as(x: Column | str, value: Column) -> Column:
+    """How a text writes a value, by the first of its surface forms that stands there as a whole number; null if none does."""
+    return F.get(F.array_intersect(surface_forms(value), bounded_numbers(x)), 0)

@@ -115,3 +115,21 @@ def in_force(events: DataFrame, chain: list[str], seq: str, state: Column) -> Da
     """Events with ``in_force``: the last non-null state strictly before each."""
     w = W.partitionBy(*chain).orderBy(seq).rowsBetween(W.unboundedPreceding, -1)
     return events.withColumn("in_force", F.last(state, ignorenulls=True).over(w))
+
+
+def fingerprint(rows: DataFrame, key: str, row: Column, bits: int = 12) -> DataFrame:
+    """One hash of a whole table in the order of its integer key, the same however the rows are dealt: ``n`` and ``hash``.
+
+    Rows are hashed, slices of 2**bits keys hash their rows' hashes in order, and slices of slices theirs, three times; so
+    no group holds more than 2**bits hashes while keys are unique (rows that share one stand in the order of their hashes),
+    and the last one a row for every 2**(3 * bits) keys. Null keys come first. An empty table gives one row with the hash of
+    nothing.
+    """
+    level = rows.select(F.col(key).cast("long").alias("k"), F.sha2(F.coalesce(row, F.lit("")), 256).alias("h"), F.lit(1).cast("long").alias("n"))
+    for last in (False, False, False, True):
+        ordered = F.array_sort(F.collect_list(F.struct(F.col("k").isNotNull().alias("set"), "k", "h")))
+        hashes = F.concat_ws("", F.transform(ordered, lambda r: r["h"]))
+        groups = level.groupBy() if last else level.groupBy(F.shiftright("k", bits).alias("g"))
+        level = groups.agg(F.sha2(hashes, 256).alias("h"), F.sum("n").alias("n"))
+        level = level if last else level.withColumnRenamed("g", "k")
+    return level.select(F.coalesce("n", F.lit(0)).alias("n"), F.col("h").alias("hash"))

@@ -81,3 +81,31 @@ def equivalence(a: Column, b: Column, kind: str) -> Column:
     read = {"text": quotable, "amount": amount, "identifier": identifier_key, "date": lambda x: read_date(x)["date"]}[kind]
     x, y = read(a), read(b)
     return F.when(a == b, "identical").when(x.isNull() | y.isNull(), None).when(x == y, "equivalent").otherwise("different")
+
+
+def order_lines(mails: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """The lines of purchase orders written as text, "1. name | qty 2 | unit USD 3.00": ``line``, ``name``, ``qty``, ``unit``."""
+    pattern = r"(?m)^[ \t]*([0-9]+)\.[ \t]*(.+?)[ \t]*\|[ \t]*qty[ \t]*([0-9,.]+)[ \t]*\|[ \t]*unit[ \t]*[A-Z]{3}[ \t]*([0-9,.]+)[ \t]*$"
+    rows = mails.select(*keep, F.explode(each_match(F.col(text), pattern, 4)).alias("m"))
+    plain = lambda x: F.regexp_replace(x, ",", "").try_cast("decimal(18,4)")
+    return rows.select(*keep, F.get("m", 0).try_cast("int").alias("line"), F.get("m", 1).alias("name"), plain(F.get("m", 2)).alias("qty"), plain(F.get("m", 3)).alias("unit"))
+
+
+def receipt_lines(mails: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """The lines of goods receipts written as text, "1. name | received 2": ``line``, ``name``, ``received``."""
+    pattern = r"(?m)^[ \t]*([0-9]+)\.[ \t]*(.+?)[ \t]*\|[ \t]*received[ \t]*([0-9,.]+)[ \t]*$"
+    rows = mails.select(*keep, F.explode(each_match(F.col(text), pattern, 3)).alias("m"))
+    return rows.select(*keep, F.get("m", 0).try_cast("int").alias("line"), F.get("m", 1).alias("name"), F.regexp_replace(F.get("m", 2), ",", "").try_cast("decimal(18,4)").alias("received"))
+
+
+def order_terms(text: Column) -> dict[str, Column]:
+    """A purchase order's ``number``, whether ``freight`` may be billed, and its ``tax`` rate; null where it does not say."""
+    freight = F.lower(F.nullif(F.regexp_extract(text, r"(?i)freight:[ \t]*([^|\n]+)", 1), F.lit("")))
+    tax = F.lower(F.trim(F.regexp_extract(text, r"(?im)^(?![ \t]*[0-9]+\.[ \t]).*\btax(?:[ \t]+rate)?[ \t]*:[ \t]*([^|\n]+)", 1)))
+    share = F.regexp_extract(tax, r"^([0-9]+(?:\.[0-9]+)?)[ \t]*%$", 1).try_cast("decimal(12,9)") / 100
+    none = tax.isin("0", "none", "exempt", "tax exempt", "tax-exempt", "no tax", "not taxable", "nontaxable", "non-taxable")
+    return {
+        "number": F.nullif(F.regexp_extract(text, r"\b(PO-[0-9]+)[ \t]*\|[ \t]*Vendor", 1), F.lit("")),
+        "freight": F.when(freight.rlike("not allowed|not permitted|no freight|included in price|vendor pays"), False).when(freight.rlike("allowed|permitted|may be added|billable|added by the vendor"), True),
+        "tax": F.when(none, 0.0).when((share >= 0) & (share <= 1), F.round(share, 9).cast("double")),
+    }
