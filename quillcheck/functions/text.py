@@ -107,3 +107,56 @@ def quotable(x: Column | str) -> Column:
 def same_set(a: Column, b: Column) -> Column:
     """Whether two arrays hold the same values."""
     return (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0)
+
+
+_BLANKS = r"[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+def spaced(x: Column | str) -> Column:
+    """Every run of blanks as one, none at the ends."""
+    return F.trim(F.regexp_replace(_col(x), _BLANKS, " "))
+
+
+def description(x: Column | str) -> Column:
+    """A description to compare: lower case, only ASCII letters, digits, underscores and single blanks."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(_col(x)), _BLANKS, " "), "[^a-z0-9_ ]", ""), " +", " "))
+
+
+#: Ligatures and the letters they stand for (fixed values of Unicode).
+LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+
+
+def canonical(x: Column | str) -> Column:
+    """A reading without the marks of its layout: soft hyphens and hyphens at line ends joined, ligatures apart, one kind of
+    dash and of each quote, three points for an ellipsis, single blanks. Composed letters are taken as they come."""
+    text = F.regexp_replace(_col(x), r"\x{ad}\s*", "")
+    for one, letters in LIGATURES.items():
+        text = F.replace(text, F.lit(one), F.lit(letters))
+    text = F.translate(text, "‐‑‒–—―−‘’‚‛′“”„‟″", "-" * 7 + "'" * 5 + '"' * 5)
+    text = F.regexp_replace(text, r"(?<=\p{L})-[ \t]*\r?\n[ \t\r\n]*(?=\p{Ll})", "")
+    return spaced(F.replace(text, F.lit("…"), F.lit("...")))
+
+
+def label_line(x: Column | str, labels: tuple[str, ...]) -> Column:
+    """The first line that a label heads, as (line from 1, label, text); null if none.
+
+    Case and runs of blanks do not count. No letter or digit may follow the label at once, and a line that goes on with a
+    word in lower case and holds no digit after the label is a heading, not a row. Of labels that head one line the first
+    given is taken.
+    """
+    lines = F.transform(F.split(_col(x), "\r?\n"), lambda l, i: F.struct((i + 1).alias("line"), spaced(l).alias("text")))
+
+    def headed(l: Column, label: str) -> Column:
+        rest = F.substring(l, F.lit(len(label) + 1), F.length(l))
+        return F.lower(l).startswith(label) & ~rest.rlike(r"^[\p{L}\p{N}]") & ~(F.trim(rest).rlike(r"^\p{Ll}+( |$)") & ~rest.rlike(r"\p{N}"))
+
+    wanted = [" ".join(label.split()).lower() for label in labels]
+    name = lambda l: F.coalesce(*[F.when(headed(l, label), label) for label in wanted])
+    found = F.transform(lines, lambda r: F.struct(r["line"].alias("line"), name(r["text"]).alias("label"), r["text"].alias("text")))
+    return F.get(F.filter(found, lambda r: r["label"].isNotNull()), 0)
+
+
+def raw_line(x: Column | str, raw: Column) -> Column:
+    """The number of the first line that holds a value as reported, blanks collapsed in both; null if none or under two characters."""
+    place = F.array_position(F.transform(F.split(_col(x), "\r?\n"), lambda l: F.contains(spaced(l), spaced(raw))), True)
+    return F.when(F.length(spaced(raw)) >= 2, F.nullif(place, F.lit(0)))

@@ -133,3 +133,23 @@ def fingerprint(rows: DataFrame, key: str, row: Column, bits: int = 12) -> DataF
         level = groups.agg(F.sha2(hashes, 256).alias("h"), F.sum("n").alias("n"))
         level = level if last else level.withColumnRenamed("g", "k")
     return level.select(F.coalesce("n", F.lit(0)).alias("n"), F.col("h").alias("hash"))
+
+
+def bottom_k(refs: DataFrame, ref: str, seed: str, k: int) -> DataFrame:
+    """``k`` references drawn by a seed: those whose hash with it is smallest, in that order (``rank`` from 1). Equal
+    references draw once, null ones never; each task keeps k of its own, so nothing is ranked whole."""
+    hashed = F.sha2(F.concat_ws(":", F.lit(seed), F.col(ref).cast("string")), 256)
+    drawn = refs.select(ref).where(F.col(ref).isNotNull()).distinct().withColumn("h", hashed).orderBy("h").limit(k)
+    ranked = drawn.groupBy().agg(F.array_sort(F.collect_list(F.struct("h", ref))).alias("all")).select(F.posexplode("all").alias("p", "r"))
+    return ranked.select((F.col("p") + 1).alias("rank"), F.col(f"r.{ref}").alias(ref))
+
+
+def schedules(keys: Column, count: int, seed: Column) -> Column:
+    """Orders in which to show some options: as given, reversed, then shuffles by hash with the seed and a number; each order
+    once, so few options give fewer than ``count``."""
+
+    def shuffle(n: int) -> Column:
+        hashed = F.transform(keys, lambda k: F.struct(F.md5(F.concat_ws(":", seed, F.lit(str(n)), k.cast("string"))).alias("h"), k.alias("k")))
+        return F.transform(F.array_sort(hashed), lambda r: r["k"])
+
+    return F.array_distinct(F.array(*[keys, F.reverse(keys), *[shuffle(n) for n in range(2, count)]][:count]))
