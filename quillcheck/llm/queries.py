@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..tables import table
-from . import bpe, fingerprints, hostrules, langid, linededup, mixing, quality, simhash, substrings, tokens
+from . import bpe, decontaminate, fingerprints, hostrules, langid, linededup, mixing, quality, simhash, spelling, substrings, tokens, whitening
 
 
 def vocabulary(name: str) -> str:
@@ -64,6 +64,18 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_fingerprints,
@@ -76,9 +88,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_quality,
         op9_byte_bpe,
         op10_language,
+        op11_decontamination,
+        op12_whitening,
+        op13_spelling,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixture": mixing.SQL, "op6_host_rules": hostrules.SQL, "op7_line_dedup": linededup.SQL}
+    return {
+        "op4_mixture": mixing.SQL,
+        "op6_host_rules": hostrules.SQL,
+        "op7_line_dedup": linededup.SQL,
+        "op11_decontamination": decontaminate.SQL,
+    }

@@ -56,13 +56,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
     return _hashes(data, offsets, lower)
 
 
-def _hashes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    global _UP, _DOWN
+def word_spans(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of the words of texts laid end to end; ``apart`` says of each byte whether it parts words."""
     n = len(data)
-    if n + 1 > len(_UP):
-        _UP, _DOWN = powers(_BASE, n + 1), powers(_BACK, n + 1)
     gap = np.empty(n + 1, bool)
-    gap[:n] = _BLANK[data]
+    gap[:n] = apart[data]
     gap[n] = True
     before = np.empty(n, bool)
     before[1:] = gap[: n - 1]
@@ -72,11 +70,23 @@ def _hashes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndar
     after = gap[1:].copy()
     last = offsets[1:] - 1
     after[last[(last >= 0) & (last < n)]] = True
-    end = np.flatnonzero(after & ~gap[:n]) + 1
+    return start, np.flatnonzero(after & ~gap[:n]) + 1
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = True) -> np.ndarray:
+    """Hashes of the bytes [start, end), lower-cased in A-Z if asked."""
+    global _UP, _DOWN
+    n = len(data)
+    if n + 1 > len(_UP):
+        _UP, _DOWN = powers(_BASE, n + 1), powers(_BACK, n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(BYTES[_LOWER[data] if lower else data] * _UP[:n], out=sums[1:])
-    hashes = mixed((sums[end] - sums[start]) * _DOWN[start])
-    return hashes, np.searchsorted(start, offsets)
+    return mixed((sums[end] - sums[start]) * _DOWN[start])
+
+
+def _hashes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    start, end = word_spans(data, offsets)
+    return span_hashes(data, start, end, lower), np.searchsorted(start, offsets)
 
 
 def shingle_hashes(words: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
