@@ -41,12 +41,11 @@ STARTS, GROUP_BYTES = 100_000, 8 << 20
 #: An anchor with HOT_CONTEXTS or more contexts in a sample of one in HOT_SHARE rows is hot; at most HOT are so named.
 HOT, HOT_SHARE, HOT_CONTEXTS = 4096, 64, 16
 
-# A position is one long: done (1 bit) | hot (1) | unused (4) | salt (18) | first start (32) | starts less 1 (7).
-_START, _SALT, _HOT, _DONE = 7, 39, 61, 62
+# A text is two longs, o (its id) and k (a hash of it). A run is one: done (1 bit) | hot (1) | first start (32) | starts less 1 (7).
+_START, _HOT, _DONE = 7, 61, 62
 _MORE = (1 << _START) - 1
 #: Stands for a null id, before all others.
 _NULL_ID = -(2**63)
-_OWNER = ((1 << 18) - 1) << _SALT
 
 
 def _block_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,15 +111,20 @@ def _blocks(part: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
         yield data, offsets[1:][row], row, 0
 
 
-def _local_first(keys: tuple[np.ndarray, ...], doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _apart(position: tuple[np.ndarray, ...], lead: np.ndarray) -> np.ndarray:
+    """Where a row's position (o, k, p) is another than its lead's."""
+    o, k, p = position
+    return (o != o[lead]) | (k != k[lead]) | (p != p[lead])
+
+
+def _local_first(keys: tuple[np.ndarray, ...], position: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Order by keys and position, and where in it a row has an earlier one with equal keys."""
-    order = np.lexsort((place, doc, *keys[::-1]))
+    order = np.lexsort((*position[::-1], *keys[::-1]))
     new = np.ones(len(order), bool)
     if len(order):
         new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
     lead = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-    doc, place = doc[order], place[order]
-    return order, (doc != doc[lead]) | (place != place[lead])
+    return order, _apart(tuple(x[order] for x in position), lead)
 
 
 def _dealt(keys: np.ndarray, done: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -128,6 +132,10 @@ def _dealt(keys: np.ndarray, done: np.ndarray, place: np.ndarray) -> np.ndarray:
     return np.where(done, mixed(place.view(np.uint64) ^ keys), keys)
 
 
+def _positions(o: np.ndarray, k: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
+    return _rows(o=o, k=k, p=p)
+
+
 def _rows(**columns: np.ndarray) -> pa.RecordBatch:
     arrays = [pa.array(v.view(np.int64) if v.dtype == np.uint64 else v) for v in columns.values()]
     return pa.RecordBatch.from_arrays(arrays, list(columns))
@@ -136,17 +144,16 @@ def _rows(**columns: np.ndarray) -> pa.RecordBatch:
 def _find_anchors(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """All anchors with their runs. Those of ``hot`` are dealt by their contexts too, as no task should have all of one."""
     for part in chunks(batches, "text"):
-        docs = part.column("o").to_numpy(zero_copy_only=False)
-        salts = part.column("salt").to_numpy(zero_copy_only=False)
+        ids, hashes = (part.column(c).to_numpy(zero_copy_only=False) for c in "ok")
         for data, ends, row, shift in _blocks(part):
             anchor, context, lo, more = anchors(data, ends)
-            doc = docs[row[lo]]
+            o, k = ids[row[lo]], hashes[row[lo]]
             is_hot = np.isin(anchor, hot)
-            place = salts[row[lo]] << _SALT | _relative(lo, part, shift) << _START | more | is_hot.astype(np.int64) << _HOT
-            order, again = _local_first((anchor, context), doc, place)
+            place = _relative(lo, part, shift) << _START | more | is_hot.astype(np.int64) << _HOT
+            order, again = _local_first((anchor, context), (o, k, place))
             place = place[order] | (again.astype(np.int64) << _DONE)
             key = np.where(is_hot, mixed(anchor ^ mixed(context)), anchor)[order]
-            yield _rows(a=_dealt(key, again, place), c=context[order], o=doc[order], p=place)
+            yield _rows(a=_dealt(key, again, place), c=context[order], o=o[order], k=k[order], p=place)
 
 
 def hot_anchors(rows: DataFrame) -> np.ndarray:
@@ -178,12 +185,12 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     however large a group is."""
     held = None  # keys of the last row, its context's first position, its anchor's first open row, whether it has several
     for batch in batches:
-        done = batch.column("p").to_numpy(zero_copy_only=False) >> _DONE & 1 == 1
-        all_o, all_p = (batch.column(c).to_numpy(zero_copy_only=False) for c in "op")
+        position = [batch.column(c).to_numpy(zero_copy_only=False) for c in "okp"]
+        done = position[2] >> _DONE & 1 == 1
         if done.any():
-            yield _rows(o=all_o[done], p=all_p[done])
-        anchor, context = (batch.column(k).to_numpy(zero_copy_only=False)[~done] for k in "ac")
-        o, p = all_o[~done], all_p[~done]
+            yield _positions(*(x[done] for x in position))
+        anchor, context = (batch.column(c).to_numpy(zero_copy_only=False)[~done] for c in "ac")
+        o, k, p = (x[~done] for x in position)
         n = len(o)
         if not n:
             continue
@@ -195,11 +202,11 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new_anchor[0] = anchor[0] != held["keys"][0]
             new_context[0] = (anchor[0], context[0]) != held["keys"]
         lead = np.maximum.accumulate(np.where(new_context, np.arange(n), -1))
-        lead_o = np.where(lead >= 0, o[lead], held["first"][0] if held else 0)
-        lead_p = np.where(lead >= 0, p[lead], held["first"][1] if held else 0)
-        again = ~new_context & ((o != lead_o) | (p != lead_p))
+        before = held["first"] if held else (0, 0, 0)
+        lead_o, lead_k, lead_p = (np.where(lead >= 0, x[lead], y) for x, y in zip((o, k, p), before))
+        again = ~new_context & ((o != lead_o) | (k != lead_k) | (p != lead_p))
         if again.any():
-            yield _rows(o=o[again], p=p[again] | np.int64(1 << _DONE))
+            yield _positions(o[again], k[again], p[again] | np.int64(1 << _DONE))
         group = np.cumsum(new_anchor)  # 0: that of the held row
         contexts = np.bincount(group, weights=new_context, minlength=group[-1] + 1)
         several = contexts > 1
@@ -208,19 +215,19 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if carried:
             several[0] = held["several"] or contexts[0] > 0
             if several[0] and not held["several"]:
-                yield _rows(o=np.array([held["open"][0]]), p=np.array([held["open"][1]]))
+                yield _positions(*(np.array([x]) for x in held["open"]))
         open_ = new_context & several[group]
         if open_.any():
-            yield _rows(o=o[open_], p=p[open_])
+            yield _positions(o[open_], k[open_], p[open_])
         last = group[-1]
         if carried and last == 0:
             first_open = held["open"]
         else:
-            k = int(np.flatnonzero(group == last)[0])
-            first_open = (int(o[k]), int(p[k]))
+            at = int(np.flatnonzero(group == last)[0])
+            first_open = (int(o[at]), int(k[at]), int(p[at]))
         held = {
             "keys": (anchor[-1], context[-1]),
-            "first": (int(lead_o[-1]), int(lead_p[-1])),
+            "first": (int(lead_o[-1]), int(lead_k[-1]), int(lead_p[-1])),
             "open": first_open,
             "several": bool(several[last]),
         }
@@ -231,7 +238,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=1)
     for part in chunks(batches, "text"):
         packed = [press.compress(x.as_buffer()) for x in part.column("text")]
-        yield pa.RecordBatch.from_arrays([part.column("o"), part.column("salt"), pa.array(packed, pa.binary())], ["o", "salt", "z"])
+        yield pa.RecordBatch.from_arrays([part.column("o"), part.column("k"), pa.array(packed, pa.binary())], ["o", "k", "z"])
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, bytes]]:
@@ -264,33 +271,36 @@ def _windows(data: np.ndarray, start: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, LENGTH)[start]).view(f"S{LENGTH}").ravel()
 
 
-def _string_rows(o: np.ndarray, p: np.ndarray, data: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+def _string_rows(o: np.ndarray, k: np.ndarray, p: np.ndarray, data: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
     """Rows of single strings, dealt by their hash. Of equal ones the first goes on; the others are done."""
     sums, down = _block_sums(data)
     hashes = mixed((sums[start + LENGTH] - sums[start]) * down[start])
     values = _windows(data, start)
-    order = np.lexsort((p & ~np.int64(_MORE), o, hashes))
-    hashes, values, o, p, start = hashes[order], values[order], o[order], p[order], start[order]
+    order = np.lexsort((p & ~np.int64(_MORE), k, o, hashes))
+    hashes, values, o, k, p, start = (x[order] for x in (hashes, values, o, k, p, start))
     new = np.ones(len(o), bool)
     new[1:] = values[1:] != values[:-1]
     lead = np.maximum.accumulate(np.where(new, np.arange(len(o)), 0))
-    again = (o != o[lead]) | (p != p[lead])
+    again = _apart((o, k, p), lead)
     p = p | (again.astype(np.int64) << _DONE)
     key = _dealt(hashes, again, p).view(np.int64)
-    w = _binary(data, start, np.where(again, 0, LENGTH))
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(o), pa.array(p), w], ["a", "o", "p", "w"])
+    return _with_bytes(key, o, k, p, _binary(data, start, np.where(again, 0, LENGTH)))
+
+
+def _with_bytes(a: np.ndarray, o: np.ndarray, k: np.ndarray, p: np.ndarray, w: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(pa.array(x) for x in (a, o, k, p)), w], ["a", "o", "k", "p", "w"])
 
 
 def _find_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Open runs with their anchor and bytes; those of hot anchors string by string."""
     held, size = [], 0  # strings of hot anchors of some texts, so that what these share is sent on once
-    for part, k, text in _unpacked(batches):
-        runs = part.column("runs")[k].values.to_numpy(zero_copy_only=False)
+    for part, row, text in _unpacked(batches):
+        runs = part.column("runs")[row].values.to_numpy(zero_copy_only=False)
         runs = runs[runs >> _DONE & 1 == 0]
         if not len(runs):
             continue
         data = np.frombuffer(text, np.uint8)
-        doc = part.column("o")[k].as_py()
+        own = [part.column(c)[row].as_py() for c in "ok"]
         runs = runs[np.argsort(runs >> _START & 0xFFFFFFFF, kind="stable")]
         lo, more = runs >> _START & 0xFFFFFFFF, runs & _MORE
         for base in range(0, len(data), BLOCK):
@@ -303,11 +313,10 @@ def _find_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 best = np.argmin(grams[inside] & ~_PLACE, axis=1)
                 anchor = grams[inside[np.arange(len(best)), best]].view(np.int64)
                 w = _binary(block, lo[cold] - base, more[cold] + LENGTH)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(np.full(len(best), doc)), pa.array(runs[cold]), w], ["a", "o", "p", "w"])
+                yield _with_bytes(anchor, *(np.full(len(best), x) for x in own), runs[cold], w)
             if hot.any():
                 start = np.repeat(lo[hot], more[hot] + 1) + _within(more[hot] + 1)
-                p = (runs[hot][0] & (_OWNER | 1 << _HOT)) | start << _START
-                held.append((np.full(len(start), doc), p, block, start - base))
+                held.append((*(np.full(len(start), x) for x in own), start << _START | 1 << _HOT, block, start - base))
                 size += len(block) + 100 * len(start)
                 if size > GROUP_BYTES:
                     yield _joined_strings(held)
@@ -317,9 +326,9 @@ def _find_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _joined_strings(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    shifts = np.cumsum([0, *[len(x[2]) for x in held]])
-    start = np.concatenate([x[3] + s for x, s in zip(held, shifts)])
-    return _string_rows(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held]), start)
+    shifts = np.cumsum([0, *[len(x[3]) for x in held]])
+    start = np.concatenate([x[4] + s for x, s in zip(held, shifts)])
+    return _string_rows(*(np.concatenate([x[c] for x in held]) for c in range(4)), start)
 
 
 def smaller_neighbours(position: list[int], joined: list[bool]) -> tuple[list[int], list[int]]:
@@ -338,8 +347,8 @@ def smaller_neighbours(position: list[int], joined: list[bool]) -> tuple[list[in
     return before, after
 
 
-def repeated_starts(o: np.ndarray, p: np.ndarray, data: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Positions (one long each) of the runs of starts whose LPF among these runs is LENGTH or more.
+def repeated_starts(o: np.ndarray, k: np.ndarray, p: np.ndarray, data: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Positions (o, k, p) of the runs of starts whose LPF among these runs is LENGTH or more.
 
     ``begin`` is where a run's bytes lie in ``data``. Starts are ordered by their suffixes as far as LENGTH bytes; the
     previous and next smaller positions of a stretch that shares them are its earlier matches.
@@ -353,16 +362,16 @@ def repeated_starts(o: np.ndarray, p: np.ndarray, data: np.ndarray, begin: np.nd
     joined[1:-1] = values[order[1:]] == values[order[:-1]]
     paired = joined[:-1] | joined[1:]  # the others have an LPF under LENGTH
     order, joined = order[paired], joined[:-1][paired]
-    place = (p[run] & _OWNER) | (p[run] >> _START & 0xFFFFFFFF) + at << _START
+    place = (p[run] >> _START & 0xFFFFFFFF) + at << _START
     rank = np.empty(len(place), np.int64)
-    rank[np.lexsort((place, o[run]))] = np.arange(len(place))
+    rank[np.lexsort((place, k[run], o[run]))] = np.arange(len(place))
     before, after = smaller_neighbours(rank[order].tolist(), joined.tolist())
     late = np.zeros(len(place) + 1, bool)
     late[order[(np.array(before, np.int64) >= 0) | (np.array(after, np.int64) >= 0)]] = True
     first = late[:-1] & ~(np.concatenate([[False], late[:-2]]) & (at > 0))
     first = np.flatnonzero(first)
     last = np.flatnonzero(late[:-1] & ~(late[1:] & np.append(run[1:] == run[:-1], False)))
-    return np.stack([o[run[first]], place[first] | (last - first) | 1 << _DONE])
+    return np.stack([o[run[first]], k[run[first]], place[first] | (last - first) | 1 << _DONE])
 
 
 def _factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,14 +380,14 @@ def _factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def settled(rows: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         if rows:
-            o, p, data, size = (np.concatenate(x) for x in zip(*rows))
-            yield _passed(*repeated_starts(o, p, data, np.cumsum(size) - size))
+            o, k, p, data, size = (np.concatenate(x) for x in zip(*rows))
+            yield _passed(*repeated_starts(o, k, p, data, np.cumsum(size) - size))
 
     whole, starts = [], 0  # runs of complete groups
     group, size, key, large = [], 0, None, False  # runs of the group that is being read
     last = None
     for batch in batches:
-        a, o, p = (batch.column(c).to_numpy(zero_copy_only=False) for c in "aop")
+        a, o, k, p = (batch.column(c).to_numpy(zero_copy_only=False) for c in "aokp")
         data, offsets = flat_binary(batch.column("w"))
         single = (p >> _DONE & 1 == 1) | (p >> _HOT & 1 == 1)
         if single.any():
@@ -387,49 +396,49 @@ def _factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(rows):
             continue
         same = np.zeros(len(rows), bool)  # a row that is there twice counts once
-        same[1:] = (o[rows[1:]] == o[rows[:-1]]) & (p[rows[1:]] == p[rows[:-1]])
-        same[0] = last == (o[rows[0]], p[rows[0]])
-        last = (o[rows[-1]], p[rows[-1]])
+        same[1:] = ~_apart((o[rows], k[rows], p[rows]), np.arange(len(rows)) - 1)[1:]
+        same[0] = last == (o[rows[0]], k[rows[0]], p[rows[0]])
+        last = (o[rows[-1]], k[rows[-1]], p[rows[-1]])
         rows = rows[~same]
         edges = np.flatnonzero(np.append(True, a[rows[1:]] != a[rows[:-1]])) if len(rows) else ()
         for i, j in zip(edges, [*edges[1:], len(rows)]):
             mine = rows[i:j]
             if key is None or a[mine[0]] != key:
                 whole.extend(group)
-                starts += sum(int((x[1] & _MORE).sum()) + len(x[1]) for x in group)
+                starts += sum(int((x[2] & _MORE).sum()) + len(x[2]) for x in group)
                 if starts > STARTS:
                     yield from settled(whole)
                     whole, starts = [], 0
                 group, size, key, large = [], 0, a[mine[0]], False
             sizes = offsets[mine + 1] - offsets[mine]
             piece = data[np.repeat(offsets[mine], sizes) + _within(sizes)]
-            group.append((o[mine], p[mine], piece, sizes))
+            group.append((o[mine], k[mine], p[mine], piece, sizes))
             size += len(piece)
             large = large or size > GROUP_BYTES
             if large:
-                go, gp, gdata, gsize = (np.concatenate(x) for x in zip(*group))
+                go, gk, gp, gdata, gsize = (np.concatenate(x) for x in zip(*group))
                 count = (gp & _MORE) + 1
                 run, at = np.repeat(np.arange(len(gp)), count), _within(count)
-                place = (gp[run] & _OWNER) | (gp[run] >> _START & 0xFFFFFFFF) + at << _START
-                yield _string_rows(go[run], place, gdata, (np.cumsum(gsize) - gsize)[run] + at)
+                place = (gp[run] >> _START & 0xFFFFFFFF) + at << _START
+                yield _string_rows(go[run], gk[run], place, gdata, (np.cumsum(gsize) - gsize)[run] + at)
                 group = []
     yield from settled(whole + group)
 
 
-def _passed(o: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
+def _passed(o: np.ndarray, k: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
     none = pa.array([b""] * len(o), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(mixed(p.view(np.uint64)).view(np.int64)), pa.array(o), pa.array(p), none], ["a", "o", "p", "w"])
+    return _with_bytes(mixed(p.view(np.uint64) ^ k.view(np.uint64)).view(np.int64), o, k, p, none)
 
 
 def _same_before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From strings in the order of their hash, bytes and position: those done. Keeps one row between batches."""
     held = None  # the last string, and the position of the first equal to it
     for batch in batches:
-        o, p = (batch.column(c).to_numpy(zero_copy_only=False) for c in "op")
-        done = p >> _DONE & 1 == 1
+        position = [batch.column(c).to_numpy(zero_copy_only=False) for c in "okp"]
+        done = position[2] >> _DONE & 1 == 1
         if done.any():
-            yield _rows(o=o[done], p=p[done])
-        o, p = o[~done], p[~done]
+            yield _positions(*(x[done] for x in position))
+        o, k, p = (x[~done] for x in position)
         if not len(o):
             continue
         data, offsets = flat_binary(batch.column("w"))
@@ -438,12 +447,11 @@ def _same_before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new[1:] = values[1:] != values[:-1]
         new[0] = held is None or values[0] != held[0]
         lead = np.maximum.accumulate(np.where(new, np.arange(len(o)), -1))
-        lead_o = np.where(lead >= 0, o[lead], held[1] if held else 0)
-        lead_p = np.where(lead >= 0, p[lead], held[2] if held else 0)
-        again = (o != lead_o) | (p != lead_p)
+        lead_o, lead_k, lead_p = (np.where(lead >= 0, x[lead], y) for x, y in zip((o, k, p), held[1] if held else (0, 0, 0)))
+        again = (o != lead_o) | (k != lead_k) | (p != lead_p)
         if again.any():
-            yield _rows(o=o[again], p=p[again] | np.int64(1 << _DONE))
-        held = values[-1], int(lead_o[-1]), int(lead_p[-1])
+            yield _positions(o[again], k[again], p[again] | np.int64(1 << _DONE))
+        held = values[-1], (int(lead_o[-1]), int(lead_k[-1]), int(lead_p[-1]))
 
 
 def removed_runs(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -484,34 +492,31 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeat as a whole are told by two 64-bit hashes (of the anchor and of all bytes), strings by their bytes.
 
     Null text counts as empty. Rows equal in id and text count as one and get the same result; rows that share the id
-    only are ordered by, and told apart by, 18 bits of a hash of the text. A null id comes first. Ids are whole
-    numbers over -2^63.
+    only are ordered by, and told apart by, a 64-bit hash of the text, which goes along with every run. A null id comes
+    first. Ids are whole numbers over -2^63.
     Other columns are ignored. No rows give no rows. A text of 4 GB or more is not supported.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     kind = docs.schema[id_col].dataType.simpleString()
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID))
     count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shared = docs.groupBy(order.alias("o")).count().where("count > 1").limit(1)
-    salt = F.lit(0) if shared.isEmpty() else F.xxhash64(text).bitwiseAND(F.lit((1 << 18) - 1))
-    rows = docs.select(order.alias("o"), salt.cast("long").alias("salt"), text.alias("text"))
+    rows = docs.select(order.alias("o"), F.xxhash64(text).alias("k"), text.alias("text"))
 
     hot = hot_anchors(rows)
-    found = rows.mapInArrow(lambda x: _find_anchors(x, hot), "a long, c long, o long, p long")
-    found = found.repartition(count, "a").sortWithinPartitions("a", "c", "o", "p")
-    settled = found.mapInArrow(_settle, "o long, p long")
-    owner = F.shiftright(F.col("p").bitwiseAND(F.lit(_OWNER)), _SALT).alias("salt")
-    runs = settled.groupBy("o", owner).agg(F.collect_list("p").alias("runs"))
+    found = rows.mapInArrow(lambda x: _find_anchors(x, hot), "a long, c long, o long, k long, p long")
+    found = found.repartition(count, "a").sortWithinPartitions("a", "c", "o", "k", "p")
+    settled = found.mapInArrow(_settle, "o long, k long, p long")
+    runs = settled.groupBy("o", "k").agg(F.collect_set("p").alias("runs"))
 
     # Both uses of the joined rows have the same exchanges below, so texts and runs are shuffled once.
-    packed = rows.mapInArrow(_pack, "o long, salt long, z binary").where("o is not null and salt is not null")
-    rows = packed.join(runs, ["o", "salt"], "left")
+    packed = rows.mapInArrow(_pack, "o long, k long, z binary").where("o is not null and k is not null")
+    rows = packed.join(runs, ["o", "k"], "left")
     open_ = rows.where(F.exists("runs", lambda p: p < F.lit(1 << _DONE)))
-    late = open_.mapInArrow(_find_suffixes, "a long, o long, p long, w binary")
-    late = late.repartition(count, "a").sortWithinPartitions("a", "w", "o", "p").mapInArrow(_factors, late.schema)
-    late = late.repartition(count, "a").sortWithinPartitions("a", "w", "o", "p").mapInArrow(_same_before, "o long, p long")
-    late = late.groupBy("o", owner).agg(F.collect_list("p").alias("late"))
-    rows = rows.join(late, ["o", "salt"], "left").select("o", "z", "runs", "late")
+    late = open_.mapInArrow(_find_suffixes, "a long, o long, k long, p long, w binary")
+    late = late.repartition(count, "a").sortWithinPartitions("a", "w", "o", "k", "p").mapInArrow(_factors, late.schema)
+    late = late.repartition(count, "a").sortWithinPartitions("a", "w", "o", "k", "p").mapInArrow(_same_before, "o long, k long, p long")
+    late = late.groupBy("o", "k").agg(F.collect_set("p").alias("late"))
+    rows = rows.join(late, ["o", "k"], "left").select("o", "z", "runs", "late")
     out = rows.mapInArrow(_remove, "o long, n_bytes long, n_removed long, n_spans long, kept binary")
     id_ = F.nullif("o", F.lit(_NULL_ID)).cast(kind).alias(id_col)
     return out.select(id_, "n_bytes", "n_removed", "n_spans", "kept")

@@ -61,7 +61,7 @@ def test_against_brute_force(spark):
 
 def test_hot_and_large_groups(spark, monkeypatch):
     values = repeated(4, 40)
-    rows = documents(spark, values).selectExpr("doc_id AS o", "0L AS salt", "text")
+    rows = documents(spark, values).selectExpr("doc_id AS o", "0L AS k", "text")
     monkeypatch.setattr(substrings, "HOT_SHARE", 1)
     monkeypatch.setattr(substrings, "HOT_CONTEXTS", 2)
     assert len(substrings.hot_anchors(rows)) > 5  # all of several contexts
@@ -114,3 +114,24 @@ def test_edges(spark):
     twice = sorted(map(tuple, substrings.repeat_report(docs.union(docs)).collect()))
     assert twice == sorted(once + once)  # rows equal in id and text are one text
     assert substrings.repeat_report(docs.withColumn("doc_id", F.lit(None).cast("long"))).count() == 12
+
+
+def by_position(spark, rows):
+    """What loops remove from (id, text) rows, in the order of ids (null first) and of the hash of the text, per row."""
+    schema = "doc_id long, text string"
+    keyed = spark.createDataFrame(rows, schema).distinct().withColumn("k", F.xxhash64(F.coalesce("text", F.lit(""))))
+    keyed = sorted(map(tuple, keyed.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[2]))
+    want = dict(zip([(r[0], r[1]) for r in keyed], brute([r[1] for r in keyed])))
+    found = substrings.repeat_report(spark.createDataFrame(rows, schema).repartition(7)).collect()
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found), key=repr)
+    assert got == sorted(((k, *want[k, t]) for k, t in rows), key=repr)
+
+
+def test_null_and_repeated_ids(spark):
+    values = repeated(9, 80)
+    by_position(spark, [(None if k % 3 == 0 else k % 7, v) for k, v in enumerate(values)])
+    by_position(spark, [(None, v) for v in values + values[:20]])
+    rng = random.Random(10)
+    block = "".join(rng.choices("abcdefgh", k=150))
+    made = lambda: "".join(rng.choices("ijklmnop", k=200)) + block + "".join(rng.choices("ijklmnop", k=200))
+    by_position(spark, [(None, made()) for _ in range(3000)])
