@@ -10,6 +10,9 @@ from ..session import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 _MINE = ("_size", "_source", "_class", "_slice", "_key")
+#: Rows of one source and size that a task orders, about; more are dealt by the digits of their hashes.
+SLICE = 65_536
+_IN_PARTITION = (1 << 33) - 1
 
 
 def _named(text: Column) -> Column:
@@ -18,12 +21,10 @@ def _named(text: Column) -> Column:
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, extra: list[str]) -> DataFrame:
-    """Each document with its size and stratum: source, size class (a quarter of a binary order), slice of its id's hash."""
+    """Each document with its source, size and the hash of its id."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    rows = docs.select(*extra, _named(F.col(source_col)).alias("_source"), size.alias("_size"), key.alias("_key"))
-    size_class = F.when(F.col("_size") > 0, F.floor(F.log2(F.col("_size")) * 4 + 1e-9)).otherwise(-1)
-    return rows.withColumns({"_class": size_class.cast("int"), "_slice": F.substring("_key", 1, 2)})
+    return docs.select(*extra, _named(F.col(source_col)).alias("_source"), size.alias("_size"), key.alias("_key"))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
@@ -31,21 +32,34 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
 
     ``sizes`` has one row per source (_source, source_size). The sources in order weigh as ``weights`` repeats and share
     all words; a target stops at cap times its source's size and the excess goes to the others by weight. The fixed
-    point is min(cap * size, weight * level) with one level for all, found by walking the sources from the one that
-    stops first.
+    point is min(cap * size, weight * level) with one level for all. It is found from below: sums over the sources give a
+    level, the sources that stop under it give the next one, until none stops any more. Sources are sorted over all
+    tasks; a place is one's number in its part and the rows of the parts before, of which only counts come to the driver.
     """
-    place = F.row_number().over(W.orderBy("_source"))
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (place - 1) % len(weights) + 1)
-    rows = sizes.withColumn("_weight", weight.cast("long")).withColumn("_cap", F.col("source_size") * cap)
-    order = W.orderBy(F.col("_cap") / F.col("_weight"), "_source")
-    before, after = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(0, W.unboundedFollowing)
-    every = W.partitionBy().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    left = F.sum("source_size").over(every) - F.coalesce(F.sum("_cap").over(before), F.lit(0))
-    rows = rows.withColumn("_level", left / F.sum("_weight").over(after))
-    rows = rows.withColumn("_open", F.col("_cap") / F.col("_weight") >= F.col("_level"))
-    first = F.min(F.when(F.col("_open"), F.struct(F.col("_cap") / F.col("_weight"), "_source", "_level"))).over(every)
-    target = F.least(F.col("_cap").cast("double"), F.col("_weight") * first["_level"])
-    return rows.select("_source", "source_size", F.coalesce(target, F.col("_cap").cast("double")).alias("target"))
+    number = F.monotonically_increasing_id()
+    rows = sizes.orderBy("_source").select("_source", "source_size", F.shiftright(number, 33).alias("_part"), number.bitwiseAND(F.lit(_IN_PARTITION)).alias("_at"))
+    rows = cut(rows)
+    before, total = [], 0
+    for part, n in sorted(map(tuple, rows.groupBy("_part").count().collect())):
+        before += [F.lit(part), F.lit(total)]
+        total += n
+    place = F.col("_at") + (F.element_at(F.create_map(*before), F.col("_part")) if before else 0)
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (place % len(weights) + 1).cast("int"))
+    rows = rows.select("_source", "source_size", weight.cast("long").alias("_weight"), (F.col("source_size") * cap).alias("_cap"))
+    rows = cut(rows.withColumn("_stops", F.col("_cap") / F.col("_weight")))
+    level, last = None, -1.0
+    while level != last:
+        open_ = F.lit(True) if level is None else F.col("_stops") >= F.lit(level)
+        sums = rows.agg(F.sum("source_size").alias("all"), F.sum(F.when(open_, 0).otherwise(F.col("_cap"))).alias("stopped"), F.sum(F.when(open_, F.col("_weight"))).alias("weight")).first()
+        last, level = level, float((sums["all"] or 0) - (sums["stopped"] or 0)) / float(sums["weight"] or 1)
+    target = F.least(F.col("_cap").cast("double"), F.col("_weight") * F.lit(level))
+    return rows.select("_source", "source_size", target.alias("target"))
+
+
+def _before(n: str, within: list[str], order: str) -> Column:
+    """Sum of n over the rows that come before in the order."""
+    window = W.partitionBy(*within).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    return F.coalesce(F.sum(n).over(window), F.lit(0))
 
 
 def mix(
@@ -57,33 +71,53 @@ def mix(
     weights: tuple[int, ...] = (1, 2, 3),
     cap: int = 3,
     seed: int = 42,
+    slice_rows: int = SLICE,
 ) -> DataFrame:
     """The columns ``keep`` of every document with size, source_size, target and copies.
 
     Every document of a source expects target / source_size copies. The expected copies are summed along the source,
-    ordered by size class, a slice of the id's hash, size and the hash, one offset per source drawn from the seed is
-    added, and a document is taken once for each integer that its share of the sum crosses. As sizes go along with the
-    order, the words taken stay near the target; as a target is at most cap times its source, a document is taken at
-    most cap times. The places come from counts per stratum (source, size class, slice) and places inside strata, so
-    that no task needs a whole source. The strata table is stored, as both the targets and the places read it.
+    in the order of size and of the id's hash, one offset per source drawn from the seed is added, and a document is taken
+    once for each integer that its share of the sum crosses. As sizes rise along the order, each document taken stands
+    for those right before or after it, so a source's words are off its target by less than its largest document; as a
+    target is at most cap times its source, a document is taken at most cap times.
+
+    No task needs a whole source: a place is the rows of smaller size classes, of smaller sizes in the class, of earlier
+    slices of the size, and the place in the slice. Slices are digits of the hash, as many as leave about ``slice_rows``
+    rows of one source and size in each. Sizes and hashes are stored once, without texts.
 
     Null text has size 0; a null source is a source of its own, the last. A source without words has target 0 and none
     of its documents is taken. Repeated rows are sampled as rows of their own. No rows give no rows. Reruns agree:
     rows that tie in all of the order are alike in size, and if their ids differ their hashes do.
     """
     extra = [c for c in dict.fromkeys(keep) if c not in _MINE]
-    strata = _sized(docs, id_col, text_col, source_col, []).groupBy("_source", "_class", "_slice")
-    strata = cut(strata.agg(F.count("*").alias("_n"), F.sum("_size").alias("_words")))
-    targets = source_targets(strata.groupBy("_source").agg(F.sum("_words").alias("source_size")), weights, cap)
-    before = W.partitionBy("_source").orderBy("_class", "_slice").rowsBetween(W.unboundedPreceding, -1)
-    strata = strata.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).join(targets, "_source")
-    inside = W.partitionBy("_source", "_class", "_slice").orderBy("_size", "_key")
-    rows = _sized(docs, id_col, text_col, source_col, extra).withColumn("_place", F.row_number().over(inside) - 1)
-    rows = rows.join(strata.drop("_n", "_words"), ["_source", "_class", "_slice"])
+    light = set(extra) <= {id_col, source_col}
+    rows = _sized(docs, id_col, text_col, source_col, extra)
+    stored = cut(rows if light else _sized(docs, id_col, text_col, source_col, []))
+    rows = stored if light else rows
+
+    by_size = cut(stored.groupBy("_source", "_size").agg(F.count("*").alias("_n")))
+    targets = by_size.groupBy("_source").agg(F.sum(F.col("_n") * F.col("_size")).alias("source_size"))
+    targets = source_targets(targets, weights, cap)
+    fullest = by_size.agg(F.max("_n")).first()[0] or 0
+    digits = next(d for d in range(33) if d == 32 or fullest <= slice_rows * 16**d)
+    slice_ = F.substring("_key", 1, digits)
+
+    size_class = F.when(F.col("_size") > 0, F.floor(F.log2(F.col("_size")) * 4 + 1e-9)).otherwise(-1).cast("int")
+    by_size = by_size.withColumn("_class", size_class)
+    by_class = by_size.groupBy("_source", "_class").agg(F.sum("_n").alias("_m"))
+    by_class = by_class.select("_source", "_class", _before("_m", ["_source"], "_class").alias("_base")).join(targets, "_source")
+    by_size = by_size.withColumn("_b", _before("_n", ["_source", "_class"], "_size")).join(by_class, ["_source", "_class"])
+    by_size = by_size.select("_source", "_size", "source_size", "target", (F.col("_base") + F.col("_b")).alias("_base"))
+    strata = stored.groupBy("_source", "_size", slice_.alias("_slice")).agg(F.count("*").alias("_n"))
+    strata = strata.withColumn("_b", _before("_n", ["_source", "_size"], "_slice")).join(by_size, ["_source", "_size"])
+
+    inside = W.partitionBy("_source", "_size", "_slice").orderBy("_key")
+    rows = rows.withColumn("_slice", slice_).withColumn("_place", F.row_number().over(inside) - 1)
+    rows = rows.join(strata.drop("_n"), ["_source", "_size", "_slice"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     draw = F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("_source"))), 1, 8)
     offset = F.conv(draw, 16, 10).cast("long") / F.lit(4294967296.0)
-    place = F.col("_before") + F.col("_place")
+    place = F.col("_base") + F.col("_b") + F.col("_place")
     copies = F.floor(rate * (place + 1) + offset) - F.floor(rate * place + offset)
     return rows.select(*extra, F.col("_size").alias("size"), "source_size", "target", copies.cast("long").alias("copies"))
 
@@ -109,7 +143,6 @@ WITH d AS (
          coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
          md5(coalesce(doc_id::VARCHAR, '')) AS k
   FROM documents),
-c AS (SELECT *, CASE WHEN size > 0 THEN floor(log2(size) * 4 + 1e-9)::INT ELSE -1 END AS cls, substr(k, 1, 2) AS sl FROM d),
 w AS (SELECT s, sum(size)::BIGINT AS source_size FROM d GROUP BY s),
 v AS (SELECT *, ((row_number() OVER (ORDER BY s) - 1) % 3 + 1)::BIGINT AS weight, source_size * 3 AS cap FROM w),
 l AS (
@@ -122,11 +155,10 @@ t AS (
          ORDER BY cap::DOUBLE / weight, s LIMIT 1)) AS target
   FROM l),
 p AS (
-  SELECT c.*, t.source_size, t.target,
-         row_number() OVER (PARTITION BY c.s ORDER BY cls, sl, size, k) - 1 AS place,
+  SELECT d.*, t.source_size, t.target, row_number() OVER (PARTITION BY d.s ORDER BY size, k) - 1 AS place,
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
-         ('0x' || substr(md5('42|' || c.s), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS o
-  FROM c JOIN t USING (s))
+         ('0x' || substr(md5('42|' || d.s), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS o
+  FROM d JOIN t USING (s))
 SELECT doc_id, size, source_size, target,
        (size * (floor(rate * (place + 1) + o) - floor(rate * place + o)))::BIGINT AS taken
 FROM p

@@ -6,6 +6,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import pytest
+
 from quillcheck.llm import hostrules, linededup, mixing
 
 from .corpus import documents, empty, texts
@@ -170,3 +172,22 @@ def test_mixture_edges(spark):
     assert {(r.size, r.taken, r.target) for r in mixing.mixture_report(nothing).collect()} == {(0, 0, 0.0)}
     docs = documents(spark)
     assert mixing.mixture_report(docs.union(docs)).count() == 2 * docs.count()
+
+
+def test_mixture_is_near_its_targets(spark):
+    import random
+    from collections import defaultdict
+
+    rng = random.Random(12)
+    values = ["w " * int(rng.paretovariate(1.1) * 5) for _ in range(900)]
+    rows = [(k, v, "ABCDEFG"[min(6, int(rng.expovariate(0.7)))]) for k, v in enumerate(values)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs, ["doc_id", "source"]).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.source].append(r)
+    for own in by.values():
+        assert abs(sum(r.copies * r.size for r in own) - own[0].target) < max(r.size for r in own)
+    sliced = mixing.mix(docs, ["doc_id", "source"], slice_rows=2).collect()
+    assert sorted(map(tuple, sliced)) == sorted(map(tuple, got))
+    assert sum(r.target for r in (v[0] for v in by.values())) == pytest.approx(sum(r.size for r in got))
