@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,9 +15,26 @@ from .outcome import _col, words
 COMPANY_SUFFIXES = ("inc", "incorporated", "llc", "ltd", "limited", "co", "company", "corp", "corporation", "gmbh", "sa", "plc", "llp", "lp")
 
 
+@lru_cache
+def _compatible() -> tuple[str, str]:
+    """Characters that Unicode takes for variants of one other character (NFKC), and those others."""
+    pairs = ((chr(c), unicodedata.normalize("NFKC", chr(c))) for c in range(0x80, 0x30000) if not 0xD800 <= c < 0xE000)
+    return tuple("".join(x) for x in zip(*((a, b) for a, b in pairs if a != b and len(b) == 1)))
+
+
+def plain_width(x: Column | str) -> Column:
+    """Variants of characters (full width, mathematical, super- and subscript, non-breaking blanks) as the plain one. Texts in
+    ASCII are not touched; characters that stand for several, but for ligatures, and letters with separate marks stay."""
+    x = _col(x)
+    text = F.translate(x, *_compatible())
+    for one, letters in LIGATURES.items():
+        text = F.replace(text, F.lit(one), F.lit(letters))
+    return F.when(x.rlike(r"[^\x00-\x7F]"), text).otherwise(x)
+
+
 def folded(x: Column | str) -> Column:
-    """Upper case without blanks or invisible characters."""
-    return F.upper(F.regexp_replace(_col(x), r"[\p{Cf}\p{Zs}\s]", ""))
+    """Upper case without blanks or invisible characters, variants of characters as the plain one."""
+    return F.upper(F.regexp_replace(plain_width(x), r"[\p{Cf}\p{Zs}\s]", ""))
 
 
 def tight_id(x: Column | str) -> Column:
@@ -35,12 +55,16 @@ def identifier_key(x: Column | str) -> Column:
     return F.translate(F.regexp_replace(kept, r"\p{P}", ""), "\u0001", "-")
 
 
+def spoken(x: Column | str) -> Column:
+    """A name's words in lower case, variants of characters as the plain one: "&" is "and", points, commas and apostrophes go,
+    other signs part words. Letters of any script stay."""
+    joined = F.regexp_replace(F.regexp_replace(F.lower(plain_width(x)), "&", " and "), "[.,'’]", "")
+    return F.trim(F.regexp_replace(joined, r"[^\p{L}\p{N}]+", " "))
+
+
 def vendor_name(x: Column | str) -> Column:
-    """A name in lower case: "&" is "and", points, commas and apostrophes go, other signs part words, and words for the
-    legal form go from the end while a word remains. Letters of any script stay."""
-    joined = F.regexp_replace(F.regexp_replace(F.lower(_col(x)), "&", " and "), "[.,'’]", "")
-    bare = F.trim(F.regexp_replace(joined, r"[^\p{L}\p{N}]+", " "))
-    return F.regexp_replace(bare, rf"(?<=[^ ])( ({'|'.join(COMPANY_SUFFIXES)}))+$", "")
+    """A name as spoken, without the words for its legal form at the end while a word remains."""
+    return F.regexp_replace(spoken(x), rf"(?<=[^ ])( ({'|'.join(COMPANY_SUFFIXES)}))+$", "")
 
 
 def document_number(x: Column | str) -> Column:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.outcome import FAIL, OPEN, PASS
-from ..functions.text import base_id, document_number, tight_id
-from ..functions.vendors import loose_number, name_relation, near_reason, vendor_match
+from ..functions.text import base_id, document_number, plain_width, tight_id
+from ..functions.vendors import loose_number, name_relation, near_reasons, told, vendor_match
 
 
 def nearest_earlier(rows: DataFrame, key: str, order: str, tiers: dict[str, list[str]]) -> DataFrame:
@@ -44,7 +44,7 @@ LADDER = {
 def duplicate_claims(bills: DataFrame, booked: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """Per bill whether it is booked already: bill, outcome, tier, kind, booked (the first booked row of that tier), match.
 
-    Both tables have id, number, vendor, tax, vendor_id, po and total; missing values are null and match nothing. A bill
+    Both tables have id, number, vendor, tax, vendor_id, po and total; missing and blank values match nothing. A bill
     meets booked rows by three equi-joins (the number, the number read loosely, the order with the total's two nearest
     steps of the tolerance), so no other pairs are made. How two vendors relate is worked out once per distinct pair of
     names. The strongest tier decides: FAIL, or open for a person to look at; PASS where none applies. Without any booked
@@ -53,8 +53,9 @@ def duplicate_claims(bills: DataFrame, booked: DataFrame, tolerance: float = 0.0
     columns = ["id", "number", "vendor", "tax", "vendor_id", "po", "total"]
     sides = []
     for rows, p in ((bills, "b_"), (booked, "h_")):
-        rows = rows.select(*[F.col(c).alias(p + c) for c in columns])
-        sides.append(rows.withColumn(p + "exact", F.upper(F.trim(p + "number"))).withColumn(p + "loose", F.nullif(loose_number(p + "number"), F.lit(""))))
+        as_is = ("id", "total")
+        rows = rows.select(*[(F.col(c) if c in as_is else told(c)).alias(p + c) for c in columns])
+        sides.append(rows.withColumn(p + "exact", told(F.upper(plain_width(p + "number")))).withColumn(p + "loose", F.nullif(loose_number(p + "number"), F.lit(""))))
     bill, book = sides
     step = 2 * tolerance
     cell = F.floor(F.col("b_total") / step + F.lit(0.5)).cast("long")
@@ -65,7 +66,7 @@ def duplicate_claims(bills: DataFrame, booked: DataFrame, tolerance: float = 0.0
     by_total = near_total.withColumnRenamed("_cell", "_c").join(book_total, (F.col("b_po") == F.col("h_po")) & (F.col("_c") == F.col("_cell"))).drop("_c", "_cell")
     pairs = pairs.unionByName(by_total).distinct()
     names = pairs.select("b_vendor", "h_vendor").distinct().where("b_vendor is not null and h_vendor is not null")
-    names = names.withColumn("reason", near_reason(F.col("b_vendor"), F.col("h_vendor")))
+    names = near_reasons(names, "b_vendor", "h_vendor")
     relation = name_relation(F.col("h_vendor"), F.col("b_vendor"), F.col("reason")).alias("relation")
     pairs = pairs.join(names.select("b_vendor", "h_vendor", relation), ["b_vendor", "h_vendor"], "left")
     relation = F.coalesce("relation", F.lit("unknown"))
@@ -74,7 +75,7 @@ def duplicate_claims(bills: DataFrame, booked: DataFrame, tolerance: float = 0.0
     no = F.lit(False)
     exact = F.coalesce(F.col("b_exact") == F.col("h_exact"), no)
     loose = F.coalesce(F.col("b_loose") == F.col("h_loose"), no) & ~exact
-    same_po = F.coalesce(F.trim("b_po") == F.trim("h_po"), no)
+    same_po = F.coalesce(F.col("b_po") == F.col("h_po"), no)
     same_total = F.coalesce(F.abs(F.col("b_total") - F.col("h_total")) <= tolerance, no)
     one = ~F.col("match").isin("different", "conflict")
     doubt = (F.col("match") == "conflict") | ((F.col("match") == "different") & (same_po | same_total))

@@ -6,9 +6,9 @@ found here is a ``Check`` as it stands.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from itertools import combinations, permutations
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,96 +60,120 @@ class Candidate:
         return Check(self.rule, self.op, self.left, self.right.format(t=t), tol=self.tol)
 
 
-def _key(x: str) -> str:
-    return f"nullif(upper(regexp_replace({x}, '\\\\s+', '')), '')"
+@dataclass(frozen=True)
+class Term:
+    """Something a rule can speak of: a number of a line, a field of a case, or the sum that a source's lines come to."""
+
+    name: str
+    sql: str
+    scope: str
+    field: Field
+    at: int = 0  # its place in the schema
+
+    def fits(self, scope: str, kinds: str) -> bool:
+        return self.scope == scope and (kinds == "any" or bool({self.field.kind, self.field.role} & set(kinds.split("/"))))
+
+
+@dataclass(frozen=True)
+class Template:
+    """A family's form. ``slots`` says what may stand for each letter, as scope and kinds or roles; ``when``, a function of
+    the chosen terms, which choices make sense. The slack is the widest of the terms in ``slack``."""
+
+    family: str
+    name: str
+    op: str
+    left: str
+    right: str
+    slots: dict[str, tuple[str, str]]
+    slack: str
+    when: Callable[..., bool] = lambda **_: True
+    tolerant: bool = False
+
+
+_GATE = "case when {e} is not null then if(%s{b}, {e}, if({b} is null, null, 0)) end"
+_ID = "nullif(upper(regexp_replace({%s}, '\\\\s+', '')), '')"
+_CITED = "array_distinct(filter(transform({x}, v -> nullif(upper(regexp_replace(v, '\\\\s+', '')), '')), v -> v is not null))"
+_ONE_CITED = f"if(exists({{x}}, v -> v is null), null, slice({_CITED}, 1, if(size({_CITED}) = 1, 1, 0)))"
+
+
+def _unit(x: Term, y: Term) -> bool:
+    return x != y and (x.field.kind, x.field.role) == (y.field.kind, y.field.role)
+
+
+def _ordered(x: Term, y: Term) -> bool:
+    return _unit(x, y) and x.at < y.at
+
+
+def _same_paper(*terms: Term) -> bool:
+    return len({t.field.source for t in terms}) == 1
+
+
+_TWO = {"x": ("line", "qty/money"), "y": ("line", "qty/money")}
+_TOTAL = {"n": ("case", "total"), "s": ("sum", "any")}
+#: L1 to L4 compare numbers of a line, D what lines and fields come to, I1 and I2 identifiers.
+TEMPLATES = (
+    Template("L1", "{x} <= {y}", "<=", "{x}", "{y}", _TWO, "xy", _unit),
+    Template("L2", "{x} = {y}", "=", "{x}", "{y}", _TWO, "xy", _ordered),
+    Template("L3", "{x} <= {y}*(1+t)", "<=", "{x}", "{y} * (1 + {{t}})", _TWO, "xy", _unit, tolerant=True),
+    Template("L4", "{a} = {q}*{p}", "=", "{a}", "{q} * {p}", {"a": ("line", "amount"), "q": ("line", "qty"), "p": ("line", "price")}, "a", lambda a, q, p: _same_paper(a, q, p)),
+    Template("D", "{n} = {s}", "=", "{n}", "{s}", _TOTAL, "n", lambda n, s: True),
+    Template("D", "{n} <= {s}", "<=", "{n}", "{s}", _TOTAL, "n", lambda n, s: not _same_paper(n, s)),
+    Template("D", "{n} = {s} + {e}", "=", "{n}", "{s} + {e}", _TOTAL | {"e": ("case", "extra")}, "n", lambda n, s, e: _same_paper(n, s)),
+    Template("D", "{n} = {s} + {e}*[{b}]", "=", "{n}", "{s} + " + _GATE % "", _TOTAL | {"e": ("case", "extra"), "b": ("case", "bool")}, "n", lambda n, s, e, b: _same_paper(n, s)),
+    Template("D", "{e} <= 0", "<=", "{e}", "0", {"e": ("case", "extra")}, "e"),
+    Template("D", "{e}*[not {b}] <= 0", "<=", _GATE % "not ", "0", {"e": ("case", "extra"), "b": ("case", "bool")}, "e"),
+    Template("D", "{s} <= {o}", "<=", "{s}", "{o}", _TOTAL | {"o": ("sum", "any")}, "n", lambda n, s, o: _same_paper(n, s) and not _same_paper(s, o)),
+    Template("I1", "{x} cites exactly one id = {y}", "IN", _ID % "y", _ONE_CITED, {"x": ("case", "ids"), "y": ("case", "id")}, ""),
+    Template("I2", "{x} = {y}", "IN", _ID % "x", f"array({_ID % 'y'})", {"x": ("case", "id"), "y": ("case", "id")}, "", lambda x, y: x.at < y.at),
+)
+
+
+def sums(lines: dict[str, Field]) -> list[Term]:
+    """What each source's lines are worth: sums of its amounts if it has any, else of its quantities times its prices."""
+    worth = Template("", "sum({a})", "", "{a}", "", {"a": ("line", "amount")}, "a"), Template(
+        "", "sum({q}*{p})", "", "{q} * {p}", "", {"q": ("line", "qty"), "p": ("line", "price")}, "p", lambda q, p: _same_paper(q, p)
+    )
+    terms = [Term(n, n, "line", f) for n, f in lines.items()]
+    found: list[Term] = []
+    for form in worth:
+        known = {t.field.source for t in found}
+        for chosen in _choices(form, terms):
+            first = next(iter(chosen.values()))
+            if first.field.source not in known:
+                found.append(Term(_filled(form.name, chosen, "name"), _filled(form.left, chosen, "sql"), "sum", first.field))
+    return found
+
+
+def _choices(form: Template, terms: list[Term]) -> Iterator[dict[str, Term]]:
+    """Every way to fill the slots."""
+    fitting = [[t for t in terms if t.fits(*what)] for what in form.slots.values()]
+    for chosen in product(*fitting):
+        named = dict(zip(form.slots, chosen))
+        if form.when(**named):
+            yield named
 
 
-def sums(lines: dict[str, Field]) -> dict[str, dict[str, str]]:
-    """Per source what its lines are worth: names of sums and the line expressions under them. Amounts if the source has
-    any, else quantities times prices."""
-    out: dict[str, dict[str, str]] = {}
-    for source in dict.fromkeys(f.source for f in lines.values()):
-        own = {n: f for n, f in lines.items() if f.source == source}
-        worth = {f"sum({n})": n for n, f in own.items() if f.role == "amount"}
-        if not worth:
-            worth = {f"sum({q}*{p})": f"{q} * {p}" for q, f in own.items() if f.kind == "qty" for p, g in own.items() if g.role == "price"}
-        if worth:
-            out[source] = worth
-    return out
+def _filled(text: str, chosen: dict[str, Term], what: str) -> str:
+    return text.format(**{letter: getattr(term, what) for letter, term in chosen.items()})
 
 
 def candidates(
     lines: dict[str, Field], fields: dict[str, Field], grid: tuple[float, ...] = GRID, cuts: Iterable[tuple[str, str, float]] = ()
 ) -> list[Candidate]:
-    """Every rule of the families, in a fixed order: L1 to L4 compare numbers of a line, D what lines and fields come to,
-    I1 and I2 identifiers, C fields with learned constants (``cuts``: field, <= or >=, constant)."""
-    return [*_of_lines(lines, grid), *_of_sums(lines, fields), *_of_ids(fields), *_of_cuts(fields, cuts)]
-
-
-def _of_lines(lines: dict[str, Field], grid: tuple[float, ...]) -> list[Candidate]:
-    units: dict[tuple[str, str], list[str]] = {}
-    for n, f in lines.items():
-        if f.kind in SLACK:
-            units.setdefault((f.kind, f.role), []).append(n)
-    eps = lambda *names: max(lines[n].eps for n in names)
-    both = [p for names in units.values() for p in permutations(names, 2)]
-    once = [p for names in units.values() for p in combinations(names, 2)]
-    out = [Candidate(f"L1 {x} <= {y}", "L1", "<=", x, y, eps(x, y), True) for x, y in both]
-    out += [Candidate(f"L2 {x} = {y}", "L2", "=", x, y, eps(x, y), True) for x, y in once]
-    out += [Candidate(f"L3 {x} <= {y}*(1+t)", "L3", "<=", x, f"{y} * (1 + {{t}})", eps(x, y), True, grid) for x, y in both]
-    for a, f in lines.items():
-        own = {n: g for n, g in lines.items() if g.source == f.source}
-        pairs = [(q, p) for q, g in own.items() if g.kind == "qty" for p, h in own.items() if h.role == "price"] if f.role == "amount" else []
-        for q, p in pairs:
-            out.append(Candidate(f"L4 {a} = {q}*{p}", "L4", "=", a, f"{q} * {p}", f.eps, True))
-    return out
-
-
-def _of_sums(lines: dict[str, Field], fields: dict[str, Field]) -> list[Candidate]:
-    worth = sums(lines)
-    of_role = lambda r: {n: f for n, f in fields.items() if f.role == r}
-    totals, extras, flags = of_role("total"), of_role("extra"), [n for n, f in fields.items() if f.kind == "bool"]
-    gated = lambda f, b, no: f"case when {f} is not null then if({'not ' * no}{b}, {f}, if({b} is null, null, 0)) end"
-    out: list[Candidate] = []
-
-    def add(left: str, op: str, right: str, sql: tuple[str, str], eps: float) -> None:
-        out.append(Candidate(f"D {left} {op} {right}", "D", op, *sql, eps))
-
-    for n, f in totals.items():
-        for s in worth.get(f.source, ()):
-            add(n, "=", s, (n, f"`{s}`"), f.eps)
-            for e in extras:
-                add(n, "=", f"{s} + {e}", (n, f"`{s}` + {e}"), f.eps)
-            for e in extras:
-                for b in flags:
-                    add(n, "=", f"{s} + {e}*[{b}]", (n, f"`{s}` + {gated(e, b, False)}"), f.eps)
-        for s in (s for source, own in worth.items() if source != f.source for s in own):
-            add(n, "<=", s, (n, f"`{s}`"), f.eps)
-            add(n, "=", s, (n, f"`{s}`"), f.eps)
-    for e, f in extras.items():
-        add(e, "<=", "0", (e, "0"), f.eps)
-        for b in flags:
-            add(f"{e}*[not {b}]", "<=", "0", (gated(e, b, True), "0"), f.eps)
-    for source in dict.fromkeys(f.source for f in totals.values()):
-        eps = max(f.eps for f in totals.values() if f.source == source)
-        for s in worth.get(source, ()):
-            for other in (o for at, own in worth.items() if at != source for o in own):
-                add(s, "<=", other, (f"`{s}`", f"`{other}`"), eps)
-    return out
-
-
-def _of_ids(fields: dict[str, Field]) -> list[Candidate]:
-    lists, ids = ([n for n, f in fields.items() if f.kind == k] for k in ("ids", "id"))
-    out = []
-    for many in lists:
-        found = f"array_distinct(filter(transform({many}, x -> {_key('x')}), x -> x is not null))"
-        only = f"if(exists({many}, x -> x is null), null, slice({found}, 1, if(size({found}) = 1, 1, 0)))"
-        out += [Candidate(f"I1 {many} cites exactly one id = {x}", "I1", "IN", _key(x), only) for x in ids]
-    return out + [Candidate(f"I2 {x} = {y}", "I2", "IN", _key(x), f"array({_key(y)})") for x, y in combinations(ids, 2)]
-
-
-def _of_cuts(fields: dict[str, Field], cuts: Iterable[tuple[str, str, float]]) -> list[Candidate]:
-    return [Candidate(f"C {n} {op} c", "C", op, n, repr(c)) for n, op, c in cuts if fields[n].kind in SLACK]
+    """Every rule that the templates make of the schema, template by template, and C: fields with learned constants
+    (``cuts``: field, <= or >=, constant). A rule that several choices lead to counts once, with the widest slack."""
+    terms = [Term(n, n, scope, f, k) for scope, own in (("line", lines), ("case", fields)) for k, (n, f) in enumerate(own.items())]
+    terms += [Term(t.name, f"`{t.name}`", "sum", t.field) for t in sums(lines)]
+    out: dict[str, Candidate] = {}
+    for form in TEMPLATES:
+        for chosen in _choices(form, terms):
+            rule = f"{form.family} {_filled(form.name, chosen, 'name')}"
+            eps = max([chosen[letter].field.eps for letter in form.slack], default=0.0)
+            known = out[rule].tol if rule in out else 0.0
+            per_line = all(t.scope == "line" for t in chosen.values())
+            out[rule] = Candidate(rule, form.family, form.op, _filled(form.left, chosen, "sql"), _filled(form.right, chosen, "sql"), max(eps, known), per_line, grid if form.tolerant else (0.0,))
+    made = [Candidate(f"C {n} {op} c", "C", op, n, repr(c)) for n, op, c in cuts if fields[n].kind in SLACK]
+    return [*out.values(), *made]
 
 
 def flags(docs: DataFrame, lines: DataFrame, key: str, held: Column, found: list[Candidate], of_lines: dict[str, Field]) -> DataFrame:
@@ -159,7 +183,7 @@ def flags(docs: DataFrame, lines: DataFrame, key: str, held: Column, found: list
     not told if some line cannot tell. A sum is missing if any of its lines is.
     """
     tried = [(c, t) for c in found for t in c.grid]
-    worth = {name: sql for own in sums(of_lines).values() for name, sql in own.items()}
+    worth = {t.name: t.sql for t in sums(of_lines)}
     made = [any_line(c.violated(t)).alias(f"_{n}") for n, (c, t) in enumerate(tried) if c.per_line]
     totals = [whole(F.sum(F.expr(sql).cast("decimal(28,6)")), F.expr(sql)).cast("double").alias(name) for name, sql in worth.items()]
     summed = lines.groupBy(key).agg(*made, *totals) if made or totals else lines.select(key).distinct()

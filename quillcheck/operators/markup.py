@@ -83,29 +83,72 @@ def equivalence(a: Column, b: Column, kind: str) -> Column:
     return F.when(a == b, "identical").when(x.isNull() | y.isNull(), None).when(x == y, "equivalent").otherwise("different")
 
 
+#: Fixed values, to agree with other implementations: what an order says of freight when it may not be billed, ...
+FREIGHT_REFUSED = ("not allowed", "not permitted", "no freight", "included in price", "vendor pays")
+#: ... what it says when it may be, unless it says one of the above too, ...
+FREIGHT_ALLOWED = ("allowed", "permitted", "may be added", "billable", "added by the vendor")
+#: ... and what it says of a tax rate of zero.
+UNTAXED = ("0", "none", "exempt", "tax exempt", "tax-exempt", "no tax", "not taxable", "nontaxable", "non-taxable")
+
+
+def _cells(line: Column) -> Column:
+    """What stands between the bars of a line."""
+    return F.transform(F.split(line, r"\|"), lambda cell: F.trim(F.translate(cell, "\t\r", "  ")))
+
+
+def measured_lines(mails: DataFrame, keep: list[str], text: str, measures: dict[str, bool]) -> DataFrame:
+    """Numbered lines whose last cells are the given measures: ``line``, ``name`` and a column for each measure.
+
+    A line is cells between bars. The first begins with a number and a point; the last ones say, in order, a measure's word
+    and its number, after a currency's three capitals if the measure is money. The cells before are the name. Lines of
+    other shapes give no row; a number that does not read is null.
+    """
+    lines = mails.select(*keep, F.explode(F.split(text, "\n")).alias("_line")).select(*keep, _cells(F.col("_line")).alias("_cells"))
+    n = len(measures)
+    first = F.get("_cells", F.lit(0))
+    own = lambda k: F.get("_cells", F.size("_cells") - n + k)
+    shapes = [rf"^{word}[ \t]*{'[A-Z]{3}' if money else ''}[ \t]*([0-9,.]+)$" for word, money in measures.items()]
+    fits = (F.size("_cells") > n) & first.rlike(r"^[0-9]+\.[ \t]*.")
+    for k, shape in enumerate(shapes):
+        fits = fits & own(k).rlike(shape)
+    number = F.regexp_extract(first, r"^([0-9]+)\.", 1).try_cast("int")
+    name = F.array_join(F.slice("_cells", 1, F.size("_cells") - n), " | ")
+    value = lambda k, shape: F.replace(F.regexp_extract(own(k), shape, 1), F.lit(",")).try_cast("decimal(18,4)")
+    found = [value(k, shape).alias(word) for k, (word, shape) in enumerate(zip(measures, shapes))]
+    return lines.where(fits).select(*keep, number.alias("line"), F.regexp_replace(name, r"^[0-9]+\.[ \t]*", "").alias("name"), *found)
+
+
 def order_lines(mails: DataFrame, keep: list[str], text: str) -> DataFrame:
     """The lines of purchase orders written as text, "1. name | qty 2 | unit USD 3.00": ``line``, ``name``, ``qty``, ``unit``."""
-    pattern = r"(?m)^[ \t]*([0-9]+)\.[ \t]*(.+?)[ \t]*\|[ \t]*qty[ \t]*([0-9,.]+)[ \t]*\|[ \t]*unit[ \t]*[A-Z]{3}[ \t]*([0-9,.]+)[ \t]*$"
-    rows = mails.select(*keep, F.explode(each_match(F.col(text), pattern, 4)).alias("m"))
-    plain = lambda x: F.regexp_replace(x, ",", "").try_cast("decimal(18,4)")
-    return rows.select(*keep, F.get("m", 0).try_cast("int").alias("line"), F.get("m", 1).alias("name"), plain(F.get("m", 2)).alias("qty"), plain(F.get("m", 3)).alias("unit"))
+    return measured_lines(mails, keep, text, {"qty": False, "unit": True})
 
 
 def receipt_lines(mails: DataFrame, keep: list[str], text: str) -> DataFrame:
     """The lines of goods receipts written as text, "1. name | received 2": ``line``, ``name``, ``received``."""
-    pattern = r"(?m)^[ \t]*([0-9]+)\.[ \t]*(.+?)[ \t]*\|[ \t]*received[ \t]*([0-9,.]+)[ \t]*$"
-    rows = mails.select(*keep, F.explode(each_match(F.col(text), pattern, 3)).alias("m"))
-    return rows.select(*keep, F.get("m", 0).try_cast("int").alias("line"), F.get("m", 1).alias("name"), F.regexp_replace(F.get("m", 2), ",", "").try_cast("decimal(18,4)").alias("received"))
-
-
-def order_terms(text: Column) -> dict[str, Column]:
-    """A purchase order's ``number``, whether ``freight`` may be billed, and its ``tax`` rate; null where it does not say."""
-    freight = F.lower(F.nullif(F.regexp_extract(text, r"(?i)freight:[ \t]*([^|\n]+)", 1), F.lit("")))
-    tax = F.lower(F.trim(F.regexp_extract(text, r"(?im)^(?![ \t]*[0-9]+\.[ \t]).*\btax(?:[ \t]+rate)?[ \t]*:[ \t]*([^|\n]+)", 1)))
-    share = F.regexp_extract(tax, r"^([0-9]+(?:\.[0-9]+)?)[ \t]*%$", 1).try_cast("decimal(12,9)") / 100
-    none = tax.isin("0", "none", "exempt", "tax exempt", "tax-exempt", "no tax", "not taxable", "nontaxable", "non-taxable")
+    return measured_lines(mails, keep, text, {"received": False})
+
+
+def order_terms(
+    text: Column, refused: tuple[str, ...] = FREIGHT_REFUSED, allowed: tuple[str, ...] = FREIGHT_ALLOWED, untaxed: tuple[str, ...] = UNTAXED
+) -> dict[str, Column]:
+    """A purchase order's ``number``, whether ``freight`` may be billed, and its ``tax`` rate; null where it does not say.
+
+    Terms are cells "label: value" of lines that are not numbered, in any case; of cells with one label the first counts.
+    The freight's label is freight, a tax rate's ends with tax or tax rate. The number is the last word, PO- and digits, of
+    the cell before the vendor's.
+    """
+    lines = F.transform(F.split(text, "\n"), _cells)
+    heads = F.filter(lines, lambda cells: ~F.get(cells, F.lit(0)).rlike(r"^[0-9]+\.([ \t]|$)"))
+    cells = F.transform(F.flatten(heads), F.lower)
+    label = lambda c: F.trim(F.substring_index(c, ":", 1))
+    told = lambda wanted: F.trim(F.regexp_replace(F.get(F.filter(cells, lambda c: c.contains(":") & label(c).rlike(wanted)), F.lit(0)), r"^[^:]*:", ""))
+    says = lambda x, phrases: F.exists(F.array(*map(F.lit, phrases)), lambda p: F.contains(x, p))
+    freight, tax = told(r"(^|\W)freight$"), told(r"(^|\W)tax([ \t]+rate)?$")
+    share = F.when(tax.endswith("%"), F.trim(F.rtrim(tax, F.lit("%"))).try_cast("decimal(12,9)") / 100)
+    pairs = F.flatten(F.transform(lines, lambda cells: F.transform(cells, lambda c, k: F.struct(c.alias("cell"), F.get(cells, k + 1).alias("next")))))
+    order = F.get(F.filter(pairs, lambda p: p["cell"].rlike(r"\bPO-[0-9]+$") & p["next"].startswith("Vendor")), F.lit(0))["cell"]
     return {
-        "number": F.nullif(F.regexp_extract(text, r"\b(PO-[0-9]+)[ \t]*\|[ \t]*Vendor", 1), F.lit("")),
-        "freight": F.when(freight.rlike("not allowed|not permitted|no freight|included in price|vendor pays"), False).when(freight.rlike("allowed|permitted|may be added|billable|added by the vendor"), True),
-        "tax": F.when(none, 0.0).when((share >= 0) & (share <= 1), F.round(share, 9).cast("double")),
+        "number": F.nullif(F.regexp_extract(order, "PO-[0-9]+$", 0), F.lit("")),
+        "freight": F.when(says(freight, refused), False).when(says(freight, allowed), True),
+        "tax": F.when(tax.isin(*untaxed), 0.0).when((share >= 0) & (share <= 1), F.round(share, 9).cast("double")),
     }

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.outcome import FAIL, OPEN, PASS
+from ..functions.text import plain_width
 
 MATCHED = "matched"
 
@@ -58,7 +59,7 @@ def line_claims(matched: DataFrame, order: DataFrame, receipts: DataFrame, price
 
 def order_key(x: Column | str) -> Column:
     """An order number without case, blanks and marks; one of marks alone stands as it is, an empty one is null."""
-    upper = F.upper(F.trim(x))
+    upper = F.upper(F.trim(plain_width(x)))
     bare = F.regexp_replace(upper, r"[^\p{L}\p{N}]", "")
     return F.when(bare != "", bare).when(upper != "", upper)
 
@@ -70,12 +71,17 @@ def balance(bills: DataFrame, orders: DataFrame, booked: DataFrame, tolerance: f
     not known), order_currency. ``booked``: vendor, order_number (null: not known), number, amount, currency, placeless
     (booked without an order). Vendors are told apart by the value in their column. The bill's own number is not counted.
     Booked rows that name no order may or may not be on this one: the bill passes only if it fits with them too. Rows
-    without an amount, or in another currency, leave it open. It is never failed: a person settles it.
+    without an amount, or in another currency, leave it open, and so does an order that stands more than once with
+    different totals or currencies (one that repeats alike counts once). It is never failed: a person settles it.
 
     Booked rows are summed by order and by vendor, less those of the bill's own number; bills are not paired with them.
     """
     number, zero = (lambda x: F.upper(F.trim(x))), F.lit(0)
-    orders = orders.select("vendor", order_key("order_number").alias("o"), "order_total", "order_currency", F.coalesce("order_currency", F.lit("")).alias("cu"))
+    orders = orders.groupBy("vendor", order_key("order_number").alias("o")).agg(
+        F.max("order_total").alias("order_total"), F.max("order_currency").alias("order_currency"),
+        (F.count_distinct(F.struct("order_total", "order_currency")) > 1).alias("several"),
+    )
+    orders = orders.withColumn("cu", F.when(~F.col("several"), F.coalesce("order_currency", F.lit(""))).otherwise(""))
     bills = bills.select("bill", "vendor", order_key("order_number").alias("o"), number("number").alias("own"), "amount", "currency")
     rows = booked.where("not (coalesce(placeless, false) and order_number is null)")
     rows = rows.select("vendor", order_key("order_number").alias("o"), number("number").alias("own"), F.col("amount").alias("a"), F.col("currency").alias("c"))
@@ -94,15 +100,16 @@ def balance(bills: DataFrame, orders: DataFrame, booked: DataFrame, tolerance: f
         out = out.join(summed(frame, keys, mark), keys, "left").join(summed(frame, [*keys, "own"], f"{mark}_own"), [*keys, "own"], "left")
     less = lambda mark, c: F.coalesce(f"{mark}_{c}", zero) - F.coalesce(f"{mark}_own_{c}", zero)
     out = out.select(
-        "bill", "amount", "currency", "order_total", "order_currency", (less("on", "a") + F.col("amount")).alias("to_date"), less("on", "n").alias("n_booked"),
+        "bill", "amount", "currency", "order_total", "order_currency", "several", (less("on", "a") + F.col("amount")).alias("to_date"), less("on", "n").alias("n_booked"),
         less("any", "a").alias("loose"), less("any", "n").alias("n_loose"), (less("on", "lost") + less("any", "lost")).alias("n_lost"),
     )
     limit = F.col("order_total") + tolerance
     reason = (
-        F.when(F.col("n_booked") + F.col("n_loose") + F.col("n_lost") == 0, "").when(F.col("order_total").isNull(), "order total not known")
+        F.when(F.col("n_booked") + F.col("n_loose") + F.col("n_lost") == 0, "").when(F.col("several"), "order stands with different totals").when(F.col("order_total").isNull(), "order total not known")
         .when(F.col("currency") != F.col("order_currency"), "currencies differ").when(F.col("to_date") > limit, "over the order")
         .when(F.col("n_lost") > 0, "booked rows that cannot be counted").when(F.col("to_date") + F.col("loose") > limit, "rows without an order may be on it")
         .otherwise("")
     )
     told = F.when(reason == "", PASS).otherwise(OPEN).alias("outcome")
-    return out.select("bill", "to_date", "order_total", "n_booked", "n_loose", "n_lost", told, F.nullif(reason, F.lit("")).alias("reason"))
+    known = F.when(~F.coalesce("several", F.lit(False)), F.col("order_total")).alias("order_total")
+    return out.select("bill", "to_date", known, "n_booked", "n_loose", "n_lost", told, F.nullif(reason, F.lit("")).alias("reason"))

@@ -49,23 +49,27 @@ def structured_match(t: Tables) -> DataFrame:
 
 @query(
     """WITH o AS (SELECT *, o_totalprice::DECIMAL(18,2) AS a, left(o_orderpriority, 1) AS p FROM orders),
-po AS (SELECT c_custkey AS v, CASE WHEN c_mktsegment <> 'FURNITURE' THEN 'USD' WHEN c_acctbal > 0 THEN 'EUR' END AS cur, (SELECT sum(a) FROM o WHERE o_custkey = c_custkey AND p <> '3') AS total FROM customer),
+q AS (SELECT c_custkey AS v, CASE WHEN c_mktsegment <> 'FURNITURE' THEN 'USD' WHEN c_acctbal > 0 THEN 'EUR' END AS cur, (SELECT sum(a) FROM o WHERE o_custkey = c_custkey AND p <> '3') AS total FROM customer),
+po AS (SELECT v, total IS NOT NULL AND v % 9 = 1 AS twice, CASE WHEN NOT twice THEN cur END AS cur, CASE WHEN NOT twice THEN total END AS total FROM q),
 b AS (SELECT o_custkey AS v, o_orderkey AS n, p, CASE WHEN o_orderstatus <> 'P' THEN a END AS a, CASE WHEN p = '2' AND o_orderstatus = 'F' THEN 'EUR' WHEN p <> '1' THEN 'USD' END AS cur FROM o WHERE p <> '5'),
-k AS (SELECT o.o_orderkey AS bill, any_value(o.a) AS a, any_value(po.v) AS v, any_value(total) AS total, any_value(po.cur) AS cur, coalesce(sum(b.a) FILTER (WHERE b.p <> '4' AND coalesce(b.cur = po.cur, true)), 0) AS booked, count(b.a) FILTER (WHERE b.p <> '4' AND coalesce(b.cur = po.cur, true)) AS n_booked,
+k AS (SELECT o.o_orderkey AS bill, any_value(o.a) AS a, any_value(po.v) AS v, any_value(total) AS total, any_value(po.cur) AS cur, bool_or(twice) AS twice, coalesce(sum(b.a) FILTER (WHERE b.p <> '4' AND coalesce(b.cur = po.cur, true)), 0) AS booked, count(b.a) FILTER (WHERE b.p <> '4' AND coalesce(b.cur = po.cur, true)) AS n_booked,
   coalesce(sum(b.a) FILTER (WHERE b.p = '4' AND coalesce(b.cur = po.cur, true)), 0) AS loose, count(b.a) FILTER (WHERE b.p = '4' AND coalesce(b.cur = po.cur, true)) AS n_loose, count(b.n) FILTER (WHERE b.a IS NULL OR b.cur <> po.cur) AS n_lost
   FROM o JOIN po ON po.v = o.o_custkey LEFT JOIN b ON b.v = o.o_custkey AND b.n <> o.o_orderkey GROUP BY o.o_orderkey),
-r AS (SELECT *, CASE WHEN n_booked + n_loose + n_lost = 0 THEN NULL WHEN total IS NULL THEN 'order total not known' WHEN cur <> 'USD' THEN 'currencies differ' WHEN booked + a > total + 0.01 THEN 'over the order'
+r AS (SELECT *, CASE WHEN n_booked + n_loose + n_lost = 0 THEN NULL WHEN twice THEN 'order stands with different totals' WHEN total IS NULL THEN 'order total not known' WHEN cur <> 'USD' THEN 'currencies differ' WHEN booked + a > total + 0.01 THEN 'over the order'
   WHEN n_lost > 0 THEN 'booked rows that cannot be counted' WHEN booked + a + loose > total + 0.01 THEN 'rows without an order may be on it' END AS reason FROM k)
 SELECT bill, (booked + a)::DOUBLE AS to_date, total::DOUBLE AS order_total, n_booked, n_loose, n_lost, CASE WHEN reason IS NULL THEN 'PASS' ELSE 'INSUFFICIENT_DATA' END AS outcome, reason FROM r"""
 )
 def purchase_balance(t: Tables) -> DataFrame:
     """Bills against what is booked on the order of their customer, whose total leaves out orders of middling priority;
-    booked rows of the fourth priority name no order, of the fifth have none."""
+    booked rows of the fourth priority name no order, of the fifth have none. Some orders stand twice, written otherwise, and
+    some of those with another total."""
     p, amount = F.substring("o_orderpriority", 1, 1), _money("o_totalprice")
     sold = t.orders.groupBy("o_custkey").agg(F.sum(F.when(p != "3", amount)).alias("order_total"))
     cur = F.when(F.col("c_mktsegment") != "FURNITURE", "USD").when(F.col("c_acctbal") > 0, "EUR")
     orders = t.customer.join(sold, F.col("o_custkey") == F.col("c_custkey"), "left")
     orders = orders.select(F.col("c_custkey").alias("vendor"), F.concat(F.lit("PO-"), "c_custkey").alias("order_number"), "order_total", cur.alias("order_currency"))
+    again = orders.where("vendor % 9 <= 1").withColumns({"order_number": F.lower("order_number"), "order_total": F.col("order_total") + F.when(F.col("vendor") % 9 == 1, 1).otherwise(0)})
+    orders = orders.union(again.select(orders.columns))
     number = F.concat(F.lit("inv "), "o_orderkey")
     vendor, on = F.col("o_custkey").alias("vendor"), F.concat(F.lit("po "), "o_custkey")
     bills = t.orders.select(F.col("o_orderkey").alias("bill"), vendor, on.alias("order_number"), number.alias("number"), amount.alias("amount"), F.lit("USD").alias("currency"))

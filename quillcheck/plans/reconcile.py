@@ -184,12 +184,12 @@ _VENDOR = "regexp_replace(trim(regexp_replace(regexp_replace(replace(lower({0}),
 
 
 @query(
-    f"""WITH r AS (SELECT o_orderkey AS id, o_orderdate < TIMESTAMP '1996-01-01' AS old, o_custkey AS c, 'INV-' || CASE WHEN o_orderkey % 3 = 0 THEN '00' ELSE '' END || (o_orderkey % 4000) AS number,
-  CASE o_orderkey % 4 WHEN 0 THEN c_name WHEN 1 THEN upper(c_name) || ', Inc.' WHEN 2 THEN replace(c_name, 'Cu', 'uC') END AS vendor, CASE WHEN o_custkey % 5 = 0 THEN (CASE WHEN o_orderkey % 2 = 0 THEN 'us-' ELSE 'US ' END) || o_custkey END AS tax,
-  CASE WHEN o_custkey % 7 = 0 THEN 'V' || (o_custkey + CASE WHEN o_orderkey % 6 = 0 THEN 1 ELSE 0 END) END AS vid, CASE WHEN o_orderkey % 8 > 0 THEN 'PO' || o_custkey END AS po, floor(o_totalprice / 50000)::DOUBLE AS total FROM orders JOIN customer ON c_custkey = o_custkey),
-n AS (SELECT *, upper(number) AS ex, replace(regexp_replace(upper(number), '(^|[^0-9])0+([0-9])', '\\1\\2', 'g'), '-', '') AS lo, {_VENDOR.format("vendor")} AS nm, replace(upper(replace(tax, '-', '')), ' ', '') AS tx FROM r),
+    f"""WITH r AS (SELECT o_orderkey AS id, o_orderdate < TIMESTAMP '1996-01-01' AS old, o_custkey AS c, CASE WHEN o_orderkey % 50 = 7 THEN ' ' ELSE 'INV-' || CASE WHEN o_orderkey % 3 = 0 THEN '00' ELSE '' END || (o_orderkey % 4000) END AS number,
+  CASE o_orderkey % 4 WHEN 0 THEN c_name WHEN 1 THEN upper(c_name) || ', Inc.' WHEN 2 THEN replace(c_name, 'Cu', 'uC') END AS vendor, CASE WHEN o_custkey % 5 = 0 THEN (CASE WHEN o_orderkey % 2 = 0 THEN 'us-' ELSE 'US ' END) || o_custkey WHEN o_custkey % 5 = 1 THEN ' ' END AS tax,
+  CASE WHEN o_custkey % 7 = 0 THEN 'V' || (o_custkey + CASE WHEN o_orderkey % 6 = 0 THEN 1 ELSE 0 END) WHEN o_custkey % 7 = 1 THEN '' END AS vid, CASE WHEN o_orderkey % 8 > 0 THEN 'PO' || o_custkey ELSE ' ' END AS po, floor(o_totalprice / 50000)::DOUBLE AS total FROM orders JOIN customer ON c_custkey = o_custkey),
+n AS (SELECT * REPLACE (nullif(trim(vid), '') AS vid, nullif(trim(po), '') AS po), nullif(trim(upper(number)), '') AS ex, nullif(trim(replace(regexp_replace(upper(number), '(^|[^0-9])0+([0-9])', '\\1\\2', 'g'), '-', '')), '') AS lo, {_VENDOR.format("vendor")} AS nm, nullif(replace(upper(replace(tax, '-', '')), ' ', ''), '') AS tx FROM r),
 b AS (SELECT * FROM n WHERE NOT old), h AS (SELECT * FROM n WHERE old),
-p AS (SELECT b.id, h.id AS booked, b.ex = h.ex AS exact, b.lo = h.lo AS loose, coalesce(b.po = h.po, false) AS po, b.total = h.total AS total, b.tx AS t1, h.tx AS t2, b.vid AS v1, h.vid AS v2,
+p AS (SELECT b.id, h.id AS booked, coalesce(b.ex = h.ex, false) AS exact, coalesce(b.lo = h.lo, false) AS loose, coalesce(b.po = h.po, false) AS po, b.total = h.total AS total, b.tx AS t1, h.tx AS t2, b.vid AS v1, h.vid AS v2,
   CASE WHEN b.vendor IS NULL OR h.vendor IS NULL THEN 'unknown' WHEN lower(b.vendor) = lower(h.vendor) THEN 'same' WHEN b.nm = h.nm THEN 'variant'
     WHEN damerau_levenshtein(b.nm, h.nm) <= CASE WHEN greatest(length(b.nm), length(h.nm)) < 16 THEN 1 ELSE 2 END THEN 'near' ELSE 'different' END AS names
   FROM b JOIN h ON b.ex = h.ex OR b.lo = h.lo OR (b.po = h.po AND b.total = h.total)),
@@ -201,15 +201,16 @@ k AS (SELECT * FROM t WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITIO
 SELECT b.id, CASE WHEN tier IS NULL THEN 'PASS' WHEN tier <= 3 THEN 'FAIL' ELSE 'INSUFFICIENT_DATA' END AS outcome, tier::INT AS tier, booked, match FROM b LEFT JOIN k USING (id)"""
 )
 def duplicate_ladder(t: Tables) -> DataFrame:
-    """Later bills against those booked before 1996: vendors by tax number, vendor id, then name, and six tiers of likeness."""
+    """Later bills against those booked before 1996: vendors by tax number, vendor id, then name, and six tiers of likeness.
+    Some numbers, tax numbers, vendor ids and orders are blank."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     name = F.when(k % 4 == 0, F.col("c_name")).when(k % 4 == 1, F.concat(F.upper("c_name"), F.lit(", Inc."))).when(k % 4 == 2, F.regexp_replace("c_name", "Cu", "uC"))
     rows = t.orders.join(t.customer.select("c_custkey", "c_name"), F.col("c_custkey") == c).select(
         k.alias("id"), (F.col("o_orderdate").cast("date") < F.to_date(F.lit("1996-01-01"))).alias("old"),
-        F.concat(F.lit("INV-"), F.when(k % 3 == 0, "00").otherwise(""), (k % 4000).cast("string")).alias("number"), name.alias("vendor"),
-        F.when(c % 5 == 0, F.concat(F.when(k % 2 == 0, "us-").otherwise("US "), c.cast("string"))).alias("tax"),
-        F.when(c % 7 == 0, F.concat(F.lit("V"), (c + F.when(k % 6 == 0, 1).otherwise(0)).cast("string"))).alias("vendor_id"),
-        F.when(k % 8 > 0, F.concat(F.lit("PO"), c.cast("string"))).alias("po"), F.floor(F.col("o_totalprice") / 50000).cast("double").alias("total"),
+        F.when(k % 50 == 7, " ").otherwise(F.concat(F.lit("INV-"), F.when(k % 3 == 0, "00").otherwise(""), (k % 4000).cast("string"))).alias("number"), name.alias("vendor"),
+        F.when(c % 5 == 0, F.concat(F.when(k % 2 == 0, "us-").otherwise("US "), c.cast("string"))).when(c % 5 == 1, " ").alias("tax"),
+        F.when(c % 7 == 0, F.concat(F.lit("V"), (c + F.when(k % 6 == 0, 1).otherwise(0)).cast("string"))).when(c % 7 == 1, "").alias("vendor_id"),
+        F.when(k % 8 > 0, F.concat(F.lit("PO"), c.cast("string"))).otherwise(" ").alias("po"), F.floor(F.col("o_totalprice") / 50000).cast("double").alias("total"),
     )
     return duplicates.duplicate_claims(rows.where("not old"), rows.where("old")).drop("kind")
 

@@ -44,6 +44,8 @@ def test_balances_count_what_may_be_on_the_order(spark):
     assert reasons(("v", "PO-1", "X", 30.0, None, None), ("v", None, "Y", 20.0, "USD", None)) == {1: None, 2: loose, 3: "order total not known", 4: None, 5: cur, 6: None}
     assert reasons(("v", "PO-1", "X", 1.0, "EUR", None)) == {1: lost, 2: lost, 3: None, 4: None, 5: cur, 6: None}
     assert reasons(("w", None, "X", None, None, None)) == {1: None, 2: None, 3: None, 4: lost, 5: None, 6: None}
+    orders = orders.union(orders).union(spark.createDataFrame([("w", "po 1", 90.0, None)], orders.schema))  # repeats alike, and with another total
+    assert reasons(("v", "PO-1", "X", 60.0, "USD", None), ("w", "PO-1", "X", 1.0, None, None)) == {1: None, 2: over, 3: None, 4: "order stands with different totals", 5: cur, 6: None}
 
 
 _PEPPOL = "<cbc:CustomizationID>urn:cen.eu:en16931:2017#compliant#urn:fdc:peppol.eu:2017:poacc:billing:3.0</cbc:CustomizationID>"

@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-import pytest
 from pyspark.sql import functions as F
 
 from quillcheck.functions import vendors
@@ -15,14 +14,32 @@ ALIKE = [
 APART = [("acme", "apex"), ("north supply", "south supply company of texas"), ("abc", "abd"), ("delta", "gamma rays"), ("acme inc", "acme llc"), ("", "acme"), ("dba", "acme dba")]
 
 
-@pytest.mark.parametrize(("a", "b", "why"), ALIKE)
-def test_names_look_alike_both_ways(a, b, why):
-    assert vendors.near_basis(a, b) == why and vendors.near_basis(b, a) == why
+def reasons(spark, pairs):
+    schema = "a string, b string"
+    ab = {(r.a, r.b): r.reason for r in vendors.near_reasons(spark.createDataFrame(pairs, schema), "a", "b").collect()}
+    ba = {(r.b, r.a): r.reason for r in vendors.near_reasons(spark.createDataFrame([(b, a) for a, b in pairs], schema), "a", "b").collect()}
+    return [(ab[p], ba[p]) for p in pairs]
 
 
-@pytest.mark.parametrize(("a", "b"), APART)
-def test_names_are_apart(a, b):
-    assert vendors.near_basis(a, b) is None and vendors.near_basis(b, a) is None
+def test_names_look_alike_both_ways(spark):
+    assert reasons(spark, [(a, b) for a, b, _ in ALIKE]) == [(why, why) for *_, why in ALIKE]
+
+
+def test_names_are_apart(spark):
+    assert reasons(spark, [*APART, ("ａcme inc", "Acme"), (None, "acme"), ("a", None)]) == [(None, None)] * (len(APART) + 3)
+
+
+def test_typos_with_swaps_and_links(spark):
+    pairs = [("hrabor freight", "harbor freight"), ("bank america", "bank of america"), ("boa trust", "bank of america trust"), ("n supply co", "north supply"), ("st marys svc", "saint marys services")]
+    assert [x for x, _ in reasons(spark, pairs)] == ["typo", "words left out", "initials", "abbreviation", "abbreviation"]
+
+
+def test_blank_values_match_nothing(spark):
+    schema = "id int, number string, vendor string, tax string, vendor_id string, po string, total double"
+    booked = [(1, " ", "Acme", None, None, None, 1.0), (2, "N2", "Acme", " ", None, None, None), (3, "N3", "Acme", None, "", None, None), (4, "N4", "Acme", None, None, " ", 5.0), (5, "N5", " ", None, None, None, None)]
+    bills = [(1, "", "Acme", None, None, None, 1.0), (2, "N2", "Other", "", None, None, None), (3, "N3", "Other", None, " ", None, None), (4, "X", "Acme", None, None, "", 5.0), (5, "Ｎ５", "Else", None, None, None, None)]
+    got = duplicates.duplicate_claims(spark.createDataFrame(bills, schema), spark.createDataFrame(booked, schema)).collect()
+    assert {r.id: (r.outcome, r.tier) for r in got} == {1: ("PASS", None), 2: ("PASS", None), 3: ("PASS", None), 4: ("PASS", None), 5: ("FAIL", 1)}
 
 
 def test_tiers(spark):
