@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 _INVISIBLE = r"[\p{Z}\p{Cf}\s]"
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 _PLAIN = "".join(chr(c) for c in range(0x21, 0x7F))
@@ -35,26 +39,105 @@ def each(doc: Column, array: str, field: str, kind: str) -> Column:
     return F.transform(elements, lambda v: F.try_variant_get(v, f"$.{field}", kind))
 
 
-def leaves(docs: DataFrame, doc: str, keep: list[str], depth: int = 4) -> DataFrame:
-    """Every value at most ``depth`` keys or places deep: ``path``, ``key`` (the nearest name above it), ``kind``, ``value`` (as text).
+#: Levels that are opened in one plan; deeper documents are stored in between.
+LEVELS = 12
+_KEY, _PLACE = "\x01", "\x02"
 
-    One chain of explosions, a level each, without a shuffle; values found early pass through. Documents that do not parse,
-    empty lists, empty objects and JSON nulls give no row.
-    """
+
+def nesting(doc: Column) -> Column:
+    """How deep a JSON text's objects and lists nest: 0 for a single value. Only right for texts that parse."""
+    bare = F.regexp_replace(F.regexp_replace(doc, r"(?s)\\.", ""), r'"[^"]*"', "")
+    signs = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(at: Column, sign: Column) -> Column:
+        now = at["now"] + F.when(sign.isin("{", "["), 1).when(sign.isin("}", "]"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(at["most"], now).alias("most"))
+
+    return F.aggregate(signs, start, step)["most"]
+
+
+def _nodes(docs: DataFrame, doc: str, keep: list[str], inner_too: bool, depth: int | None) -> DataFrame:
+    """Values with ``code`` (the steps, each marked as key or place), ``path``, ``_key`` and the value; lists and objects too
+    if asked, else those that are left unopened at the depth go."""
     inner = F.schema_of_variant("_v").rlike("^(OBJECT|ARRAY)<")
-    rows = docs.select(*keep, F.try_parse_json(doc).alias("_v"), F.lit("$").alias("path"), F.lit(None).cast("string").alias("_key"))
-    for _ in range(depth):
-        rows = rows.withColumn("_open", F.when(inner, F.col("_v")))
+    parsed = F.try_parse_json(doc)
+    rows = docs.select(*keep, parsed.alias("_v"), F.lit("$").alias("path"), F.lit("").alias("code"), F.lit(None).cast("string").alias("_key"), F.lit(True).alias("_live"))
+    rows = rows.where("_v is not null")
+    if depth is None:
+        depth = docs.where(parsed.isNotNull()).agg(F.max(nesting(F.col(doc)))).first()[0] or 0
+    for k in range(depth):
+        if k and k % LEVELS == 0:
+            rows = cut(rows)
+        live = F.col("_live") & inner
+        rows = rows.withColumn("_opens", F.explode(F.when(live, F.array(F.lit(True), F.lit(False)) if inner_too else F.array(F.lit(True))).otherwise(F.array(F.lit(False)))))
+        rows = rows.withColumn("_open", F.when(F.col("_opens"), F.col("_v")))
         rows = rows.lateralJoin(docs.sparkSession.tvf.variant_explode_outer(F.col("_open").outer()))
-        step = F.when(F.col("pos").isNull(), "").when(F.col("key").isNull(), F.format_string("[%d]", "pos")).otherwise(F.concat(F.lit("."), F.col("key")))
-        value = F.when(F.col("_open").isNull(), F.col("_v")).otherwise(F.col("value"))
-        rows = rows.select(*keep, value.alias("_v"), F.concat("path", step).alias("path"), F.coalesce("key", "_key").alias("_key"))
-    found = rows.where("_v is not null").where(~inner & ~F.is_variant_null("_v"))
+        rows = rows.where("not _opens or pos is not null")  # what is empty has no parts
+        text = F.when(F.col("key").isNull(), F.format_string("[%d]", "pos")).otherwise(F.concat(F.lit("."), F.col("key")))
+        code = F.when(F.col("key").isNull(), F.concat(F.lit(_PLACE), "pos")).otherwise(F.concat(F.lit(_KEY), F.translate("key", _KEY + _PLACE, "")))
+        join = lambda c, part: F.when(F.col("_opens"), F.concat(c, part)).otherwise(F.col(c)).alias(c)
+        value = F.when(F.col("_opens"), F.col("value")).otherwise(F.col("_v"))
+        rows = rows.select(*keep, value.alias("_v"), join("path", text), join("code", code), F.when(F.col("_opens"), F.coalesce("key", "_key")).otherwise(F.col("_key")).alias("_key"), F.col("_opens").alias("_live"))
+    return rows if inner_too else rows.where(~inner)
+
+
+def leaves(docs: DataFrame, doc: str, keep: list[str], depth: int | None = None) -> DataFrame:
+    """Every value, or those at most ``depth`` keys or places deep: ``path``, ``key`` (the nearest name above it), ``kind``,
+    ``value`` (as text).
+
+    The deepest nesting of any document is looked up first (one number), and as many levels are opened, a chain of
+    explosions without a shuffle; values found early pass through. Documents that do not parse, empty lists, empty objects
+    and JSON nulls give no row.
+    """
+    found = _nodes(docs, doc, keep, False, depth).where(~F.is_variant_null("_v"))
     kind = F.lower(F.regexp_extract(F.schema_of_variant("_v"), "^[A-Z]+", 0))
     return found.select(*keep, "path", F.col("_key").alias("key"), kind.alias("kind"), F.try_variant_get("_v", "$", "string").alias("value"))
 
 
-def shallowest(docs: DataFrame, doc: str, keep: list[str], aliases: list[str], depth: int = 4) -> DataFrame:
+def _steps(pattern: str) -> tuple[str | None, str]:
+    """A path's last name, if all that follows it are places, and the expression that its codes match."""
+    if re.search(r"\[[?(]", pattern):
+        raise ValueError(f"filters and scripts are not evaluated: {pattern}")
+    text = pattern if pattern.startswith("$") else f"$.{pattern}"
+    any_step, out, name = f"[{_KEY}{_PLACE}][^{_KEY}{_PLACE}]*", "", None
+    for deep, star, place, quoted, plain in re.findall(r"(\.\.)|(\[\*\]|\*)|\[(\d+)\]|\['([^']*)'\]|([^.\[\]*$]+)", text):
+        if deep:
+            out += f"({any_step})*"
+        elif star:
+            out, name = out + f"({any_step})", None
+        elif place:
+            out += _PLACE + place
+        else:
+            out, name = out + _KEY + re.escape(quoted or plain), quoted or plain
+    return name, f"^{out}$"
+
+
+def path_matches(docs: DataFrame, doc: str, keep: list[str], patterns: list[str]) -> DataFrame:
+    """Per document and path: ``n``, how many values it leads to, and of a single one its ``path``, ``kind`` and ``value``.
+
+    Paths have names, places ([0]), wildcards (* and [*], for every part of an object or list) and .. for any depth;
+    without $ they start at the root. Filters and scripts raise an error. Values are opened once for all paths and meet
+    them by their last name; a path that ends in a wildcard has none and is held against every value. Documents that do not
+    parse have no values. ``keep`` tells documents apart.
+    """
+    table = [(p, *_steps(p)) for p in patterns]
+    wanted = docs.sparkSession.createDataFrame(table, "pattern string, name string, code_like string")
+    wanted = F.broadcast(wanted.withColumn("_by", F.coalesce("name", F.lit("*"))))  # as many rows as paths were given
+    nodes = _nodes(docs, doc, keep, True, None)
+    kind = F.lower(F.regexp_extract(F.schema_of_variant("_v"), "^[A-Z]+", 0))
+    by = F.array(F.concat(F.lit("."), F.coalesce("_key", F.lit(""))), F.lit("*"))
+    nodes = nodes.select(*keep, "path", "code", kind.alias("kind"), F.try_variant_get("_v", "$", "string").alias("value"), F.explode(by).alias("_by"))
+    wanted = wanted.withColumn("_by", F.when(F.col("name").isNull(), "*").otherwise(F.concat(F.lit("."), "name")))
+    met = nodes.join(wanted, "_by").where(F.expr("code rlike code_like"))
+    met = met.groupBy(*keep, "pattern").agg(F.count("*").alias("n"), *[F.max(c).alias(c) for c in ("path", "kind", "value")])
+    every = docs.select(*keep, F.explode(F.array(*map(F.lit, patterns))).alias("pattern"))
+    one = lambda c: F.when(F.col("n") == 1, F.col(c)).alias(c)
+    out = every.join(met, [*keep, "pattern"], "left")
+    return out.select(*keep, "pattern", F.coalesce("n", F.lit(0)).alias("n"), *[one(c) for c in ("path", "kind", "value")])
+
+
+def shallowest(docs: DataFrame, doc: str, keep: list[str], aliases: list[str], depth: int | None = None) -> DataFrame:
     """The value of the first of some names at the least depth, in documents that have one: ``path``, ``value``.
 
     Names are compared folded and in lower case; at one depth the earlier alias wins, then the smaller path.

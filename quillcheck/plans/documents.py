@@ -52,7 +52,7 @@ def each_line(t: Tables) -> DataFrame:
 
 @query(_LINES + """ SELECT l_orderkey, fullkey AS path, json_extract_string(atom, '$') AS value FROM d, json_tree(d.doc) WHERE type = 'VARCHAR'""")
 def document_texts(t: Tables) -> DataFrame:
-    """Every text in a document, four keys or places deep at most, with its path."""
+    """Every text in a document, however deep, with its path."""
     return paths.leaves(line_documents(t), "doc", ["l_orderkey"]).where("kind = 'string'").select("l_orderkey", "path", "value")
 
 
@@ -73,3 +73,23 @@ def deep_amounts(t: Tables) -> DataFrame:
     status = F.col("o_orderstatus")
     docs = t.orders.select("o_orderkey", F.when(status == "O", flat).when(status == "F", deep).otherwise(other).alias("doc"))
     return paths.shallowest(docs, "doc", ["o_orderkey"], ["amount", "net"]).withColumn("value", F.col("value").cast("double"))
+
+
+_PATTERNS = {
+    "$..qty": r"\$.*\.qty", "$.lines[*].marks[0]": r"\$\.lines\[[0-9]+\]\.marks\[0\]", "lines[1].*": r"\$\.lines\[1\]\.[a-z]+", "$..marks[*]": r"\$.*\.marks\[[0-9]+\]",
+    "lines[0].part": r"\$\.lines\[0\]\.part", "$..*": r"\$.+", "$..none": "x", "$.deep..net": r"\$\.deep\..*net",
+}
+_DEEP = '{"a":[[{"b":{"c":{"d":[{"net":'
+
+
+@query(
+    _LINES + f""", e AS (SELECT l_orderkey, left(doc, length(doc) - 1) || ',"deep":{_DEEP}' || l_orderkey || '}}]}}}}}}]]}}}}' AS doc FROM d), n AS (SELECT l_orderkey, fullkey, lower(type) AS type, json_extract_string(e.doc, fullkey) AS value FROM e, json_tree(e.doc)),
+p AS (SELECT unnest([{", ".join(f"'{p}'" for p in _PATTERNS)}]) AS pattern, unnest([{", ".join(f"'{r}'" for r in _PATTERNS.values())}]) AS r),
+m AS (SELECT l_orderkey, pattern, count(*) AS n, max(fullkey) AS path, max(value) AS value FROM n JOIN p ON regexp_full_match(fullkey, r) GROUP BY ALL)
+SELECT e.l_orderkey, p.pattern, coalesce(n, 0) AS n, CASE WHEN n = 1 THEN path END AS path, CASE WHEN n = 1 THEN value END AS value FROM e CROSS JOIN p LEFT JOIN m ON m.l_orderkey = e.l_orderkey AND m.pattern = p.pattern"""
+)
+def path_counts(t: Tables) -> DataFrame:
+    """How many values eight paths lead to in each order's document, with wildcards and at any depth, and single ones."""
+    deep = F.concat(F.lit(f',"deep":{_DEEP}'), F.col("l_orderkey").cast("string"), F.lit("}]}}}]]}}"))
+    docs = line_documents(t).select("l_orderkey", F.concat(F.expr("left(doc, length(doc) - 1)"), deep).alias("doc"))
+    return paths.path_matches(docs, "doc", ["l_orderkey"], list(_PATTERNS)).drop("kind")

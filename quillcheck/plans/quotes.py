@@ -27,3 +27,20 @@ def nearest_quotes(t: Tables) -> DataFrame:
     found = quotes.longest_runs(t.documents.select("doc_id", "text"), t.benchmark, "doc_id", "item_id")
     items = t.benchmark.select("item_id", F.size(F.split(quotable("text"), " ")).alias("n_words")).join(found, "item_id", "left")
     return items.select("item_id", "doc_id", "run", "quoted_at", "place", quotes.quote_reason(F.col("run"), F.col("n_words")).alias("reason"))
+
+
+_LAID = "replace(replace(text, ', ', ',' || chr(10) || '   '), 'th', 't-' || chr(10) || 'h')"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, {_LAID} AS t FROM documents), q AS (SELECT item_id, {_LAID} AS t FROM benchmark WHERE text <> '')
+SELECT doc_id, item_id, strpos(lower(d.t), lower(q.t)) - 1 AS start, strpos(lower(d.t), lower(q.t)) - 1 + length(q.t) AS "end", substr(d.t, strpos(lower(d.t), lower(q.t)), length(q.t)) AS quoted
+FROM d JOIN q ON contains(lower(d.t), lower(q.t))"""
+)
+def quote_places(t: Tables) -> DataFrame:
+    """Where documents, laid out with words broken over lines and wide blanks, hold quotations, by places of the layout."""
+    laid = F.replace(F.replace("text", F.lit(", "), F.lit(",\n   ")), F.lit("th"), F.lit("t-\nh"))
+    docs = t.documents.select("doc_id", laid.alias("text"))
+    found = quotes.verbatim(docs, t.benchmark, "doc_id", "item_id").drop("place")
+    found = docs.join(found, "doc_id")  # the query shows what stands there; few documents hold a quotation
+    return found.select("doc_id", "item_id", "start", "end", F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")).alias("quoted"))

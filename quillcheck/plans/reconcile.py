@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 
 from ..functions.outcome import FAIL, PASS, outcome
-from ..operators import duplicates, reconcile
+from ..operators import duplicates, quotes, reconcile
 from ..operators.claims import Check, run_checks
 from .registry import Tables, query
 
@@ -233,22 +233,5 @@ k AS (SELECT item_id, q, array_to_string(string_split(q, ' ')[1:5], ' ') AS a FR
 SELECT doc_id, item_id, strpos(t, q)::BIGINT AS place FROM n, k WHERE contains(t, q)"""
 )
 def quote_verbatim(t: Tables) -> DataFrame:
-    """Which documents hold which quotations, word for word, and where.
-
-    Each quotation is looked up by a hash of its inner words, the second to the sixth at most, among all windows of as many
-    words, and confirmed after: inner words stand whole in any text that holds it. Common windows are dealt over salts.
-    The few quotations of one or two words have no inner word; each text is searched for all of them.
-    """
-    blanks = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
-    docs = t.documents.select("doc_id", blanks("text").alias("t"))
-    quotes = t.benchmark.select("item_id", blanks("text").alias("q")).withColumn("n", F.least(F.size(F.split("q", " ")) - 2, F.lit(5)))
-    long = quotes.where("n > 0").withColumn("h", F.expr("xxhash64(slice(split(q, ' '), 2, n))"))
-    sizes = long.select("n").distinct()  # five at most
-    windows = """element_at(transform(array(split(t, ' ')), w -> if(size(w) < n, array(),
-        transform(sequence(0, size(w) - n), i -> if(n = 5, xxhash64(array(w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4])), xxhash64(slice(w, i + 1, n)))))), 1)"""
-    keyed = docs.crossJoin(F.broadcast(sizes)).select("doc_id", "n", F.explode(F.array_distinct(F.expr(windows))).alias("h")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(16)))
-    salted = long.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15)).cast("array<bigint>")))
-    hits = keyed.join(salted, ["n", "h", "salt"])
-    found = docs.join(hits.select("doc_id", "item_id", "q"), "doc_id").where(F.expr("contains(t, q)"))
-    found = found.select("doc_id", "item_id", "t", "q").unionByName(docs.join(quotes.where("n <= 0").drop("n"), F.expr("contains(t, q)")).select("doc_id", "item_id", "t", "q"))
-    return found.select("doc_id", "item_id", F.expr("cast(position(q in t) as bigint)").alias("place"))
+    """Which documents hold which quotations, word for word, and where in the form that compares."""
+    return quotes.verbatim(t.documents, t.benchmark, "doc_id", "item_id").select("doc_id", "item_id", "place")
