@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut
+
 GENESIS = "0" * 64
 
 
@@ -48,28 +50,70 @@ def build_chains(events: DataFrame, chain: str, order: list[str], payload: Colum
     return rows.mapInArrow(link, schema)
 
 
-def verify_chains(entries: DataFrame, chain: str, payload: Column | None = None, after: Column | None = None) -> DataFrame:
-    """Per chain its length, head, and the first sequence number that breaks it with the reason, if any.
+def _reasons(entries: DataFrame, chain: str, payload: Column | None, after: Column | None) -> DataFrame:
+    """Entries (chain, seq, entry_hash) with ``_why``: what is wrong with one, null if nothing.
 
-    Checks that numbers are dense from 0, that each entry names the one before, that entry hashes recompute, and (with
-    ``payload``) that payload hashes do. Every entry is checked from its neighbour alone, so chains need no fold.
-    ``after`` names the last number already certified; entries up to it are taken as read.
+    An entry meets the one before by an equality of chain and number, so entries are dealt by both and a chain of any
+    length is shared by all tasks.
     """
-    w = W.partitionBy(chain).orderBy("seq")
     start = F.lit(-1) if after is None else after
-    before_seq, before = F.lag("seq").over(w), F.lag("entry_hash").over(w)
-    gap = F.col("seq") != F.coalesce(before_seq + 1, F.lit(0))
-    unlinked = F.col("prev_hash") != F.coalesce(before, F.lit(GENESIS))
-    wrong = F.col("entry_hash") != entry_hash(F.col("seq"), F.col("prev_hash"), F.col("payload_hash"))
     content = F.lit(False) if payload is None else F.col("payload_hash") != F.sha2(payload, 256)
-    reason = F.when(gap, "seq").when(unlinked, "prev_hash").when(wrong, "entry_hash").when(content, "payload")
-    checked = entries.select(chain, "seq", "entry_hash", F.when(F.col("seq") > start, reason).alias("_why"))
+    wrong = F.col("entry_hash") != entry_hash(F.col("seq"), F.col("prev_hash"), F.col("payload_hash"))
+    own = F.when(wrong, "entry_hash").when(content, "payload")
+    rows = entries.select(chain, "seq", "entry_hash", "prev_hash", own.alias("_own"), (F.col("seq") > start).alias("_read"))
+    before = rows.groupBy(F.col(chain).alias("_c"), (F.col("seq") + 1).alias("_s")).agg(F.count("*").alias("_n"), F.max("entry_hash").alias("_before"))
+    again = rows.groupBy(F.col(chain).alias("_c2"), F.col("seq").alias("_s2")).agg((F.count("*") > 1).alias("_twice"))
+    rows = rows.join(before, F.col(chain).eqNullSafe(F.col("_c")) & (F.col("seq") == F.col("_s")), "left")
+    rows = rows.join(again, F.col(chain).eqNullSafe(F.col("_c2")) & (F.col("seq") == F.col("_s2")), "left")
+    gap = ((F.col("seq") != 0) & F.col("_n").isNull()) | F.coalesce("_twice", F.lit(False))
+    unlinked = F.col("prev_hash") != F.coalesce("_before", F.lit(GENESIS))
+    why = F.when(gap, "seq").when(unlinked, "prev_hash").otherwise(F.col("_own"))
+    return rows.select(chain, "seq", "entry_hash", F.when(F.col("_read"), why).alias("_why"))
+
+
+def _verdicts(checked: DataFrame, chain: str) -> DataFrame:
     out = checked.groupBy(chain).agg(
         F.count("*").alias("n"), F.max_by("entry_hash", "seq").alias("head"), F.min(F.when(F.col("_why").isNotNull(), F.struct("seq", "_why"))).alias("_bad")
     )
     return out.select(chain, "n", "head", F.col("_bad.seq").alias("first_break"), F.col("_bad._why").alias("reason"))
 
 
+def verify_chains(entries: DataFrame, chain: str, payload: Column | None = None, after: Column | None = None) -> DataFrame:
+    """Per chain its length, head, and the first sequence number that breaks it with the reason, if any.
+
+    Checks that numbers are dense from 0 and none stands twice, that each entry names the one before, that entry hashes
+    recompute, and (with ``payload``) that payload hashes do. Every entry is checked from its neighbour alone, so chains need
+    no fold and no task reads a whole one. ``after`` names the last number already certified; entries up to it are taken as
+    read.
+    """
+    return _verdicts(_reasons(entries, chain, payload, after), chain)
+
+
+def against_checkpoints(entries: DataFrame, checkpoints: DataFrame, chain: str, payload: Column | None = None) -> DataFrame:
+    """Checkpoints (chain, length, head: the hash of the entry that was the last then) with ``status`` and, where the chain
+    is another one, the numbers ``since`` to ``upto`` between which it changed.
+
+    truncated: the chain is shorter than it was. broken: it does not verify up to there. rewritten: it verifies, but its
+    entry has another hash, as after a change that recomputes all that follows. held: as it was. ``since`` is the length of
+    the last checkpoint before that held. A checkpoint meets its entry by chain and number, and its chain's verdict; of the
+    chain's checkpoints only these are put in order. A chain without entries is truncated; a length under 1 is refused.
+    """
+    checked = cut(_reasons(entries, chain, payload, None))
+    verdict = _verdicts(checked, chain).select(F.col(chain).alias("_c"), "n", "first_break")
+    at = checked.groupBy(F.col(chain).alias("_d"), (F.col("seq") + 1).alias("_length")).agg(F.max("entry_hash").alias("_head"))
+    rows = checkpoints.select(chain, "length", "head").join(verdict, F.col(chain) == F.col("_c"), "left")
+    rows = rows.join(at, (F.col(chain) == F.col("_d")) & (F.col("length") == F.col("_length")), "left")
+    status = (
+        F.when(F.coalesce(F.col("length") < 1, F.lit(True)), "refused").when(F.col("length") > F.coalesce("n", F.lit(0)), "truncated")
+        .when(F.col("first_break") < F.col("length"), "broken").when(F.col("_head").eqNullSafe(F.col("head")), "held").otherwise("rewritten")
+    )
+    rows = rows.select(chain, "length", "head", status.alias("status"))
+    earlier = W.partitionBy(chain).orderBy("length").rangeBetween(W.unboundedPreceding, -1)
+    since = F.coalesce(F.max(F.when(F.col("status") == "held", F.col("length"))).over(earlier), F.lit(0))
+    changed = F.col("status").isin("broken", "rewritten")
+    return rows.select(chain, "length", "status", F.when(changed, since).alias("since"), F.when(changed, F.col("length") - 1).alias("upto"))
+
+
 def chain_periods(events: DataFrame, chain: list[str], seq: str, ts: str, unit: str) -> DataFrame:
     """Events with the calendar period they belong to: that of the largest time so far, so an event whose clock steps
     back stays in the open period and none is ever dropped."""

@@ -50,6 +50,29 @@ def chain_breaks(t: Tables) -> DataFrame:
     return ledger.verify_chains(chains, "user_id", payload).drop("head")
 
 
+@query(
+    f"""WITH s AS ({_SEQ}), n AS (SELECT user_id, count(*) AS n, user_id % 10 AS kind FROM s GROUP BY user_id),
+c AS (SELECT DISTINCT user_id, kind, n, unnest([4, 8, n, 0]) AS length FROM n WHERE n > 8),
+v AS (SELECT *, CASE WHEN length < 1 THEN 'refused' WHEN kind = 3 AND length > n - 2 THEN 'truncated' WHEN kind = 1 AND length > 5 THEN 'broken' WHEN kind = 5 AND length > 5 THEN 'rewritten' WHEN kind = 6 AND length = 8 THEN 'rewritten' ELSE 'held' END AS status FROM c)
+SELECT user_id, length::BIGINT AS length, status, CASE WHEN status IN ('broken', 'rewritten') THEN 4 END::BIGINT AS since, CASE WHEN status IN ('broken', 'rewritten') THEN length - 1 END::BIGINT AS upto FROM v"""
+)
+def chain_checkpoints(t: Tables) -> DataFrame:
+    """Checkpoints of each user's chain at entries 4, 8 and the last, against chains that lost their end, had a payload
+    changed, or were rewritten from entry 5 on; and some forged checkpoints."""
+    kind, n = F.col("user_id") % 10, F.col("n")
+    chains = _chains(t)
+    lengths = chains.groupBy("user_id").agg(F.count("*").alias("n")).where("n > 8")
+    points = lengths.select("user_id", F.explode(F.array_distinct(F.array(F.lit(4).cast("bigint"), F.lit(8).cast("bigint"), n, F.lit(0).cast("bigint")))).alias("length"))
+    points = points.join(chains.select("user_id", (F.col("seq") + 1).alias("length"), F.col("entry_hash").alias("head")), ["user_id", "length"], "left")
+    points = points.withColumn("head", F.when((kind == 6) & (F.col("length") == 8), F.sha2("head", 256)).otherwise(F.col("head")))
+    changed = F.when((kind == 5) & (F.col("seq") == 5), F.col("value") + 1).otherwise(F.col("value"))
+    events = chains.join(lengths, "user_id").where((kind != 3) | (F.col("seq") < n - 2)).withColumn("value", changed).select("user_id", "event_id", "event_type", "value", "ts")
+    payload = F.concat_ws("|", F.col("event_id").cast("string"), "event_type", F.col("value").cast("decimal(18,2)").cast("string"))
+    book = ledger.build_chains(events, "user_id", ["ts", "event_id"], payload)
+    book = book.withColumn("value", F.when((kind == 1) & (F.col("seq") == 5), F.col("value") + 1).otherwise(F.col("value")))
+    return ledger.against_checkpoints(book, points, "user_id", payload)
+
+
 _CLOCK = "CASE WHEN event_id % 17 = 0 THEN ts - INTERVAL 3 DAY ELSE ts END"
 
 
@@ -172,6 +195,27 @@ def usage_by_bucket(t: Tables) -> DataFrame:
     return usage.by_bucket(rows.where("event_id % 5 <> 0"), billed, ["hour", "model"], "tokens")
 
 
+_WIDTHS = "CASE user_id % 3 WHEN 0 THEN 60 WHEN 1 THEN 3600 ELSE 86400 END"
+
+
+@query(
+    f"""WITH e AS (SELECT event_id, user_id % 3 AS team, event_type AS model, epoch(date_trunc('second', ts))::BIGINT AS tick, floor(abs(value))::BIGINT AS tokens, {_WIDTHS} AS w FROM events),
+r AS (SELECT * FROM e WHERE event_id % 5 <> 0), b AS (SELECT team, model, tick - tick % w AS start, tick - tick % w + w AS "end", (sum(tokens) - CASE WHEN count(*) % 4 = 3 THEN 10 ELSE 0 END)::BIGINT AS billed FROM e WHERE event_id % 7 <> 0 OR event_id % 10 = 0 GROUP BY ALL),
+m AS (SELECT b.team, b.model, b.start, b."end", b.billed, count(r.tick) AS n, sum(r.tokens)::BIGINT AS replied FROM b LEFT JOIN r ON r.team = b.team AND r.model = b.model AND r.tick >= b.start AND r.tick < b."end" GROUP BY ALL)
+SELECT team, model, start, "end", n AS n_replies, replied, billed, CASE WHEN n = 0 THEN 'NO_REPLIES' WHEN billed < replied THEN 'SHORT' WHEN billed = replied THEN 'EXACT' ELSE 'CONTAINED' END AS match, CASE "end" - start WHEN 60 THEN 'minute' WHEN 3600 THEN 'hour' ELSE 'day' END AS confidence FROM m
+UNION ALL SELECT team, model, tick - tick % 60, tick - tick % 60 + 60, count(*), sum(tokens)::BIGINT, NULL, 'NOT_BILLED', NULL FROM r WHERE NOT EXISTS (SELECT 1 FROM b WHERE r.team = b.team AND r.model = b.model AND r.tick >= b.start AND r.tick < b."end") GROUP BY ALL"""
+)
+def mixed_buckets(t: Tables) -> DataFrame:
+    """Replies against bills by the minute, hour or day, whichever each team's provider writes."""
+    width = F.when(F.col("user_id") % 3 == 0, 60).when(F.col("user_id") % 3 == 1, 3600).otherwise(86400)
+    rows = t.events.select(
+        "event_id", (F.col("user_id") % 3).alias("team"), F.col("event_type").alias("model"), F.unix_timestamp("ts").alias("at"), F.floor(F.abs("value")).alias("tokens"), width.cast("bigint").alias("w")
+    )
+    billed = rows.where("event_id % 7 <> 0 or event_id % 10 = 0").groupBy("team", "model", (F.col("at") - F.col("at") % F.col("w")).alias("start"), "w")
+    billed = billed.agg((F.sum("tokens") - F.when(F.count("*") % 4 == 3, 10).otherwise(0)).alias("billed")).withColumn("end", F.col("start") + F.col("w"))
+    return usage.by_mixed_buckets(rows.where("event_id % 5 <> 0"), billed, ["team", "model"])
+
+
 @query(
     """WITH m AS (SELECT event_id, user_id, event_type, lag(event_type) OVER w AS was, row_number() OVER w AS nth FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), c AS (SELECT * FROM m WHERE was <> event_type)
 SELECT event_id, user_id, was AS from_model, event_type AS to_model, (nth - coalesce(lag(nth) OVER (PARTITION BY user_id ORDER BY nth), 1))::INT AS lasted FROM c"""
