@@ -219,12 +219,11 @@ def report(counted: DataFrame, found: list[Candidate], rate: float = 0.0) -> Dat
     smallest that will do is taken. VOID: no case violates it. BASE_RATE: too few holds do, or chance explains them.
     Of the rest a CANDLE explains holds that no stronger rule does; the others are REDUNDANT.
 
-    Patterns and tallies come to the driver: their number depends on the rules, not on the cases.
+    Tallies come to the driver, a row a rule and tolerance; patterns of cases do not.
     """
     tally = {(r.rule, r.t): r for r in tallies(counted, found).collect()}
     place = {key: n for n, key in enumerate((c.rule, t) for c in found for t in c.grid)}
-    held = {n: (r.flags, r.cases) for n, r in enumerate(counted.where("held").collect())}
-    out, explained = [], {}
+    out, explained = [], []
     for c in found:
         fits = lambda r: r.k_approved <= int(rate * (r.n - r.holds) + 1e-9)
         t = next((t for t in c.grid if fits(tally[c.rule, t])), None)
@@ -232,9 +231,9 @@ def report(counted: DataFrame, found: list[Candidate], rate: float = 0.0) -> Dat
         chance = mine.upper_tail(r.n, r.holds, r.k, r.k_holds) if r.k and t is not None else 1.0
         fate = "INCONSISTENT" if t is None else "VOID" if not r.k else "BASE_RATE" if r.k_holds < LEAST_HOLDS or chance > MOST_CHANCE else "REDUNDANT"
         if fate == "REDUNDANT":
-            explained[c.rule] = {n for n, (signs, _) in held.items() if signs[place[c.rule, t]] == "1"}
+            explained.append((c.rule, place[c.rule, t]))
         out.append([c.rule, c.family, t, r.n, r.holds, r.k, r.k_holds, r.k_approved, float(f"{chance:.12g}"), fate])
-    new = {rule for rule, _, _ in mine.novelty(explained, {n: cases for n, (_, cases) in held.items()}, LEAST_NEW)}
+    new = {rule for rule, _, _ in mine.cover(counted.where("held"), explained, LEAST_NEW)}
     for row in out:
         row[-1] = "CANDLE" if row[0] in new else row[-1]
     schema = "rule string, family string, t double, n long, holds long, k long, k_holds long, k_approved long, chance double, fate string"

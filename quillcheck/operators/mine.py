@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def tally(cases: DataFrame, label: Column, candidates: dict[str, Column]) -> DataFrame:
     """Per candidate rule: decidable cases, holds among them, violators, holds among those, approvals among those.
@@ -64,6 +66,47 @@ def learned_cut(cases: DataFrame, x: str, label: Column, allowed_rate: float) ->
     )
 
 
+def learned_cuts(cases: DataFrame, fields: list[str], label: Column, allowed_rate: float) -> DataFrame:
+    """Per field and direction the constant that parts held from approved cases with the fewest errors: field, op, c, lo, hi,
+    approved, missed, fate.
+
+    ``<=`` says that large values violate, ``>=`` that small ones do. Errors are approved violators plus held cases that do
+    not violate; a cut may make at most a share ``allowed_rate`` of the approved cases violate, of equal errors the one with
+    fewer of these is taken. c lies midway between the values lo and hi on either side. fate is LEARNED, VOID with fewer than
+    two values, or INCONSISTENT if every cut has too many approved violators. Missing and non-finite values do not count.
+
+    All fields are learned in one pass: cases are counted by (field, value), the counts sorted over all tasks by ranges, and
+    sums of a range's rows added to those of the ranges before, so no task reads a whole field.
+    """
+    entry = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("x")) for f in fields])
+    rows = cases.select(label.alias("_held"), F.explode(entry).alias("_e")).select("_held", "_e.*")
+    rows = rows.where(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") < float("inf")) & F.col("_held").isNotNull())
+    counts = rows.groupBy("field", "x").agg(F.count_if("_held").alias("h"), F.count_if(~F.col("_held")).alias("a"))
+    counts = cut(counts.repartitionByRange("field", "x").withColumn("_part", F.spark_partition_id()))
+    parts = counts.groupBy("field", "_part").agg(F.sum("h").alias("_h"), F.sum("a").alias("_a"), F.min("x").alias("_first"), F.count("*").alias("_n"))
+    order = W.partitionBy("field").orderBy("_part")  # as many rows as there are tasks
+    before, every = order.rowsBetween(W.unboundedPreceding, -1), W.partitionBy("field")
+    parts = parts.select(
+        "field", "_part", F.coalesce(F.sum("_h").over(before), F.lit(0)).alias("_bh"), F.coalesce(F.sum("_a").over(before), F.lit(0)).alias("_ba"), F.lead("_first").over(order).alias("_next"),
+        F.sum("_h").over(every).alias("all_h"), F.sum("_a").over(every).alias("all_a"), F.sum("_n").over(every).alias("_values"),
+    )
+    inside = W.partitionBy("field", "_part").orderBy("x")
+    upto = inside.rowsBetween(W.unboundedPreceding, 0)
+    sums = counts.withColumns({"_ih": F.sum("h").over(upto), "_ia": F.sum("a").over(upto), "_lead": F.lead("x").over(inside)}).join(parts, ["field", "_part"])
+    sums = sums.select("field", "all_h", "all_a", "_values", F.col("x").alias("lo"), F.coalesce("_lead", "_next").alias("hi"), (F.col("_bh") + F.col("_ih")).alias("bh"), (F.col("_ba") + F.col("_ia")).alias("ba"))
+    high = F.struct(F.lit("<=").alias("op"), (F.col("all_a") - F.col("ba")).alias("approved"), F.col("bh").alias("missed"))
+    low = F.struct(F.lit(">=").alias("op"), F.col("ba").alias("approved"), (F.col("all_h") - F.col("bh")).alias("missed"))
+    sums = sums.select("field", "all_a", "_values", "lo", "hi", F.inline(F.array(high, low)))
+    fits = F.col("hi").isNotNull() & (F.col("approved") <= F.floor(allowed_rate * F.col("all_a") + 1e-9))
+    place = F.struct((F.col("missed") + F.col("approved")).alias("e"), "approved", "lo", "hi", "missed")
+    best = sums.groupBy("field", "op").agg(F.min(F.when(fits, place)).alias("b"), F.max("_values").alias("_values"))
+    lo, hi = F.col("b.lo"), F.col("b.hi")
+    middle = lo + (hi - lo) / 2
+    c = F.when((lo < middle) & (middle < hi), middle).when(F.col("op") == "<=", lo).otherwise(hi)
+    fate = F.when(F.col("_values") < 2, "VOID").when(F.col("b").isNull(), "INCONSISTENT").otherwise("LEARNED")
+    return best.select("field", "op", c.alias("c"), lo.alias("lo"), hi.alias("hi"), F.col("b.approved").alias("approved"), F.col("b.missed").alias("missed"), fate.alias("fate"))
+
+
 def kth_largest(rows: DataFrame, x: str, share: float) -> float | None:
     """The value that a share of the values exceed: the (floor(share * n) + 1)-th largest, null without values.
 
@@ -93,6 +136,29 @@ def upper_tail(n: int, holds: int, k: int, h: int) -> float:
     return min(1.0, math.fsum(math.exp(choose(holds, i) + choose(n - holds, k - i) - choose(n, k)) for i in range(least, top + 1)))
 
 
+def cover(held: DataFrame, rules: list[tuple[str, int]], least: int = 1) -> list[tuple[str, int, int]]:
+    """Greedy cover over held cases counted by pattern (flags, cases): rules by how many holds they explain, ties in the order
+    given, each kept if it explains ``least`` holds or more that no kept one before does; with both numbers.
+
+    ``rules`` names each rule's place in the flags. Patterns stay where they are. A round sums cases by the first rule,
+    of those still in, that explains them: if all in front are kept, that sum is what a rule explains anew, so the first
+    rule with too little goes, and the round is made again. Only sums by rule come to the driver, one row a rule.
+    """
+    sign = lambda at: F.substring("flags", at + 1, 1)
+    held = cut(held)
+    total = held.agg(F.lit(0).alias("none"), *[F.coalesce(F.sum(F.when(sign(at) == "1", F.col("cases"))), F.lit(0)).alias(f"r{k}") for k, (_, at) in enumerate(rules)]).first()
+    size = {k: total[f"r{k}"] for k in range(len(rules))}
+    left = sorted((k for k in size if size[k] >= least), key=lambda k: -size[k])
+    while left:
+        first = F.locate("1", F.concat(*[sign(rules[k][1]) for k in left]))
+        fresh = {r["first"]: r["cases"] for r in held.groupBy(first.alias("first")).agg(F.sum("cases").alias("cases")).collect()}
+        short = next((n for n in range(len(left)) if fresh.get(n + 1, 0) < least), None)
+        if short is None:
+            return [(rules[k][0], size[k], fresh[n + 1]) for n, k in enumerate(left)]
+        del left[short]
+    return []
+
+
 def novelty(held: dict[str, set], weight: dict, least: int = 1) -> list[tuple[str, int, int]]:
     """Greedy cover: rules by how many holds they explain, ties in order, each kept if it explains enough new ones, with
     both numbers.

@@ -100,13 +100,11 @@ def mine_supported_interval(t: Tables) -> DataFrame:
 @query()
 def mine_cover(t: Tables) -> DataFrame:
     """Grounded rules that explain held cases no stronger rule does; a greedy cover is not SQL's, so tests hold it
-    against a plain one. Rules, not cases, come to the driver: each case is reduced to the set of rules it violates."""
-    cases = _cases(t).where("held")
+    against a plain one. Cases are counted by the set of rules they violate."""
     flags = F.concat(*[F.when(F.expr(e), "1").otherwise("0") for e in CANDIDATES.values()])
-    patterns = cases.groupBy(flags.alias("p")).agg(F.count("*").alias("n")).collect()  # at most 2 ** rules, in fact a few
-    sizes = {k: r.n for k, r in enumerate(patterns)}
-    held = {name: {k for k, r in enumerate(patterns) if r.p[j] == "1"} for j, name in enumerate(CANDIDATES)}
-    return t.spark.createDataFrame(mine.novelty(held, sizes), "rule string, n_holds long, n_new long")
+    patterns = _cases(t).where("held").groupBy(flags.alias("flags")).agg(F.count("*").alias("cases"))
+    found = mine.cover(patterns, [(name, n) for n, name in enumerate(CANDIDATES)])
+    return t.spark.createDataFrame(found, "rule string, n_holds long, n_new long")
 
 
 @query(

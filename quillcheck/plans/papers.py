@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.outcome import FAIL, OPEN, PASS
-from ..operators import grammar, matching
+from ..operators import grammar, matching, mine
 from ..operators.claims import run_checks
 from ..operators.grammar import Field
+from ..session import cut
 from ..sources import einvoice, exports
 from .registry import Tables, query
 
@@ -201,6 +202,41 @@ def mine_report(t: Tables) -> DataFrame:
     return grammar.report(counted, found, rate=0.25)
 
 
+#: Cases with a planted rule: orders over 300,000 are held but for one in 50, and one in 97 of the others is.
+_PLANTED = """WITH p AS (SELECT o_totalprice AS total, o_totalprice * 1.08 AS taxed, c_acctbal AS balance, CASE WHEN o_totalprice > 300000 THEN o_orderkey % 50 <> 0 ELSE o_orderkey % 97 = 0 END AS held FROM orders LEFT JOIN customer ON c_custkey = o_custkey),
+u AS (SELECT 'total' AS field, total AS x, held FROM p UNION ALL SELECT 'taxed', taxed, held FROM p UNION ALL SELECT 'balance', balance, held FROM p),
+v AS (SELECT field, x, count(*) FILTER (WHERE held) AS h, count(*) FILTER (WHERE NOT held) AS a FROM u WHERE x IS NOT NULL GROUP BY ALL),
+s AS (SELECT field, x AS lo, lead(x) OVER w AS hi, sum(h) OVER w AS bh, sum(a) OVER w AS ba, sum(h) OVER (PARTITION BY field) AS th, sum(a) OVER (PARTITION BY field) AS ta FROM v WINDOW w AS (PARTITION BY field ORDER BY x)),
+d AS (SELECT field, '<=' AS op, lo, hi, ta - ba AS approved, bh AS missed, ta FROM s UNION ALL SELECT field, '>=', lo, hi, ba, th - bh, ta FROM s),
+b AS (SELECT * FROM d WHERE hi IS NOT NULL AND approved <= floor(0.02 * ta + 1e-9) QUALIFY row_number() OVER (PARTITION BY field, op ORDER BY approved + missed, approved, lo) = 1)"""
+_LEARNT = {"total": Field("money", "total", "bill"), "taxed": Field("money", "extra"), "balance": Field("money", "extra")}
+
+
+def _planted(t: Tables) -> DataFrame:
+    over, k = F.col("o_totalprice") > 300_000, F.col("o_orderkey")
+    held = F.when(over, k % 50 != 0).otherwise(k % 97 == 0)
+    rows = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return rows.select(k.alias("id"), F.col("o_totalprice").alias("total"), (F.col("o_totalprice") * 1.08).alias("taxed"), F.col("c_acctbal").alias("balance"), held.alias("held"))
+
+
+@query(_PLANTED + """ SELECT field, op, lo + (hi - lo) / 2 AS c, lo, hi, approved::BIGINT AS approved, missed::BIGINT AS missed, 'LEARNED' AS fate FROM b""")
+def learned_constants(t: Tables) -> DataFrame:
+    """The constants that part held from approved orders best, for every amount and both directions."""
+    return mine.learned_cuts(_planted(t), list(_LEARNT), F.col("held"), 0.02)
+
+
+@query()
+def mine_verdicts(t: Tables) -> DataFrame:
+    """What became of the rules with learned constants over cases with a planted one: the planted rule is a candle, its like on
+    the taxed amount is redundant. The greedy choice is not SQL's; tests hold it against plain loops."""
+    cases = cut(_planted(t))
+    learned = mine.learned_cuts(cases, list(_LEARNT), F.col("held"), 0.02).where("fate = 'LEARNED'").collect()  # two rows a field at most
+    learned.sort(key=lambda r: (list(_LEARNT).index(r.field), r.op))
+    found = grammar.candidates({}, _LEARNT, cuts=[(r.field, r.op, r.c) for r in learned])
+    lines = cases.select("id").limit(0)
+    return grammar.report(grammar.patterns(grammar.flags(cases, lines, "id", F.col("held"), found, {})), found, rate=0.02)
+
+
 @query(
     """WITH c AS (SELECT o_totalprice AS total, c_acctbal AS balance FROM orders LEFT JOIN customer ON c_custkey = o_custkey),
 r AS (SELECT 'D balance <= 0' AS rule, balance <= 0.005 AS ok FROM c UNION ALL SELECT 'C total <= c', total <= 250000 FROM c UNION ALL SELECT 'C balance >= c', balance >= 0 FROM c)

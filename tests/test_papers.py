@@ -157,3 +157,48 @@ def test_rules_are_enumerated_and_judged(spark):
         fates |= set(got.values())
     assert {"INCONSISTENT", "CANDLE", "BASE_RATE"} <= fates
     assert grammar.report(grammar.patterns(flagged.limit(0)), found).where("fate <> 'VOID'").count() == 0
+
+
+def test_learned_cuts_equal_loops(spark):
+    import random
+
+    from quillcheck.operators import mine
+
+    rng = random.Random(6)
+    rows = [(rng.choice([None, float("nan"), *range(12)]), rng.uniform(0, 1), 5.0, None, None) for _ in range(300)]
+    rows = [(None if x is None else float(x), y, z, w, y > 0.6 if rng.random() > 0.1 else y < 0.3) for x, y, z, w, _ in rows]
+    frame = spark.createDataFrame(rows, "x double, y double, z double, w double, held boolean")
+    for rate in (0.0, 0.1, 1.0):
+        got = {(r.field, r.op): r for r in mine.learned_cuts(frame, ["x", "y", "z", "w"], F.col("held"), rate).collect()}
+        assert set(got) == {(f, op) for f in "xyz" for op in ("<=", ">=")}
+        for n, field in enumerate("xyz"):
+            own = [(r[n], r[4]) for r in rows if r[n] is not None and r[n] == r[n]]
+            values, approved = sorted({v for v, _ in own}), sum(not h for _, h in own)
+            for op in ("<=", ">="):
+                best = None
+                for lo, hi in zip(values, values[1:]):
+                    bad = [h for v, h in own if (v > lo if op == "<=" else v <= lo)]
+                    a, missed = bad.count(False), sum(h for _, h in own) - bad.count(True)
+                    if a <= int(rate * approved + 1e-9) and (best is None or (a + missed, a) < best[:2]):
+                        best = (a + missed, a, lo, hi)
+                r = got[field, op]
+                if best is None:
+                    assert r.c is None and r.fate == ("VOID" if len(values) < 2 else "INCONSISTENT")
+                else:
+                    assert (r.approved, r.missed, r.lo, r.hi, r.c) == (best[1], best[0] - best[1], best[2], best[3], best[2] + (best[3] - best[2]) / 2)
+
+
+def test_cover_by_rounds_equals_the_plain_one(spark):
+    import random
+
+    from quillcheck.operators import mine
+
+    rng = random.Random(7)
+    for least in (1, 3):
+        for _ in range(3):
+            patterns = {"".join(rng.choices("01?", k=7)): rng.randint(1, 4) for _ in range(12)}
+            frame = spark.createDataFrame(list(patterns.items()), "flags string, cases int")
+            held = {f"r{k}": {p for p in patterns if p[k] == "1"} for k in range(7)}
+            want = mine.novelty(held, patterns, least)
+            assert mine.cover(frame, [(r, k) for k, r in enumerate(held)], least) == want
+    assert mine.cover(frame, [], 1) == [] and mine.cover(frame.limit(0), [("r0", 0)], 1) == []
