@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import quotable
-from ..operators import quotes
+from ..operators import named, quotes
 from .registry import Tables, query
 
 _WORDS = "string_split(lower(trim(regexp_replace(replace(translate(replace(text, '-' || chr(10), ''), '‘’“”–—', '''''\"\"--'), '…', '...'), '\\s+', ' ', 'g'))), ' ')"
@@ -44,3 +44,29 @@ def quote_places(t: Tables) -> DataFrame:
     found = quotes.verbatim(docs, t.benchmark, "doc_id", "item_id").drop("place")
     found = docs.join(found, "doc_id")  # the query shows what stands there; few documents hold a quotation
     return found.select("doc_id", "item_id", "start", "end", F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")).alias("quoted"))
+
+
+_MAIL = """CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN 'Remit to ' || upper(coalesce(a.s_name, 'nobody')) || ', Inc. ' || text WHEN 2 THEN text || ' From: ' || replace(coalesce(a.s_name, 'nobody'), '#', ' - ') WHEN 3 THEN coalesce(a.s_name, 'nobody') || '7 ' || text ELSE coalesce(a.s_name, 'nobody') || ' for ' || coalesce(b.s_name, 'nobody') || '. ' || text END"""
+
+
+@query(
+    f"""WITH k AS (SELECT count(*) AS n FROM supplier), d AS (SELECT doc_id, {_MAIL} AS t FROM documents CROSS JOIN k LEFT JOIN supplier a ON a.s_suppkey = doc_id % k.n + 1 LEFT JOIN supplier b ON b.s_suppkey = (doc_id * 7) % k.n + 1),
+n AS (SELECT doc_id, ' ' || regexp_replace(lower(t), '[^a-z0-9]+', ' ', 'g') || ' ' AS t FROM d), f AS (SELECT doc_id, s_suppkey FROM n JOIN supplier ON contains(t, ' ' || regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g') || ' '))
+SELECT n.doc_id, count(s_suppkey) AS n_named, CASE WHEN count(s_suppkey) = 1 THEN min(s_suppkey) END AS s_suppkey, CASE count(s_suppkey) WHEN 0 THEN 'none' WHEN 1 THEN 'named' ELSE 'several' END AS reading FROM n LEFT JOIN f ON f.doc_id = n.doc_id GROUP BY n.doc_id"""
+)
+def vendors_named(t: Tables) -> DataFrame:
+    """Which supplier each document names, once names are written into most of them in several ways; some stand twice, and some
+    run on into another number."""
+    n = F.lit(t.supplier.count())
+    a, b = (t.supplier.select(F.col("s_suppkey").alias(f"_{x}"), F.col("s_name").alias(x)) for x in "ab")
+    docs = t.documents.join(a, F.col("_a") == F.col("doc_id") % n + 1, "left").join(b, F.col("_b") == F.col("doc_id") * 7 % n + 1, "left")
+    docs = docs.withColumns({x: F.coalesce(x, F.lit("nobody")) for x in "ab"})
+    kind = F.col("doc_id") % 5
+    text = (
+        F.when(kind == 0, F.col("text")).when(kind == 1, F.concat(F.lit("Remit to "), F.upper("a"), F.lit(", Inc. "), "text"))
+        .when(kind == 2, F.concat("text", F.lit(" From: "), F.replace("a", F.lit("#"), F.lit(" - ")))).when(kind == 3, F.concat("a", F.lit("7 "), "text"))
+        .otherwise(F.concat("a", F.lit(" for "), "b", F.lit(". "), "text"))
+    )
+    mails = docs.select("doc_id", text.alias("text"))
+    found = named.names_in_texts(mails, t.supplier, "doc_id", "s_suppkey", name="s_name")
+    return named.named_vendor(mails, found, "doc_id", "s_suppkey")
