@@ -132,7 +132,8 @@ def encode(
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """The id, data (bytes) and text of every row's ids; text has U+FFFD where the bytes are no UTF-8. Null ids: empty."""
+    """The id, data (bytes) and text of every row's ids; text has U+FFFD where the bytes are no UTF-8. Null ids: empty.
+    An id that the file does not have raises a KeyError. Repeated rows get results of their own; no rows give no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(ranks_path, pattern)
@@ -151,7 +152,9 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id, n_tokens, ids_sha256 (of decimal ids joined by blanks) and decoded_sha256 (of the decoded bytes) per row.
 
-    Encodes and decodes in one pass, so that no ids are stored. Null text counts as empty.
+    Encodes and decodes in one pass, so that no ids are stored. Null text counts as empty. Repeated rows and ids get results
+    of their own, a null id stays null, other columns are ignored, no rows give no rows. Very long texts are encoded whole,
+    cut only where no token crosses.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -199,7 +199,7 @@ def identify(
 def identified_documents(docs: DataFrame, most: float = 2.1, spread: float = 4.0, **more) -> DataFrame:
     """The rows of ``docs`` that are in some learned language: not ``und``, and of a rate of at most ``most`` and ``spread``
     deviations. So short texts, whose rates stray, are let through more easily than long ones. Columns pass through,
-    however named."""
+    however named. Null and empty texts are ``und`` and go; repeated rows stay or go alike; no rows give no rows."""
     columns = docs.columns
     inner = [f"_c{k}" for k in range(len(columns))]  # so that no column can clash with a result
     names = {k: inner[columns.index(more.pop(k, v))] for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("lang_col", "lang"))}

@@ -33,7 +33,7 @@ def _kept(x: Column) -> Column:
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document with repeated windows: _id, _hash (of the text) and _spans, the lines to remove as sorted runs
-    (first, last), places from 0."""
+    (first, last), places from 0. Null texts have no windows; no rows give no rows."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_hash"), text.alias("_text"))
     windows = rows.select(

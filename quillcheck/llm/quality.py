@@ -270,7 +270,7 @@ def score_quality(
     the held-out quarter, a fifth of which set its temperature; then every whole text is scored. Inputs of a score are
     the text's token vectors only. The vectors and the network have a fixed size and are sent to every executor. The table
     has VOCABULARY rows: words share rows by their hash, so in a corpus of many more distinct words than rows a rare word's
-    vector is that of all words of its row.
+    vector is that of all words of its row. All words with two or more capitals share one row, and all numbers another.
 
     Null or empty text is scored as a text without tokens. With no labels of both kinds, every score is the share of
     label 1 (0.5 without any). Repeated rows get results of their own; an id labelled twice takes the larger label. No

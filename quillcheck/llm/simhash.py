@@ -41,7 +41,8 @@ def fingerprint(data: bytes, shingle: int = 3, seed: int = 42) -> int:
 def fingerprints(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42
 ) -> DataFrame:
-    """Per row: id and fp, the fingerprint as a signed long. Null counts as empty; a text without words has 0."""
+    """Per row: id and fp, the fingerprint as a signed long. Null counts as empty; a text without words has 0.
+    Texts are read whole, in blocks of shingles. Repeated rows get rows of their own; no rows give no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text"):
