@@ -169,15 +169,18 @@ def hold_suspects(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH p AS (SELECT event_type AS series, value / 101.0 AS x FROM events WHERE value < 101), r AS (SELECT series, x, row_number() OVER (PARTITION BY series ORDER BY x) AS i, count(*) OVER (PARTITION BY series) AS n FROM p)
+    """WITH b AS (SELECT event_type AS series, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1), p AS (SELECT series, CASE WHEN hi > lo THEN (value - lo) / (hi - lo) ELSE 0.0 END AS x FROM events JOIN b ON series = event_type WHERE value IS NOT NULL), r AS (SELECT series, x, row_number() OVER (PARTITION BY series ORDER BY x) AS i, count(*) OVER (PARTITION BY series) AS n FROM p)
 SELECT series, round(max(greatest(i / n::DOUBLE - x, x - (i - 1) / n::DOUBLE)), 9) AS discrepancy, max(n) AS n FROM r GROUP BY series"""
 )
 def star_discrepancy(t: Tables) -> DataFrame:
-    """How far each kind's values are from even spread: the exact one-dimensional star discrepancy.
+    """How far each kind's values are from even spread over their range: the exact one-dimensional star discrepancy.
 
     Values are counted first, so that a place in order is a cumulative count over distinct values.
     """
-    points = t.events.where("value < 101").groupBy(F.col("event_type").alias("series"), (F.col("value") / 101.0).alias("x")).agg(F.count("*").alias("c"))
+    bounds = t.events.groupBy(F.col("event_type").alias("series")).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    counts = t.events.where("value is not null").groupBy(F.col("event_type").alias("series"), "value").agg(F.count("*").alias("c"))
+    x = F.when(F.col("hi") > F.col("lo"), (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
+    points = counts.join(bounds, "series").groupBy("series", x.alias("x")).agg(F.sum("c").alias("c"))
     w = W.partitionBy("series")
     rows = points.withColumn("i", F.sum("c").over(w.orderBy("x").rowsBetween(W.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(w))
     gap = F.greatest(F.col("i") / F.col("n") - F.col("x"), F.col("x") - (F.col("i") - F.col("c")) / F.col("n"))
