@@ -141,7 +141,7 @@ def draw(rows: DataFrame, strata: list[str], id_col: str, seed: str, rate: float
     """A reproducible share of each stratum: the ids with the smallest hashes of seed, stratum and id. A larger rate
     draws all of a smaller one's.
 
-    A stratum may hold most rows, so its rank is never taken whole: each of 64 slices of a stratum, by the hash's first
+    A stratum may hold most rows, so its rank is never taken whole: each of 256 slices of a stratum, by the hash's first
     bits, is ranked alone, and slices below come in by their counts.
     """
     key = F.sha2(F.concat_ws(":", F.lit(seed), *strata, F.col(id_col).cast("string")), 256)

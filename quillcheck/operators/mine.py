@@ -39,8 +39,8 @@ def learned_tolerance(tallies: DataFrame, family: Column, t: Column, allowed_rat
 def learned_cut(cases: DataFrame, x: str, label: Column, allowed_rate: float) -> DataFrame:
     """The threshold on ``x`` above which cases are held with the fewest errors, if few enough approved cases lie above.
 
-    Cases are summed by value first; cumulative sums over the distinct values give every cut's errors at once. Distinct
-    values are cut to cents before, and sums run in blocks of them: each block's own sums, then those of blocks before.
+    Cases are summed by value first; cumulative sums over the distinct values give every cut's errors at once. Sums run
+    in blocks of values (``learned_cuts`` does so for many fields, by sorted ranges): each block's own, then those of blocks before.
     """
     values = cases.where(F.col(x).isNotNull()).groupBy(F.col(x).alias("x")).agg(F.count_if(label).alias("h"), F.count_if(~label).alias("a"))
     values = values.withColumn("_b", F.floor(F.log2(F.greatest(F.abs("x"), F.lit(1.0))) * 16) * F.signum("x"))
