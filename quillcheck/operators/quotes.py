@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from itertools import batched
+from itertools import batched, pairwise
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.alignment import ELLIPSIS, Runs, matched
+from ..functions.alignment import differences as word_differences
 from ..functions.places import mapped, original_span
 from ..functions.text import quotable
 from ..session import cut
@@ -24,21 +28,83 @@ def _windows(rows: DataFrame, key: str, text: str, place: str, size: int) -> Dat
     return split.select(key, F.posexplode(hashed).alias("p", "h")).select(key, (F.col("p") + 1).alias(place), "h")
 
 
-def longest_runs(docs: DataFrame, quotes: DataFrame, doc: str, quote: str, text: str = "text", size: int = 5) -> DataFrame:
+def _sent(rows: DataFrame, few: int) -> DataFrame:
+    """The rows, marked to be sent to all tasks if there are few."""
+    return F.broadcast(rows) if rows.count() <= few else rows
+
+
+def longest_runs(docs: DataFrame, quotes: DataFrame, doc: str, quote: str, text: str = "text", size: int = 5, few: int = FEW) -> DataFrame:
     """For each text and quotation with ``size`` consecutive words in common: the longest such run, ``run`` words from word
     ``quoted_at`` of the quotation and word ``place`` of the text (of equal ones the first in the quotation, then in the text).
 
-    Windows of both meet by a hash; hits that go on side by side, on one diagonal, are one run. So work follows the words in
-    common, and no text is paired with a quotation that it shares nothing with. Whether quotations are broadcast is Spark's
-    choice by their size. The hash has 64 bits: a false hit needs a collision beside a true run to change a result.
+    Distinct windows of the quotations meet those of the texts by a hash, so a place of a text comes once a quotation however
+    often the window stands in it; a text's places are then read once along the quotation's suffix automaton over the same
+    hashes. Work follows the words in common, and no text is paired with a quotation that it shares nothing with. Windows of
+    quotations are sent to all tasks if there are at most ``few``. The hash has 64 bits: a false hit needs a collision beside
+    a true run to change a result. Null texts and quotations give nothing; ids tell rows apart.
+    """
+    asked = cut(_windows(quotes, quote, text, "quoted_at", size))
+    hits = _windows(docs, doc, text, "place", size).join(_sent(asked.select(quote, "h").distinct(), few), "h")
+    hits = hits.groupBy(doc, quote).agg(F.sort_array(F.collect_list(F.struct("place", "h"))).alias("_hits"))
+    whole = asked.groupBy(quote).agg(F.sort_array(F.collect_list(F.struct("quoted_at", "h")))["h"].alias("_all"))
+
+    @F.pandas_udf("struct<run: int, quoted_at: int, place: int>")
+    def longest(alls: pd.Series, places: pd.Series, hashes: pd.Series) -> pd.DataFrame:
+        known: tuple[bytes, Runs] = (b"", Runs(()))
+        rows = []
+        for whole, at, hs in zip(alls, places, hashes):
+            if whole.tobytes() != known[0]:
+                known = whole.tobytes(), Runs(whole.tolist())
+            breaks = [0, *(np.flatnonzero(np.diff(at) != 1) + 1), len(at)]
+            each = ((known[1].longest(hs[a:b].tolist(), int(at[a]) - 1)) for a, b in pairwise(breaks))
+            rows.append(min(((-n, q, p) for n, q, p in each)))
+        return pd.DataFrame([(size - 1 - n, q, p) for n, q, p in rows], columns=["run", "quoted_at", "place"])
+
+    found = hits.join(whole, quote).select(doc, quote, longest("_all", F.col("_hits.place"), F.col("_hits.h")).alias("b"))
+    return found.select(doc, quote, "b.run", "b.quoted_at", "b.place")
+
+
+#: Signs before and after a word: no letters, digits, or signs that go with numbers.
+_EDGES = r"(?<![^ ])[^\p{L}\p{N}_\u2026\u00a7$ ]+|[^\p{L}\p{N}_\u2026% ]+(?![^ ])"
+
+
+def bare_words(x: Column) -> Column:
+    """A text in the form of ``quotable`` without the signs at the edges of words; words of signs alone go."""
+    return F.trim(F.regexp_replace(F.regexp_replace(x, _EDGES, ""), " +", " "))
+
+
+def differences(docs: DataFrame, quotes: DataFrame, doc: str, quote: str, text: str = "text", size: int = 5, omitted: int = 50, few: int = FEW) -> DataFrame:
+    """For each text and quotation with ``size`` consecutive words in common: the ``run`` of them that is longest, ``n_shared`` of the
+    quotation's ``n_words`` that the passage has in order, and ``differences``, an array of (quoted_at, place, quoted, stands): where
+    the words differ, the number of the first word there in either, from 1, and the words of either.
+
+    The passage is what stands around the longest run in common, as far as the quotation goes on and a quarter (three words at
+    least) further, and ``omitted`` words for each ellipsis. Words are those of ``bare_words``, and an ellipsis inside the
+    quotation is counted as one; so case, line breaks, the form of quotes and dashes, and signs beside words are no differences.
+    Words are aligned as in ``functions.alignment``, in Arrow batches of passages, which are no longer than their quotations
+    allow. Null and empty texts and quotations give nothing; ids tell rows apart.
     """
-    hits = _windows(docs, doc, text, "place", size).join(_windows(quotes, quote, text, "quoted_at", size), "h")
-    hits = hits.withColumn("diagonal", F.col("place") - F.col("quoted_at"))
-    order = Window.partitionBy(doc, quote, "diagonal").orderBy("quoted_at")
-    hits = hits.withColumn("island", F.col("quoted_at") - F.row_number().over(order))
-    runs = hits.groupBy(doc, quote, "diagonal", "island").agg(F.count("*").alias("n"), F.min("quoted_at").alias("quoted_at"))
-    best = F.min(F.struct((-F.col("n")).alias("n"), "quoted_at", (F.col("quoted_at") + F.col("diagonal")).alias("place"))).alias("b")
-    return runs.groupBy(doc, quote).agg(best).select(doc, quote, (size - 1 - F.col("b.n")).cast("int").alias("run"), F.col("b.quoted_at").alias("quoted_at"), F.col("b.place").alias("place"))
+    said = bare_words(F.regexp_replace(quotable(text), r"\.(?: ?\.){2,}", f" {ELLIPSIS} "))
+    asked = quotes.select(quote, F.regexp_replace(said, f"^({ELLIPSIS} ?)+|( ?{ELLIPSIS})+$", "").alias(text))
+    held = docs.select(doc, bare_words(quotable(text)).alias(text))
+    runs = cut(longest_runs(held, asked, doc, quote, text, size, few))
+    asked = asked.select(quote, F.split(text, " ").alias("_q"))
+    gaps = F.size(F.filter("_q", lambda w: w == ELLIPSIS))
+    slack = F.greatest(F.lit(3), F.ceil(F.size("_q") / 4)) + omitted * gaps
+    start = F.col("place") - F.col("quoted_at") + 1
+    low, high = F.greatest(F.lit(1), start - slack), start + F.size("_q") - 1 + slack
+    near = held.select(doc, F.split(text, " ").alias("_w")).join(_sent(runs, few), doc).join(asked, quote)
+    near = near.select(doc, quote, "run", "_q", low.cast("int").alias("_low"), F.slice("_w", low.cast("int"), (high - low + 1).cast("int")).alias("_p"))
+
+    @F.pandas_udf("struct<n_shared: int, differences: array<struct<quoted_at: int, place: int, quoted: string, stands: string>>>")
+    def compared(qs: pd.Series, ps: pd.Series, lows: pd.Series) -> pd.DataFrame:
+        rows = []
+        for q, p, low in zip(map(list, qs), map(list, ps), lows):
+            found = word_differences(q, p, int(low) - 1)
+            rows.append((len(matched(q, p)), [(i, j, " ".join(a), " ".join(b)) for i, j, a, b in found]))
+        return pd.DataFrame(rows, columns=["n_shared", "differences"])
+
+    return near.select(doc, quote, "run", (F.size("_q") - gaps).alias("n_words"), compared("_q", "_p", "_low").alias("c")).select(doc, quote, "run", "n_words", "c.*")
 
 
 def quote_reason(run: Column, n_words: Column) -> Column:
@@ -46,11 +112,6 @@ def quote_reason(run: Column, n_words: Column) -> Column:
     return F.when(run.isNull(), "not located").when(run >= n_words, "verbatim").otherwise("misquote")
 
 
-def _sent(rows: DataFrame, few: int) -> DataFrame:
-    """The rows, marked to be sent to all tasks if there are few."""
-    return F.broadcast(rows) if rows.count() <= few else rows
-
-
 def verbatim(docs: DataFrame, quotes: DataFrame, doc: str, quote: str, text: str = "text", few: int = FEW) -> DataFrame:
     """Which texts hold which quotations word for word: doc, quote, ``place`` (from 1, in the form that compares), and
     ``start`` and ``end``, the first occurrence's place in the original text.

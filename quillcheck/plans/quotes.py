@@ -29,6 +29,16 @@ def nearest_quotes(t: Tables) -> DataFrame:
     return items.select("item_id", "doc_id", "run", "quoted_at", "place", quotes.quote_reason(F.col("run"), F.col("n_words")).alias("reason"))
 
 
+@query()
+def quote_differences(t: Tables) -> DataFrame:
+    """Items quoted wrongly (another word for some, one left out, one put in), in every document that holds five words of them in
+    a row: each difference from what stands there. Tests hold the alignment against full tables of words by words."""
+    wrong = F.regexp_replace(F.regexp_replace("text", r"\b([Tt]h)at\b", "$1is"), r"(\w+ \w+ \w+) \w+ (\w+ \w+ \w+)", "$1 $2 indeed")
+    asked = t.benchmark.select("item_id", wrong.alias("text"))
+    found = quotes.differences(t.documents, asked, "doc_id", "item_id").select("doc_id", "item_id", "n_words", "n_shared", F.posexplode_outer("differences").alias("k", "x"))
+    return found.select("doc_id", "item_id", "n_words", "n_shared", "k", "x.*")
+
+
 _LAID = "replace(replace(text, ', ', ',' || chr(10) || '   '), 'th', 't-' || chr(10) || 'h')"
 
 
