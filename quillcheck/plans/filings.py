@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.trees import tree_places
-from ..sources import filings
+from ..sources import erp, filings
 from .registry import Tables, query
 
 
@@ -55,3 +55,31 @@ def order_trees(t: Tables) -> DataFrame:
     before = F.expr("lag(o_orderkey) over (partition by o_custkey order by o_orderkey)")
     nodes = t.orders.select("o_custkey", "o_orderkey", F.when(F.col("o_orderkey") % 97 > 0, before).alias("up"))
     return tree_places(nodes, ["o_custkey"], "o_orderkey", "up")
+
+
+@query(
+    """WITH o AS (SELECT year(o_orderdate) * 100 + month(o_orderdate) AS file, o_orderkey AS k, o_custkey AS c, o_orderdate::DATE AS d, o_totalprice AS t FROM orders), l AS (SELECT o.*, l_linenumber AS n, l_extendedprice AS a, l_quantity AS q FROM o JOIN lineitem ON l_orderkey = k),
+u AS (SELECT file, ['generic', 'netsuite', 'xero'][file % 3 + 1] AS layout, CASE WHEN file % 3 = 1 THEN 'R' || k WHEN k % 10 > 0 THEN k || '|' || d || '|V' || c END AS ref, t, n, CASE WHEN q <> 7 THEN floor(a)::DOUBLE END AS a FROM l WHERE file % 5 > 0)
+SELECT file, layout, ref, floor(min(t))::DOUBLE AS total, count(*) AS n_lines, sum(a) AS lines_sum, count(*) - count(a) AS n_problems FROM u WHERE ref IS NOT NULL GROUP BY file, layout, ref"""
+)
+def export_bills(t: Tables) -> DataFrame:
+    """Bills read back from a file for each month of orders, in one of three layouts; some lines' amounts are words, some have no
+    number, and the files of some months have no layout."""
+    day = F.col("o_orderdate").cast("date")
+    orders = t.orders.select(F.year(day).cast("int").alias("y"), F.month(day).alias("m"), day.cast("string").alias("d"), "o_orderkey", "o_custkey", F.floor("o_totalprice").cast("string").alias("total"))
+    rows = orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("file", (F.col("y") * 100 + F.col("m")).cast("bigint"))
+    k = F.col("o_orderkey").cast("string")
+    s = lambda c: F.col(c).cast("string")
+    meant = {
+        "ref": F.concat(F.lit("R"), k), "invoice_number": F.when(F.col("o_orderkey") % 10 > 0, k).otherwise(""), "vendor": F.concat(F.lit("V"), s("o_custkey")), "date": F.col("d"), "total": F.col("total"), "po": k,
+        "item": s("l_partkey"), "quantity": s("l_quantity"), "rate": F.lit("1"), "amount": F.when(F.col("l_quantity") == 7, "seven").otherwise(F.floor("l_extendedprice").cast("string")),
+    }
+
+    def cells(layout: str, with_ref: bool):
+        return F.create_map(*[x for m, v in meant.items() if with_ref or m != "ref" for x in (F.lit(erp.LAYOUTS[layout][m]), v)])
+
+    kind = F.col("file") % 3
+    made = F.when(F.col("file") % 5 == 0, F.create_map(F.lit("A"), k)).when(kind == 0, cells("generic", False)).when(kind == 1, cells("netsuite", True)).otherwise(cells("xero", False))
+    frame = rows.select("file", (F.col("o_orderkey") * 10 + F.col("l_linenumber")).alias("row"), made.alias("cells"))
+    found = erp.bills(erp.bill_lines(frame, "file", "row", "cells"), "file", "row")
+    return found.select("file", "layout", "ref", "total", "n_lines", "lines_sum", "n_problems")
