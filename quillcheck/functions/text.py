@@ -128,6 +128,19 @@ def quotable(x: Column | str) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.regexp_replace(text, "…", "..."), r"\s+", " ")))
 
 
+def words_in_order(a: Column, b: Column) -> Column:
+    """How many words two arrays share in order (the longest common subsequence): a table's rows, one after another, in built-in
+    functions. Work is words by words, so this is for names; null for a null array."""
+
+    def row(last: Column, x: Column) -> Column:
+        best = lambda new, j: F.when(F.get(b, j - 1) == x, F.get(last, j - 1) + 1).otherwise(F.greatest(F.get(last, j), F.get(new, j - 1)))
+        return F.reduce(F.sequence(F.lit(1), F.size(b)), F.array(F.lit(0)), lambda new, j: F.concat(new, F.array(best(new, j))))
+
+    some = (F.size(a) > 0) & (F.size(b) > 0)
+    found = F.element_at(F.reduce(a, F.array_repeat(F.lit(0), F.size(b) + 1), row), -1)
+    return F.when(some, found).when(a.isNotNull() & b.isNotNull(), 0)
+
+
 def same_set(a: Column, b: Column) -> Column:
     """Whether two arrays hold the same values."""
     return (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0)

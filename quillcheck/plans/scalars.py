@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import calendar, numbers, stats
 from ..functions.outcome import outcome
+from ..functions.text import words_in_order
 from .registry import Tables, query
 
 _TOKENS = "regexp_extract_all(text, '[0-9][0-9.,]*[0-9]|[0-9]')"
@@ -113,24 +113,14 @@ def no_prior_claim(t: Tables) -> DataFrame:
     return rows.select("event_id", outcome(F.col("first") == F.col("event_id")).alias("outcome"), F.when(F.col("first") != F.col("event_id"), F.col("first")).alias("prior"))
 
 
-def common_words(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence of two lists of words."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        before = 0
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
-
-
-@query()
+@query(
+    """WITH f AS (SELECT p_brand, string_split(arg_min(p_name, p_partkey), ' ') AS o FROM part GROUP BY p_brand),
+s AS (SELECT DISTINCT p_brand, [o[j] FOR j IN range(1, len(o) + 1) IF (k >> (j - 1)) % 2 = 1] AS sub FROM f, unnest(range(0, 1 << len(o))) r(k)),
+w AS (SELECT p_partkey, p_brand, string_split(p_name, ' ') AS w FROM part), x AS (SELECT p_partkey, p_brand, [w[j] FOR j IN range(1, len(w) + 1) IF (k >> (j - 1)) % 2 = 1] AS sub FROM w, unnest(range(0, 1 << len(w))) r(k))
+SELECT p_partkey, max(len(x.sub))::INT AS n_shared FROM x JOIN s ON s.p_brand = x.p_brand AND s.sub = x.sub GROUP BY p_partkey"""
+)
 def names_in_order(t: Tables) -> DataFrame:
-    """How many words each part's name shares, in order, with the first part's of its brand; tests hold it against all
-    subsequences, as SQL has none."""
+    """How many words each part's name shares, in order, with the first part's of its brand; the SQL tries all choices of words."""
     firsts = t.part.groupBy("p_brand").agg(F.min_by("p_name", "p_partkey").alias("other"))
-
-    @F.pandas_udf("int")
-    def shared(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        return pd.Series([None if a is None or b is None else common_words(a.split(), b.split()) for a, b in zip(xs, ys)], dtype="Int32")
-
-    return t.part.join(firsts, "p_brand").select("p_partkey", shared("p_name", "other").alias("n_shared"))
+    shared = words_in_order(F.split("p_name", " "), F.split("other", " "))
+    return t.part.join(firsts, "p_brand").select("p_partkey", shared.alias("n_shared"))

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from quillcheck.functions import calendar, numbers, stats
-from quillcheck.plans.scalars import common_words
+from quillcheck.functions.text import words_in_order
 
 
 def values(spark, texts, *columns):
@@ -49,9 +49,10 @@ def test_zero_miss_sizes_are_the_tables(spark):
     assert [spark.range(1).select(stats.zero_miss_size(F.lit(b))).first()[0] for b in (0.0, 1.0, 0.99)] == [None, None, 1]
 
 
-def test_common_words_by_all_subsequences():
+def test_words_in_order_by_all_subsequences(spark):
     rng = random.Random(2)
-    for _ in range(60):
-        a, b = ([rng.choice("xyz") for _ in range(rng.randint(0, 6))] for _ in range(2))
-        parts = lambda x: {c for n in range(len(x) + 1) for c in combinations(x, n)}
-        assert common_words(a, b) == max(map(len, parts(a) & parts(b)))
+    parts = lambda x: {c for n in range(len(x) + 1) for c in combinations(x, n)}
+    pairs = [tuple([rng.choice("xyz") for _ in range(rng.randint(0, 6))] for _ in range(2)) for _ in range(60)]
+    frame = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)] + [(60, None, ["x"]), (61, ["x"], None)], "k int, a array<string>, b array<string>")
+    got = {r.k: r.n for r in frame.select("k", words_in_order(F.col("a"), F.col("b")).alias("n")).collect()}
+    assert got == {k: max(map(len, parts(a) & parts(b))) for k, (a, b) in enumerate(pairs)} | {60: None, 61: None}
