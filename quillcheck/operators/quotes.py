@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.alignment import ELLIPSIS, Runs, matched
 from ..functions.alignment import differences as word_differences
-from ..functions.places import mapped, original_span
+from ..functions.places import compared, mapped, original_span
 from ..functions.text import quotable
 from ..session import cut
 
@@ -118,32 +118,35 @@ def verbatim(docs: DataFrame, quotes: DataFrame, doc: str, quote: str, text: str
 
     A quotation is looked up by its inner words, the second to the sixth at most, which stand whole in any text that holds
     it; so texts give only windows of the sizes that quotations have, and where quotations are few they are sent to the
-    texts and no window is shuffled. What is found is confirmed by the whole quotation. Those of one or two words have no
-    inner word: they are looked for in each text, BLOCK at a time. Null texts and quotations give nothing, an empty
+    texts and no window is shuffled. That takes built-in functions only; texts in which something is found are then mapped
+    in Arrow batches, once each, and the whole quotation confirms it. Those of one or two words have no inner word: they are
+    looked for in each text, BLOCK at a time. Null texts and quotations give nothing, an empty
     quotation stands at the beginning of every text; ids tell rows apart.
     """
-    asked = cut(quotes.select(F.col(quote).alias("_q"), mapped(text)["text"].alias("_said")).where("_said is not null"))
-    asked = asked.withColumn("_n", F.least(F.size(F.split("_said", " ")) - 2, F.lit(INNER)))
-    held = docs.select(F.col(doc).alias("_d"), F.col(text).alias("_text")).where("_text is not null").withColumn("_m", mapped("_text"))
+    asked = cut(quotes.select(F.col(quote).alias("_q"), mapped(text)["text"].alias("_said"), compared(text).alias("_asked")).where("_said is not null"))
+    asked = asked.withColumn("_n", F.least(F.size(F.split("_asked", " ")) - 2, F.lit(INNER)))
+    texts = docs.select(F.col(doc).alias("_d"), F.col(text).alias("_text")).where("_text is not null")
+    held = texts.select("_d", compared("_text").alias("_plain"))
     sizes = sorted(r[0] for r in asked.where("_n > 0").select("_n").distinct().collect())  # INNER at most
     parts = []
     if sizes:
-        keyed = asked.where("_n > 0").select("_q", F.expr("xxhash64(_n, slice(split(_said, ' '), 2, _n))").alias("_h"))
+        keyed = asked.where("_n > 0").select("_q", F.expr("xxhash64(_n, slice(split(_asked, ' '), 2, _n))").alias("_h"))
         one = lambda n: f"if(size(w) < {n}, array(), transform(sequence(0, size(w) - {n}), i -> xxhash64({n}, slice(w, i + 1, {n}))))"
         windows = f"array_distinct(flatten(array({', '.join(map(one, sizes))})))"
-        words = held.select("_d", F.split("_m.text", " ").alias("w"))
+        words = held.select("_d", F.split("_plain", " ").alias("w"))
         parts.append(words.select("_d", F.explode(F.expr(windows)).alias("_h")).join(_sent(keyed, few), "_h").select("_d", "_q").distinct())
-    short = asked.where("_n <= 0").select("_said").distinct().toLocalIterator()
+    short = asked.where("_n <= 0").select("_asked").distinct().toLocalIterator()
     for block in batched((r[0] for r in short), BLOCK):
-        here = F.filter(F.array(*map(F.lit, block)), lambda q: F.contains(F.col("_m.text"), q))
-        parts.append(held.select("_d", F.explode(here).alias("_said")).join(asked.where("_n <= 0"), "_said").select("_d", "_q"))
+        here = F.filter(F.array(*map(F.lit, block)), lambda q: F.contains(F.col("_plain"), q))
+        parts.append(held.select("_d", F.explode(here).alias("_asked")).join(asked.where("_n <= 0"), "_asked").select("_d", "_q"))
     if not parts:
         parts.append(held.join(asked, F.lit(False)).select("_d", "_q"))
     pairs = parts[0]
     for part in parts[1:]:
         pairs = pairs.unionByName(part)
     pairs = cut(pairs)
-    found = held.join(_sent(pairs, few), "_d").join(asked.select("_q", "_said"), "_q")
+    found = texts.join(_sent(pairs.select("_d").distinct(), few), "_d", "left_semi").withColumn("_m", mapped("_text")).drop("_text")
+    found = found.join(_sent(pairs, few), "_d").join(asked.select("_q", "_said"), "_q")
     found = found.withColumn("_at", F.expr("position(_said in _m.text)")).where("_at > 0")
     span = original_span(F.col("_m"), F.col("_at") - 1, F.length("_said"))
     found = found.select("_d", "_q", F.col("_at").cast("bigint").alias("place"), span.alias("_s"))

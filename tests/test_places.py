@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quillcheck.functions import places
@@ -83,3 +84,28 @@ def test_quotations_at_their_places(spark, monkeypatch):
                     want[d, q] = (at + 1, chars[at][1], chars[at + len(said) - 1][2])
         assert got == want and len(want) > 60
     assert quotes.verbatim(frames[0], frames[1].limit(0), "d", "q").count() == 0
+
+
+def test_plain_form_is_the_mapped_text(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("aBΣ-- \n\t\r\x1c\xa0 …”.", k=rng.randint(0, 14))) for _ in range(400)] + ["foo -\n", " -\nfoo", "--\n\nx", "ΟΔΟΣ", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, t string").select("n", places.compared("t").alias("x"))
+    assert {r.n: r.x for r in rows.collect()} == {n: places.mapped_text(x)[0] for n, x in enumerate(texts)}
+
+
+def test_only_texts_with_a_quotation_are_mapped(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        @F.pandas_udf(places.MAPPED)
+        def run(xs: pd.Series) -> pd.DataFrame:
+            seen.add(len(xs))
+            return pd.DataFrame([places.mapped_text(x) for x in xs], columns=["text", "at", "origin"])
+
+        return run(F.col(x))
+
+    monkeypatch.setattr(quotes, "mapped", counted)
+    docs = spark.createDataFrame([(k, "the one that holds it here" if k == 7 else f"nothing of use in {k} at all") for k in range(200)], "d int, text string")
+    asked = spark.createDataFrame([(1, "one that holds it"), (2, "holds it")], "q int, text string")
+    assert sorted((r.d, r.q) for r in quotes.verbatim(docs, asked, "d", "q").collect()) == [(7, 1), (7, 2)]
+    assert seen.value <= 2 * 2 + 2
