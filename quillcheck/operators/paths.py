@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import re
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from ..session import cut
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 _INVISIBLE = r"[\p{Z}\p{Cf}\s]"
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
@@ -39,60 +42,108 @@ def each(doc: Column, array: str, field: str, kind: str) -> Column:
     return F.transform(elements, lambda v: F.try_variant_get(v, f"$.{field}", kind))
 
 
-#: Levels that are opened in one plan; deeper documents are stored in between.
-LEVELS = 12
+#: Documents that are read between two record batches.
+SLICE = 1000
 _KEY, _PLACE = "\x01", "\x02"
 
 
-def nesting(doc: Column) -> Column:
-    """How deep a JSON text's objects and lists nest: 0 for a single value. Only right for texts that parse."""
-    bare = F.regexp_replace(F.regexp_replace(doc, r"(?s)\\.", ""), r'"[^"]*"', "")
-    signs = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
-
-    def step(at: Column, sign: Column) -> Column:
-        now = at["now"] + F.when(sign.isin("{", "["), 1).when(sign.isin("}", "]"), -1).otherwise(0)
-        return F.struct(now.alias("now"), F.greatest(at["most"], now).alias("most"))
-
-    return F.aggregate(signs, start, step)["most"]
-
-
-def _nodes(docs: DataFrame, doc: str, keep: list[str], inner_too: bool, depth: int | None) -> DataFrame:
-    """Values with ``code`` (the steps, each marked as key or place), ``path``, ``_key`` and the value; lists and objects too
-    if asked, else those that are left unopened at the depth go."""
-    inner = F.schema_of_variant("_v").rlike("^(OBJECT|ARRAY)<")
-    parsed = F.try_parse_json(doc)
-    rows = docs.select(*keep, parsed.alias("_v"), F.lit("$").alias("path"), F.lit("").alias("code"), F.lit(None).cast("string").alias("_key"), F.lit(True).alias("_live"))
-    rows = rows.where("_v is not null")
-    if depth is None:
-        depth = docs.where(parsed.isNotNull()).agg(F.max(nesting(F.col(doc)))).first()[0] or 0
-    for k in range(depth):
-        if k and k % LEVELS == 0:
-            rows = cut(rows)
-        live = F.col("_live") & inner
-        rows = rows.withColumn("_opens", F.explode(F.when(live, F.array(F.lit(True), F.lit(False)) if inner_too else F.array(F.lit(True))).otherwise(F.array(F.lit(False)))))
-        rows = rows.withColumn("_open", F.when(F.col("_opens"), F.col("_v")))
-        rows = rows.lateralJoin(docs.sparkSession.tvf.variant_explode_outer(F.col("_open").outer()))
-        rows = rows.where("not _opens or pos is not null")  # what is empty has no parts
-        text = F.when(F.col("key").isNull(), F.format_string("[%d]", "pos")).otherwise(F.concat(F.lit("."), F.col("key")))
-        code = F.when(F.col("key").isNull(), F.concat(F.lit(_PLACE), "pos")).otherwise(F.concat(F.lit(_KEY), F.translate("key", _KEY + _PLACE, "")))
-        join = lambda c, part: F.when(F.col("_opens"), F.concat(c, part)).otherwise(F.col(c)).alias(c)
-        value = F.when(F.col("_opens"), F.col("value")).otherwise(F.col("_v"))
-        rows = rows.select(*keep, value.alias("_v"), join("path", text), join("code", code), F.when(F.col("_opens"), F.coalesce("key", "_key")).otherwise(F.col("_key")).alias("_key"), F.col("_opens").alias("_live"))
-    return rows if inner_too else rows.where(~inner)
+class _Number(str):
+    """A number as the document writes it."""
+
+
+_READER = json.JSONDecoder(parse_int=_Number, parse_float=_Number, strict=False)
+
+
+def _read(doc: str):
+    """The value of a JSON text that Spark reads: the first one in it, numbers as written."""
+    value, _ = _READER.raw_decode(doc, len(doc) - len(doc.lstrip(" \t\r\n")))
+    return value
+
+
+def _json(value) -> str:
+    """A value of any depth as JSON again, numbers as they were written."""
+    out, todo = [], [value]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, dict):
+            parts = [p for k, v in x.items() for p in (_Number(f",{json.dumps(k)}:"), v)]
+        elif isinstance(x, list):
+            parts = [p for v in x for p in (_Number(","), v)]
+        else:
+            out.append(x if isinstance(x, _Number) else json.dumps(x))
+            continue
+        signs = "{}" if isinstance(x, dict) else "[]"
+        parts[:1] = [_Number(signs[0] + p[1:]) for p in parts[:1]] or [_Number(signs[0])]
+        todo += [_Number(signs[1]), *reversed(parts)]
+    return "".join(out)
+
+
+def _walk(doc: str, depth: int | None):
+    """Each value of a document, itself first: ``path``, ``code`` (the steps, each marked as key or place), the nearest name, and
+    the value. Lists and objects at the depth are not opened."""
+    todo = [("$", "", None, _read(doc), 0)]
+    while todo:
+        path, code, key, value, level = todo.pop()
+        yield path, code, key, value
+        if level == depth:
+            continue
+        if isinstance(value, dict):
+            todo += [(f"{path}.{k}", f"{code}{_KEY}{k.replace(_KEY, '').replace(_PLACE, '')}", k, v, level + 1) for k, v in value.items()]
+        elif isinstance(value, list):
+            todo += [(f"{path}[{n}]", f"{code}{_PLACE}{n}", key, v, level + 1) for n, v in enumerate(value)]
+
+
+def _told(value) -> tuple[str | None, str | None]:
+    """A value as (text, JSON), one of them null: strings are texts."""
+    return (value, None) if type(value) is str else (None, _json(value))
+
+
+def _per_document(docs: DataFrame, doc: str, keep: list[str], found, schema: str) -> DataFrame:
+    """For each document the rows of ``found(text)``, beside its ``keep`` columns and with strings ``text`` and ``json`` last; read in Arrow batches, SLICE documents
+    at a time. Documents that do not parse come as null."""
+    rows = docs.select(*keep, F.when(F.try_parse_json(doc).isNotNull(), F.col(doc)).alias("_doc"))
+    out = f"{schema}, text string, json string"
+    fields = to_arrow_schema(docs.sparkSession.createDataFrame([], out).schema)
+
+    def read(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                at, got = [], []
+                for n, text in enumerate(part.column(len(keep)).to_pylist()):
+                    each = found(text)
+                    got += each
+                    at += [n] * len(each)
+                columns = zip(*got) if got else [[] for _ in fields]
+                kept = [part.column(k).take(pa.array(at, pa.int64())) for k in range(len(keep))]
+                made = [pa.array(_plain(list(c)) if pa.types.is_string(f.type) else list(c), f.type) for c, f in zip(columns, fields)]
+                yield pa.RecordBatch.from_arrays([*kept, *made], names=[*part.schema.names[: len(keep)], *fields.names])
+
+    kept = rows.drop("_doc").schema
+    found_rows = rows.mapInArrow(read, StructType([*kept.fields, *docs.sparkSession.createDataFrame([], out).schema.fields]))
+    value = F.try_parse_json("json")
+    kind = F.when(F.col("text").isNotNull(), "string").otherwise(F.lower(F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)))
+    return found_rows.withColumns({"kind": kind, "value": F.coalesce("text", F.try_variant_get(value, "$", "string"))}).drop("text", "json")
+
+
+def _plain(texts: list) -> list:
+    """Texts that can be written as UTF-8: half a surrogate pair is a question mark, as in Java."""
+    return [x if x is None or x.isascii() else x.encode("utf-8", "replace").decode() for x in texts]
 
 
 def leaves(docs: DataFrame, doc: str, keep: list[str], depth: int | None = None) -> DataFrame:
     """Every value, or those at most ``depth`` keys or places deep: ``path``, ``key`` (the nearest name above it), ``kind``,
     ``value`` (as text).
 
-    The deepest nesting of any document is looked up first (one number), and as many levels are opened, a chain of
-    explosions without a shuffle; values found early pass through. Documents that do not parse, empty lists, empty objects
-    and JSON nulls give no row.
+    Each document is read once, whatever its depth, and no document is shuffled. Documents that do not parse, empty lists,
+    empty objects and JSON nulls give no row.
     """
-    found = _nodes(docs, doc, keep, False, depth).where(~F.is_variant_null("_v"))
-    kind = F.lower(F.regexp_extract(F.schema_of_variant("_v"), "^[A-Z]+", 0))
-    return found.select(*keep, "path", F.col("_key").alias("key"), kind.alias("kind"), F.try_variant_get("_v", "$", "string").alias("value"))
+
+    def found(text: str | None) -> list[tuple]:
+        own = _walk(text, depth) if text is not None else ()
+        return [(path, key, *_told(value)) for path, _, key, value in own if value is not None and not isinstance(value, (dict, list))]
+
+    return _per_document(docs, doc, keep, found, "path string, key string").select(*keep, "path", "key", "kind", "value")
 
 
 def _steps(pattern: str) -> tuple[str | None, str]:
@@ -117,24 +168,28 @@ def path_matches(docs: DataFrame, doc: str, keep: list[str], patterns: list[str]
     """Per document and path: ``n``, how many values it leads to, and of a single one its ``path``, ``kind`` and ``value``.
 
     Paths have names, places ([0]), wildcards (* and [*], for every part of an object or list) and .. for any depth;
-    without $ they start at the root. Filters and scripts raise an error. Values are opened once for all paths and meet
-    them by their last name; a path that ends in a wildcard has none and is held against every value. Documents that do not
-    parse have no values. ``keep`` tells documents apart.
+    without $ they start at the root. Filters and scripts raise an error. A document is read once for all paths, and what it
+    gives is a row a path. Documents that do not parse have no values. ``keep`` columns stand beside.
     """
-    table = [(p, *_steps(p)) for p in patterns]
-    wanted = docs.sparkSession.createDataFrame(table, "pattern string, name string, code_like string")
-    wanted = F.broadcast(wanted.withColumn("_by", F.coalesce("name", F.lit("*"))))  # as many rows as paths were given
-    nodes = _nodes(docs, doc, keep, True, None)
-    kind = F.lower(F.regexp_extract(F.schema_of_variant("_v"), "^[A-Z]+", 0))
-    by = F.array(F.concat(F.lit("."), F.coalesce("_key", F.lit(""))), F.lit("*"))
-    nodes = nodes.select(*keep, "path", "code", kind.alias("kind"), F.try_variant_get("_v", "$", "string").alias("value"), F.explode(by).alias("_by"))
-    wanted = wanted.withColumn("_by", F.when(F.col("name").isNull(), "*").otherwise(F.concat(F.lit("."), "name")))
-    met = nodes.join(wanted, "_by").where(F.expr("code rlike code_like"))
-    met = met.groupBy(*keep, "pattern").agg(F.count("*").alias("n"), *[F.max(c).alias(c) for c in ("path", "kind", "value")])
-    every = docs.select(*keep, F.explode(F.array(*map(F.lit, patterns))).alias("pattern"))
+    table = tuple(map(_steps, patterns))
+
+    def found(text: str | None) -> list[tuple]:
+        counts, single = [0] * len(patterns), [(None, None)] * len(patterns)
+        for path, code, key, value in _walk(text, None) if text is not None else ():
+            for k in _matching(code, key, table):
+                counts[k] += 1
+                single[k] = (path, value)
+        return [(p, n, path, *_told(value)) if n == 1 else (p, n, None, None, None) for p, n, (path, value) in zip(patterns, counts, single)]
+
+    rows = _per_document(docs, doc, keep, found, "pattern string, n bigint, path string")
     one = lambda c: F.when(F.col("n") == 1, F.col(c)).alias(c)
-    out = every.join(met, [*keep, "pattern"], "left")
-    return out.select(*keep, "pattern", F.coalesce("n", F.lit(0)).alias("n"), *[one(c) for c in ("path", "kind", "value")])
+    return rows.select(*keep, "pattern", "n", *[one(c) for c in ("path", "kind", "value")])
+
+
+@lru_cache(maxsize=100_000)
+def _matching(code: str, key: str | None, table: tuple[tuple[str | None, str], ...]) -> tuple[int, ...]:
+    """Which paths lead to the place that a code names; documents have many places in common."""
+    return tuple(k for k, (name, like) in enumerate(table) if (name is None or name == key) and re.fullmatch(like, code))
 
 
 def shallowest(docs: DataFrame, doc: str, keep: list[str], aliases: list[str], depth: int | None = None) -> DataFrame:

@@ -100,3 +100,19 @@ def test_paths_refuse_scripts(spark):
 
     with pytest.raises(ValueError, match="not evaluated"):
         paths.path_matches(spark.createDataFrame([("{}",)], "j string"), "j", [], ["$.a[?(@.x)]"])
+
+
+def test_documents_are_read_without_shuffles(spark, monkeypatch):
+    monkeypatch.setattr(paths, "SLICE", 2)
+    docs = ['{"k":1.50,"l":[1e2,-0,12345678901234567890,{"m":null}],"x":"\\ud800a\\u0001"} rest', ' {"l":{"é":"ü"}}', None, "[", '{"k":1,"k":2}', '{"l":[]}', '"t"'] * 3
+    frame = spark.createDataFrame(list(enumerate(docs)), "id int, j string")
+    found = paths.path_matches(frame, "j", ["id"], ["$.l", "$..k", "$"])
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.id % 7, r.pattern): (r.n, r.path, r.kind, r.value) for r in found.collect()}
+    assert len(got) == 21 and got[1, "$.l"] == (1, "$.l", "object", '{"é":"ü"}') and got[2, "$"] == got[3, "$"] == got[4, "$..k"] == (0, None, None, None)
+    assert got[0, "$..k"][:3] == (1, "$.k", "decimal") and got[5, "$.l"] == (1, "$.l", "array", "[]") and got[6, "$"] == (1, "$", "string", "t")
+    deep = spark.createDataFrame([('{"a":' * 400 + "[1.50]" + "}" * 400,)], "j string")
+    assert paths.path_matches(deep, "j", [], ["$.a", "$..a[0]"]).select("n", "kind").collect() == [(1, "object"), (1, "decimal")]
+    rows = paths.leaves(frame, "j", ["id"])
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert {(r.path, r.kind) for r in rows.where("id = 0").collect()} == {("$.k", "decimal"), ("$.l[0]", "double"), ("$.l[1]", "bigint"), ("$.l[2]", "decimal"), ("$.x", "string")}
