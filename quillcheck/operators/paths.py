@@ -88,14 +88,14 @@ def _walk(doc: str, depth: int | None):
         if level == depth:
             continue
         if isinstance(value, dict):
-            todo += [(f"{path}.{k}", f"{code}{_KEY}{k.replace(_KEY, '').replace(_PLACE, '')}", k, v, level + 1) for k, v in value.items()]
+            todo += [(f"{path}.{k}", f"{code}{_KEY}{k if k.isprintable() else k.replace(_KEY, '').replace(_PLACE, '')}", k, v, level + 1) for k, v in value.items()]
         elif isinstance(value, list):
             todo += [(f"{path}[{n}]", f"{code}{_PLACE}{n}", key, v, level + 1) for n, v in enumerate(value)]
 
 
 def _told(value) -> tuple[str | None, str | None]:
     """A value as (text, JSON), one of them null: strings are texts."""
-    return (value, None) if type(value) is str else (None, _json(value))
+    return (value, None) if type(value) is str else (None, value if type(value) is _Number else _json(value))
 
 
 def _per_document(docs: DataFrame, doc: str, keep: list[str], found, schema: str) -> DataFrame:
@@ -123,6 +123,7 @@ def _per_document(docs: DataFrame, doc: str, keep: list[str], found, schema: str
     found_rows = rows.mapInArrow(read, StructType([*kept.fields, *docs.sparkSession.createDataFrame([], out).schema.fields]))
     value = F.try_parse_json("json")
     kind = F.when(F.col("text").isNotNull(), "string").otherwise(F.lower(F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)))
+    kind = F.when(F.col("json").rlike("^-?[0-9]+$") & (F.length("json") < 18), "bigint").otherwise(kind)
     return found_rows.withColumns({"kind": kind, "value": F.coalesce("text", F.try_variant_get(value, "$", "string"))}).drop("text", "json")
 
 
@@ -131,8 +132,8 @@ def _plain(texts: list) -> list:
     return [x if x is None or x.isascii() else x.encode("utf-8", "replace").decode() for x in texts]
 
 
-def leaves(docs: DataFrame, doc: str, keep: list[str], depth: int | None = None) -> DataFrame:
-    """Every value, or those at most ``depth`` keys or places deep: ``path``, ``key`` (the nearest name above it), ``kind``,
+def leaves(docs: DataFrame, doc: str, keep: list[str], depth: int | None = None, texts_only: bool = False) -> DataFrame:
+    """Every value (with ``texts_only`` every string), or those at most ``depth`` keys or places deep: ``path``, ``key`` (the nearest name above it), ``kind``,
     ``value`` (as text).
 
     Each document is read once, whatever its depth, and no document is shuffled. Documents that do not parse, empty lists,
@@ -141,6 +142,8 @@ def leaves(docs: DataFrame, doc: str, keep: list[str], depth: int | None = None)
 
     def found(text: str | None) -> list[tuple]:
         own = _walk(text, depth) if text is not None else ()
+        if texts_only:
+            return [(path, key, value, None) for path, _, key, value in own if type(value) is str]
         return [(path, key, *_told(value)) for path, _, key, value in own if value is not None and not isinstance(value, (dict, list))]
 
     return _per_document(docs, doc, keep, found, "path string, key string").select(*keep, "path", "key", "kind", "value")

@@ -53,7 +53,7 @@ def each_line(t: Tables) -> DataFrame:
 @query(_LINES + """ SELECT l_orderkey, fullkey AS path, json_extract_string(atom, '$') AS value FROM d, json_tree(d.doc) WHERE type = 'VARCHAR'""")
 def document_texts(t: Tables) -> DataFrame:
     """Every text in a document, however deep, with its path."""
-    return paths.leaves(line_documents(t), "doc", ["l_orderkey"]).where("kind = 'string'").select("l_orderkey", "path", "value")
+    return paths.leaves(line_documents(t), "doc", ["l_orderkey"], texts_only=True).select("l_orderkey", "path", "value")
 
 
 _PLACES = """WITH d AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN '{"net":' || o_totalprice::DECIMAL(12,2) || ',"totals":{"Amount":1}}' WHEN 'F' THEN '{"bill":{"totals":{"net":' || o_totalprice::DECIMAL(12,2) || ',"amount":2},"x":[{"y":{"net":3}}]}}' ELSE '{"bill":{"total":' || o_totalprice::DECIMAL(12,2) || '}}' END AS doc FROM orders)"""

@@ -116,3 +116,5 @@ def test_documents_are_read_without_shuffles(spark, monkeypatch):
     rows = paths.leaves(frame, "j", ["id"])
     assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
     assert {(r.path, r.kind) for r in rows.where("id = 0").collect()} == {("$.k", "decimal"), ("$.l[0]", "double"), ("$.l[1]", "bigint"), ("$.l[2]", "decimal"), ("$.x", "string")}
+    texts = paths.leaves(frame, "j", ["id"], texts_only=True)
+    assert sorted(map(tuple, texts.collect()), key=str) == sorted(map(tuple, rows.where("kind = 'string'").collect()), key=str)
