@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,19 +106,29 @@ def measured_lines(mails: DataFrame, keep: list[str], text: str, measures: dict[
     and its number, after a currency's three capitals if the measure is money. The cells before are the name. Lines of
     other shapes give no row; a number that does not read is null.
     """
-    lines = mails.select(*keep, F.explode(F.split(text, "\n")).alias("_line")).select(*keep, _cells(F.col("_line")).alias("_cells"))
     n = len(measures)
-    first = F.get("_cells", F.lit(0))
-    own = lambda k: F.get("_cells", F.size("_cells") - n + k)
     shapes = [rf"^{word}[ \t]*{'[A-Z]{3}' if money else ''}[ \t]*([0-9,.]+)$" for word, money in measures.items()]
-    fits = (F.size("_cells") > n) & first.rlike(r"^[0-9]+\.[ \t]*.")
-    for k, shape in enumerate(shapes):
-        fits = fits & own(k).rlike(shape)
-    number = F.regexp_extract(first, r"^([0-9]+)\.", 1).try_cast("int")
-    name = F.array_join(F.slice("_cells", 1, F.size("_cells") - n), " | ")
-    value = lambda k, shape: F.replace(F.regexp_extract(own(k), shape, 1), F.lit(",")).try_cast("decimal(18,4)")
-    found = [value(k, shape).alias(word) for k, (word, shape) in enumerate(zip(measures, shapes))]
-    return lines.where(fits).select(*keep, number.alias("line"), F.regexp_replace(name, r"^[0-9]+\.[ \t]*", "").alias("name"), *found)
+
+    def read(cells: Column) -> Column:
+        first = F.get(cells, F.lit(0))
+        own = lambda k: F.get(cells, F.size(cells) - n + k)
+        fits = (F.size(cells) > n) & first.rlike(r"^[0-9]+\.[ \t]*.")
+        for k, shape in enumerate(shapes):
+            fits = fits & own(k).rlike(shape)
+        number = F.regexp_extract(first, r"^([0-9]+)\.", 1).try_cast("int")
+        name = F.array_join(F.slice(cells, 1, F.size(cells) - n), " | ")
+        value = lambda k, shape: F.replace(F.regexp_extract(own(k), shape, 1), F.lit(",")).try_cast("decimal(18,4)")
+        found = [value(k, shape).alias(word) for k, (word, shape) in enumerate(zip(measures, shapes))]
+        return F.when(fits, F.struct(number.alias("line"), F.regexp_replace(name, r"^[0-9]+\.[ \t]*", "").alias("name"), *found))
+
+    # a line's cells are bound by a lambda, so that they are cut once for all that is read from them
+    lines = F.transform(F.transform(F.split(text, "\n"), _cells), read)
+    return mails.select(*keep, F.explode(F.filter(lines, lambda l: l.isNotNull())).alias("_l")).select(*keep, "_l.*")
+
+
+def _bound(x: Column, use) -> Column:
+    """``use(x)`` with x worked out once, however often it stands there."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
 
 
 def order_lines(mails: DataFrame, keep: list[str], text: str) -> DataFrame:
@@ -137,18 +150,24 @@ def order_terms(
     The freight's label is freight, a tax rate's ends with tax or tax rate. The number is the last word, PO- and digits, of
     the cell before the vendor's.
     """
-    lines = F.transform(F.split(text, "\n"), _cells)
-    heads = F.filter(lines, lambda cells: ~F.get(cells, F.lit(0)).rlike(r"^[0-9]+\.([ \t]|$)"))
+    own = F.split(text, "\n")
+    about = F.filter(own, lambda l: l.contains(":") & F.lower(l).rlike("freight|tax"))  # no other line can tell a term
+    heads = F.filter(F.transform(about, _cells), lambda cells: ~F.get(cells, F.lit(0)).rlike(r"^[0-9]+\.([ \t]|$)"))
     cells = F.transform(F.flatten(heads), F.lower)
     label = lambda c: F.trim(F.substring_index(c, ":", 1))
     told = lambda wanted: F.trim(F.regexp_replace(F.get(F.filter(cells, lambda c: c.contains(":") & label(c).rlike(wanted)), F.lit(0)), r"^[^:]*:", ""))
-    says = lambda x, phrases: F.exists(F.array(*map(F.lit, phrases)), lambda p: F.contains(x, p))
-    freight, tax = told(r"(^|\W)freight$"), told(r"(^|\W)tax([ \t]+rate)?$")
-    share = F.when(tax.endswith("%"), F.trim(F.rtrim(tax, F.lit("%"))).try_cast("decimal(12,9)") / 100)
-    pairs = F.flatten(F.transform(lines, lambda cells: F.transform(cells, lambda c, k: F.struct(c.alias("cell"), F.get(cells, k + 1).alias("next")))))
+    says = lambda x, phrases: reduce(or_, [F.contains(x, F.lit(p)) for p in phrases])
+
+    def rate(tax: Column) -> Column:
+        share = lambda x: F.when((x >= 0) & (x <= 1), F.round(x, 9).cast("double"))
+        told_share = F.when(tax.endswith("%"), F.trim(F.rtrim(tax, F.lit("%"))).try_cast("decimal(12,9)") / 100)
+        return F.when(tax.isin(*untaxed), 0.0).otherwise(_bound(told_share, share))
+
+    vendors = F.transform(F.filter(own, lambda l: l.contains("PO-") & l.contains("Vendor")), _cells)
+    pairs = F.flatten(F.transform(vendors, lambda cells: F.transform(cells, lambda c, k: F.struct(c.alias("cell"), F.get(cells, k + 1).alias("next")))))
     order = F.get(F.filter(pairs, lambda p: p["cell"].rlike(r"\bPO-[0-9]+$") & p["next"].startswith("Vendor")), F.lit(0))["cell"]
     return {
         "number": F.nullif(F.regexp_extract(order, "PO-[0-9]+$", 0), F.lit("")),
-        "freight": F.when(says(freight, refused), False).when(says(freight, allowed), True),
-        "tax": F.when(tax.isin(*untaxed), 0.0).when((share >= 0) & (share <= 1), F.round(share, 9).cast("double")),
+        "freight": _bound(told(r"(^|\W)freight$"), lambda x: F.when(says(x, refused), False).when(says(x, allowed), True)),
+        "tax": _bound(told(r"(^|\W)tax([ \t]+rate)?$"), rate),
     }

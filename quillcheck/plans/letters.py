@@ -17,14 +17,16 @@ def order_letters(t: Tables) -> DataFrame:
         F.sum(F.col("l_quantity").cast("int")).alias("qty"), F.max(F.col("l_extendedprice").cast("decimal(12,2)")).alias("unit"),
         F.sum(F.when(F.col("l_returnflag") != "R", F.col("l_quantity").cast("int")).otherwise(0)).alias("received"),
     )
-    ordered = F.format_string("  %d. Part #%d | qty %s | unit USD %s", "l_partkey", "l_partkey", F.format_number("qty", 0), F.format_number("unit", 2))
-    got = F.format_string("%d. Part #%d | received %s", "l_partkey", "l_partkey", F.format_number("received", 0))
-    texts = lines.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(ordered)), "\n").alias("ordered"), F.array_join(F.array_sort(F.collect_list(got)), "\n").alias("got"))
+    said = lambda x: F.coalesce(x.cast("string"), F.lit("null"))
+    part = said(F.col("l_partkey"))
+    ordered = F.concat(F.lit("  "), part, F.lit(". Part #"), part, F.lit(" | qty "), said(F.format_number("qty", 0)), F.lit(" | unit USD "), said(F.format_number("unit", 2)))
+    got = F.concat(part, F.lit(". Part #"), part, F.lit(" | received "), said(F.format_number("received", 0)))
+    texts = lines.groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list(ordered)), "\n").alias("ordered"), F.array_join(F.sort_array(F.collect_list(got)), "\n").alias("got"))
     urgency = F.substring("o_orderpriority", 1, 1)
     freight = F.when(urgency == "1", "Freight: may be added").when(urgency == "2", "Freight: not allowed").when(urgency == "3", "Freight: vendor pays").otherwise("Freight: as agreed")
     tax = F.when(urgency == "1", "Tax: 8.25%").when(urgency == "2", "Sales tax rate: exempt").when(urgency == "3", "Tax: 0%").when(urgency == "4", "Tax: 140%").otherwise("")
     rows = t.orders.select("o_orderkey", freight.alias("freight"), tax.alias("tax")).join(texts, F.col("l_orderkey") == F.col("o_orderkey"))
-    head = F.format_string("Purchase order PO-%d | Vendor: Acme | %s\n%s\n", "o_orderkey", "freight", "tax")
+    head = F.concat(F.lit("Purchase order PO-"), F.col("o_orderkey").cast("string"), F.lit(" | Vendor: Acme | "), "freight", F.lit("\n"), "tax", F.lit("\n"))
     return rows.select("o_orderkey", F.concat(head, "ordered", F.lit("\nThank you.")).alias("letter"), F.concat(F.lit("Goods receipt\n"), "got").alias("receipt"))
 
 

@@ -66,3 +66,10 @@ def test_fingerprints(spark):
     assert (found.n, found.hash) == (len(rows), plain_fingerprint(rows, 2))
     assert make(rows[::-1]).hash == found.hash and make(rows[:-1]).hash != found.hash
     assert tuple(make([])) == (0, hashlib.sha256(b"").hexdigest())
+
+
+def test_cells_are_cut_once(spark):
+    mails = spark.createDataFrame([("1. A | qty 1 | unit USD 2",)], "t string")
+    plan = lambda frame: frame._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(markup.order_lines(mails, [], "t")).count("split(") == 2  # lines, and the cells of a line
+    assert plan(mails.select(markup.order_terms(F.col("t"))["tax"])).count("split(") <= 4
