@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import unicodedata
 from functools import lru_cache
+from itertools import batched
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -105,12 +108,54 @@ def edit_distance(x: str, y: str) -> int:
     return last[-1]
 
 
+#: The length of texts that are compared together.
+TOGETHER = 40
+
+
+def _distances(xs: list[str], ys: list[str]) -> np.ndarray:
+    """``edit_distance`` of many pairs at once: the cells of all their tables are worked out together."""
+    n, wide, high = len(xs), max(map(len, xs), default=0), max(map(len, ys), default=0)
+    points = lambda texts, most: np.array([[*map(ord, t), *[-1] * (most - len(t))] for t in texts], np.int32).reshape(n, most).T
+    a, b = points(xs, wide), points(ys, high)
+    last_x, last_y = (np.array([len(t) for t in texts]) for texts in (xs, ys))
+    out = np.where(last_x == 0, last_y, 0)
+    before, last = [], [np.full(n, j, np.int32) for j in range(high + 1)]
+    for i in range(1, wide + 1):
+        row = [np.full(n, i, np.int32)]
+        for j in range(1, high + 1):
+            cost = np.minimum(np.minimum(last[j], row[-1]) + 1, last[j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1:
+                swap = (a[i - 1] == b[j - 2]) & (a[i - 2] == b[j - 1])
+                cost = np.where(swap, np.minimum(cost, before[j - 2] + 1), cost)
+            row.append(cost)
+        ends = last_x == i
+        if ends.any():
+            out = np.where(ends, np.stack(row)[last_y, np.arange(n)], out)
+        before, last = last, row
+    return out
+
+
+def _core(x: str, y: str) -> tuple[str, str]:
+    """Two texts without the beginning and the end that they share, which cost no edits."""
+    head = len(os.path.commonprefix((x, y)))
+    x, y = x[head:], y[head:]
+    tail = len(os.path.commonprefix((x[::-1], y[::-1])))
+    return (x[: len(x) - tail], y[: len(y) - tail]) if tail else (x, y)
+
+
 def edits(x: str, y: str) -> Column:
-    """``edit_distance`` of two columns in Arrow batches; Spark's own distance does not know swaps. Null if either is."""
+    """``edit_distance`` of two columns in Arrow batches; Spark's own distance does not know swaps. Null if either is. What both
+    share at their ends is cut off; each distinct rest of a batch is compared once, short ones together."""
 
     @F.pandas_udf("int")
     def distance(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        return pd.Series([None if a is None or b is None else edit_distance(a, b) for a, b in zip(xs, ys)], dtype="Int32")
+        cores = [None if a is None or b is None else _core(a, b) for a, b in zip(xs, ys)]
+        distinct = sorted({c for c in cores if c}, key=lambda c: len(c[0]) + len(c[1]))
+        short = [c for c in distinct if max(map(len, c)) <= TOGETHER]
+        known = {c: edit_distance(*c) for c in distinct if max(map(len, c)) > TOGETHER}
+        for some in batched(short, 4096):
+            known |= zip(some, map(int, _distances([a for a, _ in some], [b for _, b in some])))
+        return pd.Series([None if c is None else known[c] for c in cores], dtype="Int32")
 
     return distance(x, y)
 

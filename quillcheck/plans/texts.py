@@ -93,8 +93,10 @@ def near_names(t: Tables) -> DataFrame:
     rows = t.supplier.select("s_suppkey", "s_nationkey", text.vendor_name("s_name").alias("name")).where("name is not null and s_nationkey is not null")
     names = rows.select("s_nationkey", "name").distinct()
     rests = names.select("s_nationkey", "name", F.explode(text.deletions("name", text.allowed_edits(F.length("name")))).alias("rest"))
+    tasks = int(t.supplier.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes make much work here, so small partitions are not merged
+    rests = rests.repartition(tasks, "s_nationkey", "rest")
     left, right = rests.withColumnRenamed("name", "x"), rests.withColumnRenamed("name", "y")
-    pairs = left.join(right, ["s_nationkey", "rest"]).where("x < y").select("s_nationkey", "x", "y").distinct()
+    pairs = left.join(right, ["s_nationkey", "rest"]).where("x < y").select("s_nationkey", "x", "y").repartition(tasks, "x", "y").distinct()
     most = text.allowed_edits(F.greatest(F.length("x"), F.length("y")))
     near = pairs.where(F.levenshtein("x", "y", 6) >= 0).withColumn("edits", text.edits("x", "y")).where(F.col("edits") <= most)
     a, b = rows.select(F.col("s_suppkey").alias("a"), "s_nationkey", F.col("name").alias("x")), rows.select(F.col("s_suppkey").alias("b"), "s_nationkey", F.col("name").alias("y"))

@@ -43,3 +43,14 @@ def test_near_names_equal_all_pairs(spark):
     got = [tuple(r) for r in texts.near_names(SimpleNamespace(supplier=table)).select("a", "b", "edits").collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert {d for _, _, d in want} == {0, 1, 2, 3}
+
+
+def test_distances_of_many_pairs_at_once(spark):
+    rng = random.Random(2)
+    say = lambda: "".join(rng.choices("abc", k=rng.choice([0, 1, 3, 6, 9, 50])))
+    pairs = [(say(), say()) for _ in range(600)] + [("acme", "acme"), ("", "")]
+    assert all(_edits(x, y) == _edits(*texts.text._core(x, y)) for x, y in pairs)
+    short = [p for p in pairs if max(map(len, p)) < 20]
+    assert texts.text._distances(*map(list, zip(*short))).tolist() == [_edits(*p) for p in short]
+    rows = spark.createDataFrame([*pairs, (None, "a"), ("a", None)], "x string, y string").coalesce(1)
+    assert [r[0] for r in rows.select(texts.text.edits("x", "y")).collect()] == [*(_edits(*p) for p in pairs), None, None]
