@@ -37,7 +37,9 @@ def layout_of(rows: DataFrame, file: str, row: str, cells: str, layouts: dict[st
     ``rows`` has the file, the row's number and its cells by column name; a file's columns are those of its first row, so a
     file gives one short row whatever its length. Null and empty cells have no columns.
     """
-    heads = rows.groupBy(F.col(file).alias("_f")).agg(F.min_by(F.map_keys(cells), row).alias("_c")).select("_f", F.coalesce("_c", F.array().cast("array<string>")).alias("_c"))
+    # few sets of columns first, so that no file's rows are sorted
+    sets = rows.groupBy(F.col(file).alias("_f"), F.map_keys(cells).alias("_k")).agg(F.min(row).alias("_row"))
+    heads = sets.groupBy("_f").agg(F.min_by("_k", "_row").alias("_c")).select("_f", F.coalesce("_c", F.array().cast("array<string>")).alias("_c"))
     texts = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
     judged = F.array(
         *[
@@ -78,17 +80,22 @@ def bill_lines(rows: DataFrame, file: str, row: str, cells: str, layouts: dict[s
     ref = F.coalesce("ref", F.when(F.col("invoice_number").isNotNull(), made))
     numbers = ["total", "quantity", "rate", "amount"]
     day = F.substring("date", 1, 10).try_cast("date")
-    broken = [F.when(_number(F.col(n)).isNull() & F.col(n).isNotNull(), f"unreadable {n}") for n in numbers]
+    read = read.withColumns({f"_{n}": _number(F.col(n)) for n in [*numbers, "tax"]})
+    broken = [F.when(F.col(f"_{n}").isNull() & F.col(n).isNotNull(), f"unreadable {n}") for n in numbers]
     problem = F.coalesce(F.when(ref.isNull(), "no bill"), F.when(day.isNull() & F.col("date").isNotNull(), "unreadable date"), *broken)
     return read.select(
         file, row, "layout", ref.alias("ref"), "invoice_number", "vendor", day.alias("date"), "currency", po.alias("po"), "item", "line_id", "description",
-        *[_number(F.col(n)).alias(n) for n in [*numbers, "tax"]], F.when(status.isin(*PAID), "pay").when(status.isin(*HELD), "hold").otherwise("open").alias("decision"), problem.alias("problem"),
+        *[F.col(f"_{n}").alias(n) for n in [*numbers, "tax"]], F.when(status.isin(*PAID), "pay").when(status.isin(*HELD), "hold").otherwise("open").alias("decision"), problem.alias("problem"),
     )
 
 
 def bills(lines: DataFrame, file: str, row: str) -> DataFrame:
     """Per file and bill: its first row's header, the number of lines, their sum, and how many have a problem; rows without a
-    bill are left out here, and stay in ``bill_lines``. Sums are made before the shuffle."""
-    head = F.min_by(F.struct("invoice_number", "vendor", "date", "currency", "po", "total", "decision"), row).alias("h")
-    found = lines.where("ref is not null").groupBy(file, "layout", "ref").agg(head, F.count("*").alias("n_lines"), F.sum("amount").alias("lines_sum"), F.count("problem").alias("n_problems"))
+    bill are left out here, and stay in ``bill_lines``. Rows with one header are summed before the shuffle, so that only a
+    bill's different headers meet, not its lines."""
+    header = ["invoice_number", "vendor", "date", "currency", "po", "total", "decision"]
+    own = lines.where("ref is not null").groupBy(file, "layout", "ref", *header)
+    own = own.agg(F.min(row).alias("_row"), F.count("*").alias("n"), F.sum("amount").alias("s"), F.count("problem").alias("p"))
+    sums = [F.sum("n").alias("n_lines"), F.sum("s").alias("lines_sum"), F.sum("p").alias("n_problems")]
+    found = own.groupBy(file, "layout", "ref").agg(F.min_by(F.struct(*header), "_row").alias("h"), *sums)
     return found.select(file, "layout", "ref", "h.*", "n_lines", "lines_sum", "n_problems")

@@ -41,3 +41,13 @@ def test_layouts_and_bills(spark):
         ("c", "8|2024-02-03T00:00:00|"): (1.0, 1, 1.0, 0), (None, "5|2024-02-03|"): (1.0, 1, 1.0, 0),
     }
     assert erp.layout_of(frame.where(F.lit(False)), "file", "row", "cells").count() == 0
+
+
+def test_lines_are_not_sorted_to_find_headers(spark):
+    frame = spark.createDataFrame([("a", 2, line("generic", total="7")), ("a", 1, line("generic", total="5")), ("a", 3, line("generic"))], "file string, row int, cells map<string,string>")
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    heads, found = erp.layout_of(frame, "file", "row", "cells"), erp.bills(erp.bill_lines(frame, "file", "row", "cells"), "file", "row")
+    first = lambda text: [x for x in text.splitlines() if "Aggregate(" in x][-1]  # noqa: E731  the one that sees the rows
+    assert "HashAggregate" in first(plan(heads)) and "partial_min(row" in first(plan(heads))
+    assert any("HashAggregate" in x and "partial_count(1)" in x for x in plan(found).splitlines())
+    assert [(r.total, r.n_lines, r.lines_sum) for r in found.collect()] == [(5.0, 3, 3.0)]
