@@ -67,3 +67,41 @@ def test_tiers(spark):
 def test_loose_numbers(spark):
     rows = spark.createDataFrame([("SES-020417",), ("nm 84665",), ("000",), ("",), (None,)], "x string")
     assert [r[0] for r in rows.select(vendors.loose_number(F.col("x"))).collect()] == ["SES20417", "NM84665", "0", "", None]
+
+
+def _every_pair(spark, bills, booked):
+    """The ladder by all pairs of a number, its loose reading, or an order and total."""
+    b, h = (rows.select(*[F.col(c).alias(p + c) for c in rows.columns]) for rows, p in ((bills, "b"), (booked, "h")))
+    pairs = b.crossJoin(h)
+    names = vendors.near_reasons(pairs.select("bvendor", "hvendor").distinct().where("bvendor is not null and hvendor is not null"), "bvendor", "hvendor")
+    pairs = pairs.join(names, ["bvendor", "hvendor"], "left")
+    relation = F.coalesce(vendors.name_relation(F.col("hvendor"), F.col("bvendor"), F.col("reason")), F.lit("unknown"))
+    match = vendors.vendor_match(relation, (F.col("htax"), F.col("btax")), (F.col("hvendor_id"), F.col("bvendor_id")))
+    best = {r.id: None for r in bills.collect()}
+    for r in pairs.select("bid", "hid", match.alias("m"), *[(F.col("b" + c) == F.col("h" + c)).alias(c) for c in ("number", "po")], (F.abs(F.col("btotal") - F.col("htotal")) <= 0.01).alias("total"), (vendors.loose_number("bnumber") == vendors.loose_number("hnumber")).alias("loose")).collect():
+        one = r.m in ("same", "unknown", "variant", "near")
+        rules = [r.number and r.m in ("same", "unknown"), r.number and r.m == "variant", r.number and r.m == "near", r.number and (r.m == "conflict" or (r.m == "different" and (r.po or r.total))), r.loose and not r.number and one, r.po and r.total and one]
+        tier = next((k + 1 for k, rule in enumerate(rules) if rule), None)
+        if tier and (best[r.bid] is None or (tier, r.hid, r.m) < best[r.bid]):
+            best[r.bid] = (tier, r.hid, r.m)
+    return best
+
+
+def test_the_ladder_without_pairs_is_that_of_all_pairs(spark):
+    names = [None, "Acme", "ACME, Inc.", "Summit Supply", "Sumimt Supply", "Summit Sply", "Acme Holdings dba Summit Supply", "Sumit Supply Co", "Harbor Freight", "Harbor", "Hrabor Freight", "Zeta Works", "HF Zeta"]
+    pick = lambda xs, k, a, b: xs[(k * a + k // 7 + b) % len(xs)]
+    row = lambda k, a: (k, pick(["N1", "N01", "n2", "N2", None], k, a, 0).upper() if pick(["N1", "N01", "n2", "N2", None], k, a, 0) else None, pick(names, k, a, 3), pick([None, None, "T1", "T2"], k, a + 2, 1), pick([None, "V1", "V2"], k, a, 2), pick([None, "P1", "P2", "P3"], k, a, 5), pick([None, 1.0, 1.01, 2.5], k, a + 1, 1))
+    schema = "id int, number string, vendor string, tax string, vendor_id string, po string, total double"
+    bills, booked = spark.createDataFrame([row(k, 5) for k in range(90)], schema), spark.createDataFrame([row(k, 11) for k in range(0, 120, 3)], schema)
+    want = _every_pair(spark, bills, booked)
+    got = {r.id: (r.tier, r.booked, r.match) if r.tier else None for r in duplicates.duplicate_claims(bills, booked, places=1).collect()}
+    assert got == want and {x[0] for x in want.values() if x} >= {1, 2, 3, 4}
+
+
+def test_bills_of_one_number_are_not_paired(spark, monkeypatch):
+    counts, real = [], duplicates.near_reasons
+    monkeypatch.setattr(duplicates, "near_reasons", lambda pairs, x, y: (counts.append(pairs.count()), real(pairs, x, y))[1])
+    schema = "id int, number string, vendor string, tax string, vendor_id string, po string, total double"
+    rows = lambda first, sign: spark.createDataFrame([(k, "N1", f"{sign * 3} {chr(97 + k % 26) * 4} {chr(97 + k // 26) * 5}", None, None, None, None) for k in range(first, first + 60)], schema)
+    got = {r.id: r.booked for r in duplicates.duplicate_claims(rows(0, "u"), rows(0, "u")).collect()}
+    assert got == {k: k for k in range(60)} and counts[0] <= 60
