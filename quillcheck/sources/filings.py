@@ -65,13 +65,19 @@ def units(pages: DataFrame, keep: list[str], html: str) -> DataFrame:
     return _last(rows, keep, "unit", F.struct(measures(above).alias("measures"), measures(below).alias("per"))).select(*keep, "unit", "v.*")
 
 
-def shown_number(shown: Column, form: Column) -> Column:
-    """The size of a number as a fact shows it, by its format; null for text that the format does not read, or an unknown format."""
+def plain_number(shown: Column) -> Column:
+    """What a fact shows without brackets around it, blanks and signs of currency."""
+    return F.regexp_replace(F.regexp_replace(shown, r"^\((.*)\)$", "$1"), r"[\s\x{a0}$€£¥]", "")
+
+
+def shown_number(shown: Column, form: Column, bare: Column | None = None) -> Column:
+    """The size of a number as a fact shows it, by its format; null for text that the format does not read, or an unknown format.
+    ``bare`` is its ``plain_number``, if a column has that already."""
     form = F.lower(F.coalesce(form, F.lit("")))
+    bare = plain_number(shown) if bare is None else bare
     words = F.array(*map(F.lit, NUMBER_WORDS))
     spelled = F.regexp_replace(F.lower(shown), "[^a-z]", "")
     said = F.when(spelled.isin(*NO_WORDS), 0).otherwise(F.nullif(F.array_position(words, spelled), F.lit(0)) - 1)
-    bare = F.regexp_replace(F.regexp_replace(shown, r"^\((.*)\)$", "$1"), r"[\s\x{a0}$€£¥]", "")
     comma = F.when(bare.rlike(r"^[0-9][0-9.]*(,[0-9]+)?$"), F.translate(F.replace(bare, F.lit("."), F.lit("")), ",", "."))
     point = F.when(bare.rlike(r"^[0-9,']*(\.[0-9]+)?$") & bare.rlike("[0-9]"), F.regexp_replace(bare, "[,']", ""))
     dotted = form.isin("", "num-dot-decimal", "numdotdecimal", "num-dot-decimal-apos", "numcommadot")
@@ -91,16 +97,18 @@ def facts(pages: DataFrame, keep: list[str], html: str) -> DataFrame:
     single = r"(?is)<ix:nonFraction\b([^>]*)/>"
     found = F.concat(each_match(F.col(html), inner, 2), F.transform(F.regexp_extract_all(F.col(html), F.lit(single), F.lit(1)), lambda tag: F.array(tag, F.lit(None))))
     rows = pages.select(*keep, F.explode(found).alias("m")).select(*keep, F.col("m")[0].alias("tag"), F.col("m")[1].alias("body"))
+    # in steps, as an expression that another uses in several places would be worked out at each of them
     tag = F.col("tag")
     shown = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("body", r"(?is)<ix:exclude\b.*?</ix:exclude\s*>", ""), "<[^>]*>", ""), r"(?:\s|&nbsp;|&#160;)+", " "))
-    size = shown_number(shown, F.regexp_replace(_attribute(tag, "format"), "^[^:]*:", ""))
-    value = size * F.pow(F.lit(10.0), F.coalesce(_attribute(tag, "scale").try_cast("int"), F.lit(0)))
-    value = F.when((_attribute(tag, "sign") == "-") & (value != 0), -value).otherwise(value)
-    nil = F.col("body").isNull() | F.coalesce(F.lower(_attribute(tag, "xsi:nil")) == "true", F.lit(False))
-    rows = rows.select(
-        *keep, _attribute(tag, "name").alias("concept"), _attribute(tag, "contextRef").alias("context"), _attribute(tag, "unitRef").alias("unit"),
-        _attribute(tag, "decimals").alias("decimals"), value.alias("value"), nil.alias("_nil"),
-    )
+    told = {"concept": "name", "context": "contextRef", "unit": "unitRef", "decimals": "decimals", "_scale": "scale", "_sign": "sign", "_no": "xsi:nil", "_format": "format"}
+    rows = rows.select(*keep, *[_attribute(tag, name).alias(c) for c, name in told.items()], shown.alias("_shown"), F.col("body").isNull().alias("_bare"))
+    rows = rows.withColumns({"_format": F.lower(F.regexp_replace("_format", "^[^:]*:", "")), "_plain": plain_number(F.col("_shown"))})
+    rows = rows.withColumn("_size", shown_number(F.col("_shown"), F.col("_format"), F.col("_plain")))
+    value = F.col("_size") * F.pow(F.lit(10.0), F.coalesce(F.col("_scale").try_cast("int"), F.lit(0)))
+    rows = rows.withColumn("value", value)
+    value = F.when((F.col("_sign") == "-") & (F.col("value") != 0), -F.col("value")).otherwise(F.col("value"))
+    nil = F.col("_bare") | F.coalesce(F.lower("_no") == "true", F.lit(False))
+    rows = rows.select(*keep, "concept", "context", "unit", "decimals", value.alias("value"), nil.alias("_nil"))
     rows = _meet(rows, contexts(pages, keep, html).withColumn("_known", F.lit(True)), keep, "context")
     rows = _meet(rows, units(pages, keep, html), keep, "unit")
     problem = F.when(F.col("_nil"), "nil").when(F.col("_known").isNull(), "no context").when(F.col("value").isNull(), "no number")

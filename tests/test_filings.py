@@ -82,3 +82,10 @@ def test_trees_equal_walks(spark):
     got = {(r.t, r.n): (r.root, r.depth) for r in tree_places(frame, ["t"], "n", "p").collect()}
     assert got == {k: walk(*k) for k in up}
     assert tree_places(frame.where(F.lit(False)), ["t"], "n", "p").count() == 0
+
+
+def test_attributes_of_a_fact_are_read_once(spark):
+    rows = spark.createDataFrame([(1, '<ix:nonFraction name="a" format="ixt:num-dot-decimal" scale="3" sign="-">(1,500)</ix:nonFraction>')], "k int, html string")
+    read = filings.facts(rows, ["k"], "html")
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("format\\s*=") <= 4  # in either quotes, and whether it is empty
+    assert [(r.concept, r.value, r.problem) for r in read.collect()] == [("a", None, "no context")]
