@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.outcome import FAIL, OPEN, PASS
@@ -88,6 +90,12 @@ _UBL_HEAD = (
 )
 
 
+def _filled(form: str, *values: Column) -> Column:
+    """The form with a value at each {k}, by plain concatenation: format strings are parsed anew for every row."""
+    parts = re.split(r"\{(\d+)\}", form)
+    return F.concat(*[values[int(x)] if k % 2 else F.lit(x) for k, x in enumerate(parts)])
+
+
 @query(
     """WITH l AS (SELECT l_orderkey AS o, l_linenumber, l_quantity::DECIMAL(18,2) AS q, l_extendedprice::DECIMAL(18,2) AS e, round(l_extendedprice::DECIMAL(18,2)::DECIMAL(28,6) / l_quantity::DECIMAL(18,2), 4)::DECIMAL(18,4) AS u, round((l_extendedprice::DECIMAL(18,2) * l_discount::DECIMAL(4,2))::DECIMAL(22,4), 2)::DECIMAL(18,2) AS d, l_returnflag AS f FROM lineitem),
 m AS (SELECT o, e - CASE WHEN f = 'R' THEN 0 ELSE d END AS net, CASE WHEN f = 'A' AND d > 3000 THEN NULL ELSE abs(e - CASE WHEN f = 'R' THEN 0 ELSE d END - (q * u - d)) <= 0.02 END AS ok FROM l),
@@ -106,26 +114,28 @@ def standard_invoices(t: Tables) -> DataFrame:
     off = F.round(e * F.col("l_discount").cast("decimal(4,2)"), 2).cast("decimal(18,2)")
     unit = F.round(e.cast("decimal(28,6)") / q, 4).cast("decimal(18,4)")
     net = e - F.when(flag == "R", F.lit(0).cast("decimal(18,2)")).otherwise(off)
-    lines = t.lineitem.select("l_orderkey", F.col("l_linenumber").cast("string").alias("n"), q.alias("q"), unit.alias("u"), off.alias("d"), net.cast("decimal(18,2)").alias("net"), F.when((flag == "A") & (off > 3000), "maybe").otherwise("false").alias("sign"))
-    line = F.format_string(
-        '<cac:InvoiceLine><cbc:ID>%s</cbc:ID><cbc:InvoicedQuantity unitCode="EA">%s</cbc:InvoicedQuantity><cbc:LineExtensionAmount currencyID="EUR">%s</cbc:LineExtensionAmount><cac:AllowanceCharge><cbc:ChargeIndicator>%s</cbc:ChargeIndicator>'
-        '<cbc:Amount currencyID="EUR">%s</cbc:Amount></cac:AllowanceCharge><cac:Price><cbc:PriceAmount currencyID="EUR">%s</cbc:PriceAmount></cac:Price></cac:InvoiceLine>',
-        "n", F.col("q").cast("string"), F.col("net").cast("string"), "sign", F.col("d").cast("string"), F.col("u").cast("string"),
-    )
-    national = F.format_string("<FaWiersz><NrWierszaFa>%s</NrWierszaFa><P_11>%s</P_11></FaWiersz>", "n", F.col("net").cast("string"))
-    body = lines.groupBy("l_orderkey").agg(F.concat_ws("", F.collect_list(line)).alias("ubl"), F.concat_ws("", F.collect_list(national)).alias("fa"), F.sum("net").cast("decimal(18,2)").alias("s"))
+    said = lambda x: F.coalesce(x.cast("string"), F.lit("null"))
+    written = (F.col("l_linenumber"), q, net.cast("decimal(18,2)"), F.when((flag == "A") & (off > 3000), "maybe").otherwise("false"), off, unit)
+    lines = t.lineitem.select("l_orderkey", F.struct(*[said(x).alias(n) for n, x in zip(("n", "q", "net", "sign", "d", "u"), written)]).alias("line"), net.cast("decimal(18,2)").alias("net"))
+    body = lines.groupBy("l_orderkey").agg(F.collect_list("line").alias("lines"), F.sum("net").cast("decimal(18,2)").alias("s"))  # an order's lines are one row; markup comes after the exchange
+    each = lambda form: F.array_join(F.transform("lines", lambda x: _filled(form, *[x[n] for n in ("n", "q", "net", "sign", "d", "u")])), "")
+    ubl_lines = each(
+        '<cac:InvoiceLine><cbc:ID>{0}</cbc:ID><cbc:InvoicedQuantity unitCode="EA">{1}</cbc:InvoicedQuantity><cbc:LineExtensionAmount currencyID="EUR">{2}</cbc:LineExtensionAmount><cac:AllowanceCharge><cbc:ChargeIndicator>{3}</cbc:ChargeIndicator>'
+        '<cbc:Amount currencyID="EUR">{4}</cbc:Amount></cac:AllowanceCharge><cac:Price><cbc:PriceAmount currencyID="EUR">{5}</cbc:PriceAmount></cac:Price></cac:InvoiceLine>'
+    )
+    fa_lines = each("<FaWiersz><NrWierszaFa>{0}</NrWierszaFa><P_11>{2}</P_11></FaWiersz>")
     rows = t.orders.join(body, F.col("l_orderkey") == F.col("o_orderkey"))
     p, status, total, s = F.substring("o_orderpriority", 1, 1), F.col("o_orderstatus"), _money("o_totalprice"), F.col("s")
-    text = lambda x: x.cast("decimal(18,2)").cast("string")
+    text = lambda x: said(x.cast("decimal(18,2)"))
     head = F.when(p == "1", "<cbc:ProfileID>reporting:1.0</cbc:ProfileID>").otherwise("<cbc:CustomizationID>urn:cen.eu:en16931:2017#compliant#urn:fdc:peppol.eu:2017:poacc:billing:3.0</cbc:CustomizationID>")
-    ubl = F.format_string(
-        _UBL_HEAD + '%s<cbc:ID>%s</cbc:ID><cbc:DocumentCurrencyCode>EUR</cbc:DocumentCurrencyCode><cac:TaxTotal><cbc:TaxAmount currencyID="%s">10.00</cbc:TaxAmount><cac:TaxSubtotal><cbc:TaxAmount currencyID="EUR">10.00</cbc:TaxAmount></cac:TaxSubtotal></cac:TaxTotal>'
-        '<cac:LegalMonetaryTotal><cbc:LineExtensionAmount currencyID="EUR">%s</cbc:LineExtensionAmount><cbc:TaxExclusiveAmount currencyID="EUR">%s</cbc:TaxExclusiveAmount><cbc:TaxInclusiveAmount currencyID="EUR">%s</cbc:TaxInclusiveAmount>'
-        '<cbc:PayableAmount currencyID="EUR">%s</cbc:PayableAmount></cac:LegalMonetaryTotal>%s</Invoice>',
-        head, F.col("o_orderkey").cast("string"), F.when(status == "O", "SAR").otherwise("EUR"), text(s + F.when(status == "P", 1).otherwise(0)), text(s), text(s + 10), text(F.when(status == "F", total).otherwise(s + 10)), "ubl",
+    ubl = _filled(
+        _UBL_HEAD + '{0}<cbc:ID>{1}</cbc:ID><cbc:DocumentCurrencyCode>EUR</cbc:DocumentCurrencyCode><cac:TaxTotal><cbc:TaxAmount currencyID="{2}">10.00</cbc:TaxAmount><cac:TaxSubtotal><cbc:TaxAmount currencyID="EUR">10.00</cbc:TaxAmount></cac:TaxSubtotal></cac:TaxTotal>'
+        '<cac:LegalMonetaryTotal><cbc:LineExtensionAmount currencyID="EUR">{3}</cbc:LineExtensionAmount><cbc:TaxExclusiveAmount currencyID="EUR">{4}</cbc:TaxExclusiveAmount><cbc:TaxInclusiveAmount currencyID="EUR">{5}</cbc:TaxInclusiveAmount>'
+        '<cbc:PayableAmount currencyID="EUR">{6}</cbc:PayableAmount></cac:LegalMonetaryTotal>{7}</Invoice>',
+        head, said(F.col("o_orderkey")), F.when(status == "O", "SAR").otherwise("EUR"), text(s + F.when(status == "P", 1).otherwise(0)), text(s), text(s + 10), text(F.when(status == "F", total).otherwise(s + 10)), ubl_lines,
     )
-    fa = F.format_string('<Faktura xmlns="http://crd.gov.pl/wzor/2025/06/25/13775/"><Fa><KodWaluty>PLN</KodWaluty><P_2>%s</P_2><P_15>%s</P_15>%s</Fa></Faktura>', F.col("o_orderkey").cast("string"), text(total), "fa")
-    xml = F.when(p == "5", fa).when(p == "4", F.concat(F.lit("<!DOCTYPE Invoice>"), ubl)).otherwise(ubl)
+    fa = _filled('<Faktura xmlns="http://crd.gov.pl/wzor/2025/06/25/13775/"><Fa><KodWaluty>PLN</KodWaluty><P_2>{0}</P_2><P_15>{1}</P_15>{2}</Fa></Faktura>', said(F.col("o_orderkey")), text(total), fa_lines)
+    xml = F.when(p == "5", fa).otherwise(F.concat(F.when(p == "4", "<!DOCTYPE Invoice>").otherwise(""), ubl))
     read = einvoice.read(rows.select("o_orderkey", xml.alias("xml")), "xml", ["o_orderkey"])
     read = read.withColumns({"lines_net": einvoice.lines_net(F.col("lines")), "told": F.transform("lines", lambda x: einvoice.line_math(x))})
     count = lambda what: F.size(F.filter("told", lambda x: x == what)).cast("long")

@@ -202,3 +202,13 @@ def test_cover_by_rounds_equals_the_plain_one(spark):
             want = mine.novelty(held, patterns, least)
             assert mine.cover(frame, [(r, k) for k, r in enumerate(held)], least) == want
     assert mine.cover(frame, [], 1) == [] and mine.cover(frame.limit(0), [("r0", 0)], 1) == []
+
+
+def test_invoices_are_written_without_format_strings(spark):
+    from quillcheck.plans import papers, registry  # noqa: F401
+
+    plan = registry.QUERIES["standard_invoices"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "format_string" not in plan and plan.count("collect_list(") == 1
+    texts = {"remark": "<!-- DOCTYPE -->" + _ubl(_line("30.00")), "element": "<!ELEMENT a>" + _ubl(_line("30")), "entity": _ubl(_line("30") + "<!ENTITY>")}
+    rows = einvoice.read(spark.createDataFrame(list(texts.items()), "name string, x string"), "x", ["name"])
+    assert {r.name: r.profile for r in rows.collect()} == {"remark": "peppol-bis3", "element": None, "entity": None}
