@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.outcome import any_line, compare, whole
+from ..functions.outcome import compare, whole
+from ..session import cut
 from . import mine
 from .claims import Check
 
@@ -176,21 +178,46 @@ def candidates(
     return [*out.values(), *made]
 
 
+_WORD = 62  # bits of a long that are used
+
+
+def _marks(violated: list[Column], name: str) -> list[Column]:
+    """Which are true and which are not known, as bits of as few longs as hold them."""
+    out = []
+    for k in range(0, len(violated), _WORD):
+        for kind, when in (("bad", lambda v: v), ("lost", lambda v: v.isNull())):
+            bits = [F.when(when(v), F.lit(1 << n).cast("long")).otherwise(F.lit(0).cast("long")) for n, v in enumerate(violated[k : k + _WORD])]
+            out.append(reduce(Column.bitwiseOR, bits).alias(f"_{name}_{kind}{k // _WORD}"))
+    return out
+
+
+def _sign(name: str, at: int) -> Column:
+    bad, lost = (F.col(f"_{name}_{kind}{at // _WORD}").bitwiseAND(F.lit(1 << at % _WORD).cast("long")) for kind in ("bad", "lost"))
+    return F.when(bad != 0, "1").when(lost == 0, "0").otherwise("?")
+
+
 def flags(docs: DataFrame, lines: DataFrame, key: str, held: Column, found: list[Candidate], of_lines: dict[str, Field]) -> DataFrame:
     """One row a case: the key, ``held``, and ``flags``: per candidate and tolerance 1 (violated), 0 or ? (not told).
 
     Lines are put together once for all candidates, by one exchange; a line rule is violated if any line violates it, and
-    not told if some line cannot tell. A sum is missing if any of its lines is.
+    not told if some line cannot tell. A sum is missing if any of its lines is. What a line, or a case by itself, says of
+    its rules travels as bits, so an exchanged row is as short for many rules as for few.
     """
     tried = [(c, t) for c in found for t in c.grid]
     worth = {t.name: t.sql for t in sums(of_lines)}
-    made = [any_line(c.violated(t)).alias(f"_{n}") for n, (c, t) in enumerate(tried) if c.per_line]
+    kinds = ["line" if c.per_line else "sum" if any(f"`{n}`" in c.left + c.right for n in worth) else "case" for c, _ in tried]
+    violated = lambda kind: [c.violated(t) for (c, t), k in zip(tried, kinds) if k == kind]
+    made = _marks(violated("line"), "line")
+    lines = lines.select("*", *made)
+    ored = [F.bit_or(c).alias(c) for c in lines.columns[len(lines.columns) - len(made) :]]
     totals = [whole(F.sum(F.expr(sql).cast("decimal(28,6)")), F.expr(sql)).cast("double").alias(name) for name, sql in worth.items()]
-    summed = lines.groupBy(key).agg(*made, *totals) if made or totals else lines.select(key).distinct()
-    rows = docs.join(summed, key, "left")
-    told = [F.col(f"_{n}") if c.per_line else c.violated(t) for n, (c, t) in enumerate(tried)]
-    signs = F.concat(*[F.when(v, "1").when(~v, "0").otherwise("?") for v in told])
-    return rows.select(key, held.alias("held"), signs.alias("flags"))
+    summed = lines.groupBy(key).agg(*ored, *totals) if ored or totals else lines.select(key).distinct()
+    rows = docs.select("*", held.alias("_held"), *_marks(violated("case"), "case")).join(summed, key, "left")
+    signs = []
+    for n, (c, t) in enumerate(tried):
+        v = c.violated(t)
+        signs.append(F.when(v, "1").when(~v, "0").otherwise("?") if kinds[n] == "sum" else _sign(kinds[n], kinds[:n].count(kinds[n])))
+    return rows.select(key, F.col("_held").alias("held"), F.concat(*signs).alias("flags"))
 
 
 def patterns(flagged: DataFrame) -> DataFrame:
@@ -219,8 +246,10 @@ def report(counted: DataFrame, found: list[Candidate], rate: float = 0.0) -> Dat
     smallest that will do is taken. VOID: no case violates it. BASE_RATE: too few holds do, or chance explains them.
     Of the rest a CANDLE explains holds that no stronger rule does; the others are REDUNDANT.
 
-    Tallies come to the driver, a row a rule and tolerance; patterns of cases do not.
+    Tallies come to the driver, a row a rule and tolerance; patterns of cases do not. Cases are read once: what is counted
+    is stored, as the tallies and the judges' rounds both read it.
     """
+    counted = cut(counted)
     tally = {(r.rule, r.t): r for r in tallies(counted, found).collect()}
     place = {key: n for n, key in enumerate((c.rule, t) for c in found for t in c.grid)}
     out, explained = [], []
