@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.outcome import FAIL, OPEN, PASS
@@ -22,20 +25,37 @@ def match_lines(bill: DataFrame, order: DataFrame) -> DataFrame:
     A line that names an order line is matched by that alone; else its SKU must name exactly one line of the order. Order
     lines that several bill lines claim are matched with none of them. Order lines have ids of their own within a doc.
     """
-    ids = order.select("doc", F.col("line_id").alias("by_id"))
-    skus = order.select("doc", _sku("sku").alias("s"), F.col("line_id").alias("l")).where("s is not null")
-    skus = skus.groupBy("doc", "s").agg(F.count("*").alias("n_sku"), F.min("l").alias("by_sku"))
-    rows = bill.withColumns({"s": F.when(F.col("line_id").isNull(), _sku("sku")), "want": F.col("line_id")})
-    rows = rows.join(ids.withColumn("want", F.col("by_id")), ["doc", "want"], "left").join(skus, ["doc", "s"], "left")
-    claim = F.when(F.col("want").isNotNull(), F.col("by_id")).when(F.col("n_sku") == 1, F.col("by_sku"))
-    rows = rows.withColumn("claim", claim)
-    claims = rows.where("claim is not null").groupBy("doc", "claim").agg(F.count("*").alias("n_claims"))
-    rows = rows.join(claims, ["doc", "claim"], "left")
+    return _on_order(bill, order).select(*bill.columns, "po_line", "match")
+
+
+def _on_order(bill: DataFrame, order: DataFrame, terms: dict[str, str] | None = None, receipts: DataFrame | None = None) -> DataFrame:
+    """What ``match_lines`` returns, with ``terms`` (new name by the order's) of the matched order line and what was received on it.
+
+    All papers stand in one frame, which is put together by doc once, and not at all if its parts are by doc already: a bill
+    line sees the order lines of its SKU, then those that claim what it claims, as the rows of two windows.
+    """
+    kind = lambda n: F.lit(n).alias("_kind")
+    parts = [bill.select("*", kind("bill"), F.col("line_id").alias("_want"), F.when(F.col("line_id").isNull(), _sku("sku")).alias("_s"))]
+    parts.append(order.select("doc", kind("order"), F.col("line_id").alias("_want"), _sku("sku").alias("_s"), *[F.col(c).alias(f"_{n}") for c, n in (terms or {}).items()]))
+    if receipts is not None:
+        parts.append(receipts.select("doc", kind("receipt"), F.col("line_id").alias("_want"), F.col("quantity").alias("_received")))
+    rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+    ordered, known = F.col("_kind") == "order", F.col("doc").isNotNull()
+    by_sku, by_claim = W.partitionBy("doc", "_s"), W.partitionBy("doc", "_claim")
+    rows = rows.withColumns({"_n_sku": F.when(known & F.col("_s").isNotNull(), F.count_if(ordered).over(by_sku)), "_by_sku": F.min(F.when(ordered, F.col("_want"))).over(by_sku)})
+    claim = F.when((F.col("_kind") != "bill") | F.col("_want").isNotNull(), F.col("_want")).when(F.col("_n_sku") == 1, F.col("_by_sku"))
+    rows = rows.withColumn("_claim", F.when(known, claim))
+    there = F.col("_claim").isNotNull() & (F.count_if(ordered).over(by_claim) > 0)
+    seen = {f"_on_{n}": F.max(f"_{n}").over(by_claim) for n in (terms or {}).values()}  # one order line a claim
+    if receipts is not None:
+        seen["_on_received"] = F.sum("_received").over(by_claim)
+    rows = rows.withColumns({"_n": F.when(there, F.count_if(F.col("_kind") == "bill").over(by_claim)), **seen}).where("_kind = 'bill'")
+    n, want, n_sku = F.col("_n"), F.col("_want"), F.col("_n_sku")
     why = (
-        F.when(F.col("n_claims") == 1, MATCHED).when(F.col("n_claims") > 1, "several bill lines").when(F.col("want").isNotNull(), "no such order line")
-        .when(F.col("s").isNull(), "no order line or SKU named").when(F.col("n_sku") > 1, "SKU on several order lines").otherwise("SKU on no order line")
+        F.when(n == 1, MATCHED).when(n > 1, "several bill lines").when(want.isNotNull(), "no such order line")
+        .when(F.col("_s").isNull(), "no order line or SKU named").when(n_sku > 1, "SKU on several order lines").otherwise("SKU on no order line")
     )
-    return rows.select(*bill.columns, F.when(F.col("n_claims") == 1, F.col("claim")).alias("po_line"), why.alias("match"))
+    return rows.select(*bill.columns, F.when(n == 1, F.col("_claim")).alias("po_line"), why.alias("match"), *[F.when(n == 1, F.col(c)).alias(c.removeprefix("_on_")) for c in seen])
 
 
 def line_claims(matched: DataFrame, order: DataFrame, receipts: DataFrame, price_share: float = 0.02, price_floor: float = 0.01) -> DataFrame:
@@ -45,9 +65,20 @@ def line_claims(matched: DataFrame, order: DataFrame, receipts: DataFrame, price
     quantity. Claims stay open where there is nothing to compare with. ``billed_to_date`` is null where earlier bills are
     not known or the bill alone is over what was received, and is never failed: a person settles it.
     """
-    got = receipts.groupBy("doc", F.col("line_id").alias("po_line")).agg(F.sum("quantity").alias("received"))
     terms = order.select("doc", F.col("line_id").alias("po_line"), F.col("unit_price").alias("po_price"), "invoiced")
-    rows = matched.join(terms, ["doc", "po_line"], "left").join(got, ["doc", "po_line"], "left")
+    got = receipts.groupBy("doc", F.col("line_id").alias("po_line")).agg(F.sum("quantity").alias("received"))
+    return _claimed(matched.join(terms, ["doc", "po_line"], "left").join(got, ["doc", "po_line"], "left"), price_share, price_floor)
+
+
+def matched_claims(bill: DataFrame, order: DataFrame, receipts: DataFrame, price_share: float = 0.02, price_floor: float = 0.01) -> DataFrame:
+    """``line_claims`` of ``match_lines``: a bill line meets its order line once, with its terms and receipts, for both.
+
+    Frames that are partitioned by doc alone are not exchanged any more.
+    """
+    return _claimed(_on_order(bill, order, {"unit_price": "po_price", "invoiced": "invoiced"}, receipts), price_share, price_floor)
+
+
+def _claimed(rows: DataFrame, price_share: float, price_floor: float) -> DataFrame:
     told = lambda ok: F.when(ok, PASS).when(~ok, FAIL).otherwise(OPEN)
     within = F.col("quantity") <= F.col("received") + 1e-9
     limit = F.col("po_price") + F.greatest(F.lit(price_floor), F.col("po_price") * price_share)

@@ -34,6 +34,7 @@ def structured_match(t: Tables) -> DataFrame:
     """Bill lines on order lines, by the line they name or by SKU, and against receipts, prices and earlier bills. Kept lines
     name their order line, returned ones a SKU, and the rest a line that is mostly not theirs."""
     rows = t.lineitem.join(t.part.select("p_partkey", "p_brand", "p_size"), F.col("p_partkey") == F.col("l_partkey"), "left")
+    rows = rows.repartition("l_orderkey")  # papers of an order stay together, so nothing below is exchanged again
     line, q, flag = F.col("l_partkey").cast("string"), _money("l_quantity"), F.col("l_returnflag")
     order = rows.groupBy(F.col("l_orderkey").alias("doc"), line.alias("line_id")).agg(
         F.any_value("p_brand").alias("sku"), F.max(F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"), F.sum(F.when(F.col("l_discount") > 0.07, q)).alias("invoiced")
@@ -46,7 +47,7 @@ def structured_match(t: Tables) -> DataFrame:
     bills = bills.select(
         "doc", F.concat(line, flag).alias("line"), named.alias("line_id"), F.when(flag == "R", F.col("sku")).alias("sku"), "quantity", (F.col("amount").cast("double") / F.col("quantity").cast("double")).alias("unit_price")
     )
-    found = matching.line_claims(matching.match_lines(bills, order), order, receipts)
+    found = matching.matched_claims(bills, order, receipts)
     return found.select("doc", "line", "po_line", "match", "quantity_claim", "price_claim", "billed_to_date")
 
 
