@@ -6,6 +6,7 @@ from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import decimal_text
@@ -99,13 +100,8 @@ def _cells(line: Column) -> Column:
     return F.transform(F.split(line, r"\|"), lambda cell: F.trim(F.translate(cell, "\t\r", "  ")))
 
 
-def measured_lines(mails: DataFrame, keep: list[str], text: str, measures: dict[str, bool]) -> DataFrame:
-    """Numbered lines whose last cells are the given measures: ``line``, ``name`` and a column for each measure.
-
-    A line is cells between bars. The first begins with a number and a point; the last ones say, in order, a measure's word
-    and its number, after a currency's three capitals if the measure is money. The cells before are the name. Lines of
-    other shapes give no row; a number that does not read is null.
-    """
+def _measured(text: str, measures: dict[str, bool], named: bool = True) -> Column:
+    """An array of the numbered lines of ``measured_lines``; the name is left out unless ``named``."""
     n = len(measures)
     shapes = [rf"^{word}[ \t]*{'[A-Z]{3}' if money else ''}[ \t]*([0-9,.]+)$" for word, money in measures.items()]
 
@@ -117,13 +113,24 @@ def measured_lines(mails: DataFrame, keep: list[str], text: str, measures: dict[
             fits = fits & own(k).rlike(shape)
         number = F.regexp_extract(first, r"^([0-9]+)\.", 1).try_cast("int")
         name = F.array_join(F.slice(cells, 1, F.size(cells) - n), " | ")
+        names = [F.regexp_replace(name, r"^[0-9]+\.[ \t]*", "").alias("name")] if named else []
         value = lambda k, shape: F.replace(F.regexp_extract(own(k), shape, 1), F.lit(",")).try_cast("decimal(18,4)")
         found = [value(k, shape).alias(word) for k, (word, shape) in enumerate(zip(measures, shapes))]
-        return F.when(fits, F.struct(number.alias("line"), F.regexp_replace(name, r"^[0-9]+\.[ \t]*", "").alias("name"), *found))
+        return F.when(fits, F.struct(number.alias("line"), *names, *found))
 
     # a line's cells are bound by a lambda, so that they are cut once for all that is read from them
     lines = F.transform(F.transform(F.split(text, "\n"), _cells), read)
-    return mails.select(*keep, F.explode(F.filter(lines, lambda l: l.isNotNull())).alias("_l")).select(*keep, "_l.*")
+    return F.filter(lines, lambda l: l.isNotNull())
+
+
+def measured_lines(mails: DataFrame, keep: list[str], text: str, measures: dict[str, bool]) -> DataFrame:
+    """Numbered lines whose last cells are the given measures: ``line``, ``name`` and a column for each measure.
+
+    A line is cells between bars. The first begins with a number and a point; the last ones say, in order, a measure's word
+    and its number, after a currency's three capitals if the measure is money. The cells before are the name. Lines of
+    other shapes give no row; a number that does not read is null.
+    """
+    return mails.select(*keep, F.explode(_measured(text, measures)).alias("_l")).select(*keep, "_l.*")
 
 
 def _bound(x: Column, use) -> Column:
@@ -131,14 +138,33 @@ def _bound(x: Column, use) -> Column:
     return F.get(F.transform(F.array(x), use), F.lit(0))
 
 
+#: What lines of orders and receipts say last.
+ORDERED, RECEIVED = {"qty": False, "unit": True}, {"received": False}
+
+
 def order_lines(mails: DataFrame, keep: list[str], text: str) -> DataFrame:
     """The lines of purchase orders written as text, "1. name | qty 2 | unit USD 3.00": ``line``, ``name``, ``qty``, ``unit``."""
-    return measured_lines(mails, keep, text, {"qty": False, "unit": True})
+    return measured_lines(mails, keep, text, ORDERED)
 
 
 def receipt_lines(mails: DataFrame, keep: list[str], text: str) -> DataFrame:
     """The lines of goods receipts written as text, "1. name | received 2": ``line``, ``name``, ``received``."""
-    return measured_lines(mails, keep, text, {"received": False})
+    return measured_lines(mails, keep, text, RECEIVED)
+
+
+def lines_received(mails: DataFrame, key: str, order: str, receipt: str) -> DataFrame:
+    """The lines of orders with what the receipts beside them say came: the key, ``line``, ``qty``, ``unit``, ``received`` (all
+    that the receipts of a key say of a line's number; null if none does).
+
+    Each text is read once, and lines of a key stay where its texts are if these are by key.
+    """
+    none = lambda c: F.lit(None).cast("decimal(18,4)").alias(c)
+    ordered = F.transform(_measured(order, ORDERED, named=False), lambda x: F.struct(x["line"].alias("line"), x["qty"].alias("qty"), x["unit"].alias("unit"), none("got"), F.lit(True).alias("own")))
+    came = F.transform(_measured(receipt, RECEIVED, named=False), lambda x: F.struct(x["line"].alias("line"), none("qty"), none("unit"), x["received"].alias("got"), F.lit(False).alias("own")))
+    both = F.concat(F.coalesce(ordered, F.array()), F.coalesce(came, F.array()))
+    rows = mails.select(key, F.explode(both).alias("_l")).select(key, "_l.*")
+    told = F.when(F.col(key).isNotNull() & F.col("line").isNotNull(), F.sum("got").over(W.partitionBy(key, "line")))
+    return rows.withColumn("received", told).where("own").select(key, "line", "qty", "unit", "received")
 
 
 def order_terms(

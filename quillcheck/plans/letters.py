@@ -13,7 +13,8 @@ from .registry import Tables, query
 
 def order_letters(t: Tables) -> DataFrame:
     """One letter an order and one for its receipt: lines numbered by part, amounts grouped, and terms as its priority has them."""
-    lines = t.lineitem.groupBy("l_orderkey", "l_partkey").agg(
+    # by order from the start: what follows, up to the reading of letters, is exchanged no more
+    lines = t.lineitem.repartition("l_orderkey").groupBy("l_orderkey", "l_partkey").agg(
         F.sum(F.col("l_quantity").cast("int")).alias("qty"), F.max(F.col("l_extendedprice").cast("decimal(12,2)")).alias("unit"),
         F.sum(F.when(F.col("l_returnflag") != "R", F.col("l_quantity").cast("int")).otherwise(0)).alias("received"),
     )
@@ -36,10 +37,7 @@ SELECT o_orderkey, count(*) AS n_lines, sum(qty * unit)::DOUBLE AS total, count(
 )
 def letters_matched(t: Tables) -> DataFrame:
     """Orders and receipts read from their letters and matched line by line: whether all that was ordered came."""
-    letters = order_letters(t)
-    lines = markup.order_lines(letters, ["o_orderkey"], "letter").drop("name")
-    got = markup.receipt_lines(letters, ["o_orderkey"], "receipt").drop("name")
-    rows = lines.join(got, ["o_orderkey", "line"], "left").withColumn("short", F.coalesce(F.col("received"), F.lit(0)) < F.col("qty"))
+    rows = markup.lines_received(order_letters(t), "o_orderkey", "letter", "receipt").withColumn("short", F.coalesce(F.col("received"), F.lit(0)) < F.col("qty"))
     sums = rows.groupBy("o_orderkey").agg(F.count("*").alias("n_lines"), F.sum(F.col("qty") * F.col("unit")).cast("double").alias("total"), F.count_if("short").alias("n_short"))
     return sums.withColumn("outcome", outcome(F.col("n_short") == 0))
 

@@ -73,3 +73,20 @@ def test_cells_are_cut_once(spark):
     plan = lambda frame: frame._jdf.queryExecution().optimizedPlan().toString()
     assert plan(markup.order_lines(mails, [], "t")).count("split(") == 2  # lines, and the cells of a line
     assert plan(mails.select(markup.order_terms(F.col("t"))["tax"])).count("split(") <= 4
+
+
+def test_receipts_meet_their_orders_lines(spark):
+    mails = [
+        (1, "1. a | qty 2 | unit USD 3.00\n2. b | qty 1,000 | unit USD 1\n3. c | qty 1", "2. b | received 400\n2. b | received 500\n1. a | got 2"), (2, "7. x | qty 1 | unit EUR 2", None), (3, None, "1. a | received 1"),
+        (4, "99999999999. y | qty 1 | unit EUR 2\n5. z | qty 4 | unit EUR 2", "99999999999. y | received 1\n5. z | received 4"), (5, "", ""),
+    ]
+    found = markup.lines_received(spark.createDataFrame(mails, "id int, o string, r string"), "id", "o", "r")
+    got = {(r.id, r.line): (r.qty, r.unit, r.received) for r in found.collect()}
+    assert got == {(1, 1): (2, 3, None), (1, 2): (1000, 1, 900), (2, 7): (1, 2, None), (4, None): (1, 2, None), (4, 5): (4, 2, 4)}
+
+
+def test_letters_are_written_and_read_once(spark):
+    from quillcheck.plans import letters, registry  # noqa: F401
+
+    plan = registry.QUERIES["letters_matched"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2 and plan.count("Aggregate [") == 3 and "Join LeftOuter" not in plan
