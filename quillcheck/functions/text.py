@@ -167,10 +167,16 @@ def overlap(a: Column | str, b: Column | str) -> Column:
     return F.when(least > 0, F.size(F.array_intersect(x, y)) / least).when(least == 0, 0.0)
 
 
+#: Runs of blanks but for one that is a single blank already, as most are: what stands so is not written anew.
+SPACES = r"[\t\n\x0B\f\r]\s*| \s+"
+
+
 def quotable(x: Column | str) -> Column:
     """Text for quotation matching: straight quotes and dashes, words broken over lines joined, blanks single, lower case."""
-    text = F.translate(F.regexp_replace(_col(x), r"-\n", ""), "‘’“”–— ", "''\"\"-- ")
-    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(text, "…", "..."), r"\s+", " ")))
+    text = F.replace(_col(x), F.lit("-\n"), F.lit(""))
+    for one, plain in {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "…": "..."}.items():
+        text = F.replace(text, F.lit(one), F.lit(plain))
+    return F.lower(F.trim(F.regexp_replace(text, SPACES, " ")))
 
 
 def words_in_order(a: Column, b: Column) -> Column:

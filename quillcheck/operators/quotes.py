@@ -21,11 +21,13 @@ FEW, BLOCK = 500_000, 1000
 INNER = 5
 
 
-def _windows(rows: DataFrame, key: str, text: str, place: str, size: int) -> DataFrame:
-    """One row a window of ``size`` words: key, hash, place from 1. Texts shorter than a window, and null ones, give none."""
-    split = rows.select(key, F.split(quotable(text), " ").alias("w")).where(F.size("w") >= size)
-    hashed = F.expr(f"transform(sequence(1, size(w) - {size - 1}), i -> xxhash64(slice(w, i, {size})))")
-    return split.select(key, F.posexplode(hashed).alias("p", "h")).select(key, (F.col("p") + 1).alias(place), "h")
+def _windows(rows: DataFrame, key: str, text: Column, place: str, size: int) -> DataFrame:
+    """One row a window of ``size`` words: key, hash, place from 1. Texts shorter than a window, and null ones, give none. No filter
+    reads the words, as Spark would work out the text for it once more; each word is hashed once for all its windows."""
+    words = rows.select(key, F.transform(F.split(text, " "), lambda w: F.xxhash64(w)).alias("w"))
+    window = ", ".join(f"get(w, i + {k})" for k in range(size))
+    hashed = F.expr(f"if(size(w) < {size}, array(), transform(sequence(0, size(w) - {size}), i -> xxhash64({window})))")
+    return words.select(key, F.posexplode(hashed).alias("p", "h")).select(key, (F.col("p") + 1).alias(place), "h")
 
 
 def _sent(rows: DataFrame, few: int) -> DataFrame:
@@ -43,8 +45,13 @@ def longest_runs(docs: DataFrame, quotes: DataFrame, doc: str, quote: str, text:
     quotations are sent to all tasks if there are at most ``few``. The hash has 64 bits: a false hit needs a collision beside
     a true run to change a result. Null texts and quotations give nothing; ids tell rows apart.
     """
-    asked = cut(_windows(quotes, quote, text, "quoted_at", size))
-    hits = _windows(docs, doc, text, "place", size).join(_sent(asked.select(quote, "h").distinct(), few), "h")
+    return _runs(docs, quotes, doc, quote, quotable(text), size, few)
+
+
+def _runs(docs: DataFrame, quotes: DataFrame, doc: str, quote: str, plain: Column, size: int, few: int) -> DataFrame:
+    """``longest_runs`` of the words of ``plain``, a column of either frame."""
+    asked = cut(_windows(quotes, quote, plain, "quoted_at", size))
+    hits = _windows(docs, doc, plain, "place", size).join(_sent(asked.select(quote, "h").distinct(), few), "h")
     hits = hits.groupBy(doc, quote).agg(F.sort_array(F.collect_list(F.struct("place", "h"))).alias("_hits"))
     whole = asked.groupBy(quote).agg(F.sort_array(F.collect_list(F.struct("quoted_at", "h")))["h"].alias("_all"))
 
@@ -70,7 +77,7 @@ _EDGES = r"(?<![^ ])[^\p{L}\p{N}_\u2026\u00a7$ ]+|[^\p{L}\p{N}_\u2026% ]+(?![^ ]
 
 def bare_words(x: Column) -> Column:
     """A text in the form of ``quotable`` without the signs at the edges of words; words of signs alone go."""
-    return F.trim(F.regexp_replace(F.regexp_replace(x, _EDGES, ""), " +", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(x, _EDGES, ""), "  +", " "))
 
 
 def differences(docs: DataFrame, quotes: DataFrame, doc: str, quote: str, text: str = "text", size: int = 5, omitted: int = 50, few: int = FEW) -> DataFrame:
@@ -86,8 +93,9 @@ def differences(docs: DataFrame, quotes: DataFrame, doc: str, quote: str, text:
     """
     said = bare_words(F.regexp_replace(quotable(text), r"\.(?: ?\.){2,}", f" {ELLIPSIS} "))
     asked = quotes.select(quote, F.regexp_replace(said, f"^({ELLIPSIS} ?)+|( ?{ELLIPSIS})+$", "").alias(text))
-    held = docs.select(doc, bare_words(quotable(text)).alias(text))
-    runs = cut(longest_runs(held, asked, doc, quote, text, size, few))
+    plain = bare_words(quotable(text))
+    runs = cut(_runs(docs.select(doc, plain.alias(text)), asked, doc, quote, F.col(text), size, few))
+    held = docs.join(_sent(runs.select(doc).distinct(), few), doc, "left_semi").select(doc, plain.alias(text))
     asked = asked.select(quote, F.split(text, " ").alias("_q"))
     gaps = F.size(F.filter("_q", lambda w: w == ELLIPSIS))
     slack = F.greatest(F.lit(3), F.ceil(F.size("_q") / 4)) + omitted * gaps

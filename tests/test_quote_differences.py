@@ -105,3 +105,14 @@ def test_on_tables(spark):
             assert q[x.quoted_at - 1 :][: len(x.quoted.split())] == x.quoted.split()
             assert p[x.place - 1 :][: len(x.stands.split())] == x.stands.split()
     assert whole == len(rows)
+
+
+def test_texts_are_worked_out_once(spark):
+    """Windows read a text's plain form once, and only documents in which a run is found are read again; blanks and signs as by Python."""
+    rows = [(1, "Five words in a row"), (2, "two words"), (3, None), (4, ""), (5, "“One”  two\t\n three—four…\nfi-\nve \x0b six  seven '' eight 9% $10 ")]
+    docs = spark.createDataFrame(rows, "d int, text string")
+    found = quotes._windows(docs, "d", quotable("text"), "p", 5)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    assert sorted((r.d, r.p) for r in found.collect()) == [(1, 1), *((5, k) for k in range(1, 7))]
+    plain = {r.d: r.t for r in docs.select("d", quotes.bare_words(quotable("text")).alias("t")).collect()}
+    assert plain == {1: "five words in a row", 2: "two words", 3: None, 4: "", 5: "one two three-four five six seven eight 9% $10"}
