@@ -61,7 +61,9 @@ def identifier_key(x: Column | str) -> Column:
 def spoken(x: Column | str) -> Column:
     """A name's words in lower case, variants of characters as the plain one: "&" is "and", points, commas and apostrophes go,
     other signs part words. Letters of any script stay."""
-    joined = F.regexp_replace(F.regexp_replace(F.lower(plain_width(x)), "&", " and "), "[.,'’]", "")
+    joined = F.replace(F.lower(plain_width(x)), F.lit("&"), F.lit(" and "))
+    for sign in ".,'’":
+        joined = F.replace(joined, F.lit(sign), F.lit(""))
     return F.trim(F.regexp_replace(joined, r"[^\p{L}\p{N}]+", " "))
 
 
