@@ -145,19 +145,24 @@ def _core(x: str, y: str) -> tuple[str, str]:
     return (x[: len(x) - tail], y[: len(y) - tail]) if tail else (x, y)
 
 
+def many_edits(xs, ys) -> list[int | None]:
+    """``edit_distance`` of many pairs; null if either is. What both share at their ends is cut off; each distinct rest is compared
+    once, short ones together."""
+    cores = [None if a is None or b is None else _core(a, b) for a, b in zip(xs, ys)]
+    distinct = sorted({c for c in cores if c}, key=lambda c: len(c[0]) + len(c[1]))
+    short = [c for c in distinct if max(map(len, c)) <= TOGETHER]
+    known = {c: edit_distance(*c) for c in distinct if max(map(len, c)) > TOGETHER}
+    for some in batched(short, 4096):
+        known |= zip(some, map(int, _distances([a for a, _ in some], [b for _, b in some])))
+    return [None if c is None else known[c] for c in cores]
+
+
 def edits(x: str, y: str) -> Column:
-    """``edit_distance`` of two columns in Arrow batches; Spark's own distance does not know swaps. Null if either is. What both
-    share at their ends is cut off; each distinct rest of a batch is compared once, short ones together."""
+    """``edit_distance`` of two columns in Arrow batches; Spark's own distance does not know swaps. Null if either is."""
 
     @F.pandas_udf("int")
     def distance(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        cores = [None if a is None or b is None else _core(a, b) for a, b in zip(xs, ys)]
-        distinct = sorted({c for c in cores if c}, key=lambda c: len(c[0]) + len(c[1]))
-        short = [c for c in distinct if max(map(len, c)) <= TOGETHER]
-        known = {c: edit_distance(*c) for c in distinct if max(map(len, c)) > TOGETHER}
-        for some in batched(short, 4096):
-            known |= zip(some, map(int, _distances([a for a, _ in some], [b for _, b in some])))
-        return pd.Series([None if c is None else known[c] for c in cores], dtype="Int32")
+        return pd.Series(many_edits(xs, ys), dtype="Int32")
 
     return distance(x, y)
 

@@ -9,6 +9,7 @@ from ..functions.outcome import FAIL, OPEN, PASS
 from ..functions.text import base_id, document_number, plain_width, spoken, tight_id, vendor_name
 from ..functions.vendors import loose_number, name_relation, name_sides, near_reasons, sides_alike, tax_id, told, vendor_match
 from ..session import cut
+from .lookalikes import may_look_alike
 
 
 def nearest_earlier(rows: DataFrame, key: str, order: str, tiers: dict[str, list[str]]) -> DataFrame:
@@ -43,7 +44,7 @@ LADDER = {
 
 
 #: Places of a list, in order of ids, by which a first round looks for a name that is alike; each further round takes eight times as many.
-FIRST_PLACES = 32
+FIRST_PLACES = 8_192
 
 
 def duplicate_claims(bills: DataFrame, booked: DataFrame, tolerance: float = 0.01, places: int = FIRST_PLACES) -> DataFrame:
@@ -189,19 +190,21 @@ def _first_alike(asking: DataFrame, asked: DataFrame, tiers: tuple[int, ...], to
         kept = [c for c in ("id", "name", "tier", "first") if c in rows.columns]
         return rows.where("name <> ''").select(*kept, F.explode(F.array(*found)).alias("e")).where("e is not null").select(*kept, "e.*")
 
-    named = listed(asked, False).groupBy(*keys, "name", F.col("total").alias("_total")).agg(F.min(F.struct("id")).alias("_first"))
-    order = Window.partitionBy(*keys).orderBy("_first", "name", "_total")
-    named = cut(named.withColumn("_place", F.row_number().over(order)))
     looking = cut(listed(asking, True))
     bound = F.when(F.col("tier") == F.col("near"), F.col("first"))
-    asks = looking.groupBy(*keys, "name", "total").agg(F.bool_or(bound.isNull()).alias("_open"), F.max(bound).alias("_below"))
-    asks = cut(asks.join(named.groupBy(*keys).agg(F.max("_place").alias("_last")), keys).withColumn("_ask", F.monotonically_increasing_id()))
+    asks = cut(looking.groupBy(*keys, "name", "total").agg(F.bool_or(bound.isNull()).alias("_open"), F.max(bound).alias("_below")))
+    named = listed(asked, False).join(asks.groupBy(*keys).agg(F.count("*").alias("_askers")), keys)
+    named = named.groupBy(*keys, "_askers", "name", F.col("total").alias("_total")).agg(F.min(F.struct("id")).alias("_first"))
+    order = Window.partitionBy(*keys).orderBy("_first", "name", "_total")
+    named = cut(named.withColumn("_place", F.row_number().over(order)))
+    lists = named.groupBy(*keys).agg(F.max("_place").alias("_last"), F.max("_askers").alias("_askers"))
+    asks = cut(asks.join(lists, keys).withColumn("_ask", F.monotonically_increasing_id()))
     done, begin, end = [], 0, places
     while n := asks.count():
         parts = max(asks.sparkSession.sparkContext.defaultParallelism * 4, n // 20_000)  # few bytes are much work, so parts are not merged
-        mine = name_sides(asks, "name", "x").repartition(parts, *keys)
-        theirs = name_sides(named.where((F.col("_place") > begin) & (F.col("_place") <= end)).drop("_place"), "name", "y").repartition(parts, *keys)
-        met = mine.join(theirs, keys).where((F.col("_open") | (F.col("_first") < F.col("_below"))) & _near_totals(tolerance))
+        mine = name_sides(asks.withColumn("_last", F.least("_last", F.lit(end))), "name", "x")
+        theirs = name_sides(named.where((F.col("_place") > begin) & (F.col("_place") <= end)), "name", "y")
+        met = may_look_alike(mine, theirs, keys, begin, tolerance, parts).where(F.col("_open") | (F.col("_first") < F.col("_below")))
         hit = sides_alike(met, "x", "y").groupBy("_ask").agg(F.min(F.when(F.col("alike"), F.col("_first"))).alias("_found"))
         hit = cut(hit.where("_found is not null"))
         done.append(asks.join(hit, "_ask").select(*keys, "name", "total", "_found"))
