@@ -67,9 +67,13 @@ def spoken(x: Column | str) -> Column:
     return F.trim(F.regexp_replace(joined, r"[^\p{L}\p{N}]+", " "))
 
 
+#: Such words at the end of a name as spoken, while a word remains.
+LEGAL_FORMS = rf"(?<=[^ ])( ({'|'.join(COMPANY_SUFFIXES)}))+$"
+
+
 def vendor_name(x: Column | str) -> Column:
     """A name as spoken, without the words for its legal form at the end while a word remains."""
-    return F.regexp_replace(spoken(x), rf"(?<=[^ ])( ({'|'.join(COMPANY_SUFFIXES)}))+$", "")
+    return F.regexp_replace(spoken(x), LEGAL_FORMS, "")
 
 
 def document_number(x: Column | str) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from ..functions.text import many_edits
-from ..functions.vendors import made_marks, plain_marks
+from ..functions.vendors import CONTRACTIONS, LINKS
 
 #: Names, and askers, of a key that one task holds together; a key with more is dealt in such blocks, each with each.
 BLOCK = 8_192
@@ -39,7 +39,7 @@ def may_look_alike(asks: DataFrame, named: DataFrame, keys: list[str], begin: in
 
     Names some edits apart are equal after as many deletions from each, so both sides' rests meet by equality, in numpy inside
     a task; where a match shows that more edits are needed it goes, the others' edits are counted, in order of places, up to
-    the first that is near enough. Other reasons are equalities already (``plain_marks`` of one side, ``made_marks`` of the other).
+    the first that is near enough. Other reasons are equalities already (see ``_marks``).
     """
     side = lambda p: [F.col(f"{p}.{c}").alias(c) for c in ("text", "whole", "kind")]
     block = lambda place: F.floor((F.col(place) - begin - 1) / BLOCK)
@@ -55,9 +55,7 @@ def may_look_alike(asks: DataFrame, named: DataFrame, keys: list[str], begin: in
         F.col("_total").alias("total"), none("long", "_ask"), none("boolean", "_open"), none(first, "_below"), "_first", F.col("_place").cast("long").alias("_place"), *side("y"),
     )
     by = [*keys, "_block", "_deal"]
-    of_words = lambda marks: F.transform(F.array(F.split("text", " ")), marks)[0]  # noqa: E731  cut once for all places that use them
     rows = left.unionByName(right).repartition(parts, *by).sortWithinPartitions(*by, "_named", "_place")
-    rows = rows.withColumns({"plain": of_words(plain_marks), "made": of_words(made_marks)})
     about, of_side = ["_ask", "_open", "_below"], ["text", "whole", "kind"]
     columns = [rows.schema[c] for c in about] + [rows.schema["_first"]] + [StructField(f"{p}_{c}", rows.schema[c].dataType) for p in "xy" for c in of_side]
 
@@ -109,6 +107,7 @@ def _pairs(table: pa.Table, group: np.ndarray, tolerance: float, pair_cost: int)
     wide = np.array([len(t) for t in texts])
     kind, whole, place = table["kind"].to_numpy(), pd.factorize(table["whole"].to_pandas())[0], table["_place"].to_numpy()
     total, any_total = pc.fill_null(table["total"], 0.0).to_numpy(), pc.is_null(table["total"]).to_numpy(zero_copy_only=False)
+    letters, begin = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), np.cumsum(wide) - wide
     best = np.full(len(texts), np.iinfo(np.int64).max)  # the place of each asker's first name that is some edits apart
 
     def fit(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,31 +133,39 @@ def _pairs(table: pa.Table, group: np.ndarray, tolerance: float, pair_cost: int)
 
     first = np.full(len(texts), -1)
     rank = np.arange(len(names)) - np.searchsorted(group[names], group[names])
-    for some in (names[rank < FIRST], names[rank >= FIRST]):
-        for theirs in _slices(some, wide):
-            mine = askers[(first[askers] < 0) & np.isin(group[askers], group[theirs])]
-            for mine in _slices(mine, wide):
-                at, n = np.searchsorted(group[theirs], group[mine]), np.searchsorted(group[theirs], group[mine], "right")
-                n -= at
-                if n.sum() * pair_cost <= _count(wide[mine]).sum() + _count(wide[theirs]).sum():
-                    i, k = _spread(mine, at, n)
-                    yield fit(i, theirs[k])
-                    continue
-                a, b = _rests(mine, texts, wide, group), _rests(theirs, texts, wide, group)
-                for x, y in _equal(a[0], b[0]):
-                    i, j, p, q = a[1][x], b[1][y], a[2][x], b[2][y]
-                    # as many from both: where edits allow no more, each is one of a letter put for another, or of two swapped
-                    level = (p >= 0).sum(1)
-                    ok = (level != (q >= 0).sum(1)) | (level < _allowed(wide[i])) | (np.abs(p - q).max(1) <= 1)
-                    i, j = fit(i[ok], j[ok])
-                    if len(i):
-                        nearest(i, j)
+    for mine in _slices(askers, wide):
+        asked = names[np.isin(group[names], group[mine])]
+        asked_first = rank[np.isin(group[names], group[mine])] < FIRST
+        rests = None
+        for theirs in _slices(asked[asked_first], wide) + _slices(asked[~asked_first], wide):
+            still = mine[first[mine] < 0]
+            at, n = np.searchsorted(group[theirs], group[still]), np.searchsorted(group[theirs], group[still], "right")
+            n -= at
+            if n.sum() * pair_cost <= _count(wide[still]).sum() + _count(wide[theirs]).sum():
+                i, k = _spread(still, at, n)
+                yield fit(i, theirs[k])
+                continue
+            rests = rests or _rests(mine, texts, wide, group)
+            a, b = [c[first[rests[1]] < 0] for c in rests], _rests(theirs, texts, wide, group)
+            for x, y in _equal(a[0], b[0]):
+                i, j, p, q = a[1][x], b[1][y], a[2][x], b[2][y]
+                # as many from both: where edits allow no more, each is of a letter put for another, or of two swapped, one of which went
+                level = (p >= 0).sum(1)
+                as_letter = lambda of, k: letters[np.maximum(begin[of, None] + k, 0)]
+                one_edit = (p == q) | ((np.abs(p - q) == 1) & (as_letter(i, p) == as_letter(j, q)))
+                ok = (level != (q >= 0).sum(1)) | (level < _allowed(wide[i])) | one_edit.all(1)
+                i, j = fit(i[ok], j[ok])
+                if len(i):
+                    nearest(i, j)
     found = askers[first[askers] >= 0]
     yield found, first[found]
     best[found] = place[first[found]]
-    hashes = lambda c, rows: _listed(table[c], rows, group)
-    for one, other in (("plain", "made"), ("made", "plain")):
-        (a, i), (b, j) = hashes(one, askers), hashes(other, names)
+    of = np.sort(np.concatenate([askers, names]))
+    plain, made = (tuple(np.concatenate(c) for c in zip(*marks)) for marks in _marks(of, letters, begin, wide))
+    plain, made = ((_mixed(h, group[i]), i) for h, i in (plain, made))
+    sides = lambda marks, which: (c[which[marks[1]]] for c in marks)
+    for one, other in ((plain, made), (made, plain)):
+        (a, i), (b, j) = sides(one, ~named), sides(other, named)
         for x, y in _equal(a, b):
             yield distinct(*fit(i[x], j[y]))
 
@@ -202,37 +209,105 @@ def _slices(rows: np.ndarray, wide: np.ndarray) -> list[np.ndarray]:
     return np.split(rows, np.flatnonzero(np.diff(np.cumsum(_count(wide[rows])) // HELD)) + 1)
 
 
+def _powers(n: int, base: int = _BASE) -> np.ndarray:
+    return np.cumprod(np.r_[np.uint64(1), np.full(n, base, np.uint64)])
+
+
+def _upto(values: np.ndarray) -> np.ndarray:
+    """Hashes of the first 0, 1, ... values of each row."""
+    out = np.zeros((values.shape[0], values.shape[1] + 1), np.uint64)
+    out[:, 1:] = np.cumsum(values * _powers(values.shape[1])[:-1], 1)
+    return out
+
+
+def _less(upto: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Hashes of rows less the places of each row of ``out``."""
+    n, k = upto.shape[1] - 1, out.shape[1]
+    begin, rest = np.zeros(len(out), np.int64), np.full((len(upto), len(out)), n - k, np.uint64)
+    for s in range(k + 1):
+        end = out[:, s].astype(np.int64) if s < k else np.full(len(out), n)
+        rest += (upto[:, end] - upto[:, begin]) * _powers(k, _BACK)[s]
+        begin = end + 1
+    return rest
+
+
 def _rests(rows: np.ndarray, texts: np.ndarray, wide: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of what deletions leave, with the group; the rows; and the places deleted, from the left (-1: none)."""
-    hashes, owners, places = [], [], []
-    for n in np.unique(wide[rows]).tolist():
+    hashes, owners, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros((0, 3), np.int16)]
+    for n in np.unique(wide[rows][wide[rows] > 0]).tolist():
         mine = rows[wide[rows] == n]
-        if n == 0:
-            continue
-        letters = np.array(texts[mine].tolist(), f"<U{n}").view(np.uint32).reshape(-1, n).astype(np.uint64)
-        powers = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, _BASE, np.uint64)])
-        upto = np.zeros((len(mine), n + 1), np.uint64)
-        upto[:, 1:] = np.cumsum(letters * powers, 1)
+        upto = _upto(np.array(texts[mine].tolist(), f"<U{n}").view(np.uint32).reshape(-1, n).astype(np.uint64))
         for k, out in enumerate(_deleted(n)):
-            begin, rest = np.zeros(len(out), np.int64), np.full((len(mine), len(out)), n - k, np.uint64)
-            for s in range(k + 1):
-                end = out[:, s].astype(np.int64) if s < k else np.full(len(out), n)
-                rest += (upto[:, end] - upto[:, begin]) * np.uint64(pow(_BACK, s, 1 << 64))
-                begin = end + 1
-            hashes.append(_mixed(rest, group[mine][:, None]).ravel())
+            hashes.append(_mixed(_less(upto, out), group[mine][:, None]).ravel())
             owners.append(np.repeat(mine, len(out)))
             padded = np.full((len(out), 3), -1, np.int16)
             padded[:, :k] = out
             places.append(np.tile(padded, (len(mine), 1)))
-    empty = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, 3), np.int16))
-    return tuple(np.concatenate(c) for c in (hashes, owners, places)) if hashes else empty
+    return tuple(np.concatenate(c) for c in (hashes, owners, places))
+
+
+def _word_hash(word: str) -> np.uint64:
+    return _upto(np.array([[ord(c) for c in word]], np.uint64))[0, -1]
 
 
-def _listed(column: pa.ChunkedArray, rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes that rows list, with the group, and the row of each."""
-    lists = column.take(pa.array(rows)).combine_chunks()
-    owner = np.repeat(rows, pc.list_value_length(lists).to_numpy())
-    return _mixed(lists.flatten().to_numpy().view(np.uint64), group[owner]), owner
+@lru_cache
+def _contractions() -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of words and of what is written for them."""
+    pairs = [(_word_hash(word), _word_hash(short)) for short, words in CONTRACTIONS.items() for word in words]
+    return tuple(np.array(c) for c in zip(*pairs))
+
+
+def _marks(rows: np.ndarray, letters: np.ndarray, begin: np.ndarray, wide: np.ndarray) -> tuple[list, list]:
+    """Marks by which names that look alike other than by a typo meet, and their rows: those of a name as it stands, and those made
+    of it, of which one equals a mark of the other name as it stands. Made are the name less one or two words, with initials
+    for words, its initials, and each word shortened, after the word before it (the last before the first): names of which
+    words are shortened have a word in common that stands before one that is shortened."""
+    rows = rows[wide[rows] > 0]
+    _, at = _spread(rows, begin[rows], wide[rows])
+    signs, wide = letters[at].astype(np.uint64), wide[rows]
+    ends = np.cumsum(wide)
+    stops = np.union1d(np.flatnonzero(signs == ord(" ")), ends)
+    start = np.r_[0, stops[:-1] + (stops[:-1] < len(signs)) * (~np.isin(stops[:-1], ends))] if len(stops) else stops
+    upto, back = _upto(signs[None])[0], _powers(len(signs), _BACK)
+    part = lambda a, b: (upto[b] - upto[a]) * back[a]  # noqa: E731  the hash of letters a to b
+    word, owner = part(start, stops), np.searchsorted(ends, start, "right")
+    n = np.bincount(owner, minlength=len(rows))
+    head = np.cumsum(n) - n
+    k = np.arange(len(word)) - head[owner]
+    before = word[np.where(k > 0, np.arange(len(word)) - 1, (head + n - 1)[owner])]
+    around = _mixed(before, n[owner] * 1000 + k)  # what stands around a word
+    long = np.flatnonzero(stops - start > 1)
+    plain = [(_mixed(word[long], np.array([1])), rows[owner[long]]), (_mixed(around ^ _mixed(word, np.array([2])), np.array([2])), rows[owner])]
+    many = np.flatnonzero((stops - start > 1) & (n[owner] > 1))
+    i, to = _spread(many, start[many] + 1, (stops - start)[many] - 1)
+    shorts = [(i, part(start[i], to))]
+    full, short = _contractions()
+    known = np.flatnonzero(np.isin(word, full))
+    i, which = np.nonzero(word[known][:, None] == full)
+    shorts.append((known[i], short[which]))
+    made = [(_mixed(around[i] ^ _mixed(w, np.array([2])), np.array([2])), rows[owner[i]]) for i, w in shorts]
+    linked = np.isin(word, [_word_hash(w) for w in LINKS])
+    for size in np.unique(n).tolist():
+        mine = np.flatnonzero(n == size)
+        of = head[mine][:, None] + np.arange(size)
+        names, say = _upto(_mixed(word[of], np.array([3]))), lambda hashes: _mixed(hashes, np.array([0]))
+        plain.append((say(_less(names, np.zeros((1, 0), np.int64))[:, 0]), rows[mine]))
+        if size < 2:
+            continue
+        for out in (np.array(list(combinations(range(size), c))) for c in (1, 2) if c < size):
+            made.append((say(_less(names, out)).ravel(), np.repeat(rows[mine], len(out))))
+        for counts in (np.ones(of.shape, bool), ~linked[of])[: 1 + int(linked[of].any())]:
+            nth = np.cumsum(counts, 1) - counts  # how many letters stand before a word's
+            firsts = np.zeros((len(mine), size + 1), np.uint64)
+            firsts[:, 1:] = np.cumsum(signs[start[of]] * counts * _powers(size)[nth], 1)
+            for i, j in combinations(range(size), 2):
+                initials = (firsts[:, j + 1] - firsts[:, i]) * _powers(size, _BACK)[nth[:, i]]
+                left = size - (j - i)
+                said = names[:, i] + _mixed(initials, np.array([3])) * _powers(size)[i] + (names[:, size] - names[:, j + 1]) * _powers(size, _BACK)[j - i]
+                made.append((say(said + np.uint64(left)), rows[mine]))
+                if left == 1:
+                    made.append((_mixed(initials, np.array([1])), rows[mine]))
+    return plain, made
 
 
 def _mixed(x: np.ndarray, group: np.ndarray) -> np.ndarray:

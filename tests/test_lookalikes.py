@@ -63,7 +63,6 @@ def _table(names, per_key):
     return pa.table({
         "key": [k // per_key for k in range(len(names))], "_named": pa.array([int(k % per_key >= per_key // 2) for k in range(len(names))], pa.int32()), "text": names, "whole": names,
         "kind": pa.array([0] * len(names), pa.int32()), "_place": list(range(len(names))), "total": pa.array([None] * len(names), pa.float64()),
-        "plain": pa.array([[k] for k in range(len(names))], pa.list_(pa.int64())), "made": pa.array([[] for _ in names], pa.list_(pa.int64())),
     })
 
 
