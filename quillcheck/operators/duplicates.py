@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.outcome import FAIL, OPEN, PASS
 from ..functions.text import base_id, document_number, plain_width, spoken, tight_id, vendor_name
-from ..functions.vendors import loose_number, name_relation, name_sides, near_reasons, sides_alike, tax_id, told, vendor_match
+from ..functions.vendors import loose_number, name_relation, name_sides, near_reasons, sides_alike, tax_id, told, told_match
 from ..session import cut
 from .lookalikes import may_look_alike
 
@@ -63,7 +63,7 @@ def duplicate_claims(bills: DataFrame, booked: DataFrame, tolerance: float = 0.0
     for rows, p in ((bills, "b_"), (booked, "h_")):
         as_is = ("id", "total")
         rows = rows.select(*[(F.col(c) if c in as_is else told(c)).alias(p + c) for c in columns])
-        rows = rows.withColumn(p + "exact", told(F.upper(plain_width(p + "number")))).withColumn(p + "loose", F.nullif(loose_number(p + "number"), F.lit("")))
+        rows = rows.withColumn(p + "tax", tax_id(p + "tax")).withColumn(p + "exact", told(F.upper(plain_width(p + "number")))).withColumn(p + "loose", F.nullif(loose_number(p + "number"), F.lit("")))
         sides.append(cut(_features(rows, p, tolerance)))
     asking, asked = (rows.select("f.*") for rows in sides)
     asking = asking.where("id is not null")
@@ -81,7 +81,7 @@ def duplicate_claims(bills: DataFrame, booked: DataFrame, tolerance: float = 0.0
     relation = name_relation(F.col("h_vendor"), F.col("b_vendor"), F.col("reason")).alias("relation")
     pairs = pairs.join(names.select("b_vendor", "h_vendor", relation), ["b_vendor", "h_vendor"], "left")
     relation = F.coalesce("relation", F.lit("unknown"))
-    match = vendor_match(relation, (F.col("h_tax"), F.col("b_tax")), (F.col("h_vendor_id"), F.col("b_vendor_id")))
+    match = told_match(relation, (F.col("h_tax"), F.col("b_tax")), (F.col("h_vendor_id"), F.col("b_vendor_id")))
     pairs = pairs.withColumn("match", match)
     no = F.lit(False)
     exact = F.coalesce(F.col("b_exact") == F.col("h_exact"), no)
@@ -106,7 +106,7 @@ def _features(rows: DataFrame, p: str, tolerance: float) -> DataFrame:
     cell = F.floor(F.col(p + "total") / (2 * tolerance) + F.lit(0.5)).cast("long")
     vendor = F.col(p + "vendor")
     compared = F.struct(
-        *[F.col(p + c).alias(c) for c in ("id", "exact", "loose", "po", "total")], cell.alias("cell"), tax_id(p + "tax").alias("tax"), F.col(p + "vendor_id").alias("vid"),
+        *[F.col(p + c).alias(c) for c in ("id", "exact", "loose", "po", "total")], cell.alias("cell"), F.col(p + "tax").alias("tax"), F.col(p + "vendor_id").alias("vid"),
         F.lower(vendor).alias("low"), vendor_name(vendor).alias("bare"), spoken(vendor).alias("name"),
     )
     return rows.withColumn("f", compared)
